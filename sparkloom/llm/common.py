@@ -8,11 +8,14 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..shipping import ship
+
 #: Rows that one Arrow batch handed back to Spark holds at most.
 OUT_ROWS = 20_000
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
