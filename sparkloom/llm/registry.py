@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import langid, linededup, mpegaudio, multiindex, packing, simhash, tokencounts, warc
+from . import langid, linededup, mixing, mpegaudio, multiindex, packing, simhash, surrogates, tokencounts, warc
 
-_MODULES = (mpegaudio, multiindex, tokencounts, warc, linededup, simhash, langid, packing)
+_MODULES = (mpegaudio, multiindex, surrogates, tokencounts, warc, linededup, simhash, mixing, langid, packing)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
