@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .queries.base import Registry
+
+#: Modules of queries.
+MODULES = ("graph", "edges")
+
+_registries: list[Registry] = [import_module(f".queries.{name}", __package__).query for name in MODULES]
+QUERIES = {name: q for r in _registries for name, q in r.queries.items()}
+ORACLE_SQL = {name: sql for r in _registries for name, sql in r.sql.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    """What one nation's customers, suppliers and orders are, level by level."""
+    return QUERIES["g2_bfs_up"](spark, sf_dir)
