@@ -31,7 +31,9 @@ WORDS = 3
 SEED = 42
 MAX_BITS = 2
 #: Shingle hashes that a Python worker counts at once.
-AT_ONCE = 1 << 19
+AT_ONCE = 1 << 17
+#: Documents of a batch handed back to Spark.
+ROWS = 500
 
 # ---------------------------------------------------------------- fingerprints
 
@@ -87,7 +89,9 @@ def with_fingerprint(docs: DataFrame, keep: Iterable[str] = ("doc_id",)) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(batch.column(1).to_pylist()).view(np.int64))], names=["row", "fp"])
+            for k in range(0, len(batch), ROWS):
+                own = batch.slice(k, ROWS)
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(fingerprints(own.column(1).to_pylist()).view(np.int64))], names=["row", "fp"])
 
     return left.mapInArrow(run, f"row {left.schema['row'].dataType.simpleString()}, fp long")
 
