@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.paths import extension
@@ -44,32 +49,52 @@ def symbol_ids(symbols: DataFrame, order: str = "start_byte") -> DataFrame:
     return symbols.withColumn("nth", nth).withColumn("id", F.concat("filepath", F.lit("::"), "name", F.when(F.col("nth") > 0, F.concat(F.lit("::#"), F.col("nth").cast("string"))).otherwise(""))).drop("nth")
 
 
+_COMPILED = {language: [(kind, re.compile(pattern)) for kind, pattern in patterns] for language, patterns in PATTERNS.items()}
+_LANGUAGE = {e: name for name, extensions in LANGUAGES.items() for e in extensions}
+_SYMBOLS = pa.schema([("filepath", pa.string()), ("name", pa.string()), ("kind", pa.string()), *((n, pa.int64()) for n in ("start_byte", "end_byte", "start_line", "end_line")), ("semantic_hash", pa.string())])
+
+
+def extract_symbols(filepath: str, content: str) -> list[tuple]:
+    """(filepath, name, kind, start_byte, end_byte, start_line, end_line, hash) of a file's declarations. One ends before the next line that is indented no deeper and isn't a closing bracket."""
+    patterns = _COMPILED.get(_LANGUAGE.get(filepath.rpartition(".")[2], ""), ())
+    data, lines, offset = content.encode(), [], 0
+    for number, line in enumerate(content.split("\n"), 1) if patterns else ():
+        text = line.strip()
+        lines.append((number, offset, line, len(line) - len(line.lstrip()) if text and text[0] not in ")]}" else None, bool(text)))
+        offset += len(line.encode()) + 1
+    last = max((number for number, *_, full in lines if full), default=0)
+    out: list[tuple] = []
+    open_ones: list[tuple] = []  # (indent, name, kind, start, line) of declarations that haven't ended
+
+    def close(indent: int, at: int, line: int) -> None:
+        while open_ones and open_ones[-1][0] >= indent:
+            _, name, kind, start, first = open_ones.pop()
+            out.append((filepath, name, kind, start, at, first, line, hashlib.sha256(data[start:at]).hexdigest()))
+
+    for number, at, line, indent, _ in lines:
+        if indent is None:
+            continue
+        close(indent, at, number - 1)
+        for kind, pattern in patterns:
+            if m := pattern.match(line):
+                open_ones.append((indent, m[1], kind, at + indent, number))
+                break
+    close(-1, len(data), last)
+    return sorted(out, key=lambda x: (x[3], x[1]))
+
+
 def symbols(sources: DataFrame, max_size: int | None = 512 * 1024) -> DataFrame:
-    """SC10, SC11: symbols of the files (filepath, content), which are skipped beyond max_size bytes. A symbol's span ends before the next line that is indented no deeper and isn't a closing bracket."""
-    files = sources if max_size is None else sources.where(F.octet_length("content") <= max_size)
-    lines = lines_of(files).withColumn("language", language_of(F.col("filepath"))).where("language is not null")
-    found = F.lit(None).cast("struct<kind:string,name:string>")
-    for language, patterns in PATTERNS.items():
-        for kind, pattern in reversed(patterns):
-            name = F.regexp_extract("line", pattern, 1)
-            found = F.when((F.col("language") == language) & (name != ""), F.struct(F.lit(kind).alias("kind"), name.alias("name"))).otherwise(found)
-    text = F.trim("line")
-    indent = F.when((text == "") | text.rlike(r"^[)\]}]"), F.lit(None).cast("int")).otherwise(F.length("line") - F.length(F.ltrim("line")))
-    marked = lines.select("filepath", "line_no", "offset", "line", "size", found.alias("found"), indent.alias("indent"))
-    defs = marked.where("found is not null").select("filepath", "found.*", F.col("line_no").alias("start_line"), "offset", "indent", "line", "size")
-    stops = marked.where("indent is not null").select(F.col("filepath").alias("stop_file"), F.col("offset").alias("stop"), F.col("line_no").alias("stop_line"), F.col("indent").alias("stop_indent"))
-    # the first stop after each definition: of every indent depth the files have, the next line at that depth or less
-    depths = stops.select("stop_file", F.col("stop_indent").alias("depth")).distinct()
-    ahead = Window.partitionBy("stop_file", "depth").orderBy("stop").rowsBetween(1, Window.unboundedFollowing)
-    per_depth = stops.join(depths, "stop_file").select("stop_file", "depth", "stop", F.min(F.when(F.col("stop_indent") <= F.col("depth"), F.struct("stop", "stop_line"))).over(ahead).alias("next"))
-    spans = defs.join(per_depth, (F.col("filepath") == F.col("stop_file")) & (F.col("indent") == F.col("depth")) & (F.col("offset") == F.col("stop")), "left")
-    out = spans.select(
-        "filepath", "name", "kind", F.lit("definition").alias("role"), F.lit(None).cast("string").alias("link_name"), (F.col("offset") + F.length("line") - F.length(F.ltrim("line"))).alias("start_byte"),
-        F.coalesce("next.stop", "size").alias("end_byte"), "start_line", F.coalesce(F.col("next.stop_line") - 1, F.col("start_line")).alias("end_line"),
-    )
-    body = F.decode(F.substring(F.encode("content", "UTF-8"), (F.col("start_byte") + 1).cast("int"), (F.col("end_byte") - F.col("start_byte")).cast("int")), "UTF-8")
-    hashed = out.join(files.select("filepath", "content"), "filepath").withColumn("semantic_hash", F.sha2(body, 256)).drop("content")
-    return symbol_ids(hashed).withColumn("fault_id", F.lit(None).cast("string"))
+    """SC10, SC11: symbols of the files (filepath, content), which are skipped beyond max_size bytes."""
+    files = sources.where("content is not null") if max_size is None else sources.where(F.octet_length("content") <= max_size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [row for path, content in zip(*(c.to_pylist() for c in batch.columns)) for row in extract_symbols(path, content)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SYMBOLS)], schema=_SYMBOLS)
+
+    found = files.select("filepath", "content").mapInArrow(run, "filepath string, name string, kind string, start_byte long, end_byte long, start_line long, end_line long, semantic_hash string")
+    return symbol_ids(found).withColumns({"role": F.lit("definition"), "link_name": F.lit(None).cast("string"), "fault_id": F.lit(None).cast("string")})
 
 
 #: Words before an opening bracket that are no calls, fixed values.

@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import DataStreamWriter, GroupState
+from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.types import StructType
 
 
