@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -27,7 +28,7 @@ OPEN_BINS = 1024
 #: Tokens that one packing task places. Its rows hold no ids, only lengths: some 40 bytes a piece.
 TOKENS_PER_TASK = 1 << 27
 #: Pre-tokens whose ids a Python worker keeps.
-CACHED = 1_000_000
+CACHED = 300_000
 END = b"\0\0\0\0"
 
 #: The byte-level BPE's pre-token pattern, spelled out for the first 256 code points; other texts go to the tokenizer whole.
@@ -35,30 +36,39 @@ _LETTER, _NUMBER, _SPACE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9
 PRE_TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it is printable, else the next from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_LETTERS = _byte_letters()
+
+
 class Encoder:
-    """Ids as little-endian 32-bit bytes. A byte-level BPE merges within a pre-token only, so ids are kept by pre-token."""
+    """Ids as little-endian 32-bit bytes. A byte-level BPE merges within a pre-token only, so the tokenizer's model gets each pre-token once, and its ids are kept."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHED):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        outer = self
+        model = self.tokenizer.model
 
         class Kept(dict):
             def __missing__(self, piece: str) -> bytes:
-                if len(self) >= CACHED:
-                    self.clear()
-                found = outer.whole(piece)
+                found = array("I", [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(_LETTERS))]).tobytes()
                 if len(piece) <= 64:
+                    if len(self) >= most:
+                        self.clear()
                     self[piece] = found
                 return found
 
         self.kept = Kept()
 
     def whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
         try:
