@@ -99,13 +99,13 @@ def import_names(sources: DataFrame) -> DataFrame:
     use = F.trim(F.regexp_replace(F.regexp_extract(line, r"^(?:pub )?use (.*)$", 1), ";+$", ""))
     prefix = F.regexp_replace(F.regexp_extract(use, r"^([^{]*)\{", 1), "(::)+$", "")
     inside = F.split(F.regexp_extract(use, r"\{([^{}]*)", 1), ",")
-    grouped = F.transform(F.filter(F.transform(inside, F.trim), lambda x: (x != "") & (x != "self")), lambda x: F.concat(prefix, F.lit("::"), first_word(x)))
+    grouped = F.transform(F.filter(F.transform(inside, lambda x: F.trim(x)), lambda x: (x != "") & (x != "self")), lambda x: F.concat(prefix, F.lit("::"), first_word(x)))
     uses = F.when(use.contains("{") & use.contains("}"), grouped).otherwise(F.array(first_word(use)))
     bindings = F.regexp_replace(F.split(F.regexp_extract(line, r"^import (.*)$", 1), " from ", 2)[0], r"^[\s{]+|[\s;}]+$", "")
     imports = F.filter(F.transform(F.split(bindings, ","), lambda x: leaf(F.regexp_replace(first_word(F.trim(x)), "^[{}]+|[{}]+$", ""), "[.]")), lambda x: (x != "") & (x != "*"))
     module, names = F.trim(F.regexp_extract(line, r"^from (.*?) import (.*)$", 1)), F.regexp_extract(line, r"^from (.*?) import (.*)$", 2)
     listed = F.split(F.regexp_replace(names, r"^[\s(]+|[\s;)]+$", ""), ",")
-    froms = F.transform(F.filter(F.transform(listed, F.trim), lambda x: (x != "") & (x != "*")), lambda x: F.concat(module, F.lit("."), first_word(x)))
+    froms = F.transform(F.filter(F.transform(listed, lambda x: F.trim(x)), lambda x: (x != "") & (x != "*")), lambda x: F.concat(module, F.lit("."), first_word(x)))
     header = F.regexp_replace(F.regexp_extract(line, r"^#include(.*)$", 1), r"^[\s<\"]+|[\s>\"]+$", "")
     include = F.array(F.trim(F.substring_index(leaf(header, "[/]"), ".", 1)))
     found = (

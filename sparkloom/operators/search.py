@@ -169,7 +169,7 @@ def contracts(symbols: DataFrame) -> DataFrame:
     """TX9: (id, inputs, output, effects, may_fail) from a symbol's source text: its first line's parameters and result, and classes of side effects."""
     first = F.trim(F.substring_index("source_text", "\n", 1))
     low = F.lower("source_text")
-    inputs = F.filter(F.transform(F.split(F.regexp_extract(first, r"\(([^)]*)\)", 1), ","), F.trim), lambda x: ~x.isin("", "self", "&self", "&mut self"))
+    inputs = F.filter(F.transform(F.split(F.regexp_extract(first, r"\(([^)]*)\)", 1), ","), lambda x: F.trim(x)), lambda x: ~x.isin("", "self", "&self", "&mut self"))
     output = F.trim(F.regexp_extract(first, r"->\s*([^{:]+)", 1))
     effects = F.array_compact(F.array(*(F.when(_any(low, words), F.lit(name)) for name, words in SIDE_EFFECTS.items())))
     fails = F.contains("source_text", F.lit("Result<")) | _any(low, ("panic!", "unwrap(", "raise ", "throw "))

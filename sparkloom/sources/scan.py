@@ -17,7 +17,7 @@ EXCLUDED_BY_MANIFEST = {"Cargo.toml": ("target",), "package.json": ("node_module
 
 
 def scan(spark: SparkSession, root: str, extensions: Sequence[str] = EXTENSIONS, ignored: Sequence[str] = ()) -> DataFrame:
-    """SC1: files (filepath, mtime, file_size, content) below root: none hidden, none in excluded directories, none that an ignore pattern matches; of the extensions named, or all if none are."""
+    """SC1: files (filepath, mtime, file_size, content) below root: none hidden, none in excluded directories, none that an ignore pattern matches; of the extensions named, or all if none are. Spark's file sources leave out files of no bytes."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = F.lit(root.rstrip("/").split("://")[-1].removeprefix("file:"))
     path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:(//[^/]*)?", ""), "^/+", "/")
