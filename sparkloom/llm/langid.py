@@ -17,7 +17,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import id_text, load, map_rows
+from .common import id_text, load, slices
 
 #: Bytes of a language's dictionary, and rows and characters of the labelled sample that one language gives at most.
 DICTIONARY_BYTES = 1 << 16
@@ -98,19 +98,19 @@ def _margin(sizes: list[int]) -> float:
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of ``keep``, lang_pred, score and accepted for column text."""
+    """Struct ``row`` of the kept columns, lang_pred, score and accepted, for column text."""
     classifier = Classifier(dictionaries)
-    kept = docs.select(F.struct(*keep).alias("kept"), "text")
-    schema = f"kept {kept.schema['kept'].dataType.simpleString()}, lang_pred string, score double, accepted boolean"
+    left = docs.select(F.struct(*keep).alias("row"), "text")
+    schema = f"row {left.schema['row'].dataType.simpleString()}, lang_pred string, score double, accepted boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             found = [classifier.predict(text) for text in batch.column(1).to_pylist()]
             names, scores = [x for x, _ in found], [y for _, y in found]
             sure = [x != UNKNOWN and y >= min_margin for x, y in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sure, pa.bool_())], names=["kept", "lang_pred", "score", "accepted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sure, pa.bool_())], names=["row", "lang_pred", "score", "accepted"])
 
-    return kept.mapInArrow(run, schema).select("kept.*", "lang_pred", "score", "accepted")
+    return left.mapInArrow(run, schema)
 
 
 def held_out() -> F.Column:
@@ -124,13 +124,13 @@ def learned_rows(docs: DataFrame) -> DataFrame:
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    found = predict(docs, learn(learned_rows(docs)))
+    found = predict(docs, learn(learned_rows(docs))).select("row.doc_id", "lang_pred", "score", "accepted")
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "accepted")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a sufficient margin."""
-    return predict(docs, learn(learned_rows(docs)), keep=tuple(docs.columns)).where("accepted").select(*docs.columns)
+    return predict(docs, learn(learned_rows(docs)), keep=tuple(docs.columns)).where("accepted").select("row.*")
 
 
 QUERIES = {"op9_language_id": op9_language_id}
