@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..shipping import ship
 
-#: Rows that one Arrow batch handed back to Spark holds at most.
-OUT_ROWS = 20_000
+#: Rows that one Arrow batch handed back to Spark holds at most, and rows of a batch that are Python objects at once.
+OUT_ROWS, IN_ROWS = 20_000, 500
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -52,13 +52,19 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(column, type=field.type) for column, field in zip(zip(*rows), schema)], schema=schema)
 
 
+def slices(batch: pa.RecordBatch, rows: int = IN_ROWS) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(batch), rows):
+        yield batch.slice(k, rows)
+
+
 def map_rows(df: DataFrame, function: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str, arrow: pa.Schema) -> DataFrame:
     """mapInArrow for a function from an iterator over row tuples to tuples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                yield from zip(*(c.to_pylist() for c in batch.columns))
+                for part in slices(batch):
+                    yield from zip(*(c.to_pylist() for c in part.columns))
 
         yield from rows_to_batches(function(rows()), arrow)
 

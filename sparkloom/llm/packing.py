@@ -106,6 +106,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
             ids = memoryview(encode(text or "") + END)
             for n, (start, length) in enumerate(cuts(len(ids) // 4, capacity)):
                 yield doc_id, n, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])
+        encode.kept.clear()  # workers are used again by other operators
 
     arrow = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
     return map_rows(docs.select("doc_id", "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long", arrow)
