@@ -80,9 +80,9 @@ class Classifier:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and margin: how much smaller the smallest size is than the next one, as a share of that."""
-        data = normalise(text) if text else b""
-        if not data or not self.dictionaries:
+        if not text or not any(map(str.isalpha, text)) or not self.dictionaries:
             return UNKNOWN, 0.0
+        data = normalise(text)
         names, sizes = list(self.dictionaries), self.sizes(data, LEVEL)
         if len(names) == 1:
             return names[0], 1.0

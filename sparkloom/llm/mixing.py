@@ -224,8 +224,8 @@ def op8_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents kept with their rate as probability, drawn by a hash of id and text; none is repeated: a rate over 1 keeps its document."""
     drawn = (F.pmod(F.xxhash64("doc_id", "text", F.lit(88)), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("drawn")
-    kept = docs.select("*", F.struct("doc_id", drawn).alias("mixing_key"))
-    found = posteriors(kept, fit(docs, load(spark, sf_dir, "labels")), ("mixing_key",))
+    keyed = docs.select("text", F.struct("doc_id", drawn).alias("mixing_key"))
+    found = posteriors(keyed, fit(docs, load(spark, sf_dir, "labels")), ("mixing_key",))
     rates = fit_rates(cut(found))
     gone = cut(rates.where(F.col("row.mixing_key.drawn") >= F.col("rate")).select(F.col("row.mixing_key.doc_id").alias("gone_id"), F.col("row.mixing_key.drawn").alias("gone_drawn")).distinct())
     left = docs.select(F.struct("*").alias("row"), drawn)

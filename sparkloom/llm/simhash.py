@@ -220,12 +220,12 @@ def components(pairs: DataFrame, at_most: int = 60) -> DataFrame:
 
 
 def label(found: DataFrame, doc_id: Column) -> DataFrame:
-    """fp, component_id and n (rows of the fingerprint) for a table with column fp; found is read twice, so keep it first."""
-    distinct = cut(found.groupBy("fp").agg(F.min(doc_id).alias("least"), F.count("*").alias("n")))
+    """fp, its component's least fingerprint root and least id component_id, for a table with column fp; found is read twice, so keep it first."""
+    distinct = cut(found.groupBy("fp").agg(F.min(doc_id).alias("least")))
     roots = components(links(distinct)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(ids, "root").select("fp", "component_id", "n")
+    return rooted.join(ids, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -240,20 +240,16 @@ def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: that with the least doc_id; where rows repeat an id, one of them; of rows without id, one a component without ids."""
+    """One document of each component: that with the least doc_id. Where ids are null or repeated, one of those that qualify."""
     found = cut(with_fingerprint(docs).select("row.doc_id", "fp"))
-    labels = label(found, F.col("doc_id"))
-    joined = found.join(labels.select("fp", "component_id"), "fp")
-    kept = joined.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("times"))
-    kept = cut(kept)
-    repeated = kept.where("times > 1").limit(1).count() > 0
-    without = labels.where("component_id is null").select("fp").limit(1).count() > 0
-    first = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    if repeated:
-        first = first.dropDuplicates(["doc_id"])
-    if without:  # a component of rows that have no id: there all of them are one group with fingerprint null
-        first = first.union(with_fingerprint(docs.where("doc_id is null"), docs.columns).join(labels.where("component_id is null"), "fp", "left_semi").dropDuplicates(["fp"]).select("row.*"))
-    return first
+    labels = cut(label(found, F.col("doc_id")))
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    kept = cut(found.join(labels, "fp").where(first).groupBy("doc_id").agg(F.count("*").alias("times")))
+    if kept.where("doc_id is null or times > 1").limit(1).count() == 0:
+        return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    # an id doesn't tell a document: the rows themselves are told by their fingerprints
+    rows = with_fingerprint(docs, docs.columns).join(labels, "fp").where(F.col("row.doc_id").eqNullSafe(F.col("component_id")))
+    return rows.dropDuplicates(["root"]).select("row.*")
 
 
 QUERIES = {"op7_simhash_golay": op7_simhash_golay}

@@ -368,7 +368,9 @@ def test_simhash(spark, odd, none):
     assert collections.Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in found) == want
     assert simhash.near_duplicates(odd).count() == 13 and simhash.near_duplicates(none).count() == 0
     kept = simhash.stage(spark, odd, "")
-    assert kept.columns == odd.columns and kept.count() == simhash.near_duplicates(odd).select("component_id").distinct().count()
+    groups = {brute_fingerprint(r["text"]) for r in local(odd)}
+    assert not any((a ^ b).bit_count() in (1, 2) for a in groups for b in groups)
+    assert kept.columns == odd.columns and sorted(brute_fingerprint(r["text"]) for r in local(kept)) == sorted(groups)
 
 
 def test_golay_code_covers():
@@ -451,6 +453,7 @@ def test_languages(spark, odd, none):
     assert all(0 <= r["score"] <= 1 for r in found.values())
     got = local(langid.predict(odd, learned, keep=("doc_id", "text", "row")))
     assert len(got) == 13 and all((r["lang_pred"] == "und") == (not r["row"]["text"] or not any(c.isalpha() for c in r["row"]["text"])) for r in got)
+    assert langid.Classifier(learned).predict("² ½ 12")[0] == "und"
     assert langid.predict(none, learned).count() == 0 and langid.learn(none) == {}
     assert {r["lang_pred"] for r in local(langid.predict(docs, {}))} == {"und"}
     assert langid.stage(spark, docs, "").columns == docs.columns
