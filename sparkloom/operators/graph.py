@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .lineage import cut
 
-#: Levels after which a walk's state is written, so that plans stay short and a lost executor costs little.
-WRITTEN_LEVELS = 4
+#: Levels after which a walk's state is written: each level is read by the next one and by what has been seen, so unwritten plans would multiply.
+WRITTEN_LEVELS = 2
 MOST_DEPTH = 100
 
 
@@ -37,7 +37,7 @@ def bfs_levels(edges: DataFrame, starts: DataFrame, depth: int, down: bool = Tru
     for level in range(1, depth + 1):
         reached = frontier.select(F.col("id").alias("from_id")).join(steps, "from_id").select("id").distinct()
         frontier = reached.join(seen.select("id"), "id", "left_anti").withColumn("level", F.lit(level))
-        if level % WRITTEN_LEVELS == 0:
+        if level % WRITTEN_LEVELS == 0 and level < depth:
             frontier = cut(frontier)
             if frontier.isEmpty():
                 break
@@ -126,9 +126,13 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     for name, own, other in (("down_reach", "src", "dst"), ("up_reach", "dst", "src")):
         steps = edges.select(F.col(own).alias("at"), F.col(other).alias("to")).distinct()
         seen = frontier = starts.select(F.col("id").alias("root"), F.col("id").alias("at")).distinct()
-        for _ in range(depth):
+        for level in range(1, depth + 1):
             frontier = frontier.join(steps, "at").select("root", F.col("to").alias("at")).distinct().join(seen, ["root", "at"], "left_anti")
-            seen = seen.union(frontier)
+            if level % WRITTEN_LEVELS == 0 and level < depth:
+                frontier = cut(frontier)
+                seen = cut(seen.union(frontier))
+            else:
+                seen = seen.union(frontier)
         counts = seen.where("root <> at").groupBy(F.col("root").alias("id")).agg(F.count("*").alias(name))
         out = out.join(counts, "id", "left")
     return out.fillna(0, ["callee_count", "caller_count", "down_reach", "up_reach"])

@@ -32,7 +32,7 @@ def entry_hash(*columns: str) -> Column:
 
 
 def chain(log: DataFrame, columns: Sequence[str], by: str | None = None) -> DataFrame:
-    """A log with entry_hash of each row and prev_hash, that of the one before by seq (in its ``by`` group). A row's own hash does not cover prev_hash, so chains are made and checked in parallel."""
+    """A log with entry_hash of each row and prev_hash, that of the one before by seq (in its ``by`` group). A row's own hash does not cover prev_hash, so chains are made and checked in parallel. Without groups the whole log is one chain, in one task: give a group that bounds it."""
     w = Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))
     return log.withColumn("entry_hash", entry_hash(*columns)).withColumn("prev_hash", F.lag("entry_hash").over(w.orderBy("seq")))
 

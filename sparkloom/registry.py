@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .queries.base import Registry
 
 #: Modules of queries.
-MODULES = ("graph", "edges", "search", "audit", "logs", "policy", "sources", "plans", "extract")
+MODULES = ("graph", "edges", "search", "audit", "logs", "policy", "sources", "plans", "extract", "faults")
 
 _registries: list[Registry] = [import_module(f".queries.{name}", __package__).query for name in MODULES]
 QUERIES = {name: q for r in _registries for name, q in r.queries.items()}

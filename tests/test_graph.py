@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.operators import edges as E, graph as G, integrity as I, search as S, snapshots as N
 
@@ -146,3 +147,14 @@ def test_snapshots(spark):
     many = spark.createDataFrame([(k % 50, str(k % 7)) for k in range(500)], "k int, v string")
     assert N.state_hash(many, "k", "v").first() == N.state_hash(many.repartition(7), "k", "v").first()
     assert N.state_hash(many, "k", "v").first() != N.state_hash(many.limit(499), "k", "v").first()
+
+
+def test_error_places(spark):
+    from sparkloom.operators import faults as X
+
+    lines = ["  --> src/a.rs:10:5", "    at run (/x/b.js:7:1)", "at c.js:3:2", '  File "d.py", line 9, in f', "e.cpp:4:5: error: no", "C:/f.c:8: error: no", "note: nothing:1:2"]
+    found = [r["p"] for r in spark.createDataFrame([(x,) for x in lines], "line string").select(X.error_place(F.col("line")).alias("p")).collect()]
+    assert [tuple(p) if p else None for p in found] == [("src/a.rs", 10), ("/x/b.js", 7), ("c.js", 3), ("d.py", 9), ("e.cpp", 4), ("C:/f.c", 8), None]
+    symbols = spark.createDataFrame([("o", "src/a.rs", 1, 20), ("i", "src/a.rs", 9, 12)], "id string, filepath string, start_line long, end_line long")
+    marked = {r["id"]: r["is_poisoned"] for r in X.annotate(symbols, spark.createDataFrame([(lines[0],)], "line string")).collect()}
+    assert marked == {"o": False, "i": True}
