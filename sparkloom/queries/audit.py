@@ -150,9 +150,9 @@ def _(t: Tables) -> DataFrame:
     return N.delta_risk(*A.edge_versions(t))
 
 
-@query("ag5_impacted_scopes", "SELECT regexp_replace(split_part('@' || source || '::' || doc_id, '::', 1), '^@+', '') AS scope, count(*) AS n FROM documents WHERE n_chars > 1000 GROUP BY 1 ORDER BY n DESC, scope LIMIT 12")
+@query("ag5_impacted_scopes", "SELECT regexp_replace(split_part('@' || source || '::' || doc_id, '::', 1), '^@+', '') AS scope, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, scope LIMIT 12")
 def _(t: Tables) -> DataFrame:
-    return N.impacted_scopes(t.documents.where("n_chars > 1000").select(F.concat(F.lit("@"), "source", F.lit("::"), F.col("doc_id").cast("string")).alias("id")))
+    return N.impacted_scopes(t.documents.select(F.concat(F.lit("@"), "source", F.lit("::"), F.col("doc_id").cast("string")).alias("id")))
 
 
 @query("ag6_scope_children", "SELECT 'c' || o_custkey AS scope, count(DISTINCT o_orderkey) AS children FROM orders GROUP BY 1")
@@ -160,9 +160,9 @@ def _(t: Tables) -> DataFrame:
     return N.scope_children(t.orders.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.col("o_orderkey").alias("dst"), F.lit("contains").alias("kind")))
 
 
-@query("ag7_shared_scopes", "SELECT source AS scope, count(DISTINCT lang) AS variants FROM documents WHERE n_chars > 8000 GROUP BY source HAVING count(DISTINCT lang) > 1")
+@query("ag7_shared_scopes", "SELECT source AS scope, count(DISTINCT lang) AS variants FROM documents GROUP BY source HAVING count(DISTINCT lang) > 1")
 def _(t: Tables) -> DataFrame:
-    return N.shared_scopes(t.documents.where("n_chars > 8000").select(F.col("lang").alias("variant"), F.col("source").alias("scope")))
+    return N.shared_scopes(t.documents.select(F.col("lang").alias("variant"), F.col("source").alias("scope")))
 
 
 @query("ag8_snapshot_counts", f"WITH {A.FK_EDGES} SELECT coalesce(source, 'unknown') AS value, count(*) AS n FROM fk_edges GROUP BY 1")

@@ -82,7 +82,7 @@ def _called(key: str) -> F.Column:
 
 
 _CALLED = "CASE c_custkey % 3 WHEN 0 THEN 's' || (c_custkey % 20) WHEN 1 THEN 'pkg' || (c_custkey % 7) || '.s' || (c_custkey % 20) ELSE 'm::s' || (c_custkey % 20) END"
-_SITES = f"sites AS (SELECT 'c' || c_custkey AS caller, {_path_sql('c_custkey')} AS filepath, {_CALLED} AS called FROM customer WHERE c_custkey % 5 = 0)"
+_SITES = f"sites AS (SELECT 'c' || c_custkey AS caller, {_path_sql('c_custkey')} AS filepath, {_CALLED} AS called FROM customer)"
 _PARTS = """regexp_extract(called, '([^.:/]*)$', 1) AS leaf, regexp_extract(target_path, '^(.*)/[^/]*$', 1) = regexp_extract(filepath, '^(.*)/[^/]*$', 1) AS same_dir, target_path = filepath AS same_file,
  regexp_extract(target_path, '[.]([^./]*)$', 1) = regexp_extract(filepath, '[.]([^./]*)$', 1) AS same_ext, contains(called, '::') OR contains(called, '.') OR contains(called, '/') AS qualified,
  (contains(called, '::') OR contains(called, '.') OR contains(called, '/')) AND (contains(target, called) OR contains(target_path, called)) AS hit"""
@@ -92,7 +92,7 @@ best AS (SELECT *, count(*) OVER (PARTITION BY caller, called) AS tied FROM (SEL
 
 
 def _sites(t: Tables) -> DataFrame:
-    return t.customer.where("c_custkey % 5 = 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("caller"), _path("c_custkey").alias("filepath"), _called("c_custkey").alias("called"))
+    return t.customer.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("caller"), _path("c_custkey").alias("filepath"), _called("c_custkey").alias("called"))
 
 
 @query("j7_best_candidate_ties", f"{_CALLS} SELECT caller, called, target, score FROM best")
@@ -125,11 +125,11 @@ def _(t: Tables) -> DataFrame:
     return E.bridge_edges(_symbols(t), ("pkg1/", "pkg3/"), ("pkg2/",)).select("src", "dst", "confidence")
 
 
-@query("j10_realizations", f"""WITH {_SYM}, impls AS (SELECT 'impl' || c_custkey AS id, 's' || (c_custkey % 20) AS x, 's' || (c_custkey % 13) AS y FROM customer WHERE c_custkey % 25 = 0)
+@query("j10_realizations", f"""WITH {_SYM}, impls AS (SELECT 'impl' || c_custkey AS id, 's' || (c_custkey % 20) AS x, 's' || (c_custkey % 13) AS y FROM customer)
 SELECT i.id AS src, s.id AS dst FROM impls i JOIN symbols s ON s.name = i.x AND s.kind = 'interface' UNION ALL SELECT s.id, i.id FROM impls i JOIN symbols s ON s.name = i.y AND s.kind = 'struct'""")
 def _(t: Tables) -> DataFrame:
     k = F.col("c_custkey")
-    impls = t.customer.where("c_custkey % 25 = 0").select(F.concat(F.lit("impl"), k.cast("string")).alias("id"), F.lit("x.rs").alias("filepath"), F.concat(F.lit("s"), (k % 20).cast("string"), F.lit(" for s"), (k % 13).cast("string")).alias("name"), F.lit("unknown").alias("kind"), F.lit("definition").alias("role"), F.lit(None).cast("string").alias("link_name"))
+    impls = t.customer.select(F.concat(F.lit("impl"), k.cast("string")).alias("id"), F.lit("x.rs").alias("filepath"), F.concat(F.lit("s"), (k % 20).cast("string"), F.lit(" for s"), (k % 13).cast("string")).alias("name"), F.lit("unknown").alias("kind"), F.lit("definition").alias("role"), F.lit(None).cast("string").alias("link_name"))
     return E.realization_edges(_symbols(t).unionByName(impls)).select("src", "dst")
 
 

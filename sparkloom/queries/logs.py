@@ -67,9 +67,9 @@ def _(t: Tables) -> DataFrame:
     return L.paginate(t.documents.select("doc_id", "source"), ["source", "doc_id"], 40, 30)
 
 
-@query("w9_telescope", "WITH w AS (SELECT item_id, list_slice(string_split(text, ' '), 1, CAST(item_id % 9 AS INT) + 1) AS f FROM benchmark) SELECT item_id, array_to_string(CASE WHEN len(f) > 5 THEN list_concat(list_concat(f[1:3], ['...']), f[-2:]) ELSE f END, ' ') AS frames FROM w")
+@query("w9_telescope", "WITH w AS (SELECT item_id, string_split(text, ' ') AS f FROM benchmark) SELECT item_id, array_to_string(CASE WHEN len(f) > 5 THEN list_concat(list_concat(f[1:3], ['...']), f[-2:]) ELSE f END, ' ') AS frames FROM w")
 def _(t: Tables) -> DataFrame:
-    frames = F.slice(F.split("text", " "), F.lit(1), (F.col("item_id") % 9).cast("int") + 1)
+    frames = F.split("text", " ")
     return t.benchmark.select("item_id", F.array_join(L.telescope(frames), " ").alias("frames"))
 
 
@@ -79,10 +79,10 @@ def _(t: Tables) -> DataFrame:
     return L.frame_weights(L.parse_folded(lines))
 
 
-@query("j21_t9_profile_diff", "WITH a AS (SELECT event_type AS frame, count(*) AS w FROM events WHERE user_id % 2 = 0 AND event_type <> 'click' GROUP BY 1), b AS (SELECT event_type AS frame, count(*) AS w FROM events WHERE user_id % 3 = 0 AND event_type <> 'view' GROUP BY 1) SELECT coalesce(a.frame, b.frame) AS frame, coalesce(a.w, 0) AS old, coalesce(b.w, 0) AS new, coalesce(b.w, 0) - coalesce(a.w, 0) AS delta FROM a FULL JOIN b ON a.frame = b.frame")
+@query("j21_t9_profile_diff", "WITH a AS (SELECT event_type AS frame, count(*) AS w FROM events WHERE ts < TIMESTAMP '2024-01-15' AND event_type <> 'click' GROUP BY 1), b AS (SELECT event_type AS frame, count(*) AS w FROM events WHERE ts >= TIMESTAMP '2024-01-15' AND event_type <> 'view' GROUP BY 1) SELECT coalesce(a.frame, b.frame) AS frame, coalesce(a.w, 0) AS old, coalesce(b.w, 0) AS new, coalesce(b.w, 0) - coalesce(a.w, 0) AS delta FROM a FULL JOIN b ON a.frame = b.frame")
 def _(t: Tables) -> DataFrame:
     weights = lambda df: df.groupBy(F.col("event_type").alias("frame")).agg(F.count("*").alias("weight"))
-    return L.profile_diff(weights(t.events.where("user_id % 2 = 0 and event_type <> 'click'")), weights(t.events.where("user_id % 3 = 0 and event_type <> 'view'")))
+    return L.profile_diff(weights(t.events.where("ts < timestamp_ntz '2024-01-15' and event_type <> 'click'")), weights(t.events.where("ts >= timestamp_ntz '2024-01-15' and event_type <> 'view'")))
 
 
 @query("j19_provenance", f"WITH {A.HISTORY} SELECT ts, operation, input, success FROM history WHERE actor_id = '17'")

@@ -12,18 +12,18 @@ from .base import Registry, Tables
 query = Registry()
 
 
-@query("j20_target_conflicts", f"WITH {A.FK_EDGES}, t AS (SELECT 'c' || o_custkey AS id FROM orders WHERE o_orderkey % 50 = 0 UNION ALL SELECT 'o' || o_orderkey FROM orders WHERE o_orderkey % 50 = 0), d AS (SELECT id, count(*) AS n FROM t GROUP BY id) SELECT id AS \"left\", id AS \"right\", 'same' AS reason FROM d WHERE n > 1 UNION ALL SELECT DISTINCT least(src, dst), greatest(src, dst), 'connected' FROM fk_edges WHERE src IN (SELECT id FROM d) AND dst IN (SELECT id FROM d)")
+@query("j20_target_conflicts", f"WITH {A.FK_EDGES}, t AS (SELECT 'c' || o_custkey AS id FROM orders UNION ALL SELECT 'o' || o_orderkey FROM orders), d AS (SELECT id, count(*) AS n FROM t GROUP BY id) SELECT id AS \"left\", id AS \"right\", 'same' AS reason FROM d WHERE n > 1 UNION ALL SELECT DISTINCT least(src, dst), greatest(src, dst), 'connected' FROM fk_edges WHERE src IN (SELECT id FROM d) AND dst IN (SELECT id FROM d)")
 def _(t: Tables) -> DataFrame:
-    some = t.orders.where("o_orderkey % 50 = 0")
+    some = t.orders
     targets = some.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("id")).union(some.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))))
     return C.target_conflicts(targets, A.fk_edges(t))
 
 
-@query("pl1_batch_levels", "SELECT conv_id || ':' || turn AS id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS level FROM conversations WHERE conv_id % 10 = 0 AND conv_id IN (SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) > 1)")
+@query("pl1_batch_levels", "SELECT conv_id || ':' || turn AS id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS level FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) > 1)")
 def _(t: Tables) -> DataFrame:
     from pyspark.sql import Window
 
-    some = t.conversations.where("conv_id % 10 = 0")
+    some = t.conversations
     ident = lambda c: F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col(c).cast("string"))
     nexts = some.withColumn("after", F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn"))).where("after is not null")
     return G.topological_levels(nexts.select(ident("turn").alias("src"), ident("after").alias("dst")))

@@ -98,11 +98,11 @@ def _(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", P.scope_of(F.concat(F.lit("@"), "source", F.lit("::"), F.col("doc_id").cast("string"))).alias("scope"))
 
 
-_LINES = "old_v AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE doc_id % 5 = 0 AND n_chars < 3000), new_v AS (SELECT doc_id, list_concat(['// TODO: ' || doc_id], list_slice(l, 2, len(l))) AS l FROM old_v)"
+_LINES = "old_v AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), new_v AS (SELECT doc_id, list_concat(['// TODO: ' || doc_id], list_slice(l, 2, len(l))) AS l FROM old_v)"
 
 
 def _versions(t: Tables) -> tuple[DataFrame, DataFrame]:
-    rows = t.documents.where("doc_id % 5 = 0 and n_chars < 3000").select("doc_id", F.split("text", "\n", -1).alias("l"))
+    rows = t.documents.select("doc_id", F.split("text", "\n", -1).alias("l"))
     path = F.concat(F.lit("src/d"), F.col("doc_id").cast("string"), F.lit(".rs")).alias("path")
     first = F.array(F.concat(F.lit("// TODO: "), F.col("doc_id").cast("string")))
     after = F.concat(first, F.slice("l", 2, F.greatest(F.size("l"), F.lit(1))))
@@ -129,9 +129,9 @@ def _(t: Tables) -> DataFrame:
     return D.largest_changes(D.raw_changes(*_versions(t)), 20).select("path", F.col("changed_lines").cast("long").alias("changed_lines"))
 
 
-@query("rd1_read_by_uri", "SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN string_split(text, chr(10))[1] ELSE text END AS body FROM documents WHERE doc_id < 30")
+@query("rd1_read_by_uri", "SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN string_split(text, chr(10))[1] ELSE text END AS body FROM documents")
 def _(t: Tables) -> DataFrame:
-    symbols = t.documents.where("doc_id < 30").select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("filepath"), F.lit(0).cast("long").alias("start_byte"), F.octet_length("text").cast("long").alias("end_byte"), (F.col("doc_id") % 3).alias("verbosity"))
+    symbols = t.documents.select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("filepath"), F.lit(0).cast("long").alias("start_byte"), F.octet_length("text").cast("long").alias("end_byte"), (F.col("doc_id") % 3).alias("verbosity"))
     sources = t.documents.select(F.col("doc_id").cast("string").alias("filepath"), F.col("text").alias("content"))
     return R.read_symbols(symbols, sources).select("id", "body")
 

@@ -97,7 +97,7 @@ def _(t: Tables) -> DataFrame:
     return S.search_ranked(S.seeded_symbols(symbols, seeds), "rights res", 20).select("id", "score")
 
 
-_TRACES = "traces AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, 'thread ''main'' panicked at src/' || lower(replace(o_orderpriority, ' ', '')) || '/m' || (o_custkey % 7) || '.rs:' || (o_orderkey % 90) || ':5: crate::w' || (o_custkey % 11) || '::run_job, File \"pkg/svc' || (o_custkey % 5) || '.py\", line 41, in handle' AS text FROM orders WHERE o_orderkey % 10 = 0)"
+_TRACES = "traces AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, 'thread ''main'' panicked at src/' || lower(replace(o_orderpriority, ' ', '')) || '/m' || (o_custkey % 7) || '.rs:' || (o_orderkey % 90) || ':5: crate::w' || (o_custkey % 11) || '::run_job, File \"pkg/svc' || (o_custkey % 5) || '.py\", line 41, in handle' AS text FROM orders)"
 _TRACE_TOKENS = rf"""{_TRACES}, raws AS (SELECT id, regexp_replace(unnest(regexp_split_to_array(text, '[^A-Za-z0-9_:./\\]+')), '^[:./\\]+|[:./\\]+$', '', 'g') AS raw FROM traces),
 base AS (SELECT id, regexp_replace(raw, '(:[0-9]*)(:[0-9]*)?$', '') AS token FROM raws WHERE raw <> ''),
 named AS (SELECT id, token FROM base UNION SELECT id, regexp_extract(token, '^(.+)[.][A-Za-z0-9]{{0,4}}$', 1) FROM base WHERE contains(token, '/') UNION SELECT id, regexp_extract(token, '([^:./\\]*)$', 1) FROM base UNION SELECT id, regexp_extract(token, '([^/\\.]*)([.][^/\\]*)?$', 1) FROM base WHERE contains(token, '/')),
@@ -107,7 +107,7 @@ tokens AS (SELECT DISTINCT id, token FROM named WHERE length(token) >= 3 AND tok
 def _traces(t: Tables) -> DataFrame:
     k = lambda n: (F.col("o_custkey") % n).cast("string")
     text = F.concat(F.lit("thread 'main' panicked at src/"), F.lower(F.replace("o_orderpriority", F.lit(" "), F.lit(""))), F.lit("/m"), k(7), F.lit(".rs:"), (F.col("o_orderkey") % 90).cast("string"), F.lit(":5: crate::w"), k(11), F.lit('::run_job, File "pkg/svc'), k(5), F.lit('.py", line 41, in handle'))
-    return t.orders.where("o_orderkey % 10 = 0").select(F.col("o_orderkey").cast("string").alias("id"), text.alias("text"))
+    return t.orders.select(F.col("o_orderkey").cast("string").alias("id"), text.alias("text"))
 
 
 @query("tx7_trace_tokens", f"WITH {_TRACE_TOKENS} SELECT id, token FROM tokens")
@@ -131,7 +131,7 @@ def _(t: Tables) -> DataFrame:
     return S.trace_seeds(S.trace_tokens(_traces(t)), syms)
 
 
-@query("tx5_ag11_coverage", "SELECT doc_id AS id, (SELECT count(DISTINCT source) FROM documents) AS indexed_files, round((SELECT count(DISTINCT source) FROM documents) / 25.0, 4)::DOUBLE AS coverage, 'partial' AS coverage_state FROM documents WHERE doc_id < 5")
+@query("tx5_ag11_coverage", "SELECT doc_id AS id, (SELECT count(DISTINCT source) FROM documents) AS indexed_files, round((SELECT count(DISTINCT source) FROM documents) / 25.0, 4)::DOUBLE AS coverage, 'partial' AS coverage_state FROM documents")
 def _(t: Tables) -> DataFrame:
-    found = t.documents.where("doc_id < 5").select(F.col("doc_id").alias("id"))
+    found = t.documents.select(F.col("doc_id").alias("id"))
     return S.with_coverage(found, A.documents_as_symbols(t), 25)
