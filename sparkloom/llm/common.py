@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -12,6 +14,8 @@ from ..shipping import ship
 
 #: Rows that one Arrow batch handed back to Spark holds at most, and rows of a batch that are Python objects at once.
 OUT_ROWS, IN_ROWS = 20_000, 500
+#: Rows that Spark hands to Python at once: texts are long, and both sides hold a batch.
+ARROW_ROWS = 1000
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,6 +61,29 @@ def slices(batch: pa.RecordBatch, rows: int = IN_ROWS) -> Iterator[pa.RecordBatc
         yield batch.slice(k, rows)
 
 
+def release() -> None:
+    """Gives freed memory back to the system: Python workers live on and serve other operators."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow in batches of ARROW_ROWS, unless the session asks for another size than Spark's own; memory is released after each task."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
+
+
 def map_rows(df: DataFrame, function: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str, arrow: pa.Schema) -> DataFrame:
     """mapInArrow for a function from an iterator over row tuples to tuples."""
 
@@ -68,7 +95,7 @@ def map_rows(df: DataFrame, function: Callable[[Iterator[tuple]], Iterable[tuple
 
         yield from rows_to_batches(function(rows()), arrow)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def utf8(text: str | None) -> bytes:

@@ -17,7 +17,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import id_text, load, slices
+from .common import id_text, load, map_arrow, slices
 
 #: Bytes of a language's dictionary, and rows and characters of the labelled sample that one language gives at most.
 DICTIONARY_BYTES = 1 << 16
@@ -110,7 +110,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float =
             sure = [x != UNKNOWN and y >= min_margin for x, y in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sure, pa.bool_())], names=["row", "lang_pred", "score", "accepted"])
 
-    return left.mapInArrow(run, schema)
+    return map_arrow(left, run, schema)
 
 
 def held_out() -> F.Column:

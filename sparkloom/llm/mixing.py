@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import cut, load
+from .common import cut, load, map_arrow
 
 DOMAINS = ("clean", "low", "toxic")
 #: Target weights of the domains in the mix.
@@ -38,7 +38,7 @@ SAMPLE_ROWS = 600
 STEMS, STEM_LETTERS, SHAPES = 8192, 5, 8
 #: A stem counts in full from this share of the words on.
 FULL_SHARE = 1 / 50
-KEPT_WORDS = 200_000
+KEPT_WORDS = 150_000
 FIT_ROUNDS, RIDGE = 200, 1e-4
 #: Posteriors below this count as none.
 LEAST_POSTERIOR = 0.02
@@ -100,7 +100,7 @@ def _collect_features(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 places = [np.flatnonzero(x).astype(np.int16) for x in found]
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array([x.tobytes() for x in places], pa.binary()), pa.array([x[at].tobytes() for x, at in zip(found, places)], pa.binary())], names=["domain", "places", "x"])
 
-    found = rows.mapInArrow(run, "domain int, places binary, x binary").sort("domain", "places", "x").toArrow()
+    found = map_arrow(rows, run, "domain int, places binary, x binary").sort("domain", "places", "x").toArrow()
     out = np.zeros((len(found), STEMS + SHAPES), np.float32)
     for row, places, x in zip(out, found.column("places"), found.column("x")):
         row[np.frombuffer(places.as_py(), np.int16)] = np.frombuffer(x.as_py(), np.float32)
@@ -148,14 +148,14 @@ def posteriors(docs: DataFrame, classifier: Classifier, keep: tuple[str, ...]) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, len(batch), 500):
-                own = batch.slice(k, 500)
+            for k in range(0, len(batch), 100):
+                own = batch.slice(k, 100)
                 found = [features(t) for t in own.column(1).to_pylist()]
                 p = classifier.posteriors(np.stack([x for _, x in found]))
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array([n for n, _ in found], pa.int64()), *(pa.array(p[:, j].astype(np.float64)) for j in range(p.shape[1]))], names=["row", "tokens", *names])
         _stems.clear()  # workers are used again by other operators
 
-    return left.mapInArrow(run, f"row {left.schema['row'].dataType.simpleString()}, tokens long, " + ", ".join(f"{n} double" for n in names))
+    return map_arrow(left, run, f"row {left.schema['row'].dataType.simpleString()}, tokens long, " + ", ".join(f"{n} double" for n in names))
 
 
 def targets(totals: np.ndarray, weights: dict[str, float], anchor: str) -> np.ndarray:

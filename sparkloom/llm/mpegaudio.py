@@ -26,7 +26,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import load, utf8
+from .common import load, map_arrow, utf8
 
 # ---------------------------------------------------------------- fixed values of ISO/IEC 11172-3 and 13818-3
 
@@ -321,7 +321,7 @@ def store(docs: DataFrame) -> DataFrame:
                 texts = own.column(1).to_pylist()
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array([len(utf8(x)) for x in texts], pa.int64()), pa.array([encode(padded(x)) for x in texts], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, media binary")
 
 
 FACTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("duration_samples", pa.int64()), ("sample_rate", pa.int32()), ("seek_offsets", pa.list_(pa.int64()))])
@@ -340,7 +340,7 @@ def facts(media: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), FACTS)], schema=FACTS)
 
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_samples long, sample_rate int, seek_offsets array<bigint>")
+    return map_arrow(media, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_samples long, sample_rate int, seek_offsets array<bigint>")
 
 
 def op1_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ OPEN_BINS = 1024
 #: Tokens that one packing task places. Its rows hold no ids, only lengths: some 40 bytes a piece.
 TOKENS_PER_TASK = 1 << 27
 #: Pre-tokens whose ids a Python worker keeps.
-CACHED = 300_000
+CACHED = 200_000
 END = b"\0\0\0\0"
 
 #: The byte-level BPE's pre-token pattern, spelled out for the first 256 code points; other texts go to the tokenizer whole.

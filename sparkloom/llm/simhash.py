@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import cut, load, utf8
+from .common import cut, load, map_arrow, utf8
 
 WORDS = 3
 SEED = 42
@@ -93,7 +93,7 @@ def with_fingerprint(docs: DataFrame, keep: Iterable[str] = ("doc_id",)) -> Data
                 own = batch.slice(k, ROWS)
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array(fingerprints(own.column(1).to_pylist()).view(np.int64))], names=["row", "fp"])
 
-    return left.mapInArrow(run, f"row {left.schema['row'].dataType.simpleString()}, fp long")
+    return map_arrow(left, run, f"row {left.schema['row'].dataType.simpleString()}, fp long")
 
 
 # ---------------------------------------------------------------- Golay code
@@ -242,7 +242,7 @@ def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component: that with the least doc_id. Where ids are null or repeated, one of those that qualify."""
     found = cut(with_fingerprint(docs).select("row.doc_id", "fp"))
-    labels = cut(label(found, F.col("doc_id")))
+    labels = label(found, F.col("doc_id"))
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
     kept = cut(found.join(labels, "fp").where(first).groupBy("doc_id").agg(F.count("*").alias("times")))
     if kept.where("doc_id is null or times > 1").limit(1).count() == 0:

@@ -29,7 +29,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cut, load, map_rows
+from .common import cut, load, map_arrow, map_rows
 
 KEY = b"surrogate key: set your own"
 #: Entities beyond their first attempt that may be broadcast; rounds of collision checks at most.
@@ -351,7 +351,7 @@ def _rewritten(left: DataFrame, attempts: Callable[[str, str], int] | None, key:
                 out.append(rewrite(value, attempts or (lambda kind, name, own=own: own.get((kind, name), 0)), key))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in out], pa.string()), pa.array([len(y) for _, y in out], pa.int64()), pa.array([",".join(y) for _, y in out], pa.string())], names=["row", "text", "n_entities", "entity_types"])
 
-    return left.mapInArrow(run, f"row {left.schema['row'].dataType.simpleString()}, text string, n_entities long, entity_types string")
+    return map_arrow(left, run, f"row {left.schema['row'].dataType.simpleString()}, text string, n_entities long, entity_types string")
 
 
 def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

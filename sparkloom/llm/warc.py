@@ -25,7 +25,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith
 
-from .common import cut, load, shared_dir
+from .common import cut, load, map_arrow, shared_dir
 
 CLOSE = "\r\n\r\n"
 ID_PREFIX = "urn:page:"
@@ -269,7 +269,7 @@ def payload_facts(archive: DataFrame) -> DataFrame:
 
     ident = lambda c: F.expr(f"try_cast(nullif(regexp_extract({c}, '{ID_PREFIX}([0-9-]*)>', 1), '') as bigint)")
     wanted = archive.select(ident("record_id").alias("page_id"), ident("refers_to").alias("refers_to"), "record_type", "payload", "http_headers", "payload_digest")
-    return wanted.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return map_arrow(wanted, run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
