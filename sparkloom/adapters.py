@@ -77,11 +77,9 @@ def documents_as_symbols(t: Tables) -> DataFrame:
 
 def line_spans(t: Tables) -> DataFrame:
     """Each document's lines as spans [start, end) of characters, with the document itself as the outer span."""
-    d = t.documents.select(F.col("doc_id").cast("string").alias("file"), "text", F.split("text", "\n", -1).alias("lines"))
-    at = F.posexplode("lines").alias("line_no", "line")
-    lines = d.select("file", "text", at, "lines").select(
-        "file", "line_no", (F.aggregate(F.slice("lines", F.lit(1), F.col("line_no")), F.lit(0), lambda acc, x: acc + F.length(x) + 1)).cast("long").alias("start"), F.length("line").cast("long").alias("len")
-    )
+    lines = t.documents.select(F.col("doc_id").cast("string").alias("file"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    before = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.select("file", "line_no", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).cast("long").alias("start"), F.length("line").cast("long").alias("len"))
     inner = lines.where("len > 0").select("file", F.concat_ws(":", "file", F.col("line_no").cast("string")).alias("id"), F.lit("function").alias("kind"), "start", (F.col("start") + F.col("len")).alias("end"))
     outer = t.documents.select(F.col("doc_id").cast("string").alias("file"), F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("id"), F.lit("module").alias("kind"), F.lit(-1).cast("long").alias("start"), F.length("text").cast("long").alias("end"))
     return inner.unionByName(outer)

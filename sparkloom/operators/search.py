@@ -94,7 +94,8 @@ def find_occurrences(sources: DataFrame, query: str, max_size: int = 512 * 1024)
     """(file, point_id, at): each place of a literal text in files (file, text) up to a size, counted in characters; places do not overlap."""
     parts = F.split("text", F.lit(_quoted(query)), -1)
     sizes = F.transform(F.slice(parts, 1, F.size(parts) - 1), F.length)
-    starts = F.transform(F.sequence(F.lit(1), F.size(sizes)), lambda k: F.aggregate(F.slice(sizes, 1, k), F.lit(0), lambda acc, x: acc + x) + (k - 1) * len(query))
+    # each place is the one before, the query's length and what stands between
+    starts = F.aggregate(sizes, F.array().cast("array<int>"), lambda acc, x: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)) + len(query), F.lit(0)) + x))
     hits = sources.where(F.contains("text", F.lit(query)) & (F.octet_length("text") <= max_size))
     return hits.select("file", F.posexplode(starts).alias("point_id", "at")).select("file", F.col("point_id").cast("long").alias("point_id"), F.col("at").cast("long").alias("at"))
 
