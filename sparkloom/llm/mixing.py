@@ -35,7 +35,7 @@ ANCHOR = "clean"
 #: Labelled rows of each domain that the classifier is fitted on, at most about.
 SAMPLE_ROWS = 600
 #: Hashed word stems, and shape features beside them.
-STEMS, STEM_LETTERS, SHAPES = 8192, 5, 8
+STEMS, STEM_LETTERS, SHAPES = 8192, 4, 8
 #: A stem counts in full from this share of the words on.
 FULL_SHARE = 1 / 50
 KEPT_WORDS = 150_000
