@@ -12,6 +12,12 @@ pair verified on the whole 64 bits. Only distinct fingerprints take part, so cop
 
 Components: local union-find in each partition of the links, then alternating large-star and small-star rounds.
 
+The pipeline's stage links by the sets of five-word shingles instead, at Jaccard similarity 0.8 or more: such texts differ in up
+to some 17 of the 64 bits, which no Golay keys reach. Texts with equal sets are one node, named by a digest of the set. Each
+distinct set has a MinHash key for each of BANDS bands of BAND_ROWS values; sets that share a key are compared exactly, all pairs
+of a key, in blocks of at most about BLOCK_ROWS, so a crowded key is dealt to many tasks. A pair at 0.8 shares a key with a chance
+of 0.99993, a closer one with a greater. Texts without words are equal.
+
 Defined results: a null or wordless text has fingerprint zero, which links like any other. component_id is the least non-null
 doc_id of the rows reachable, null if there is none. Repeated rows keep a row each. An empty table gives no rows.
 """
@@ -30,6 +36,11 @@ from .common import cut, load, map_arrow, utf8
 WORDS = 3
 SEED = 42
 MAX_BITS = 2
+#: Words of a shingle and least Jaccard similarity of the pipeline's stage.
+STAGE_WORDS, STAGE_SIMILARITY = 5, 0.8
+BANDS, BAND_ROWS = 24, 5
+#: Sets of a block of a crowded key, shingles compared at once, and ids that may be broadcast.
+BLOCK_ROWS, COLUMNS, BROADCAST_IDS = 256, 8192, 200_000
 #: Shingle hashes that a Python worker counts at once.
 AT_ONCE = 1 << 17
 #: Documents of a batch handed back to Spark.
@@ -38,13 +49,13 @@ ROWS = 500
 # ---------------------------------------------------------------- fingerprints
 
 
-def shingle_hashes(text: str | None) -> list[int]:
+def shingle_hashes(text: str | None, width: int = WORDS) -> list[int]:
     import xxhash
 
     words = utf8(text).lower().split()  # bytes: only A-Z and ASCII white space
     if not words:
         return []
-    shingles = map(b" ".join, zip(*(words[k:] for k in range(WORDS)))) if len(words) >= WORDS else [b" ".join(words)]
+    shingles = map(b" ".join, zip(*(words[k:] for k in range(width)))) if len(words) >= width else [b" ".join(words)]
     return list(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)))
 
 
@@ -167,6 +178,112 @@ def links(distinct: DataFrame) -> DataFrame:
     return pairs.select(F.col("p.fp").alias("a"), F.col("i.fp").alias("b")).distinct()
 
 
+# ---------------------------------------------------------------- similar sets of shingles
+
+_MIXERS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, width), np.uint64))
+
+
+def set_digest(own: np.ndarray) -> int:
+    """Names a set of shingles, as a signed long."""
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64))
+
+
+def band_keys(sets: list[np.ndarray]) -> list[list[int]]:
+    """A key for each band of each set, none of an empty one."""
+    import xxhash
+
+    full = [k for k, own in enumerate(sets) if len(own)]
+    out: list[list[int]] = [[] for _ in sets]
+    if full:
+        hashes = np.concatenate([sets[k] for k in full])
+        starts = np.cumsum([0, *(len(sets[k]) for k in full[:-1])])
+        least = np.stack([np.minimum.reduceat(hashes * a + b, starts) for a, b in _MIXERS.T], axis=1)
+        for k, own in zip(full, least.reshape(len(full), BANDS, BAND_ROWS)):
+            out[k] = np.array([xxhash.xxh64_intdigest(band.tobytes(), n) for n, band in enumerate(own)], np.uint64).view(np.int64).tolist()
+    return out
+
+
+def with_set(docs: DataFrame, width: int, keep: Iterable[str] = ("doc_id",)) -> DataFrame:
+    """Struct ``row`` of the kept columns, fp: the digest of the text's set of shingles, and keys of its bands."""
+    left = docs.select(F.struct(*keep).alias("row"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, len(batch), ROWS):
+                own = batch.slice(k, ROWS)
+                sets = [shingle_set(x, width) for x in own.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(map(set_digest, sets), pa.int64()), pa.array(band_keys(sets), pa.list_(pa.int64()))], names=["row", "fp", "keys"])
+
+    return map_arrow(left, run, f"row {left.schema['row'].dataType.simpleString()}, fp long, keys array<bigint>")
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """How many members each two sets share, counted for COLUMNS members at once."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1
+    shared = times[at] > 1
+    owner, column = owner[shared], number[at[shared]]
+    by = np.argsort(column, kind="stable")
+    owner, column = owner[by], column[by]
+    out = np.zeros((len(sets), len(sets)), np.int64)
+    for low in range(0, int(number[-1]) + 1, COLUMNS):
+        first, last = np.searchsorted(column, (low, low + COLUMNS))
+        held = np.zeros((len(sets), COLUMNS), np.float32)
+        held[owner[first:last], column[first:last] - low] = 1
+        out += np.rint(held @ held.T).astype(np.int64)
+    return out
+
+
+def similar(distinct: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Pairs a < b that connect what pairs of at least the similarity connect; distinct has fp, an id least and keys of each set."""
+    own = distinct.select("fp", "least", F.explode("keys").alias("key"))
+    members = cut(own.join(own.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
+    wanted = cut(members.select("fp", "least").distinct())
+    ids = wanted.select("least").distinct()
+    ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(x, width) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(map(set_digest, sets), pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["fp", "shingles"])
+
+    def compare(group: pa.Table) -> pa.Table:
+        fps = group.column("fp").to_numpy()
+        sets = [x.values.to_numpy().view(np.uint64) for x in group.column("shingles").combine_chunks()]
+        sizes, both = np.array([len(x) for x in sets]), intersections(sets)
+        near = np.argwhere(np.triu(both >= similarity * (sizes[:, None] + sizes - both) - 1e-9, 1)).tolist()
+        parent = list(range(len(sets)))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        found = []
+        for x, y in near:
+            a, b = root(x), root(y)
+            if a != b:
+                parent[a] = b
+                found.append(sorted((int(fps[x]), int(fps[y]))))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("least")), "left_semi").select("text")
+    sets = map_arrow(texts, sets_of, "fp long, shingles array<bigint>").dropDuplicates(["fp"])
+    # each two blocks of a key's sets meet in a group of their own
+    blocks = F.ceil(F.col("n") / BLOCK_ROWS)
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("fp"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = dealt.select("key", "fp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    return dealt.join(sets, "fp").groupBy("key", "low", "high").applyInArrow(compare, "a long, b long").distinct()
+
+
 # ---------------------------------------------------------------- components
 
 
@@ -219,10 +336,11 @@ def components(pairs: DataFrame, at_most: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def label(found: DataFrame, doc_id: Column) -> DataFrame:
+def label(found: DataFrame, doc_id: Column, pairs: Callable[[DataFrame], DataFrame] = links) -> DataFrame:
     """fp, its component's least fingerprint root and least id component_id, for a table with column fp; found is read twice, so keep it first."""
-    distinct = cut(found.groupBy("fp").agg(F.min(doc_id).alias("least")))
-    roots = components(links(distinct)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    keys = [F.first("keys").alias("keys")] if "keys" in found.columns else []
+    distinct = cut(found.groupBy("fp").agg(F.min(doc_id).alias("least"), *keys))
+    roots = components(pairs(distinct)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return rooted.join(ids, "root").select("fp", "root", "component_id")
@@ -239,16 +357,22 @@ def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"))
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: that with the least doc_id. Where ids are null or repeated, one of those that qualify."""
-    found = cut(with_fingerprint(docs).select("row.doc_id", "fp"))
-    labels = label(found, F.col("doc_id"))
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, similarity: float | None = None, width: int = STAGE_WORDS) -> DataFrame:
+    """One document of each component: that with the least doc_id. Where ids are null or repeated, one of those that qualify.
+
+    Linked are texts of at least the similarity by shingles of ``width`` words; without a similarity, by op7's rule."""
+    if similarity is None:
+        marked, pairs, more = with_fingerprint, links, []
+    else:
+        marked, pairs, more = (lambda d, *keep: with_set(d, width, *keep)), (lambda distinct: similar(distinct, docs, width, similarity)), ["keys"]
+    found = cut(marked(docs).select("row.doc_id", "fp", *more))
+    labels = label(found, F.col("doc_id"), pairs)
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
     kept = cut(found.join(labels, "fp").where(first).groupBy("doc_id").agg(F.count("*").alias("times")))
     if kept.where("doc_id is null or times > 1").limit(1).count() == 0:
         return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
     # an id doesn't tell a document: the rows themselves are told by their fingerprints
-    rows = with_fingerprint(docs, docs.columns).join(labels, "fp").where(F.col("row.doc_id").eqNullSafe(F.col("component_id")))
+    rows = marked(docs, docs.columns).join(labels, "fp").where(F.col("row.doc_id").eqNullSafe(F.col("component_id")))
     return rows.dropDuplicates(["root"]).select("row.*")
 
 

@@ -1,10 +1,13 @@
 from __future__ import annotations
 
 import collections
+import random
 import subprocess
 import sys
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from sparkloom.llm import langid, linededup, mixing, packing, simhash
 
@@ -66,3 +69,49 @@ def test_entry_without_the_subpackage(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and not any(k.startswith('op') or k == 'pipeline' for k in q)"], cwd=tmp_path, env={"PATH": "/usr/bin:/usr/local/bin", "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
+
+
+def five_word_components(rows):
+    """doc_id of the least document of each component at Jaccard similarity 0.8 of five-word shingles."""
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[i] = {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])):
+                low, high = sorted((root(a), root(b)))
+                parent[high] = low
+    return sorted({root(i) for i in parent})
+
+
+def test_near_dedup_links_at_similarity(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    two_bits = simhash.stage(spark, docs, SF).count()
+    r = random.Random(4)
+    base = [f"w{k}" for k in range(300)]
+    copies = []
+    for k in range(60):  # a group of near copies, some beyond 0.8 of each other
+        words = list(base)
+        for _ in range(r.randrange(1, 9)):
+            words[r.randrange(300)] = f"x{r.random()}"
+        copies.append((10_000_000 + k, " ".join(words)))
+    odd = [(20_000_000, ""), (20_000_001, None), (20_000_002, "one two"), (20_000_003, "One  two"), (20_000_004, "one two three")]
+    more = spark.createDataFrame(copies + odd, "doc_id long, text string")
+    both = docs.select("doc_id", "text").union(more)
+    want = five_word_components(rows + copies + odd)
+    assert len(five_word_components(rows)) < two_bits
+    for block in (simhash.BLOCK_ROWS, 8):
+        monkeypatch.setattr(simhash, "BLOCK_ROWS", block)
+        assert sorted(x["doc_id"] for x in corpus_pipeline.dedup_stage(spark, both, SF).collect()) == want
+    nameless = more.withColumn("doc_id", F.lit(None).cast("long"))
+    assert corpus_pipeline.dedup_stage(spark, nameless, SF).count() == len(five_word_components(copies + odd))
+    assert dict(corpus_pipeline.STAGES)["SimHash near-dedup"] is corpus_pipeline.dedup_stage
