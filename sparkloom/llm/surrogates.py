@@ -34,6 +34,8 @@ from .common import cut, load, map_arrow, map_rows
 KEY = b"surrogate key: set your own"
 #: Entities beyond their first attempt that may be broadcast; rounds of collision checks at most.
 BROADCAST_ENTITIES, ROUNDS = 200_000, 40
+#: Characters that are permuted as one number.
+PIECE = 256
 
 # ---------------------------------------------------------------- detection
 
@@ -48,7 +50,7 @@ _IPV4 = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2
 _CARD = re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
-_SECRET = re.compile(r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key))[\"']?\s*[=:]\s*[\"']?([^\s\"',;<>]{6,256})")
+_SECRET = re.compile(r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key))[\"']?\s*[=:]\s*[\"']?([^\s\"',;<>]{6,})")
 _ACCESS = re.compile(r"(?<!\w)A[KS]IA[0-9A-Z]{16}(?!\w)")
 _PERSON = re.compile(rf"(?<!\w)({'|'.join(map(re.escape, sorted(_GENDER, key=len, reverse=True)))})\.?[ \xa0]({_NAME})(?:[ \xa0]({_NAME}))?")
 #: What a text must hold for a pattern to be tried.
@@ -156,8 +158,19 @@ def permute(value: int, size: int, key: bytes, tweak: str) -> int:
 
 
 def permute_text(text: str, key: bytes, tweak: str, alphabets: list[str] | None = None) -> str:
-    """Permutes the ASCII letters and digits among all strings of the same format; other characters stay."""
+    """Permutes the ASCII letters and digits among all strings of the same format; other characters stay.
+
+    A longer text goes in pieces of PIECE characters, each under a tweak of all before it: still a permutation."""
     own = alphabets or [_CLASSES[_CLASS_OF[c]] if c in _CLASS_OF else c for c in text]
+    out, before = [], 0
+    for at in range(0, len(own), PIECE):
+        piece = text[at : at + PIECE]
+        out.append(_permute_piece(piece, own[at : at + PIECE], key, f"{tweak}|{at}|{before:x}" if at else tweak))
+        before = _digest(key, "piece", before, piece)
+    return "".join(out)
+
+
+def _permute_piece(text: str, own: list[str], key: bytes, tweak: str) -> str:
     value, size = 0, 1
     for c, letters in zip(text, own):
         value, size = value * len(letters) + letters.index(c), size * len(letters)

@@ -196,6 +196,18 @@ def test_surrogates_stay_distinct(spark):
     assert few == by_join
 
 
+def test_long_secrets_go_whole(spark):
+    r = random.Random(2)
+    long = ["".join(r.choices("abcXYZ0123456789", k=n)) for n in (257, 600, 50_000)]
+    long.append(long[1][:-1] + ("a" if long[1][-1] != "a" else "b"))  # shares all but its end
+    docs = documents(spark, [(k, f"token={x} and on", "en", "a") for k, x in enumerate(long)])
+    found = [x["text"] for x in sorted(local(surrogates.replace(docs).select("row.doc_id", "text")), key=lambda x: x["doc_id"])]
+    assert len(set(found)) == 4
+    for old, new in zip(long, found):
+        assert new.startswith("token=") and new.endswith(" and on") and len(new) == len(old) + 13
+        assert not any(old[k : k + 16] in new for k in range(len(old) - 16))
+
+
 def test_permutation_is_one():
     for size in (1, 2, 3, 10, 257, 1000):
         assert sorted(surrogates.permute(k, size, b"k", "t") for k in range(size)) == list(range(size))
