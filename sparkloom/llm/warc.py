@@ -211,7 +211,7 @@ class WarcReader(DataSourceReader):
                 offset, headers = found
                 length = int(headers.get("content-length", 0))
                 row: dict = {c: headers.get(h) for c, h in HEADER_COLUMNS.items()}
-                if not matches(row, self.filters) or not self.payloads and row["record_type"] not in ("response", "revisit"):
+                if not matches(row, self.filters):
                     reader.skip(length)
                     continue
                 row |= {"content_length": length, "http_headers": None, "payload": None, "file": name, "offset": offset}

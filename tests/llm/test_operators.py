@@ -282,6 +282,18 @@ def test_warc(spark, tmp_path):
     assert warc.read(spark, f"{path}0").count() == 0
 
 
+def test_warc_without_payloads_keeps_all_records(spark, tmp_path):
+    kinds = {"warcinfo": ("application/warc-fields", b"software: x\r\n"), "request": ("application/http; msgtype=request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n"), "response": ("application/http; msgtype=response", b"HTTP/1.1 200 OK\r\n\r\nbody"), "metadata": ("application/warc-fields", b"via: y\r\n"), "resource": ("text/plain", b"z")}
+    data = b"".join(f"WARC/1.1\r\nWARC-Type: {k}\r\nContent-Type: {c}\r\nContent-Length: {len(b)}\r\n\r\n".encode() + b + b"\r\n\r\n" for k, (c, b) in kinds.items())
+    (tmp_path / "a.warc").write_bytes(data)
+    path = f"file://{tmp_path}"
+    rows = {p: {r["record_type"]: r for r in local(warc.read(spark, path, payload=p))} for p in ("true", "false")}
+    assert set(rows["true"]) == set(rows["false"]) == set(kinds)
+    assert all(r["payload"] is None and r["http_headers"] == rows["true"][k]["http_headers"] and r["content_length"] == len(kinds[k][1]) for k, r in rows["false"].items())
+    for kind in ("request", "warcinfo"):
+        assert warc.read(spark, path, payload="false").where(F.col("record_type") == kind).count() == 1
+
+
 def test_warc_reads_headers_only(tmp_path):
     class Counting:
         def __init__(self, data):
