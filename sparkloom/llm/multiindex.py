@@ -157,8 +157,14 @@ def _scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.einsum("ij,j->i", x, q) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("j,j->", q, q)))
 
 
+def _distinct(ids: np.ndarray, n: int) -> int:
+    """Length of the shortest beginning that holds n distinct ids, or of all."""
+    first = np.sort(np.unique(ids, return_index=True)[1])
+    return int(first[n - 1]) + 1 if len(first) >= n else len(ids)
+
+
 def _rerank(shard: pa.Table, probes: pa.Table, k: int) -> pa.Table:
-    """For each query of the shard its k + 1 best (score, vec_id) there: products of all rows first, exact scores of the best few."""
+    """For each query of the shard the best (score, vec_id) there, of k + 1 distinct ids, k of an id: products of all rows first, exact scores of the best few."""
     schema = pa.schema([("key", pa.binary()), ("vec_id", pa.int64()), ("score", pa.float64())])
     if not len(shard) or not len(probes):
         return schema.empty_table()
@@ -179,12 +185,21 @@ def _rerank(shard: pa.Table, probes: pa.Table, k: int) -> pa.Table:
             rows = np.flatnonzero(open_cells[cell_of])
             near = products[rows, n - start]
             if len(rows) > 4 * k + 16:  # what rounding could tell apart stays in
-                least_near = np.partition(near, -(k + 1))[-(k + 1)] - 1e-9
-                rows = rows[near >= least_near]
+                top = np.argpartition(near, -(k + 1))[-(k + 1) :]
+                if len(np.unique(least[rows[top]])) <= k:  # an id has several of them
+                    top = np.argsort(-near, kind="stable")
+                    top = top[: _distinct(least[rows[top]], k + 1)]
+                rows = rows[near >= near[top].min() - 1e-9]
             scores = _scores(x[rows], q[n])
-            best = np.lexsort((least[rows], -scores))[: k + 1]
-            found = sorted((-scores[b], i) for b in best for i in ids[rows[b]])[: k + 1]
-            out += [(keys[n], i, -s) for s, i in found]
+            best = np.lexsort((least[rows], -scores))
+            best = best[: _distinct(least[rows[best]], k + 1)]
+            times: dict[int, int] = {}
+            for s, i in sorted((-scores[b], i) for b in best for i in ids[rows[b]]):
+                if i not in times and len(times) > k:
+                    break
+                times[i] = times.get(i, 0) + 1
+                if times[i] <= k:
+                    out.append((keys[n], i, -s))
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema) if out else schema.empty_table()
 
 
@@ -218,11 +233,14 @@ def measure(placed: DataFrame, queries: np.ndarray, books: Codebooks, sizes: dic
 def search(vectors: DataFrame, is_query: F.Column, k: int = K, aim: float = AIM) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest of the rows for which is_query, a condition on vec_id, holds."""
     rows = valid(vectors)
-    # copies: each salt keeps its least ids, then all salts' together
+    # copies: each salt keeps its least distinct ids, then all salts' together; k rows of an id are all that a list can hold
     salted = Window.partitionBy("key", "salt").orderBy("vec_id")
-    few = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(16))).withColumn("n", F.row_number().over(salted)).where(F.col("n") <= k + 1)
-    ids = few.groupBy("key").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("ids"), F.first("vector").alias("vector"))
-    asked = rows.where(is_query).select("key", F.col("vec_id").alias("query_id"))
+    own_rows = rows.groupBy("key", "vec_id").agg(F.count("*").alias("times"), F.first("vector").alias("vector"))
+    few = own_rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(16))).withColumn("n", F.row_number().over(salted)).where(F.col("n") <= k + 1)
+    least = F.slice(F.array_sort(F.collect_list(F.struct("vec_id", F.least("times", F.lit(k)).cast("int").alias("times")))), 1, k + 1)
+    ids = few.groupBy("key").agg(least.alias("least"), F.first("vector").alias("vector"))
+    ids = ids.select("key", F.flatten(F.transform("least", lambda x: F.array_repeat(x["vec_id"], x["times"]))).alias("ids"), "vector")
+    asked = cut(rows.where(is_query).select("key", F.col("vec_id").alias("query_id")).distinct())
     index = cut(ids.join(asked.select("key").distinct().withColumn("asked", F.lit(True)), "key", "left"))
     n = index.count()
     if not n:
@@ -240,7 +258,9 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = K, aim: float = AIM)
     sizes = {r["base"]: r["n"] for r in assigned.groupBy("base").agg(F.count("*").alias("n")).collect()}
     blocks = {cell: -(-size // BLOCK_ROWS) for cell, size in sizes.items() if size > BLOCK_ROWS}
     shards = -(-n // SHARD_ROWS)
-    wanted = max(4 * k, measure(assigned, sample[:: max(1, -(-len(sample) // MEASURED))], books, sizes, k, aim))
+    # a query's own vectors, beyond one, are opened besides
+    most = asked.groupBy("query_id").count().agg(F.max("count")).first()[0] or 1
+    wanted = max(4 * k, measure(assigned, sample[:: max(1, -(-len(sample) // MEASURED))], books, sizes, k, aim)) + most - 1
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,9 +290,11 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = K, aim: float = AIM)
     asking = index.where("asked").select("key", "vector").repartition(max(1, min(-(-n // 4096), 1000)), "key")
     dealt = asking.mapInArrow(probe, "shard long, key binary, vector array<double>, cells array<bigint>")
     scored = placed.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInArrow(lambda left, right: _rerank(left, right, k), "key binary, vec_id long, score double")
-    best = scored.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k + 1)
-    lists = best.groupBy("key").agg(F.collect_list(F.struct("n", "vec_id", "score")).alias("found"))
-    own = asked.distinct().join(lists, "key").select("query_id", F.slice(F.filter(F.array_sort("found"), lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("found"))
+    by_id = scored.groupBy("key", "vec_id").agg(F.max("score").alias("score"), F.collect_list("score").alias("scores"))
+    best = by_id.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k + 1)
+    each = F.transform("scores", lambda x: F.struct((-x).alias("less"), F.col("vec_id"), x.alias("score")))
+    lists = best.groupBy("key").agg(F.flatten(F.collect_list(each)).alias("found"))
+    own = asked.join(lists, "key").select("query_id", F.slice(F.filter(F.array_sort("found"), lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("found"))
     return own.select("query_id", F.posexplode("found").alias("rank", "x")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
 
 

@@ -141,6 +141,18 @@ def test_neighbours_of_odd_rows(spark):
     assert multiindex.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_neighbours_of_repeated_queries(spark):
+    near = [[1.0, 0.01 * k] for k in range(1, 41)]
+    want = [1, 1, 2, 3, 4]
+    for own in ([[1.0, 0.0]] * 2, [[1.0, 0.0]] * 7, [[1.0, 0.0001 * k] for k in range(30)]):  # one vector, and vectors of its own
+        rows = [(0, v) for v in own] + [(k + 1, v) for k, v in enumerate(near)] + [(1, near[0])]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        found = [x for x in local(multiindex.search(df, F.col("vec_id") == 0, aim=1.0)) if x["query_id"] == 0]
+        lists = len({tuple(v) for v in own})
+        assert len(found) == 5 * lists and collections.Counter(x["rank"] for x in found) == dict.fromkeys(range(1, 6), lists)
+        assert collections.Counter(x["vec_id"] for x in found) == {i: n * lists for i, n in collections.Counter(want).items()}
+
+
 def test_walk_is_in_order_of_distance():
     r = np.random.default_rng(1)
     a, b = r.random(9), r.random(7)
