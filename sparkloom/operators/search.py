@@ -90,13 +90,14 @@ def search_contexts(local: DataFrame, linked: dict[str, DataFrame], query: str,
     return search_ranked(union_contexts(local, linked), query, limit)
 
 
-def find_occurrences(sources: DataFrame, query: str, max_size: int = 512 * 1024) -> DataFrame:
-    """(file, point_id, at): each place of a literal text in files (file, text) up to a size, counted in characters; places do not overlap."""
+def find_occurrences(sources: DataFrame, query: str, max_size: int | None = 512 * 1024) -> DataFrame:
+    """(file, point_id, at): each place of a literal text in files (file, text) up to a size, if any, counted in characters; places do not overlap."""
     parts = F.split("text", F.lit(_quoted(query)), -1)
     sizes = F.transform(F.slice(parts, 1, F.size(parts) - 1), F.length)
     # each place is the one before, the query's length and what stands between
     starts = F.aggregate(sizes, F.array().cast("array<int>"), lambda acc, x: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)) + len(query), F.lit(0)) + x))
-    hits = sources.where(F.contains("text", F.lit(query)) & (F.octet_length("text") <= max_size))
+    hits = sources.where(F.contains("text", F.lit(query)))
+    hits = hits if max_size is None else hits.where(F.octet_length("text") <= max_size)
     return hits.select("file", F.posexplode(starts).alias("point_id", "at")).select("file", F.col("point_id").cast("long").alias("point_id"), F.col("at").cast("long").alias("at"))
 
 
@@ -106,7 +107,7 @@ def _quoted(text: str) -> str:
     return "".join("\\" + c if re.match(r"[^\w\s]", c) else c for c in text)
 
 
-def find(sources: DataFrame, spans: DataFrame, query: str, max_size: int = 512 * 1024) -> DataFrame:
+def find(sources: DataFrame, spans: DataFrame, query: str, max_size: int | None = 512 * 1024) -> DataFrame:
     """TX3, SE7: (file, id, at): the first place of the text in each span, or in the file where no span holds it (id is null then)."""
     found = stab(find_occurrences(sources, query, max_size), spans)
     return found.groupBy("file", "id").agg(F.min("at").alias("at"))

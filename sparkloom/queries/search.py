@@ -77,7 +77,7 @@ held AS (SELECT p.file, p.at, s.id, row_number() OVER (PARTITION BY p.file, p.at
 named AS (SELECT p.file, p.at, h.id FROM points p LEFT JOIN held h ON p.file = h.file AND p.at = h.at AND h.nth = 1)
 SELECT file, id, min("at") AS "at" FROM named GROUP BY file, id""")
 def _(t: Tables) -> DataFrame:
-    return S.find(t.documents.select(F.col("doc_id").cast("string").alias("file"), "text"), A.line_spans(t).where("kind = 'function'"), "All rights reserved.")
+    return S.find(t.documents.select(F.col("doc_id").cast("string").alias("file"), "text"), A.line_spans(t).where("kind = 'function'"), "All rights reserved.", max_size=None)
 
 
 @query("j15_seeded_symbols", "SELECT CAST(doc_id AS VARCHAR) AS id FROM documents WHERE source IN (SELECT source FROM documents WHERE contains(text, 'All rights reserved.'))")

@@ -158,3 +158,16 @@ def test_error_places(spark):
     symbols = spark.createDataFrame([("o", "src/a.rs", 1, 20), ("i", "src/a.rs", 9, 12)], "id string, filepath string, start_line long, end_line long")
     marked = {r["id"]: r["is_poisoned"] for r in X.annotate(symbols, spark.createDataFrame([(lines[0],)], "line string")).collect()}
     assert marked == {"o": False, "i": True}
+
+
+def test_find_enclosing_reads_whole_texts(spark):
+    """The query's texts have no size limit, the operator's own default has one."""
+    from sparkloom.queries import search as queries
+
+    text = "x" * (600 * 1024) + "\nAll rights reserved.\n"
+    docs = spark.createDataFrame([(1, text), (2, "All rights reserved.")], "doc_id long, text string")
+    docs.write.parquet(folder := f"{spark.conf.get('spark.checkpoint.dir')}/tx3/documents.parquet")
+    found = queries.query.queries["tx3_find_enclosing"](spark, folder.rpartition("/")[0])
+    assert sorted((r["file"], r["id"], r["at"]) for r in found.collect()) == [("1", "1:1", 600 * 1024 + 1), ("2", "2:0", 0)]
+    files = docs.selectExpr("cast(doc_id as string) as file", "text")
+    assert [r["file"] for r in S.find_occurrences(files, "All rights").collect()] == ["2"]
