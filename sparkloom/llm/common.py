@@ -4,42 +4,30 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.lineage import cut, remove, shared_dir
 from ..shipping import ship
 
+__all__ = ["cut", "id_text", "load", "map_arrow", "map_rows", "release", "remove", "rows_to_batches", "shared_dir", "slices", "utf8"]
+
 #: Rows that one Arrow batch handed back to Spark holds at most, and rows of a batch that are Python objects at once.
 OUT_ROWS, IN_ROWS = 20_000, 500
-#: Rows that Spark hands to Python at once: texts are long, and both sides hold a batch.
-ARROW_ROWS = 1000
+#: Rows that Spark hands to Python at once in the queries: texts are long, and both sides hold a batch.
+ARROW_SETTING, SPARK_ROWS, ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", 1000
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A query's table. Queries, not operators, set the session's Arrow batches, where it has Spark's own default."""
     ship(spark)
+    if spark.conf.get(ARROW_SETTING) == SPARK_ROWS:
+        spark.conf.set(ARROW_SETTING, str(ARROW_ROWS))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in tests, where that is unset, a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Compute once and keep in the shared folder: later steps survive a lost executor without recomputing what came before."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def rows_to_batches(rows: Iterable[tuple], schema: pa.Schema, at_most: int = OUT_ROWS) -> Iterator[pa.RecordBatch]:
     """Batches of bounded size from tuples in the schema's order."""
     kept: list[tuple] = []
@@ -72,10 +60,7 @@ def release() -> None:
 
 
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow in batches of ARROW_ROWS, unless the session asks for another size than Spark's own; memory is released after each task."""
-    conf = df.sparkSession.conf
-    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """mapInArrow that gives memory back to the system after each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from function(batches)

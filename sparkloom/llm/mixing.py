@@ -5,28 +5,36 @@ then gets a rate of zero or more, such that the domains' expected tokens - the s
 posterior - match the target weights. The rates minimise the weighted squared distance of the domains' totals from their
 targets, by projected gradient steps from rate 1 on all documents: only the totals, one number for each domain, come to the
 driver in a step; what goes back is one number for each domain too. The metric of totals is the inverse of their Gram matrix,
-under which a step of length one never overshoots.
+under which a step of length one never overshoots. A document's rate is a function of its posteriors and of the steps, so no
+step writes or shuffles a row. Steps end when the totals meet their targets or no longer move, or hardly get closer (targets that
+no rates of zero or more reach are missed); a warning then says by how much they miss.
 
 Domains, from labels (quality, toxic): ``toxic`` if toxic is 1, else ``low`` if quality is 0, else ``clean``. The total is set
-by the ``anchor`` domain, whose tokens are to stay as many as they are.
+by the ``anchor`` domain, whose tokens are to stay as many as they are. Where rates are bounded (the pipeline's stage keeps a
+document with its rate as probability and repeats none, so rates may not exceed 1) the targets keep their proportions but
+follow the anchor's tokens that are left, and hold for domains that have too many tokens: nothing is dropped to make up for a
+domain that has too few.
 
 Defined results: tokens are words between white space. A null or empty text has no tokens, the prior's posteriors and a rate
 like any other. Labels without a domain or document are ignored, repeated ones count repeatedly. Domains without labels have
-posterior 0; without any labels, all documents are ``clean``. A domain that has no expected tokens has no say. Rows stay rows,
-whatever their ids. An empty table gives no rows.
+posterior 0; without any labels, all documents are ``clean``. A domain that has no expected tokens, or under a
+MOST_REPEATS-th of its target, has no say: its total stays free. Rows stay rows,
+whatever their ids. An empty table gives no rows. Other columns are ignored by mix() and kept by stage(), whatever their names.
 """
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import cut, load, map_arrow
+from .common import cut, load, map_arrow, shared_dir
 
 DOMAINS = ("clean", "low", "toxic")
 #: Target weights of the domains in the mix.
@@ -40,10 +48,10 @@ STEMS, STEM_LETTERS, SHAPES = 8192, 4, 8
 FULL_SHARE = 1 / 50
 KEPT_WORDS = 150_000
 FIT_ROUNDS, RIDGE = 200, 1e-4
-#: Posteriors below this count as none.
-LEAST_POSTERIOR = 0.02
-#: Steps at most, steps after which the rates are written, and the share of all tokens that totals may miss.
-STEPS, WRITTEN_STEPS, TOLERANCE = 40, 8, 1e-7
+#: Steps at most, the share of all tokens that totals may miss, and the steps in a row that may bring them less than 1 % closer.
+STEPS, TOLERANCE, PATIENCE = 60, 1e-7, 3
+#: How many times over a domain may have to be repeated, on average, to meet its target.
+MOST_REPEATS = 10
 
 
 class Stems(dict):
@@ -80,8 +88,6 @@ class Classifier:
     def posteriors(self, x: np.ndarray) -> np.ndarray:
         z = x @ self.weights + self.bias
         p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[p < LEAST_POSTERIOR] = 0
         return p / p.sum(axis=1, keepdims=True)
 
 
@@ -110,6 +116,7 @@ def _collect_features(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Classifier:
     """Softmax regression on the labelled documents whose ids hash lowest, as many of each domain, then set to the domains' shares."""
     known = labels.select(F.col("doc_id").alias("labelled"), domain().alias("domain")).where("domain is not null and labelled is not null")
+    docs = docs.select("doc_id", "text")
     counts = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     bias = np.full(len(DOMAINS), -1e9)
     if not counts:
@@ -143,14 +150,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> C
 
 def posteriors(docs: DataFrame, classifier: Classifier, keep: tuple[str, ...]) -> DataFrame:
     """Struct ``row`` of the kept columns, tokens, and a column p0, p1, ... for each domain."""
-    left = docs.select(F.struct(*keep).alias("row"), "text")
+    whole = "text" in keep  # then it goes once
+    left = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), *([] if whole else ["text"]))
     names = [f"p{k}" for k in range(len(DOMAINS))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, len(batch), 100):
                 own = batch.slice(k, 100)
-                found = [features(t) for t in own.column(1).to_pylist()]
+                texts = own.column(0).field(keep.index("text")) if whole else own.column(1)
+                found = [features(t) for t in texts.to_pylist()]
                 p = classifier.posteriors(np.stack([x for _, x in found]))
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array([n for n, _ in found], pa.int64()), *(pa.array(p[:, j].astype(np.float64)) for j in range(p.shape[1]))], names=["row", "tokens", *names])
         _stems.clear()  # workers are used again by other operators
@@ -158,57 +167,98 @@ def posteriors(docs: DataFrame, classifier: Classifier, keep: tuple[str, ...]) -
     return map_arrow(left, run, f"row {left.schema['row'].dataType.simpleString()}, tokens long, " + ", ".join(f"{n} double" for n in names))
 
 
-def targets(totals: np.ndarray, weights: dict[str, float], anchor: str) -> np.ndarray:
-    """Token totals in the weights' proportions with as many tokens of the anchor as there are."""
-    w = np.array([weights[d] for d in DOMAINS]) * (totals > 0)
-    k = DOMAINS.index(anchor)
-    if w[k] == 0:
+def targets(totals: np.ndarray, weights: dict[str, float], anchor: str, lower_only: bool = False) -> np.ndarray:
+    """Token totals in the weights' proportions with as many tokens of the anchor as there are. Domains that have no say keep theirs."""
+    w, k = np.array([weights[d] for d in DOMAINS]), DOMAINS.index(anchor)
+    if w[k] == 0 or totals[k] == 0:
         return totals.copy()
-    return w * totals[k] / w[k]
+    wanted = w * totals[k] / w[k]
+    return np.where((totals < wanted) if lower_only else (totals * MOST_REPEATS < wanted), totals, wanted)
+
+
+@dataclass
+class Rates:
+    """What the steps came to: each step's coefficients by domain, the totals and targets after the last, and whether they meet or no longer move."""
+
+    steps: list[list[float]]
+    totals: np.ndarray
+    targets: np.ndarray
+    settled: bool
+    at_most: float | None = None
 
+    def of(self, p: list[Column]) -> Column:
+        """The rate of a document with these posteriors: 1, then each step's coefficients off it, cut at its bounds."""
+        if not self.steps:
+            return F.lit(1.0)
+        least = lambda c: c if self.at_most is None else F.least(F.lit(self.at_most), c)
+        off = lambda step: sum((p[k] * step[k] for k in range(1, len(p))), p[0] * step[0])
+        return F.aggregate(F.array(*(F.array(*map(F.lit, x)) for x in self.steps)), F.lit(1.0), lambda rate, step: F.greatest(F.lit(0.0), least(rate - off(step))))
 
-def fit_rates(members: DataFrame, weights: dict[str, float] | None = None, anchor: str = ANCHOR, steps: int = STEPS) -> DataFrame:
-    """members with column rate; members has tokens and the posteriors, and is read once a step, so keep it first.
+
+def solve(members: DataFrame, weights: dict[str, float] | None = None, anchor: str = ANCHOR, steps: int = STEPS, at_most: float | None = None) -> Rates:
+    """Projected gradient; members has tokens and the posteriors, and is read once a step, so keep it first.
 
     A step is tried in the metric of the documents whose rate is above zero, which nearly always gets there at once; where it
     doesn't bring the totals closer, it is done over in the metric of all documents, which can't overshoot."""
     width = range(len(DOMAINS))
     p = [F.col(f"p{k}") for k in width]
 
-    def state(df: DataFrame, rate: Column) -> tuple[np.ndarray, np.ndarray]:
+    def state(rate: Column) -> tuple[np.ndarray, np.ndarray]:
         """The domains' totals, and the Gram matrix of the documents with a rate above zero."""
         tokens = F.col("tokens").cast("double")
-        live = F.when(rate > 0, tokens).otherwise(0.0)
-        row = df.agg(*(F.sum(tokens * p[k] * rate).alias(f"s{k}") for k in width), *(F.sum(live * p[i] * p[j]).alias(f"g{i}{j}") for i in width for j in width)).first()
+        rated = members.select(tokens.alias("tokens"), *p, rate.alias("rate"))
+        live = F.when(F.col("rate") > 0, F.col("tokens")).otherwise(0.0)
+        row = rated.agg(*(F.sum(F.col("tokens") * p[k] * F.col("rate")).alias(f"s{k}") for k in width), *(F.sum(live * p[i] * p[j]).alias(f"g{i}{j}") for i in width for j in width)).first()
         return np.array([row[f"s{k}"] or 0.0 for k in width]), np.array([[row[f"g{i}{j}"] or 0.0 for j in width] for i in width])
 
     def inverse(gram: np.ndarray) -> np.ndarray:
         return np.linalg.pinv(gram + 1e-9 * np.trace(gram) * np.eye(len(gram)), hermitian=True)
 
-    def stepped(rate: Column, miss: np.ndarray) -> Column:
-        return F.greatest(F.lit(0.0), rate - sum((p[k] * F.lit(float(miss[k])) for k in width), F.lit(0.0)))
-
-    totals, gram = state(members, F.lit(1.0))
-    wanted = targets(totals, weights or WEIGHTS, anchor)
+    own = weights or WEIGHTS
+    totals, gram = state(F.lit(1.0))
+    fixed = targets(totals, own, anchor)
+    free = fixed == totals  # domains without a say; the anchor holds its total
+    free[DOMAINS.index(anchor)] = False
+    found = Rates([], totals, fixed if at_most is None else targets(totals, own, anchor, True), True, at_most)
     if not totals.sum():
-        return members.withColumn("rate", F.lit(1.0))
-    metric, live = inverse(gram), gram
-    off = lambda x: float((x - wanted) @ metric @ (x - wanted))
-    rated, rate = members, F.lit(1.0)
-    for n in range(1, steps + 1):
-        tried = stepped(rate, inverse(live) @ (totals - wanted))
-        moved, live = state(rated, tried)
-        if off(moved) >= off(totals):
-            tried = stepped(rate, metric @ (totals - wanted))
-            moved, live = state(rated, tried)
-        rate, still = tried, np.abs(moved - totals).max()
-        totals = moved
-        if n % WRITTEN_STEPS == 0:
-            rated = cut(rated.withColumn("rate", rate))
-            rate = F.col("rate")
-        if min(still, np.abs(totals - wanted).max()) <= TOLERANCE * wanted.sum():
+        return found
+    live, slow, scale = gram, 0, fixed.sum()
+    found.settled = bool(np.abs(found.totals - found.targets).max() <= TOLERANCE * scale)
+
+    def missed(x: Rates) -> np.ndarray:
+        return x.totals - x.targets
+
+    def off(x: Rates) -> float:
+        return float(np.linalg.norm(missed(x) / np.sqrt(np.maximum(np.diag(gram), 1e-300)) * (np.diag(gram) > 0)))
+
+    def tried(metric: np.ndarray) -> tuple[Rates, np.ndarray]:
+        held = np.flatnonzero(~free if at_most is None else (missed(found) > 0) | (np.arange(len(free)) == DOMAINS.index(anchor)))
+        step = np.zeros(len(free))
+        step[held] = inverse(metric[np.ix_(held, held)]) @ missed(found)[held]
+        after = Rates([*found.steps, step.tolist()], found.totals, found.targets, False, at_most)
+        after.totals, gram_after = state(after.of(p))
+        after.targets = np.where(free, after.totals, fixed) if at_most is None else targets(after.totals, own, anchor, True)
+        return after, gram_after
+
+    for _ in range(0 if found.settled else steps):
+        after, gram_after = tried(live)
+        if off(after) >= off(found):
+            after, gram_after = tried(gram)
+        still = np.abs(after.totals - found.totals).max()
+        slow = slow + 1 if off(after) > 0.99 * off(found) else 0
+        if off(after) < off(found):
+            found, live = after, gram_after
+        if min(still, np.abs(missed(found)).max()) <= TOLERANCE * scale or slow >= PATIENCE:
             break
-    return rated.withColumn("rate", rate)
+    found.settled = bool(np.abs(missed(found)).max() <= 10 * TOLERANCE * scale)
+    if not found.settled:
+        warnings.warn(f"rates leave the totals at {found.totals.tolist()} for targets {found.targets.tolist()}", stacklevel=2)
+    return found
+
+
+def fit_rates(members: DataFrame, weights: dict[str, float] | None = None, anchor: str = ANCHOR, steps: int = STEPS, at_most: float | None = None) -> DataFrame:
+    """members with column rate."""
+    return members.withColumn("rate", solve(members, weights, anchor, steps, at_most).of([F.col(f"p{k}") for k in range(len(DOMAINS))]))
 
 
 def mix(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), weights: dict[str, float] | None = None) -> DataFrame:
@@ -222,15 +272,14 @@ def op8_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents kept with their rate as probability, drawn by a hash of id and text; none is repeated: a rate over 1 keeps its document."""
-    drawn = (F.pmod(F.xxhash64("doc_id", "text", F.lit(88)), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("drawn")
-    keyed = docs.select("text", F.struct("doc_id", drawn).alias("mixing_key"))
-    found = posteriors(keyed, fit(docs, load(spark, sf_dir, "labels")), ("mixing_key",))
-    rates = fit_rates(cut(found))
-    gone = cut(rates.where(F.col("row.mixing_key.drawn") >= F.col("rate")).select(F.col("row.mixing_key.doc_id").alias("gone_id"), F.col("row.mixing_key.drawn").alias("gone_drawn")).distinct())
-    left = docs.select(F.struct("*").alias("row"), drawn)
-    same = F.col("row.doc_id").eqNullSafe(F.col("gone_id")) & (F.col("drawn") == F.col("gone_drawn"))
-    return left.join(gone, same, "left_anti").select("row.*")
+    """Documents kept with their rate, 1 at most, as probability, drawn by a hash of id and text, so equal rows share their fate.
+
+    The documents go once, with their posteriors, to a folder of the shared one, whose narrow columns the steps read; no row is shuffled."""
+    folder = f"{shared_dir(spark)}/mixing-{uuid4().hex}"
+    posteriors(docs, fit(docs, load(spark, sf_dir, "labels")), tuple(docs.columns)).write.parquet(folder)
+    members = spark.read.parquet(folder)
+    drawn = F.pmod(F.xxhash64("row.doc_id", "row.text", F.lit(88)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return fit_rates(members, at_most=1.0).where(drawn < F.col("rate")).select("row.*")
 
 
 QUERIES = {"op8_soft_mixing": op8_soft_mixing}
