@@ -6,11 +6,13 @@ payload. The last frame takes the smallest bitrate that fits.
 
 Reading takes any MPEG audio stream (versions 1, 2, 2.5; layers I to III). It parses ID3v2, ID3v1 and APEv2 tags; finds frame
 headers, and after damage looks for the next header that agrees with the stream and is followed by another one or the end;
-parses Xing/Info (with encoder delay and padding) and VBRI tables; verifies the CRC of Layer I and III frames; and gives the
+parses Xing/Info (with encoder delay and padding) and VBRI tables; verifies the frames' CRC in all three layers; and gives the
 exact duration in samples and the offset of every frame.
 
-Defined results: a null text is an empty payload, which is 64 zero bytes. Bytes that hold no frame give no frames, duration 0
-and an empty offset list. Rows stay rows, whatever their ids; equal texts give equal values; other columns are ignored.
+Defined results: a null text is an empty payload, which is 64 zero bytes. Bytes that hold no frame, and null media, give no
+frames, duration 0 and an empty offset list; a table that its frame cuts short is none. Media that don't hold a whole payload of
+this module's have null payload columns. No bytes raise. Rows stay rows, whatever their ids; equal texts give equal values;
+other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,6 +45,8 @@ BITRATES = {
 RATES = {1: (44100, 48000, 32000), 2: (22050, 24000, 16000), 25: (11025, 12000, 8000)}
 VERSIONS, LAYERS = {0: 25, 2: 2, 3: 1}, {1: 3, 2: 2, 3: 1}
 CRC_POLYNOMIAL = 0x8005
+#: Layer II: (subbands, bits of their allocations) of the tables for many bits at 48 kHz or a middle rate, many bits, few bits, few bits at 32 kHz, and versions 2 and 2.5.
+ALLOCATIONS = {"a": ((11, 4), (12, 3), (4, 2)), "b": ((11, 4), (12, 3), (7, 2)), "c": ((2, 4), (6, 3)), "d": ((2, 4), (10, 3)), "lsf": ((4, 4), (7, 3), (19, 2))}
 
 
 def _crc_table() -> list[int]:
@@ -66,6 +70,22 @@ def crc16(data: bytes) -> int:
     return crc
 
 
+def crc16_bits(data: bytes, bits: int) -> int:
+    """The CRC of the first bits of the data."""
+    crc = crc16(data[: bits // 8])
+    for k in range(bits // 8 * 8, bits):
+        bit = data[k // 8] >> (7 - k % 8) & 1
+        crc = (crc << 1 & 0xFFFF) ^ (CRC_POLYNOMIAL if (crc >> 15) ^ bit else 0)
+    return crc
+
+
+def allocation_widths(h: Header) -> list[int]:
+    """Bits of each subband's allocation in Layer II."""
+    each = h.kbps // h.channels
+    table = "lsf" if h.version != 1 else ("d" if h.rate == 32000 else "c") if each <= 48 else "a" if h.rate == 48000 or each <= 80 else "b"
+    return [width for bands, width in ALLOCATIONS[table] for _ in range(bands)]
+
+
 @dataclass(frozen=True)
 class Header:
     version: int  # 1, 2 or 25 for 2.5
@@ -95,14 +115,26 @@ class Header:
         return (17 if one else 32) if self.version == 1 else (9 if one else 17)
 
     @property
-    def covered(self) -> int:
-        """Bytes after the CRC that it covers; -1 where this reader doesn't know (Layer II)."""
+    def channels(self) -> int:
+        return 1 if self.mode == 3 else 2
+
+    def covered(self, data: bytes) -> int:
+        """Bits after the CRC that it covers; data is what follows it."""
         if self.layer == 3:
-            return self.side
+            return 8 * self.side
+        bound = 4 * (self.extension + 1) if self.mode == 1 else 32
         if self.layer == 1:
-            bound = 4 * (self.extension + 1) if self.mode == 1 else 32
-            return 16 if self.mode == 3 else (2 * bound + 32 - bound) * 4 // 8
-        return -1
+            return 4 * (min(bound, 32) * self.channels + 32 - min(bound, 32))
+        # Layer II: the allocations, of a width for each subband, and two bits for each that isn't zero, in each channel
+        widths = allocation_widths(self)
+        bits, at, chosen = int.from_bytes(data, "big"), 0, 0
+        for band, width in enumerate(widths):
+            own = self.channels if band < bound else 1
+            for _ in range(own):
+                value = bits >> max(0, 8 * len(data) - at - width) & ((1 << width) - 1)
+                at += width
+                chosen += (value > 0) * (self.channels // own)
+        return at + 2 * chosen
 
     def agrees(self, other: Header) -> bool:
         return (self.version, self.layer, self.rate) == (other.version, other.layer, other.rate)
@@ -183,11 +215,11 @@ class Audio:
         return self.samples / self.header.rate if self.header else 0.0
 
     def payload(self) -> bytes:
-        """What encode() stored."""
-        size = struct.unpack(">Q", self.tags["PRIV:" + _OWNER.decode()])[0]
-        own = b"".join(x[2 : 2 + struct.unpack(">H", x[:2])[0]] for x in self.data)
-        if len(own) != size:
-            raise ValueError(f"{len(own)} payload bytes; the tag says {size}")
+        """What encode() stored; ValueError if it isn't here whole."""
+        size = self.tags.get("PRIV:" + _OWNER.decode())
+        own = b"".join(x[2 : 2 + int.from_bytes(x[:2], "big")] for x in self.data)
+        if size is None or len(own) != int.from_bytes(size, "big"):
+            raise ValueError(f"{len(own)} payload bytes; the tag says {size!r}")
         return own
 
 
@@ -216,14 +248,16 @@ def _id3v2(data: bytes, at: int, tags: dict[str, bytes]) -> int:
 
 
 def _vbr(frame: bytes, h: Header) -> dict:
-    """The variable-bitrate table of a frame, if it has one."""
+    """The variable-bitrate table of a frame, if it has a whole one."""
     at = 4 + 2 * h.crc + h.side
-    if frame[at : at + 4] in (b"Xing", b"Info"):
+    if frame[at : at + 4] in (b"Xing", b"Info") and len(frame) >= at + 8:
         found: dict = {"kind": frame[at : at + 4].decode()}
-        flags, k = struct.unpack_from(">I", frame, at + 4)[0], at + 8
+        flags, k = int.from_bytes(frame[at + 4 : at + 8], "big"), at + 8
+        if k + 4 * (flags & 1) + 2 * (flags & 2) + 25 * (flags & 4) + (flags & 8) // 2 > len(frame):
+            return {}
         for bit, name in ((1, "frames"), (2, "bytes")):
             if flags & bit:
-                found[name] = struct.unpack_from(">I", frame, k)[0]
+                found[name] = int.from_bytes(frame[k : k + 4], "big")
                 k += 4
         if flags & 4:
             found["toc"] = frame[k : k + 100]
@@ -275,8 +309,10 @@ def decode(data: bytes) -> Audio:
                 out.vbr = table
                 at += h.size
                 continue
-        if h.crc and (n := h.covered) >= 0:
-            if crc16(h.raw[2:] + frame[6 : 6 + n]) == int.from_bytes(frame[4:6], "big"):
+        if h.crc:
+            bits = h.covered(frame[6:46])
+            checked = h.raw[2:] + frame[6 : 6 + -(-bits // 8)]
+            if 8 * len(checked) >= 16 + bits and crc16_bits(checked, 16 + bits) == int.from_bytes(frame[4:6], "big"):
                 out.crc_good += 1
             else:
                 out.crc_bad += 1
@@ -328,15 +364,20 @@ FACTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_by
 
 
 def facts(media: DataFrame) -> DataFrame:
-    """What a table of stored media holds, read back from the stored bytes."""
+    """What a table of stored media holds, read back from the stored bytes; payload columns are null where there is no whole payload."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc_id, n, data in zip(*(c.to_pylist() for c in batch.columns)):
-                audio = decode(data)
-                payload = audio.payload()
-                rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(audio), audio.samples, audio.header.rate if audio.header else None, audio.offsets.tolist()))
+                audio = decode(data or b"")
+                try:
+                    payload = audio.payload()
+                    own = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+                except ValueError:
+                    own = (None, None, None)
+                stored = (None, None) if data is None else (len(data), hashlib.sha256(data).hexdigest())
+                rows.append((doc_id, n, *own, *stored, feature(audio), audio.samples, audio.header.rate if audio.header else None, audio.offsets.tolist()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), FACTS)], schema=FACTS)
 
