@@ -6,7 +6,12 @@ the least page_id is a ``response``, the others are ``revisit`` records that hol
 
 Reading: files are planned into partitions by size: small files share one, a file is never cut (a record's start can only be
 told from the record before it). Equality and membership filters on record_type and on header columns are pushed down. Of each
-record the headers are parsed first; where the pushed filters say no, the reader seeks past its block without reading it.
+record the headers are parsed first; where the pushed filters say no, the reader seeks past its block without reading it. In a
+compressed file a skipped block must be inflated, as only that tells where the next record begins, but is not kept.
+
+Damage: bytes between records are passed over up to the next line that begins a record; a length that is no number counts as
+none. A block that its file cuts short, or whose compressed data are damaged, is returned as far as it goes with ``complete``
+false; what follows it in a damaged compressed file can't be read. Option strict=true raises instead.
 
 Defined results: a null html is an empty payload. A null page_id sorts after all others and is read back as null; pages with
 equal payloads and the same least page_id are all responses, as is a page of a group without any page_id. Line ends in a url
@@ -25,7 +30,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith
 
-from .common import cut, load, map_arrow, shared_dir
+from .common import cut, load, map_arrow, remove, shared_dir
 
 CLOSE = "\r\n\r\n"
 ID_PREFIX = "urn:page:"
@@ -33,6 +38,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Bytes of files that a read partition takes, and of payloads that a batch handed to Spark holds, at least one of each.
 PARTITION_BYTES, BATCH_BYTES = 32 << 20, 4 << 20
+#: Bytes of a line between records, and of a payload, that are read at once.
+LINE_BYTES, READ_BYTES = 1 << 16, 8 << 20
 #: Digests of repeated payloads that may be broadcast; beyond that they are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -91,8 +98,8 @@ HEADER_COLUMNS = {
     "refers_to": "warc-refers-to",
     "content_type": "content-type",
 }
-SCHEMA = ", ".join(f"{c} string" for c in HEADER_COLUMNS) + ", content_length long, http_headers string, payload binary, file string, offset long"
-ARROW = pa.schema([*((c, pa.string()) for c in HEADER_COLUMNS), ("content_length", pa.int64()), ("http_headers", pa.string()), ("payload", pa.binary()), ("file", pa.string()), ("offset", pa.int64())])
+SCHEMA = ", ".join(f"{c} string" for c in HEADER_COLUMNS) + ", content_length long, http_headers string, payload binary, complete boolean, file string, offset long"
+ARROW = pa.schema([*((c, pa.string()) for c in HEADER_COLUMNS), ("content_length", pa.int64()), ("http_headers", pa.string()), ("payload", pa.binary()), ("complete", pa.bool_()), ("file", pa.string()), ("offset", pa.int64())])
 
 
 class Files(InputPartition):
@@ -134,7 +141,7 @@ def parse_headers(lines: list[bytes]) -> dict[str, str]:
     name = ""
     for line in lines:
         text = line.decode("utf-8", "replace")
-        if text[:1] in " \t" and name:
+        if text[:1] and text[0] in " \t" and name:
             found[name] += " " + text.strip()
         else:
             name, _, value = text.partition(":")
@@ -143,21 +150,29 @@ def parse_headers(lines: list[bytes]) -> dict[str, str]:
     return found
 
 
+class Damaged(ValueError):
+    """What a strict reader raises."""
+
+
 class Records:
     """A file's records: headers first, the block only on demand."""
 
-    def __init__(self, stream):
-        self.stream = stream
+    def __init__(self, stream, strict: bool = False):
+        self.stream, self.strict = stream, strict
+
+    def _line(self) -> tuple[int, bytes]:
+        return self.stream.tell(), self.stream.readline(LINE_BYTES)
 
     def head(self) -> tuple[int, dict[str, str]] | None:
-        line = b"\r\n"
-        while line in (b"\r\n", b"\n"):
-            offset = self.stream.tell()
-            line = self.stream.readline()
+        offset, line = self._line()
+        begins = True  # whether the line does, and isn't the rest of a long one
+        while line and not (begins and line.startswith(b"WARC/")):
+            if self.strict and line not in (b"\r\n", b"\n"):
+                raise Damaged(f"no WARC record at {offset}")
+            begins = line.endswith(b"\n")
+            offset, line = self._line()
         if not line:
             return None
-        if not line.startswith(b"WARC/"):
-            raise ValueError(f"no WARC record at {offset}")
         lines = []
         while (line := self.stream.readline()) not in (b"\r\n", b"\n", b""):
             lines.append(line.rstrip(b"\r\n"))
@@ -167,10 +182,16 @@ class Records:
         self.stream.seek(length, 1)
 
 
+def number(text: str | None) -> int | None:
+    text = (text or "").strip()
+    return int(text) if text.isascii() and text.isdigit() else None
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
         self.payloads = options.get("payload", "true").lower() == "true"
+        self.strict = options.get("strict", "false").lower() == "true"
         self.at_most = int(options.get("partitionbytes", options.get("partitionBytes", PARTITION_BYTES)))
         self.filters: list[Filter] = []
 
@@ -183,7 +204,8 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[Files]:
         fs, root = open_fs(self.path)
-        found = fs.get_file_info(pafs.FileSelector(root, recursive=True))
+        one = fs.get_file_info(root)
+        found = [one] if one.is_file else fs.get_file_info(pafs.FileSelector(root, recursive=True))
         sizes = [(f.path, f.size) for f in found if f.is_file and f.size and not f.base_name.startswith(("_", "."))]
         return [Files(x) for x in plan(sizes, self.at_most)] or [Files([])]
 
@@ -203,32 +225,61 @@ class WarcReader(DataSourceReader):
     def _records(self, fs: pafs.FileSystem, name: str) -> Iterator[dict]:
         import gzip
         import io
+        import zlib
 
         with fs.open_input_file(name) as raw:
             stream = io.BufferedReader(raw, 1 << 20)
-            reader = Records(gzip.GzipFile(fileobj=stream) if name.endswith(".gz") else stream)
-            while (found := reader.head()) is not None:
-                offset, headers = found
-                length = int(headers.get("content-length", 0))
-                row: dict = {c: headers.get(h) for c, h in HEADER_COLUMNS.items()}
-                if not matches(row, self.filters):
-                    reader.skip(length)
-                    continue
-                row |= {"content_length": length, "http_headers": None, "payload": None, "file": name, "offset": offset}
-                left = length
-                if (row["content_type"] or "").startswith("application/http"):
-                    lines = []
-                    while left and (line := reader.stream.readline(left)):
-                        left -= len(line)
-                        if line in (b"\r\n", b"\n"):
-                            break
-                        lines.append(line)
-                    row["http_headers"] = b"".join(lines).decode("utf-8", "replace")
-                if self.payloads and row["record_type"] != "revisit":
-                    row["payload"] = reader.stream.read(left)
-                else:
-                    reader.skip(left)
-                yield row
+            reader = Records(gzip.GzipFile(fileobj=stream) if name.endswith(".gz") else stream, self.strict)
+            row: dict | None = None
+            try:
+                while (found := reader.head()) is not None:
+                    offset, headers = found
+                    row = {c: headers.get(h) for c, h in HEADER_COLUMNS.items()}
+                    length = number(headers.get("content-length")) or 0
+                    if not matches(row, self.filters):
+                        row = None
+                        reader.skip(length)
+                        continue
+                    row |= {"content_length": length, "http_headers": None, "payload": None, "complete": False, "file": name, "offset": offset}
+                    yield self._block(reader, row, length)
+                    row = None
+            except (EOFError, zlib.error, gzip.BadGzipFile) as damage:
+                if self.strict:
+                    raise Damaged(f"{name}: {damage}") from damage
+                if row is not None:
+                    yield row
+
+    def _block(self, reader: Records, row: dict, length: int) -> dict:
+        """The row with its block's parts. They are put there as they come, for the case that the data end."""
+        left = length
+        if (row["content_type"] or "").startswith("application/http"):
+            lines = []
+            try:
+                while left and (line := reader.stream.readline(left)):
+                    left -= len(line)
+                    if line in (b"\r\n", b"\n"):
+                        break
+                    lines.append(line)
+            finally:
+                row["http_headers"] = b"".join(lines).decode("utf-8", "replace")
+        if self.payloads and row["record_type"] != "revisit":
+            parts = []
+            row["payload"] = b""
+            try:
+                while left and (part := reader.stream.read(min(left, READ_BYTES))):
+                    parts.append(part)
+                    left -= len(part)
+            finally:
+                row["payload"] = b"".join(parts)
+            row["complete"] = not left
+        else:
+            # whether the block is whole is told by its last byte
+            if left > 1:
+                reader.skip(left - 1)
+            row["complete"] = not left or bool(reader.stream.read(1))
+        if self.strict and not row["complete"]:
+            raise Damaged(f"{row['file']}: a record cut short at {row['offset']}")
+        return row
 
 
 class WarcSource(DataSource):
@@ -252,16 +303,16 @@ def read(spark: SparkSession, path: str, **options: str) -> DataFrame:
 
 
 def payload_facts(archive: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to. Responses are measured on the payload that was read; a revisit's are its headers'."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to. Responses are measured on the payload that was read; a revisit's, and those of a payload that wasn't read, are its headers', null without."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds, payloads, http, digests = (batch.column(k).to_pylist() for k in range(2, 6))
             sizes, found = [], []
             for kind, payload, head, digest in zip(kinds, payloads, http, digests):
-                if kind == "revisit":
-                    sizes.append(int(parse_headers(head.encode().split(b"\r\n")[1:])["content-length"]))
-                    found.append(digest.removeprefix("sha1:"))
+                if kind == "revisit" or payload is None:
+                    sizes.append(number(parse_headers((head or "").encode().split(b"\r\n")[1:]).get("content-length")))
+                    found.append(digest and digest.removeprefix("sha1:"))
                 else:
                     sizes.append(len(payload))
                     found.append(base64.b32encode(hashlib.sha1(payload).digest()).decode())
@@ -275,7 +326,9 @@ def payload_facts(archive: DataFrame) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/warc-{uuid4().hex}"
     write(load(spark, sf_dir, "pages"), folder)
-    return payload_facts(read(spark, folder).where(F.col("record_type").isin("response", "revisit")))
+    found = cut(payload_facts(read(spark, folder).where(F.col("record_type").isin("response", "revisit"))))
+    remove(spark, folder)
+    return found
 
 
 QUERIES = {"op5_warc": op5_warc}
