@@ -4,7 +4,8 @@ A pre-token is a word between white space with the word mark before it. Its toke
 segmentation: the greatest sum of log probabilities, then the fewest pieces. The forward score of a prefix does not depend on
 what follows, so distinct pre-tokens go into a trie whose nodes keep the prefix's score and piece count: a pre-token that
 shares a prefix with another only computes the rest. A node where a pre-token ends holds its terminal count. The trie is
-built from sorted pre-tokens in preorder, so that only the current path is in memory besides the terminal counts.
+built from sorted pre-tokens in preorder, so that only the current path is in memory besides the terminal counts. A pre-token
+of over LONG characters stays out of the trie: the same recurrence runs over it with as many scores as the longest piece needs.
 
 The vocabulary is a public tokenizer's list of pieces, used as it is. The list is in order of merging, without frequencies;
 a piece's probability is Zipf's law on its place. A character that is no piece costs one piece for each of its UTF-8 bytes.
@@ -16,6 +17,7 @@ Defined results: a null, empty or blank text has no pre-token and no token, and
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterable, Iterator
 from math import log
 from os.path import commonprefix
@@ -28,6 +30,8 @@ from .common import load, map_rows
 MARK = "▁"
 #: Words whose terminal counts a Python worker keeps, and characters of texts whose words go into the trie together.
 MOST_WORDS, AT_ONCE = 1_000_000, 1 << 23
+#: Characters of a pre-token from which it is scored without a path.
+LONG = 4096
 #: Log probability of a byte below that of the last piece.
 BYTE_PENALTY = 10.0
 
@@ -63,6 +67,9 @@ class Trie:
         before, out = "", []
         scores, counts, starts = [0.0], [0], [[]]
         for word in words:
+            if len(word) > LONG:
+                out.append(self.alone(word))
+                continue
             depth = len(commonprefix((before, word)))
             del scores[depth + 1 :], counts[depth + 1 :], starts[depth + 1 :]
             end = len(word)
@@ -90,19 +97,46 @@ class Trie:
             before = word
         return out
 
+    def alone(self, word: str) -> tuple[float, int]:
+        """Score and count of a pre-token by itself; memory is bounded by the longest piece."""
+        begun, is_piece = self.begun.get, self.pieces
+        longest = max(map(len, self.pieces), default=1)
+        scores, counts = deque([0.0], longest), deque([0], longest)
+        going: list[int] = []  # starts, as distances back from here, of what may still become a piece
+        for end, letter in enumerate(word, 1):
+            best, count, still = -1e300, 0, []
+            for back in (*going, 0):
+                score = begun(word[end - back - 1 : end])
+                if score is not None:
+                    still.append(back + 1)
+                    score += scores[-1 - back]
+                    if score > best or score == best and counts[-1 - back] + 1 < count:
+                        best, count = score, counts[-1 - back] + 1
+            if letter not in is_piece:
+                size = len(letter.encode("utf-8", "surrogatepass"))
+                score = scores[-1] + size * self.byte
+                if score > best:
+                    best, count = score, counts[-1] + size
+            scores.append(best)
+            counts.append(count)
+            going = [b for b in still if b < longest]
+        return scores[-1], counts[-1]
+
 
 class Counter:
     """Terminal scores and counts by word; of words seen before they are kept, up to a bound."""
 
     def __init__(self, pieces: dict[str, float], most: int = MOST_WORDS):
-        self.trie, self.most, self.kept = Trie(pieces), most, {}
+        self.trie, self.most, self.kept, self.held_long = Trie(pieces), most, {}, False
 
     def count(self, texts: list[str | None]) -> list[tuple[int, int, float]]:
         """Pre-tokens, tokens and score of each text."""
         split = [text.split() if text else [] for text in texts]
         if len(self.kept) > self.most:
             self.kept = {}
+        self.kept = {w: x for w, x in self.kept.items() if len(w) <= LONG} if self.held_long else self.kept
         new = set().union(*split).difference(self.kept)
+        self.held_long = any(len(w) > LONG for w in new)
         if new:
             words = sorted(new)
             self.kept.update(zip(words, self.trie.terminals([MARK + w for w in words])))
