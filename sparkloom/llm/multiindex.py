@@ -11,9 +11,12 @@ force, and how many vectors the walk passes before it reaches their cells. ``wan
 
 Equal vectors are indexed once: what they return is decided by their least ids, so copies, however many, cost nothing.
 Cells over ``BLOCK_ROWS`` are cut into blocks of about that size, so a crowded cell is searched by several tasks, in full.
+Cells are dealt to shards in the order of their centroids along the direction in which these spread most, so that a walk's cells
+lie in few shards. A shard's queries are searched ``PROBES`` at a time, each lot by a task of its own, and only vectors
+of cells that some query of a round has opened are multiplied.
 
-Defined results: vectors that are null, zero or hold null or non-finite components take no part, nor do those whose length
-is not the most frequent one (of equally frequent ones, the least). Rows without id take no part. Equal scores are ordered by
+Defined results: vectors that are null, zero or hold null or non-finite components take no part. Vectors of several lengths are
+searched length by length, as a cosine needs equal lengths. Rows without id take no part. Equal scores are ordered by
 vec_id; of repeated rows of an id each is a candidate of its own to other ids, none to its own. Fewer candidates than k: all.
 An empty table gives no rows. Other columns are ignored.
 """
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +45,12 @@ CELL_ROWS, MOST_CENTROIDS = 8, 512
 AIM, MEASURED = 0.96, 128
 #: Vectors of a block of a cell, and of a task's group of blocks.
 BLOCK_ROWS, SHARD_ROWS = 4096, 16_384
-#: Queries whose products with a group of blocks are held at once.
-QUERIES_AT_ONCE = 128
+#: Queries of a task, and those whose products with a shard are held at once.
+PROBES, QUERIES_AT_ONCE = 4096, 128
+#: Shards with more than PROBES queries that may be broadcast, and the salts of queries that share a vector.
+BROADCAST_SHARDS, SALTS = 100_000, 16
+
+_log = logging.getLogger(__name__)
 
 
 def centroids_for(n: int) -> int:
@@ -58,13 +66,12 @@ def valid(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
     rows = vectors.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("vector"))
     sound = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     rows = rows.where(F.coalesce(sound, F.lit(False)))
-    sizes = rows.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    rows = rows.where(F.size("vector") == (sizes[0]["d"] if sizes else -1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = matrix(batch.column(1)) + 0.0  # no negative zeros
-            keys = [hashlib.blake2b(row.tobytes(), digest_size=16).digest() for row in x]
+            ends = batch.column(1).offsets.to_numpy()
+            flat = batch.column(1).values.to_numpy(zero_copy_only=False) + 0.0  # no negative zeros
+            keys = [hashlib.blake2b(flat[a:b].tobytes(), digest_size=16).digest() for a, b in zip(ends, ends[1:])]
             yield _batches({"vec_id": batch.column(0), "key": pa.array(keys, pa.binary()), "vector": batch.column(1)})
 
     return rows.mapInArrow(run, "vec_id long, key binary, vector array<double>")
@@ -147,13 +154,38 @@ def walked(a: np.ndarray, b: np.ndarray, sizes: dict[int, int], width: int, targ
     return [at[t] for t in targets]
 
 
-def shard_of(cells: np.ndarray, shards: int) -> np.ndarray:
-    mixed = cells.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((mixed >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
+class Shards:
+    """The shard of each block of a cell: blocks in the order of their centroids, as many to a shard as make about ``rows`` vectors.
+
+    A block's number is its cell's, with the block's place in the cell above it."""
+
+    def __init__(self, books: Codebooks, sizes: dict[int, int], blocks: dict[int, int], rows: int):
+        first, second = (spread(c) for c in (books.first, books.second))
+        order = sorted(sizes, key=lambda c: (first[c // books.width], second[c % books.width]))
+        numbers, shards, held = [], [], 0
+        for cell in order:
+            n = blocks.get(cell, 1)
+            for block in range(n):
+                numbers.append(cell + (block << 40))
+                shards.append(held // rows)
+                held += -(-sizes[cell] // n)
+        by = np.argsort(np.array(numbers, np.int64), kind="stable")
+        self.numbers, self.shards = np.array(numbers, np.int64)[by], np.array(shards, np.int64)[by]
+
+    def of(self, cells: np.ndarray) -> np.ndarray:
+        return self.shards[np.searchsorted(self.numbers, cells)]
+
+
+def spread(centers: np.ndarray) -> list[int]:
+    """Each centroid's place along the direction in which they spread most."""
+    x = centers - centers.mean(axis=0)
+    along = x @ np.linalg.svd(x, full_matrices=False)[2][0] if x.size else np.zeros(len(x))
+    return np.argsort(np.argsort(along, kind="stable"), kind="stable").tolist()
 
 
 def _scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Cosines of a vector with rows, each computed on its own in double precision."""
+    """Cosines of a vector with rows, each computed on its own in double precision; scaled first, so that no square leaves its range."""
+    x, q = x / np.abs(x).max(axis=1, keepdims=True), q / np.abs(q).max()
     return np.einsum("ij,j->i", x, q) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("j,j->", q, q)))
 
 
@@ -172,18 +204,21 @@ def _rerank(shard: pa.Table, probes: pa.Table, k: int) -> pa.Table:
     ids = shard.column("ids").to_pylist()
     least = np.array([own[0] for own in ids])
     cells, cell_of = np.unique(shard.column("cell").to_numpy(), return_inverse=True)
-    units = unit(x)
+    lists = [np.searchsorted(cells, x.values.to_numpy()) for x in probes.column("cells").combine_chunks()]
+    near_by = sorted(range(len(lists)), key=lambda n: lists[n][0])  # queries of a round open much the same cells
     keys, out = probes.column("key").to_pylist(), []
     q = matrix(probes.column("vector").combine_chunks())
-    wanted = probes.column("cells").combine_chunks()
     for start in range(0, len(q), QUERIES_AT_ONCE):
-        products = units @ unit(q[start : start + QUERIES_AT_ONCE]).T
-        for n in range(start, min(len(q), start + QUERIES_AT_ONCE)):
-            own = wanted[n].values.to_numpy()
-            open_cells = np.zeros(len(cells), bool)
-            open_cells[np.searchsorted(cells, own)] = True
-            rows = np.flatnonzero(open_cells[cell_of])
-            near = products[rows, n - start]
+        own = near_by[start : start + QUERIES_AT_ONCE]
+        opened = np.zeros(len(cells), bool)
+        opened[np.concatenate([lists[n] for n in own])] = True
+        there = np.flatnonzero(opened[cell_of])
+        products = unit(x[there]) @ unit(q[own]).T
+        for column, n in enumerate(own):
+            opened[:] = False
+            opened[lists[n]] = True
+            held = np.flatnonzero(opened[cell_of[there]])
+            rows, near = there[held], products[held, column]
             if len(rows) > 4 * k + 16:  # what rounding could tell apart stays in
                 top = np.argpartition(near, -(k + 1))[-(k + 1) :]
                 if len(np.unique(least[rows[top]])) <= k:  # an id has several of them
@@ -233,18 +268,24 @@ def measure(placed: DataFrame, queries: np.ndarray, books: Codebooks, sizes: dic
 def search(vectors: DataFrame, is_query: F.Column, k: int = K, aim: float = AIM) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest of the rows for which is_query, a condition on vec_id, holds."""
     rows = valid(vectors)
+    out = None
+    for size in sorted(r["d"] for r in rows.select(F.size("vector").alias("d")).distinct().collect()):
+        found = _search(rows.where(F.size("vector") == size), is_query, k, aim)
+        out = found if out is None else out.union(found)
+    return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double") if out is None else out
+
+
+def _search(rows: DataFrame, is_query: F.Column, k: int, aim: float) -> DataFrame:
     # copies: each salt keeps its least distinct ids, then all salts' together; k rows of an id are all that a list can hold
     salted = Window.partitionBy("key", "salt").orderBy("vec_id")
     own_rows = rows.groupBy("key", "vec_id").agg(F.count("*").alias("times"), F.first("vector").alias("vector"))
-    few = own_rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(16))).withColumn("n", F.row_number().over(salted)).where(F.col("n") <= k + 1)
+    few = own_rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS))).withColumn("n", F.row_number().over(salted)).where(F.col("n") <= k + 1)
     least = F.slice(F.array_sort(F.collect_list(F.struct("vec_id", F.least("times", F.lit(k)).cast("int").alias("times")))), 1, k + 1)
     ids = few.groupBy("key").agg(least.alias("least"), F.first("vector").alias("vector"))
     ids = ids.select("key", F.flatten(F.transform("least", lambda x: F.array_repeat(x["vec_id"], x["times"]))).alias("ids"), "vector")
     asked = cut(rows.where(is_query).select("key", F.col("vec_id").alias("query_id")).distinct())
     index = cut(ids.join(asked.select("key").distinct().withColumn("asked", F.lit(True)), "key", "left"))
     n = index.count()
-    if not n:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sampled = index.where(F.pmod(F.xxhash64("key"), F.lit(1 << 24)) < int((1 << 24) * min(1.0, SAMPLE_ROWS / n)))
     sample = np.array([r["vector"] for r in sampled.select("key", "vector").sort("key").collect()] or [index.first()["vector"]])
     books = Codebooks(sample, centroids_for(n))
@@ -257,10 +298,11 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = K, aim: float = AIM)
     assigned = cut(index.select("key", "ids", "vector").mapInArrow(assign, "key binary, ids array<bigint>, vector array<double>, base long"))
     sizes = {r["base"]: r["n"] for r in assigned.groupBy("base").agg(F.count("*").alias("n")).collect()}
     blocks = {cell: -(-size // BLOCK_ROWS) for cell, size in sizes.items() if size > BLOCK_ROWS}
-    shards = -(-n // SHARD_ROWS)
+    shards = Shards(books, sizes, blocks, SHARD_ROWS)
     # a query's own vectors, beyond one, are opened besides
     most = asked.groupBy("query_id").count().agg(F.max("count")).first()[0] or 1
     wanted = max(4 * k, measure(assigned, sample[:: max(1, -(-len(sample) // MEASURED))], books, sizes, k, aim)) + most - 1
+    _log.info("a walk opens %d of %d distinct vectors", min(wanted, n), n)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,7 +310,7 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = K, aim: float = AIM)
                 # a block of a crowded cell is a cell of its own: its number goes above the cell's
                 base, keys = batch.column(3).to_pylist(), batch.column(0).to_pylist()
                 cell = np.array([c + (int.from_bytes(key[:8], "little") % blocks.get(c, 1) << 40) for c, key in zip(base, keys)], np.int64)
-                yield _batches({"shard": pa.array(shard_of(cell, shards)), "cell": pa.array(cell), "ids": batch.column(1), "vector": batch.column(2)})
+                yield _batches({"shard": pa.array(shards.of(cell)), "cell": pa.array(cell), "ids": batch.column(1), "vector": batch.column(2)})
 
     placed = assigned.mapInArrow(place, "shard long, cell long, ids array<bigint>, vector array<double>")
 
@@ -280,7 +322,7 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = K, aim: float = AIM)
             a, b = books.distances(matrix(batch.column(1)))
             for i in range(len(batch)):
                 cells = np.array([c + (n << 40) for c in traverse(a[i], b[i], sizes, books.width, wanted) for n in range(blocks.get(c, 1))], np.int64)
-                own = shard_of(cells, shards)
+                own = shards.of(cells)
                 cells, own = cells[np.argsort(own, kind="stable")], np.sort(own)
                 there, starts = np.unique(own, return_index=True)
                 lists = pa.ListArray.from_arrays(pa.array([*starts, len(cells)], pa.int32()), pa.array(cells))
@@ -288,13 +330,22 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = K, aim: float = AIM)
                 yield _batches({"shard": pa.array(there), "key": batch.column(0).take(pa.array(same)), "vector": batch.column(1).take(pa.array(same)), "cells": lists})
 
     asking = index.where("asked").select("key", "vector").repartition(max(1, min(-(-n // 4096), 1000)), "key")
-    dealt = asking.mapInArrow(probe, "shard long, key binary, vector array<double>, cells array<bigint>")
-    scored = placed.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInArrow(lambda left, right: _rerank(left, right, k), "key binary, vec_id long, score double")
+    dealt = cut(asking.mapInArrow(probe, "shard long, key binary, vector array<double>, cells array<bigint>"))
+    # a shard that many queries open is searched by several tasks, each with a lot of them
+    lots = cut(dealt.groupBy("shard").agg(F.ceil(F.count("*") / PROBES).alias("lots")).where("lots > 1"))
+    lots = F.broadcast(lots) if lots.count() <= BROADCAST_SHARDS else lots
+    lot_of = F.coalesce("lots", F.lit(1).cast("long"))
+    placed = placed.join(lots, "shard", "left").withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), lot_of - 1))).drop("lots")
+    dealt = dealt.join(lots, "shard", "left").withColumn("lot", F.pmod(F.xxhash64("key"), lot_of)).drop("lots")
+    scored = placed.groupBy("shard", "lot").cogroup(dealt.groupBy("shard", "lot")).applyInArrow(lambda left, right: _rerank(left, right, k), "key binary, vec_id long, score double")
     by_id = scored.groupBy("key", "vec_id").agg(F.max("score").alias("score"), F.collect_list("score").alias("scores"))
     best = by_id.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k + 1)
     each = F.transform("scores", lambda x: F.struct((-x).alias("less"), F.col("vec_id"), x.alias("score")))
     lists = best.groupBy("key").agg(F.flatten(F.collect_list(each)).alias("found"))
-    own = asked.join(lists, "key").select("query_id", F.slice(F.filter(F.array_sort("found"), lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("found"))
+    # many queries may share a vector
+    lists = lists.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    own = asked.withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(SALTS))).join(lists, ["key", "salt"])
+    own = own.select("query_id", F.slice(F.filter(F.array_sort("found"), lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("found"))
     return own.select("query_id", F.posexplode("found").alias("rank", "x")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
 
 
