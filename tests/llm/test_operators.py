@@ -24,7 +24,7 @@ def text(seed: int, lang: str = "en", n: int = 60) -> str:
 
 
 #: Extra columns whose names the operators use inside.
-CLASHING = ("row", "fp", "kept", "host", "lines", "rate", "tokens", "score", "clean", "drawn", "key", "lang_pred", "sequence_id", "component_id")
+CLASHING = ("row", "fp", "kept", "host", "lines", "rate", "tokens", "score", "clean", "drawn", "key", "lang_pred", "sequence_id", "component_id", "domain", "labelled", "p0", "known", "digest", "salt", "own_host", "stays", "accepted", "least", "root", "keys", "length", "piece")
 
 
 def documents(spark, rows):
@@ -105,6 +105,100 @@ def test_mpeg_delay_and_vbri():
     assert mpegaudio.decode(bytes(vbri) + silent * 2).vbr == {"kind": "VBRI", "frames": 2, "bytes": 999}
 
 
+def test_mpeg_tables_cut_by_their_frame():
+    for mark in (b"Xing", b"Info", b"VBRI"):
+        for head in ((0xFF, 0xF3, 0x14, 0xC0), (0xFF, 0xF3, 0x10, 0xC0), (0xFF, 0xE3, 0x18, 0xC0)):  # versions 2 and 2.5, one channel, 8 kbit/s
+            h = mpegaudio.parse_header(bytes(head))
+            for flags in range(16):
+                frame = (bytes(head) + bytes(h.side) + mark + flags.to_bytes(4, "big")).ljust(h.size, b"\0")[: h.size]
+                audio = mpegaudio.decode(frame + (bytes(head).ljust(h.size, b"\0")) * 2)
+                assert len(audio.offsets) in (2, 3)
+
+
+def test_no_bytes_raise():
+    r = random.Random(6)
+    base = mpegaudio.encode(os.urandom(3000))
+    starts = [b"ID3\4\0\xff\0\0\1\0", b"ID3\2\0\x40\0\0\0\x20", b"\xff\xfb\x90\xc0", b"\xff\xfd\x14\x40", b"\xff\xfe\x10", b"\xff\xf2", b"TAG", b"APETAGEX" + b"\xff" * 24, b"Xing\0\0\0\xff"]
+    for k in range(1500):
+        data = bytearray(base[r.randrange(len(base)) :] if k % 2 else b"".join(r.choice(starts) + r.randbytes(r.randrange(80)) for _ in range(12)))
+        for _ in range(r.randrange(12)):
+            if data:
+                data[r.randrange(len(data))] = r.choice((0, 255, r.randrange(256)))
+        audio = mpegaudio.decode(bytes(data))
+        mpegaudio.feature(audio)
+        try:
+            audio.payload()
+        except ValueError:
+            pass
+
+
+def test_foreign_media_have_no_payload(spark):
+    media = spark.createDataFrame([(1, 0, None), (2, 3, bytearray(b"abc")), (3, 0, bytearray(mpegaudio.encode(b"x" * 64))), (4, 0, bytearray(mpegaudio.encode(b"x" * 5000)[:3000]))], "doc_id long, n_bytes long, media binary")
+    found = {r["doc_id"]: r for r in local(mpegaudio.facts(media))}
+    assert found[3]["payload_bytes"] == 64 and all(found[k]["payload_bytes"] is None for k in (1, 2, 4)) and found[1]["media_bytes"] is None and found[1]["seek_offsets"] == []
+
+
+def plain_feature(data):
+    """The feature of a file of encode(), parsed anew: constant table of one rate, no resynchronisation."""
+    kbps = (32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
+    size = 0
+    for byte in data[6:10]:
+        size = size * 128 + byte
+    at, frames, good, n, seen = 10 + size, [], 0, None, set()
+    while at < len(data):
+        head = int.from_bytes(data[at : at + 4], "big")
+        assert head >> 21 == 0x7FF and head >> 19 & 3 == 3 and head >> 17 & 3 == 1 and head >> 10 & 3 == 2
+        rate = kbps[(head >> 12 & 15) - 1]
+        if n is None:
+            n = int.from_bytes(data[at + 4 + 17 + 8 : at + 4 + 17 + 12], "big")
+        else:
+            frames.append(at)
+            seen.add(rate)
+            register = 0xFFFF
+            for bit in "".join(f"{b:08b}" for b in data[at + 2 : at + 4] + data[at + 6 : at + 23]):
+                top = (register >> 15) ^ int(bit)
+                register = (register << 1 & 0xFFFF) ^ (0x8005 * top)
+            good += register == int.from_bytes(data[at + 4 : at + 6], "big")
+        at += 144 * rate * 1000 // 32000
+    offsets = zlib.crc32(b"".join(x.to_bytes(8, "little") for x in frames))
+    rates = "-".join(map(str, sorted({min(seen), max(seen)})))
+    return f"mpeg=1;layer=3;rate=32000;frames={len(frames)};samples={1152 * len(frames)};seconds={1152 * len(frames) / 32000:.6f};kbps={rates};vbr=Xing:{n};crc={good}/0;skipped=0;first={frames[0]};offsets_crc32={offsets:08x}", frames
+
+
+def test_features_against_a_plain_parser(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = {r["doc_id"]: plain_feature(mpegaudio.encode(mpegaudio.padded(r["text"]))) for r in docs.collect()}
+    for r in local(mpegaudio.facts(mpegaudio.store(docs))):
+        assert (r["feature"], r["seek_offsets"]) == want[r["doc_id"]]
+
+
+def test_layer_two_checks():
+    """A stereo frame at 48 kHz and 192 kbit/s: 27 subbands; the check covers header, allocations and what they choose."""
+    widths = [4] * 11 + [3] * 12 + [2] * 4
+    r = random.Random(3)
+    values = [[r.randrange(1 << w) if r.random() < 0.6 else 0 for w in widths] for _ in range(2)]
+    bits = "".join(f"{values[c][b]:0{w}b}" for b, w in enumerate(widths) for c in range(2))
+    bits += "".join(f"{r.randrange(4):02b}" for b in range(27) for c in range(2) if values[c][b])
+    head = bytes((0xFF, 0xFC, 0xA4, 0x00))
+    register = 0xFFFF
+    for bit in f"{int.from_bytes(head[2:], 'big'):016b}" + bits:
+        register = (register << 1 & 0xFFFF) ^ (0x8005 * ((register >> 15) ^ int(bit)))
+    padded = bits + "1" * (-len(bits) % 8)
+    body = int(padded, 2).to_bytes(len(padded) // 8, "big")
+    h = mpegaudio.parse_header(head)
+    frame = (head + register.to_bytes(2, "big") + body).ljust(h.size, b"\xaa")
+    assert (h.layer, h.kbps, h.rate, h.size) == (2, 192, 48000, 576)
+    audio = mpegaudio.decode(frame * 3)
+    assert (audio.crc_good, audio.crc_bad, audio.samples) == (3, 0, 3 * 1152)
+    hurt = bytearray(frame)
+    hurt[8] ^= 1
+    assert mpegaudio.decode(frame + bytes(hurt) + frame).crc_bad == 1
+    hurt = bytearray(frame)
+    hurt[300] ^= 1  # not covered
+    assert mpegaudio.decode(frame + bytes(hurt) + frame).crc_bad == 0
+    assert [len(mpegaudio.allocation_widths(mpegaudio.parse_header(bytes(x)))) for x in ((0xFF, 0xFC, 0x10, 0), (0xFF, 0xFC, 0x18, 0), (0xFF, 0xFC, 0xE0, 0), (0xFF, 0xF4, 0x10, 0))] == [8, 12, 30, 30]
+
+
 # ---------------------------------------------------------------- 2
 
 
@@ -153,6 +247,48 @@ def test_neighbours_of_repeated_queries(spark):
         assert collections.Counter(x["vec_id"] for x in found) == {i: n * lists for i, n in collections.Counter(want).items()}
 
 
+def test_neighbours_are_exact_where_all_is_opened(spark, monkeypatch):
+    """Odd scales, lengths, copies of queries' vectors and repeated ids against all pairs; shards searched in several lots."""
+    monkeypatch.setattr(multiindex, "PROBES", 3)
+    monkeypatch.setattr(multiindex, "SHARD_ROWS", 50)
+    r = np.random.default_rng(8)
+    rows = [(0, [1e200, 0.0, 1.0]), (1, [2.0, 1.0, 2.0]), (2, [1e-200, 0.0, 1e-200]), (50, [1e308, -1e308, 1e308]), (3, [5e-324, 0.0, 0.0])]
+    rows += [(100 + k, [float(x) for x in r.normal(size=3)]) for k in range(400)] + [(100, rows[1][1]), (150, rows[1][1]), (200, rows[1][1])]
+    rows += [(1000 + k, [float(x) for x in r.normal(size=5)]) for k in range(60)] + [(2000, [1.0] * 7), (2050, [1.0, 2.0]), (7, [2.0, 1.0]), (8, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.Counter((x["query_id"], x["rank"], x["vec_id"], round(x["score"], 9)) for x in local(multiindex.search(df, F.col("vec_id") % 50 == 0, aim=1.0)))
+    want = collections.Counter()
+    for q, v in {(q, tuple(v)) for q, v in rows if q % 50 == 0}:
+        scored = []
+        for i, w in rows:
+            if i != q and len(w) == len(v) and any(w):
+                a, b = np.array(v) / max(map(abs, v)), np.array(w) / max(map(abs, w))
+                scored.append((-float(a @ b / np.sqrt(a @ a) / np.sqrt(b @ b)), i))
+        for n, (s, i) in enumerate(sorted((round(s, 12), i) for s, i in scored)[:5], 1):
+            want[q, n, i, round(-s, 9)] += 1
+    assert got == want and not any(k[0] == 2000 for k in got) and (0, 1, 1, round(2 / 3, 9)) not in got and any(k[0] == 2050 for k in got)
+
+
+def test_recall_on_the_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(x["vec_id"], np.array(x["embedding"], float)) for x in df.select("vec_id", "embedding").collect() if x["embedding"] is not None]
+    rows = [(i, v) for i, v in rows if len(v) and np.isfinite(v).all() and v.any()]
+    want, got = brute_neighbours(rows), collections.defaultdict(set)
+    for x in local(multiindex.search(df, F.col("vec_id") % 50 == 0)):
+        got[x["query_id"]].add(x["vec_id"])
+    assert sum(len(got[q] & set(w)) for q, w in want.items()) >= 0.9 * sum(map(len, want.values()))
+
+
+def test_clustered_vectors_open_few_cells(spark, caplog):
+    r = np.random.default_rng(3)
+    centers = r.normal(size=(200, 16))
+    df = spark.createDataFrame([(i, [float(x) for x in centers[i % 200] + 0.02 * r.normal(size=16)]) for i in range(6000)], "vec_id long, embedding array<double>")
+    with caplog.at_level("INFO", logger=multiindex.__name__):
+        assert multiindex.search(df, F.col("vec_id") % 50 == 0).count() == 600
+    opened, total = map(int, [w for w in caplog.records[-1].getMessage().split() if w.isdigit()])
+    assert total == 6000 and opened < 0.05 * total
+
+
 def test_walk_is_in_order_of_distance():
     r = np.random.default_rng(1)
     a, b = r.random(9), r.random(7)
@@ -322,6 +458,22 @@ def test_trie_matches_brute_force():
     assert trie.nodes < sum(map(len, words))
 
 
+def test_long_pre_tokens_need_no_path(monkeypatch):
+    import tracemalloc
+
+    pieces = tokencounts.load_pieces(tokencounts.model_path())
+    trie, r = tokencounts.Trie(pieces), random.Random(5)
+    words = sorted(tokencounts.MARK + "".join(r.choice(["in", "ter", "nation", "al", "日", "x", "é", "aaaa", "ing"]) for _ in range(r.randrange(1, 60))) for _ in range(300))
+    want = trie.terminals(words)
+    monkeypatch.setattr(tokencounts, "LONG", 20)
+    assert trie.terminals(words) == want
+    monkeypatch.undo()
+    tracemalloc.start()
+    trie.alone(tokencounts.MARK + "international" * 20_000)
+    assert tracemalloc.get_traced_memory()[1] < 4 << 20
+    tracemalloc.stop()
+
+
 def test_token_counts(odd, none):
     found = local(tokencounts.token_counts(odd, tokencounts.model_path()))
     assert len(found) == 13 and sorted(r["n_pretokens"] for r in found)[:4] == [0, 0, 0, 0]
@@ -373,6 +525,39 @@ def test_warc_without_payloads_keeps_all_records(spark, tmp_path):
         assert warc.read(spark, path, payload="false").where(F.col("record_type") == kind).count() == 1
 
 
+def record(kind, block, **more):
+    return f"WARC/1.1\r\nWARC-Type: {kind}\r\n{''.join(f'{k}: {v}{chr(13)}{chr(10)}' for k, v in more.items())}".encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+def test_warc_damage(spark, tmp_path):
+    import gzip
+
+    one = record("response", b"HTTP/1.1 200 OK\r\n\r\nfirst", **{"Content-Type": "application/http", "Content-Length": 24, "WARC-Record-ID": "<urn:page:1>"})
+    two = record("resource", b"second", **{"Content-Length": 6, "WARC-Record-ID": "<urn:page:2>"})
+    bad = record("resource", b"", **{"Content-Length": "many"})
+    bare = record("revisit", b"HTTP/1.1 200 OK\r\n\r\n", **{"Content-Type": "application/http", "Content-Length": 19, "WARC-Record-ID": "<urn:page:3>"})
+    cut = record("resource", b"abc", **{"Content-Length": 10})[:-4]
+    noise = os.urandom(200_000).replace(b"WARC", b"") + b"\nnoise WARC/1.0 \n"
+    members = gzip.compress(one) + gzip.compress(two)
+    files = {"plain.warc": one + noise + two + bad + bare + cut, "a.warc.gz": members, "short.warc.gz": (gzip.compress(one) + gzip.compress(record("resource", os.urandom(5000), **{"Content-Length": 5000})))[:-300], "tail.warc.gz": members + b"no member", "none.warc": b"nothing here", "broken.warc.gz": members[:40] + b"\0" * 40}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    rows = collections.defaultdict(list)
+    for r in local(warc.read(spark, f"file://{tmp_path}").drop("offset")):
+        rows[os.path.basename(r["file"])].append((r["record_type"], None if r["payload"] is None else bytes(r["payload"]), r["complete"]))
+    assert rows["plain.warc"] == [("response", b"first", True), ("resource", b"second", True), ("resource", b"", True), ("revisit", None, True), ("resource", b"abc", False)]
+    assert rows["a.warc.gz"] == rows["tail.warc.gz"] == [("response", b"first", True), ("resource", b"second", True)] and not rows["none.warc"]
+    assert rows["short.warc.gz"][0][1] == b"first" and rows["short.warc.gz"][1][2] is False and len(rows["short.warc.gz"]) == 2
+    headers = local(warc.read(spark, f"file://{tmp_path}", payload="false"))
+    assert sorted((os.path.basename(r["file"]), r["record_type"], r["complete"]) for r in headers) == sorted((f, k, c) for f, own in rows.items() for k, _, c in own)
+    facts = local(warc.payload_facts(warc.read(spark, f"file://{tmp_path}")))
+    assert [(r["payload_bytes"], r["payload_digest"]) for r in facts if r["page_id"] == 3] == [(None, None)]
+    assert warc.read(spark, f"file://{tmp_path}").where("record_id = '<urn:page:2>'").count() == 3
+    for name, said in (("plain.warc", "no WARC record"), ("broken.warc.gz", "broken"), ("short.warc.gz", "short")):
+        with pytest.raises(Exception, match=said):
+            warc.read(spark, f"file://{tmp_path}/{name}", strict="true").count()
+
+
 def test_warc_reads_headers_only(tmp_path):
     class Counting:
         def __init__(self, data):
@@ -542,6 +727,39 @@ def test_mixing(spark, odd, none):
     assert {r["rate"] for r in local(mixing.mix(odd, labels.limit(0)))} == {1.0}
 
 
+def test_bounded_rates_keep_proportions(spark):
+    """Rates between 0 and 1: too much goes, nothing goes for what is too little; against the same steps in one process."""
+    r = np.random.default_rng(9)
+    p, tokens = r.dirichlet((2.0, 0.3, 0.2), 500), r.integers(1, 400, 500)
+    members = spark.createDataFrame([(int(t), *map(float, x)) for t, x in zip(tokens, p)], "tokens long, p0 double, p1 double, p2 double")
+    found = mixing.solve(members, at_most=1.0)
+    rates = np.array([x["rate"] for x in local(mixing.fit_rates(members, at_most=1.0))])
+    totals = (rates * tokens) @ p
+    assert found.settled and rates.min() >= 0 and rates.max() <= 1 and totals == pytest.approx(found.totals)
+    assert totals / totals.sum() == pytest.approx([0.95, 0.04, 0.01], abs=1e-4)
+    assert rates[p[:, 0] > 0.99].mean() > 0.9
+    short = mixing.solve(members, {"clean": 0.2, "low": 0.1, "toxic": 0.7}, at_most=1.0)  # toxic is far too little: it stays whole
+    assert short.targets[2] == short.totals[2]
+    with pytest.warns(UserWarning, match="rates leave the totals"):
+        same = spark.createDataFrame([(10, 0.5, 0.3, 0.2)] * 20, "tokens long, p0 double, p1 double, p2 double")
+        assert not mixing.solve(same).settled
+
+
+def test_classifier_against_one_process(spark):
+    """The posteriors that tasks give are those of the same classifier, over the whole texts, with none cut."""
+    rows = [(k, text(k, n=30 + k), "en", "a") for k in range(60)] + [(100 + k, "### !!! buy " * (k + 2), "en", "a") for k in range(40)]
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(50)] + [(100 + k, 0, 0) for k in range(30)], "doc_id long, quality int, toxic int")
+    model = mixing.fit(docs, labels)
+    x = np.stack([mixing.features(t)[1] for _, t, _, _ in rows])
+    z = x @ model.weights + model.bias
+    want = np.exp(z - z.max(axis=1, keepdims=True))
+    want /= want.sum(axis=1, keepdims=True)
+    got = {r["doc_id"]: [r["p0"], r["p1"], r["p2"]] for r in local(mixing.posteriors(docs, model, ("doc_id", "text")).select("row.doc_id", "p0", "p1", "p2"))}
+    assert np.array([got[i] for i, *_ in rows]) == pytest.approx(want, abs=1e-6) and (want[:, :2] > 0).all()
+    assert (want[50:60, 0] > 0.5).all() and (want[90:, 1] > 0.5).all()  # rows without a label
+
+
 # ---------------------------------------------------------------- 9
 
 
@@ -562,6 +780,35 @@ def test_languages(spark, odd, none):
     assert langid.stage(spark, docs, "").columns == docs.columns
 
 
+def test_languages_against_a_plain_loop(spark):
+    """Every document of a table: normalised, cut in blocks, compressed with each dictionary, anew."""
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    learned = langid.learn(langid.learned_rows(docs))
+    assert 2 <= len(learned) and all(len(x) <= langid.DICTIONARY_BYTES for x in learned.values())
+
+    def total(data, name, level):
+        own = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(learned[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False)
+        return sum(len(own.compress(data[k : k + 4096])) for k in range(0, len(data), 4096))
+
+    want = {}
+    for r in docs.collect():
+        words = "".join(c if c.isalpha() or (c.isalnum() and not c.isdecimal() and c.isnumeric()) or c == "_" else " " for c in (r["text"] or "").lower())
+        data = " ".join(words.replace("_", " ").split()).encode()
+        if not any(c.isalpha() for c in r["text"] or ""):
+            want[r["doc_id"]] = ("und", 0.0)
+            continue
+        sizes = {n: total(data, n, 5) for n in sorted(learned)}
+        best, second = sorted(sizes.values())[:2]
+        if (second - best) / second < 0.03:
+            sizes = {n: s + total(data, n, 9) + total(data, n, 12) for n, s in sizes.items()}
+            best, second = sorted(sizes.values())[:2]
+        want[r["doc_id"]] = (min(sizes, key=sizes.get), (second - best) / second)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in local(langid.op9_language_id(spark, "/root/testdata/sf0.001"))}
+    assert got == want
+
+
 def test_held_out_rows_teach_nothing(spark):
     rows = [(k, text(k, n=30), "en", "a") for k in range(60)]
     changed = [(k, "zzz zzz" if zlib.crc32(str(k).encode()) % 4 == 2 else t, lang, s) for k, t, lang, s in rows]
