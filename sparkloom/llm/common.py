@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Callable, Iterable, Iterator
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators.lineage import cut, remove, shared_dir
 from ..shipping import ship
 
-__all__ = ["cut", "id_text", "load", "map_arrow", "map_rows", "release", "remove", "rows_to_batches", "shared_dir", "slices", "utf8"]
+__all__ = ["cut", "id_text", "load", "map_arrow", "map_rows", "release", "remove", "rows_to_batches", "scratch", "shared_dir", "slices", "sweep", "utf8"]
 
 #: Rows that one Arrow batch handed back to Spark holds at most, and rows of a batch that are Python objects at once.
 OUT_ROWS, IN_ROWS = 20_000, 500
@@ -28,6 +29,21 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_scratch: list[str] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one for what a stage writes and its result still reads."""
+    _scratch.append(f"{shared_dir(spark)}/{name}-{uuid4().hex}")
+    return _scratch[-1]
+
+
+def sweep(spark: SparkSession) -> None:
+    """Removes the scratch folders: for whoever has written the results that read them."""
+    while _scratch:
+        remove(spark, _scratch.pop())
+
+
 def rows_to_batches(rows: Iterable[tuple], schema: pa.Schema, at_most: int = OUT_ROWS) -> Iterator[pa.RecordBatch]:
     """Batches of bounded size from tuples in the schema's order."""
     kept: list[tuple] = []

@@ -28,13 +28,12 @@ import warnings
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import cut, load, map_arrow, shared_dir
+from .common import cut, load, map_arrow, scratch
 
 DOMAINS = ("clean", "low", "toxic")
 #: Target weights of the domains in the mix.
@@ -274,8 +273,8 @@ def op8_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents kept with their rate, 1 at most, as probability, drawn by a hash of id and text, so equal rows share their fate.
 
-    The documents go once, with their posteriors, to a folder of the shared one, whose narrow columns the steps read; no row is shuffled."""
-    folder = f"{shared_dir(spark)}/mixing-{uuid4().hex}"
+    The documents go once, with their posteriors, to a scratch folder whose narrow columns the steps read; no row is shuffled."""
+    folder = scratch(spark, "mixing")
     posteriors(docs, fit(docs, load(spark, sf_dir, "labels")), tuple(docs.columns)).write.parquet(folder)
     members = spark.read.parquet(folder)
     drawn = F.pmod(F.xxhash64("row.doc_id", "row.text", F.lit(88)), F.lit(1 << 30)) / F.lit(float(1 << 30))

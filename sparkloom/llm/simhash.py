@@ -14,9 +14,11 @@ Components: local union-find in each partition of the links, then alternating la
 
 The pipeline's stage links by the sets of five-word shingles instead, at Jaccard similarity 0.8 or more: such texts differ in up
 to some 17 of the 64 bits, which no Golay keys reach. Texts with equal sets are one node, named by a digest of the set. Each
-distinct set has a MinHash key for each of BANDS bands of BAND_ROWS values; sets that share a key are compared exactly, all pairs
-of a key, in blocks of at most about BLOCK_ROWS, so a crowded key is dealt to many tasks. A pair at 0.8 shares a key with a chance
-of 0.99993, a closer one with a greater. Texts without words are equal.
+distinct set has a MinHash key for each of BANDS bands of BAND_ROWS values; sets that share a key are compared exactly. A crowded
+key is dealt to blocks of at most about BLOCK_ROWS, in each of which its PIVOTS first members stand too: what is connected to the
+same pivot needs no comparison with each other across blocks, so only members that are not connected to the pivot of most meet
+all blocks. A group of near copies, however large, thus costs in proportion to its size. No link is lost. A pair at 0.8 shares a
+key with a chance of 0.99993, a closer one with a greater. Texts without words are equal.
 
 Defined results: a null or wordless text has fingerprint zero, which links like any other. component_id is the least non-null
 doc_id of the rows reachable, null if there is none. Repeated rows keep a row each. An empty table gives no rows.
@@ -29,7 +31,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import cut, load, map_arrow, utf8
 
@@ -41,6 +43,8 @@ STAGE_WORDS, STAGE_SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 24, 5
 #: Sets of a block of a crowded key, shingles compared at once, and ids that may be broadcast.
 BLOCK_ROWS, COLUMNS, BROADCAST_IDS = 256, 8192, 200_000
+#: Members of a crowded key that stand in each of its blocks.
+PIVOTS = 8
 #: Shingle hashes that a Python worker counts at once.
 AT_ONCE = 1 << 17
 #: Documents of a batch handed back to Spark.
@@ -241,6 +245,26 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def linked(sets: list[np.ndarray], similarity: float) -> tuple[list[tuple[int, int]], list[int]]:
+    """A spanning forest of the pairs of at least the similarity, and each set's root in it."""
+    sizes, both = np.array([len(x) for x in sets]), intersections(sets)
+    near = np.argwhere(np.triu(both >= similarity * (sizes[:, None] + sizes - both) - 1e-9, 1)).tolist()
+    parent, found = list(range(len(sets))), []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for x, y in near:
+        a, b = root(x), root(y)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            found.append((x, y))
+    return found, [root(x) for x in range(len(sets))]
+
+
 def similar(distinct: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """Pairs a < b that connect what pairs of at least the similarity connect; distinct has fp, an id least and keys of each set."""
     own = distinct.select("fp", "least", F.explode("keys").alias("key"))
@@ -255,33 +279,41 @@ def similar(distinct: DataFrame, docs: DataFrame, width: int, similarity: float)
             yield pa.RecordBatch.from_arrays([pa.array(map(set_digest, sets), pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["fp", "shingles"])
 
     def compare(group: pa.Table) -> pa.Table:
-        fps = group.column("fp").to_numpy()
-        sets = [x.values.to_numpy().view(np.uint64) for x in group.column("shingles").combine_chunks()]
-        sizes, both = np.array([len(x) for x in sets]), intersections(sets)
-        near = np.argwhere(np.triu(both >= similarity * (sizes[:, None] + sizes - both) - 1e-9, 1)).tolist()
-        parent = list(range(len(sets)))
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        found = []
-        for x, y in near:
-            a, b = root(x), root(y)
-            if a != b:
-                parent[a] = b
-                found.append(sorted((int(fps[x]), int(fps[y]))))
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
-
-    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("least")), "left_semi").select("text")
+        """Links of a block, and of a crowded key's members the first pivot that each is connected to here (-1: none), with b null."""
+        group = group.sort_by([("pivot", "ascending"), ("fp", "ascending")])
+        fps, pivots = group.column("fp").to_pylist(), group.column("pivot").to_pylist()
+        found, roots = linked([x.values.to_numpy().view(np.uint64) for x in group.column("shingles").combine_chunks()], similarity)
+        key = group.column("key")[0].as_py()
+        out = [(key, *sorted((fps[x], fps[y])), None) for x, y in found]
+        if group.column("blocks")[0].as_py() > 1:  # pivots come first, so they are the roots of what they are connected to
+            out += [(key, fp, None, pivots[r] if pivots[r] < PIVOTS else -1) for fp, r, p in zip(fps, roots, pivots) if p == PIVOTS]
+        return pa.table([pa.array(c, pa.int64()) for c in zip(*out)], names=["key", "a", "b", "at"]) if out else pa.table({n: pa.array([], pa.int64()) for n in ("key", "a", "b", "at")})
+
+    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("least")), "left_semi").select("text")
     sets = map_arrow(texts, sets_of, "fp long, shingles array<bigint>").dropDuplicates(["fp"])
-    # each two blocks of a key's sets meet in a group of their own
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     blocks = F.ceil(F.col("n") / BLOCK_ROWS)
-    dealt = members.withColumn("block", F.pmod(F.xxhash64("fp"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    dealt = dealt.select("key", "fp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    return dealt.join(sets, "fp").groupBy("key", "low", "high").applyInArrow(compare, "a long, b long").distinct()
+    # a crowded key's first members are its pivots and stand in each of its blocks
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("fp"))
+    pivots = members.where(F.col("n") > BLOCK_ROWS).withColumn("nth", nth).where(F.col("nth") <= PIVOTS).select("key", "fp", (F.col("nth") - 1).cast("long").alias("pivot"), blocks.alias("blocks"))
+    plain = members.join(pivots.select("key", "fp"), ["key", "fp"], "left_anti").select("key", "fp", F.lit(PIVOTS).cast("long").alias("pivot"), blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+    dealt = plain.union(pivots.withColumn("block", F.explode(upto(F.col("blocks")))))
+    first = cut(dealt.join(sets, "fp").groupBy("key", "block").applyInArrow(compare, "key long, a long, b long, at long"))
+    links_found = first.where("b is not null").select("a", "b").distinct()
+    # what isn't connected to the pivot that most of the key are connected to meets all of the key
+    placed = first.where("b is null").select("key", F.col("a").alias("fp"), "at")
+    most = placed.where("at >= 0").groupBy("key", "at").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("at", F.struct("c", "at")).alias("main"))
+    rest = placed.join(most, "key", "left").where(~F.col("at").eqNullSafe(F.col("main"))).select("key", "fp")
+    rest = cut(rest.union(pivots.join(most, "key", "left").where(~F.col("pivot").eqNullSafe(F.col("main"))).select("key", "fp")))
+    counts = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("rests"))
+    if not rest.limit(1).count():
+        return links_found
+    one = F.lit(PIVOTS).cast("long").alias("pivot"), F.lit(1).cast("long").alias("blocks")
+    loose = rest.join(counts, "key").join(members.select("key", "fp", "n"), ["key", "fp"]).withColumn("rest", F.pmod(F.xxhash64("fp"), F.col("rests"))).withColumn("block", F.explode(upto(blocks))).select("key", "fp", "rest", "block")
+    every = members.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("fp"), blocks)).withColumn("rest", F.explode(upto(F.col("rests")))).select("key", "fp", "rest", "block")
+    both = loose.union(every).distinct().select("*", *one).join(sets, "fp")
+    again = both.groupBy("key", "rest", "block").applyInArrow(compare, "key long, a long, b long, at long")
+    return links_found.union(again.select("a", "b")).distinct()
 
 
 # ---------------------------------------------------------------- components

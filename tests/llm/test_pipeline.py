@@ -4,14 +4,17 @@ import collections
 import random
 import subprocess
 import sys
+import zlib
 from pathlib import Path
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sparkloom.llm import langid, linededup, mixing, packing, simhash
 
-from .test_operators import brute_fingerprint, brute_lines
+from .test_operators import brute_fingerprint, brute_lines, none, odd  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,21 +46,61 @@ def test_each_stage_against_brute_force(spark):
     assert sorted(r["doc_id"] for r in single.collect()) == sorted({root(i) for i in prints})
     mixed = mixing.stage(spark, single, SF).cache()
     assert mixed.columns == columns and mixed.exceptAll(single).count() == 0
+    # the stage's draws, rates and posteriors in one process
+    model = mixing.fit(single, spark.read.parquet(f"{SF}/labels.parquet"))
+    own = single.select("doc_id", "text", (F.pmod(F.xxhash64("doc_id", "text", F.lit(88)), F.lit(1 << 30)) / (1 << 30)).alias("at")).collect()
+    found = [mixing.features(r["text"]) for r in own]
+    p, tokens = model.posteriors(np.stack([x for _, x in found])).astype(float), np.array([n for n, _ in found])
+    members = spark.createDataFrame([(int(n), *map(float, x)) for n, x in zip(tokens, p)], "tokens long, p0 double, p1 double, p2 double")
+    fitted, rates = mixing.solve(members, at_most=1.0), np.ones(len(p))
+    for step in fitted.steps:
+        rates = np.clip(rates - p @ np.array(step), 0, 1)
+    assert fitted.settled and (rates * tokens) @ p == pytest.approx(fitted.totals, rel=1e-6) and fitted.totals == pytest.approx(fitted.targets, rel=1e-3)
+    sure = [(r["doc_id"], r["at"] < rate) for r, rate in zip(own, rates) if abs(r["at"] - rate) > 1e-6]
+    kept = {r["doc_id"] for r in mixed.collect()}
+    assert len(sure) >= len(own) - 2 and all((i in kept) == stays for i, stays in sure)
     labels = {r["doc_id"]: (r["quality"], r["toxic"]) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     before, after = ({r["doc_id"] for r in x.collect()} for x in (single, mixed))
     clean = {i for i in before if labels.get(i) == (1, 0)}
     toxic = {i for i in before if i in labels and labels[i][1] == 1}
     assert len(clean - after) <= 0.05 * len(clean) and len(toxic & after) <= 0.3 * max(1, len(toxic))
     packed = corpus_pipeline.pack_stage(spark, mixed, SF).collect()
-    tokens = collections.Counter()
+    tokens, encode, pieces = collections.Counter(), packing.encoder(packing.tokenizer_path()), set()
     for r in packed:
         tokens[r["sequence_id"]] += r["length"]
-    assert {r["doc_id"] for r in packed} == after and max(tokens.values()) <= packing.CAPACITY
-
-
-def test_run(spark):
+    for r in mixed.collect():
+        ids = encode.whole(r["text"] or "") + packing.END
+        for n, (start, length) in enumerate(packing.cuts(len(ids) // 4, packing.CAPACITY)):
+            pieces.add((r["doc_id"], n, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
+    assert {(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed} == pieces and max(tokens.values()) <= packing.CAPACITY
+    # run() is the stages one after another
+    key = lambda r: (r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"])
+    columns_of, single_again = ("doc_id", "piece", "start", "length", "ids_crc32"), corpus_pipeline.dedup_stage(spark, lined, SF)
+    want = corpus_pipeline.pack_stage(spark, mixing.stage(spark, single_again, SF), SF).select(*columns_of).collect()
+    assert sorted(map(key, corpus_pipeline.run(spark, SF).select(*columns_of).collect())) == sorted(map(key, want))
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_on_odd_and_empty_tables(spark, odd, none, name, stage):
+    """Nulls, copies, repeated ids, very long texts, no rows, and extra columns that are named like the stages' own."""
+    found = stage(spark, odd, SF).collect()
+    empty = stage(spark, none, SF)
+    assert empty.count() == 0
+    if name != "best-fit packing":
+        assert empty.columns == odd.columns and all(r.asDict().keys() == set(odd.columns) for r in found)
+        texts = {r["text"] for r in odd.collect()}
+        assert {"language ID": len(found) <= 9 and None not in {r["text"] for r in found}, "line dedup": len(found) == 13, "SimHash near-dedup": len(found) == 8, "mixing to target weights": 1 <= len(found) <= 13}[name], len(found)
+        assert {r["text"] for r in found} <= texts
+        assert all(r["row"] == "row!" and r["domain"] == "domain!" and r["least"] == "least!" for r in found)
+    else:
+        assert {r["doc_id"] for r in found} == {r["doc_id"] for r in odd.collect()}
+
+
+def test_run(spark, none, tmp_path):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language ID", "line dedup", "SimHash near-dedup", "mixing to target weights", "best-fit packing"]
-    assert corpus_pipeline.run(spark, SF).count() > 100
+    none.write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").limit(0).write.parquet(f"file://{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
 
 
 def test_entry_without_the_subpackage(tmp_path):
@@ -112,6 +155,18 @@ def test_near_dedup_links_at_similarity(spark, monkeypatch):
     for block in (simhash.BLOCK_ROWS, 8):
         monkeypatch.setattr(simhash, "BLOCK_ROWS", block)
         assert sorted(x["doc_id"] for x in corpus_pipeline.dedup_stage(spark, both, SF).collect()) == want
+    # many keys' members fall into several groups: clusters that share half of their words, none of them near another
+    clusters = []
+    for c in range(4):
+        for k in range(30):
+            words = base[:150] + [f"c{c}-{n}" for n in range(75)]
+            words[r.randrange(200)] = f"y{r.random()}"
+            clusters.append((30_000_000 + 100 * c + k, " ".join(words)))
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 8)
+    for pivots in (2, 8):
+        monkeypatch.setattr(simhash, "PIVOTS", pivots)
+        tables = spark.createDataFrame(clusters + copies, "doc_id long, text string")
+        assert sorted(x["doc_id"] for x in corpus_pipeline.dedup_stage(spark, tables, SF).collect()) == five_word_components(clusters + copies)
     nameless = more.withColumn("doc_id", F.lit(None).cast("long"))
     assert corpus_pipeline.dedup_stage(spark, nameless, SF).count() == len(five_word_components(copies + odd))
     assert dict(corpus_pipeline.STAGES)["SimHash near-dedup"] is corpus_pipeline.dedup_stage
