@@ -2,29 +2,45 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .lineage import cut
+from .lineage import Rounds, cut
 
 #: Levels after which a walk's state is written: each level is read by the next one and by what has been seen, so unwritten plans would multiply.
 WRITTEN_LEVELS = 2
 MOST_DEPTH = 100
 
 
-def neighbors(edges: DataFrame, down: bool = True) -> DataFrame:
-    """G1: each node's sorted distinct callees (down) or callers."""
+#: Neighbours of a block: a hub's are given in several rows.
+BLOCK_NEIGHBORS = 10_000
+
+
+def neighbors(edges: DataFrame, down: bool = True, block_size: int = BLOCK_NEIGHBORS) -> DataFrame:
+    """G1: (id, block, neighbors): each node's distinct callees (down) or callers, sorted within a block; a node with more than about block_size has several."""
     own, other = ("src", "dst") if down else ("dst", "src")
-    return edges.groupBy(F.col(own).alias("id")).agg(F.sort_array(F.collect_set(other)).alias("neighbors"))
+    pairs = edges.select(F.col(own).alias("id"), F.col(other).alias("other")).distinct()
+    # few neighbours are one block; only hubs are counted first
+    hubs = pairs.groupBy("id").agg(F.ceil(F.count("*") / block_size).alias("blocks")).where("blocks > 1")
+    dealt = pairs.join(hubs, "id", "left").withColumn("block", F.pmod(F.xxhash64("other"), F.coalesce("blocks", F.lit(1).cast("long"))))
+    return dealt.groupBy("id", "block").agg(F.sort_array(F.collect_list("other")).alias("neighbors"))
+
+
+#: Uris that may be broadcast.
+BROADCAST_URIS = 100_000
 
 
 def resolve_uri(symbols: DataFrame, uris: Sequence[str]) -> DataFrame:
-    """(uri, id): the symbol with that id, else the least one whose id ends in ``::`` and the uri."""
-    wanted = symbols.sparkSession.createDataFrame([(u,) for u in uris], "uri string")
-    same = F.col("id") == F.col("uri")
-    found = symbols.select("id").join(F.broadcast(wanted), same | F.endswith(F.col("id"), F.concat(F.lit("::"), F.col("uri"))))
-    return found.groupBy("uri").agg(F.min(F.struct((~same).alias("other"), "id")).alias("best")).select("uri", "best.id")
+    """(uri, id): the symbol with that id, else the least one whose id ends in ``::`` and the uri. Ids are joined by what stands after each of their ``::``."""
+    wanted = symbols.sparkSession.createDataFrame([(u,) for u in set(uris)], "uri string")
+    wanted = F.broadcast(wanted) if len(uris) <= BROADCAST_URIS else wanted
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.length("id"), F.lit(1))), lambda k: F.substring("id", k, 2) == "::")
+    tails = F.transform(places, lambda k: F.struct(F.substring("id", k + 2, F.length("id")).alias("uri"), F.lit(True).alias("other")))
+    whole = F.array(F.struct(F.col("id").alias("uri"), F.lit(False).alias("other")))
+    found = symbols.select("id", F.explode(F.concat(whole, tails)).alias("x")).select("id", "x.uri", "x.other").join(wanted, "uri")
+    return found.groupBy("uri").agg(F.min(F.struct("other", "id")).alias("best")).select("uri", "best.id")
 
 
 def bfs_levels(edges: DataFrame, starts: DataFrame, depth: int, down: bool = True) -> DataFrame:
@@ -92,8 +108,10 @@ def nodes_with_metadata(ids: DataFrame, symbols: DataFrame) -> DataFrame:
     return ids.select("id").distinct().join(symbols, "id", "left")
 
 
-def graph_query(edges: DataFrame, symbols: DataFrame, starts: DataFrame, up: int = 1, down: int = 1, min_confidence: float = 0.0, tiers: Sequence[str] = (), sources: Sequence[str] = ()) -> dict[str, DataFrame]:
-    """Levels both ways, nodes with metadata, edges between them and their summary. The filters hold for the edges returned, not for the walk."""
+def graph_query(edges: DataFrame, symbols: DataFrame, starts: DataFrame, up: int = 1, down: int = 1, min_confidence: float = 0.0, tiers: Sequence[str] = (), sources: Sequence[str] = (), filter_traversal: bool = False) -> dict[str, DataFrame]:
+    """Levels both ways, nodes with metadata, edges between them and their summary. The filters hold for the edges returned, and for the walk only with filter_traversal."""
+    if filter_traversal:
+        edges = filter_edges(with_default_metadata(edges), min_confidence, tiers, sources)
     below, above = bfs_levels(edges, starts, down), bfs_levels(edges, starts, up, down=False)
     levels = below.withColumn("direction", F.lit("down")).union(above.where("level > 0").withColumn("direction", F.lit("up")))
     found = filter_edges(typed_closure_edges(edges, levels), min_confidence, tiers, sources)
@@ -138,6 +156,21 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return out.fillna(0, ["callee_count", "caller_count", "down_reach", "up_reach"])
 
 
+def reach_estimate(edges: DataFrame, depth: int, down: bool = True, lg_k: int = 12) -> DataFrame:
+    """(id, reach): for all nodes at once, about how many others each reaches within depth, by HyperLogLog sketches.
+
+    reach() keeps a row for each start and what it reaches, so it is for starts that are few; here a node keeps a sketch of 2^lg_k
+    registers whatever it reaches (about 1.6 % off at 12), and a round unites the sketches of what a node leads to."""
+    own, other = ("src", "dst") if down else ("dst", "src")
+    steps = edges.select(F.col(own).alias("at"), F.col(other).alias("to")).where("at <> to").distinct()
+    nodes = steps.select(F.col("at").alias("id")).union(steps.select("to")).distinct()
+    held = cut(nodes.groupBy("id").agg(F.hll_sketch_agg("id", F.lit(lg_k)).alias("sketch")))
+    for level in range(depth):
+        united = steps.join(held, F.col("to") == F.col("id")).select(F.col("at").alias("id"), "sketch").union(held).groupBy("id").agg(F.hll_union_agg("sketch").alias("sketch"))
+        held = cut(united) if (level + 1) % WRITTEN_LEVELS == 0 else united
+    return held.select("id", F.greatest(F.hll_sketch_estimate("sketch") - 1, F.lit(0)).alias("reach"))
+
+
 #: Words of sinks that raise a node's score in an audit.
 SINK_WORDS = ("exec", "eval", "shell", "command", "unsafe", "write", "delete")
 
@@ -178,66 +211,103 @@ def components_min_label(pairs: DataFrame, at_most: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def strongly_connected(edges: DataFrame, at_most: int = 200) -> DataFrame:
-    """(id, component) of nodes on cycles of two nodes or more; component is the least id of the strongly connected component.
+#: Rounds in which nodes without incoming or outgoing edges are trimmed off before components are sought.
+TRIMS = 2
+#: Edges that one task may take whole: the rest of a graph that is counted to be that small needs no more rounds.
+LOCAL_EDGES = 200_000
 
-    Nodes without incoming or outgoing edges are trimmed away first, round by round. Then every node takes the least label that reaches
-    it; within a label's nodes those that reach the label back form a component, which is removed, and the rest goes on."""
-    e = cut(edges.select("src", "dst").where("src <> dst").distinct())
-    found = None
-    for _ in range(at_most):
-        e = _trimmed(e, at_most)
-        if e.isEmpty():
-            break
-        labels = _least_reaching(e, at_most)
-        l1, l2 = labels.select(F.col("id").alias("src"), F.col("label").alias("from_label")), labels.select(F.col("id").alias("dst"), F.col("label").alias("to_label"))
-        within = cut(e.join(l1, "src").join(l2, "dst").where("from_label = to_label").select("src", "dst", "from_label"))
-        back = _reaching_label(within, at_most)
-        found = back if found is None else found.union(back)
-        gone = back.select("id")
-        rest = within.select("src", "dst").join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
-        e = cut(rest)
-    if found is None:
-        return edges.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0)
-    many = found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
-    return found.join(many, "component", "left_semi").select("id", "component")
-
-
-def _trimmed(e: DataFrame, at_most: int) -> DataFrame:
-    n = e.count()
-    for _ in range(at_most):
-        e = cut(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
-        now = e.count()
-        if now == n:
-            break
-        n = now
-    return e
-
-
-def _least_reaching(e: DataFrame, at_most: int) -> DataFrame:
-    """(id, label): the least id that reaches a node."""
-    ids = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
-    labels, before = cut(ids.withColumn("label", F.col("id"))), None
-    for _ in range(at_most):
-        offered = e.join(labels.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "label")
-        labels = cut(labels.union(offered).groupBy("id").agg(F.min("label").alias("label")))
-        state = labels.agg(F.sum(F.xxhash64("id", "label").cast("decimal(38,0)"))).first()
-        if state == before:
-            return labels
-        before = state
-    raise RuntimeError("labels did not settle")
 
+def strongly_connected(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(id, component) of nodes on cycles of two nodes or more; component is the least id of the strongly connected component.
 
-def _reaching_label(within: DataFrame, at_most: int) -> DataFrame:
-    """(id, component): nodes that reach their own label along edges within it."""
-    seen = cut(within.select(F.col("from_label").alias("id"), F.col("from_label").alias("component")).distinct())
-    frontier = seen
-    for _ in range(at_most):
-        frontier = cut(within.join(frontier.select(F.col("id").alias("dst"), F.col("component").alias("from_label")), ["dst", "from_label"]).select(F.col("src").alias("id"), F.col("from_label").alias("component")).distinct().join(seen, ["id", "component"], "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        seen = cut(seen.union(frontier))
-    raise RuntimeError("components did not settle")
+    A round gives every node the least label that reaches it and the least that it reaches; labels are ids in an order that hashing
+    draws anew for each round. Where both are one label, the nodes are its component. An edge goes on to the next round only if its
+    ends agree in both labels and aren't settled, so what no cycle joins falls apart as in a random quicksort: the rounds grow
+    with the logarithm of the nodes, as do the steps of a round, whose labels also take over their own labels' labels. What is
+    left goes to one task as soon as it has at most local_edges edges."""
+    rounds, number = Rounds(edges.sparkSession), 0
+    kind = edges.schema["src"].dataType
+    found = edges.select(F.col("src").alias("id"), F.col("src").alias("root")).limit(0)
+    e = edges.select("src", "dst").where("src <> dst").distinct()
+    while True:
+        for _ in range(TRIMS):
+            e = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        e = rounds.put("edges", e)
+        n = e.count()
+        if n <= local_edges:
+            if n:
+                found = found.union(e.coalesce(1).mapInArrow(_components_of, f"id {kind.simpleString()}, root {kind.simpleString()}"))
+            break
+        into = _least_reaching(e, number, rounds, "into")
+        out_of = _least_reaching(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), number, rounds, "out")
+        both = rounds.put("both", into.withColumnRenamed("label", "a").join(out_of.withColumnRenamed("label", "b"), "id"))
+        found = found.union(rounds.put(f"found{number}", both.where("a = b").select("id", F.col("a").alias("root"))))
+        ends = lambda column, n: both.where("a <> b").select(F.col("id").alias(column), F.col("a").alias(f"a{n}"), F.col("b").alias(f"b{n}"))
+        e = rounds.put("inner", e.join(ends("src", 1), "src").join(ends("dst", 2), "dst").where("a1 = a2 and b1 = b2").select("src", "dst"))
+        number += 1
+    components = found.groupBy("root").agg(F.min("id").alias("component"), F.count("*").alias("n")).where("n > 1").select("root", "component")
+    return rounds.last(found.join(components, "root").select("id", "component"))
+
+
+def _least_reaching(e: DataFrame, number: int, rounds: Rounds, name: str) -> DataFrame:
+    """(id, label): of the nodes that reach a node, itself included, the first in the round's hashed order."""
+    label = F.struct(F.xxhash64("id", F.lit(number)).alias("rank"), F.col("id").alias("id")).alias("label")
+    labels = rounds.put(name, e.select(F.col("src").alias("id")).union(e.select("dst")).distinct().select("id", label))
+    while True:
+        offered = e.join(labels.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("new"))
+        best = labels.join(offered, "id", "left").select("id", "label", F.least("label", F.coalesce("new", "label")).alias("new"))
+        # what reaches a label's node reaches what the label reaches
+        jump = labels.select(F.col("id").alias("via"), F.col("label").alias("far"))
+        after = best.join(jump, F.col("new.id") == F.col("via")).select("id", F.least("new", "far").alias("label"), (F.least("new", "far") != F.col("label")).alias("moved"))
+        labels = rounds.put(name, after)
+        if not labels.agg(F.bool_or("moved")).first()[0]:
+            return labels.select("id", F.col("label.id").alias("label"))
+        labels = labels.drop("moved")
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> tuple[list, list[list[int]]]:
+    """Ids of a small graph's nodes, and the numbers of what each leads to."""
+    numbers: dict = {}
+    ends = [[numbers.setdefault(x, len(numbers)) for x in column.to_pylist()] for batch in batches for column in (batch.column(0), batch.column(1))]
+    to: list[list[int]] = [[] for _ in numbers]
+    for src, dst in zip(ends[::2], ends[1::2]):
+        for a, b in zip(src, dst):
+            to[a].append(b)
+    return list(numbers), to
+
+
+def _components_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, root) of a small graph's nodes by one depth-first search; the root names the strongly connected component."""
+    ids, to = _numbered(batches)
+    place, low, held, stack, roots = [-1] * len(ids), [0] * len(ids), [False] * len(ids), [], [0] * len(ids)
+    clock = 0
+    for start in range(len(ids)):
+        walk = [(start, iter(to[start]))] if place[start] < 0 else []
+        while walk:
+            node, onward = walk[-1]
+            if place[node] < 0:
+                place[node] = low[node] = clock
+                clock += 1
+                stack.append(node)
+                held[node] = True
+            for other in onward:
+                if place[other] < 0:
+                    walk.append((other, iter(to[other])))
+                    break
+                if held[other]:
+                    low[node] = min(low[node], place[other])
+            else:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[node])
+                if low[node] == place[node]:
+                    while True:
+                        member = stack.pop()
+                        held[member], roots[member] = False, node
+                        if member == node:
+                            break
+    if ids:
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([ids[r] for r in roots])], names=["id", "root"])
 
 
 def cycle_report(edges: DataFrame, at_most: int = 10) -> DataFrame:
@@ -265,21 +335,74 @@ def paths(edges: DataFrame, roots: DataFrame, depth: int = 64, at_most: int = 50
     return done.orderBy(F.array_join("path", ";")).limit(at_most)
 
 
-def topological_levels(edges: DataFrame, nodes: DataFrame | None = None, at_most: int = 1000) -> DataFrame:
-    """(id, level): a node's level is one more than the greatest of what it depends on. A cycle raises ValueError. An edge goes from what is needed to what needs it."""
-    left = cut(edges.select("src", "dst").distinct())
-    waiting = cut((nodes.select("id") if nodes is not None else left.select(F.col("src").alias("id")).union(left.select("dst"))).distinct())
-    out = None
-    for level in range(at_most):
-        if waiting.isEmpty():
-            return out if out is not None else waiting.withColumn("level", F.lit(0))
-        ready = cut(waiting.join(left.select(F.col("dst").alias("id")), "id", "left_anti").withColumn("level", F.lit(level)))
-        if ready.isEmpty():
+def topological_levels(edges: DataFrame, nodes: DataFrame | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(id, level): a node's level is one more than the greatest of what it depends on. A cycle raises ValueError. An edge goes from what is needed to what needs it.
+
+    Longest paths by contraction: edges carry lengths, and a root (null) leads to all nodes that need nothing. A phase takes all
+    nodes that one edge leads to, points each past its own kind by doubling to where its chain begins, and puts what left them there,
+    of equal edges the longest. So chains of any length, trees and what they fold into go in one phase. Once at most local_edges
+    edges are left one task takes them. Then the phases are read backwards."""
+    rounds, kind = Rounds(edges.sparkSession), edges.schema["src"].dataType
+    e = edges.select("src", "dst").distinct().withColumn("length", F.lit(1).cast("long"))
+    ids = e.select(F.col("src").alias("id")).union(e.select("dst"))
+    ids = (ids if nodes is None else ids.union(nodes.select("id"))).distinct()
+    first = ids.join(e.select(F.col("dst").alias("id")), "id", "left_anti").select(F.lit(None).cast(kind).alias("src"), F.col("id").alias("dst"), F.lit(1).cast("long").alias("length"))
+    e, phases = rounds.put("edges", e.union(first)), []
+    while (n := e.count()) > local_edges:
+        into = rounds.put("into", e.groupBy("dst").agg(F.count("*").alias("n"), F.max("src").alias("src"), F.max("length").alias("length")))
+        points = into.where("n = 1").select(F.col("dst").alias("id"), F.col("src").alias("to"), "length")
+        if points.isEmpty():
             raise ValueError("the graph has a cycle")
-        out = ready if out is None else out.union(ready)
-        waiting = cut(waiting.join(ready, "id", "left_anti"))
-        left = cut(left.join(ready.select(F.col("id").alias("src")), "src", "left_anti"))
-    raise RuntimeError("too many levels")
+        points = rounds.put(f"phase{len(phases)}", _to_starts(points, rounds))
+        phases.append(points)
+        moved = e.join(into.where("n > 1").select("dst"), "dst", "left_semi").join(points.select(F.col("id").alias("src"), "to", F.col("length").alias("more")), "src", "left")
+        src = F.when(F.col("more").isNotNull(), F.col("to")).otherwise(F.col("src"))
+        e = rounds.put("edges", moved.select(src.alias("src"), "dst", (F.col("length") + F.coalesce("more", F.lit(0))).alias("length")).groupBy("src", "dst").agg(F.max("length").alias("length")))
+    levels = rounds.put("levels", e.coalesce(1).mapInArrow(_levels_of, f"id {kind.simpleString()}, level long") if n else ids.limit(0).withColumn("level", F.lit(0).cast("long")))
+    if levels.where("level is null").limit(1).count():
+        raise ValueError("the graph has a cycle")
+    for points in reversed(phases):
+        known = points.where("to is null").select("id", F.col("length").alias("level"))
+        beyond = points.join(levels.select(F.col("id").alias("to"), "level"), "to").select("id", F.col("level") + F.col("length"))
+        levels = rounds.put("levels", levels.union(known).union(beyond))
+    return rounds.last(levels.select("id", (F.col("level") - 1).cast("int").alias("level")))
+
+
+def _to_starts(points: DataFrame, rounds: Rounds) -> DataFrame:
+    """(id, to, length) whose ``to`` is none of the ids: pointers are doubled until each has left their number behind."""
+    points = rounds.put("points", points)
+    for _ in range(points.count().bit_length() + 2):
+        far = points.select(F.col("id").alias("via"), F.col("to").alias("far"), F.col("length").alias("more"))
+        went = F.col("via").isNotNull()
+        points = rounds.put("points", points.join(far, F.col("to") == F.col("via"), "left").select("id", F.when(went, F.col("far")).otherwise(F.col("to")).alias("to"), (F.col("length") + F.coalesce("more", F.lit(0))).alias("length"), went.alias("went")))
+        if not points.where("went").limit(1).count():
+            return points.drop("went")
+        points = points.drop("went")
+    raise ValueError("the graph has a cycle")
+
+
+def _levels_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, level) of a small graph of edges (src, dst, length), by taking away what needs nothing; null where a cycle forbids it."""
+    out: dict[object, list] = {}
+    needs: dict[object, int] = {}
+    for batch in batches:
+        for src, dst, length in zip(*(c.to_pylist() for c in batch.columns)):
+            out.setdefault(src, []).append((dst, length))
+            needs[dst] = needs.get(dst, 0) + 1
+    levels = dict.fromkeys([None, *out], 0)
+    ready = [x for x in levels if x not in needs]
+    done = []
+    while ready:
+        node = ready.pop()
+        for dst, length in out.get(node, ()):
+            levels[dst] = max(levels.get(dst, 0), levels[node] + length)
+            needs[dst] -= 1
+            if not needs[dst]:
+                ready.append(dst)
+                done.append(dst)
+    rows = [(x, levels[x]) for x in done] + [(x, None) for x, n in needs.items() if n]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows]), pa.array([y for _, y in rows], pa.int64())], names=["id", "level"])
 
 
 def prune_to_focus(items: DataFrame, edges: DataFrame, focus: DataFrame, distance: int) -> DataFrame:

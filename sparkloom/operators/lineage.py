@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,3 +31,25 @@ def remove(spark: SparkSession, folder: str) -> None:
     """Removes a folder on whatever file system it is."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Rounds:
+    """Tables of a loop's rounds, in the shared folder. A table takes the place of the one of its name from the round before; unlike
+    checkpoints, whose size estimates multiply from join to join, written tables have their true sizes."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.paths, self.n = spark, f"{shared_dir(spark)}/rounds-{uuid4().hex}", {}, 0
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        path, before, self.n = f"{self.folder}/{self.n}", self.paths.get(name), self.n + 1
+        df.write.parquet(path)
+        if before:
+            remove(self.spark, before)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def last(self, df: DataFrame) -> DataFrame:
+        """The result, kept apart from the tables, which are removed."""
+        found = cut(df)
+        remove(self.spark, self.folder)
+        return found

@@ -165,6 +165,30 @@ def _(t: Tables) -> DataFrame:
     return G.cycle_report(A.transitions(t).where("confidence >= 0.25")).select("component", F.array_join("members", ",").alias("members"))
 
 
+#: Rings, and smaller ones that hang on each other: orders by number, the next one after each, closed in groups; and groups that lead to all later ones.
+_RINGS = """ring AS (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) - 1 AS n, count(*) OVER () AS total FROM orders),
+sized AS (SELECT n, CASE WHEN n < total // 2 THEN 0 ELSE 1 + (n - total // 2) // 7 END AS g FROM ring), bounds AS (SELECT g, min(n) AS low, max(n) AS high FROM sized GROUP BY g),
+members AS (SELECT s.g, 'v' || lpad(CAST(n AS VARCHAR), 9, '0') AS id, 'v' || lpad(CAST(low AS VARCHAR), 9, '0') AS component, high > low AS many FROM sized s JOIN bounds b ON s.g = b.g)"""
+
+
+def _rings(t: Tables) -> DataFrame:
+    """Half of the orders in one ring, the others in rings of seven, each of which leads on to the next three."""
+    n = t.orders.count()
+    name = lambda c: F.concat(F.lit("v"), F.lpad(c.cast("string"), 9, "0"))
+    group = F.when(F.col("id") < n // 2, 0).otherwise(1 + F.floor((F.col("id") - n // 2) / 7))
+    low = F.when(F.col("g") == 0, 0).otherwise(n // 2 + 7 * (F.col("g") - 1))
+    high = F.when(F.col("g") == 0, n // 2 - 1).otherwise(F.least(F.col("low") + 6, F.lit(n - 1)))
+    own = t.spark.range(n).withColumn("g", group).withColumn("low", low).withColumn("high", high)
+    ring = own.select(name(F.col("id")).alias("src"), name(F.when(F.col("id") == F.col("high"), F.col("low")).otherwise(F.col("id") + 1)).alias("dst"))
+    onward = own.where("id = low").select("high", F.explode(F.array(F.lit(1), F.lit(8), F.lit(15))).alias("k"), "id").where(F.col("high") + F.col("k") < n).select(name(F.col("id")).alias("src"), name(F.col("high") + F.col("k")).alias("dst"))
+    return ring.union(onward)
+
+
+@query("g7_rings", f"WITH {_RINGS} SELECT id, component FROM members WHERE many")
+def _(t: Tables) -> DataFrame:
+    return G.strongly_connected(_rings(t))
+
+
 @query("g20_paths", f"""WITH RECURSIVE {A.TRANSITIONS}, steps AS (SELECT src, dst FROM transitions),
 walk AS (SELECT ['click'] AS path, 'click' AS tip UNION ALL SELECT list_append(path, dst), dst FROM walk JOIN steps ON src = tip WHERE NOT list_contains(path, dst) AND len(path) < 65)
 SELECT array_to_string(path, ';') AS path, CAST(len(path) AS INTEGER) AS n FROM walk w WHERE NOT EXISTS (SELECT 1 FROM steps s WHERE s.src = w.tip AND NOT list_contains(w.path, s.dst))""")
@@ -184,6 +208,19 @@ def _(t: Tables) -> DataFrame:
     return G.dangling_edges(e, "b")
 
 
+@query("g23_long_chains", """WITH n AS (SELECT count(*) AS total FROM orders), ids AS (SELECT row_number() OVER () - 1 AS k, total FROM orders, n)
+SELECT 'v' || k AS id, CAST(CASE WHEN k < total // 2 THEN k ELSE 2 * ((k - total // 2) // 3) + CASE WHEN (k - total // 2) % 3 = 0 THEN 0 ELSE 1 END END AS INTEGER) AS level FROM ids""")
+def _(t: Tables) -> DataFrame:
+    """Half of the orders one after another, the others as diamonds one after another."""
+    n = t.orders.count()
+    half, k = n // 2, F.col("id") - n // 2
+    name = lambda c: F.concat(F.lit("v"), c.cast("string"))
+    chain = t.spark.range(1, half).select(name(F.col("id") - 1).alias("src"), name(F.col("id")).alias("dst"))
+    inner = t.spark.range(half, n).where(k % 3 != 0).select(name(F.col("id") - k % 3).alias("src"), name(F.col("id")).alias("dst"))
+    onward = t.spark.range(half + 3, n).where(k % 3 == 0).select(F.explode(F.array(F.col("id") - 1, F.col("id") - 2)).alias("from_id"), "id").select(name(F.col("from_id")).alias("src"), name(F.col("id")).alias("dst"))
+    return G.topological_levels(chain.union(inner).union(onward), t.spark.range(n).select(name(F.col("id")).alias("id")))
+
+
 @query("g23_topo_levels", f"""WITH RECURSIVE {A.FK_EDGES}, all_ids AS (SELECT src AS id FROM fk_edges UNION SELECT dst FROM fk_edges),
 deep AS (SELECT id, 0 AS level FROM all_ids UNION SELECT e.dst, d.level + 1 FROM deep d JOIN fk_edges e ON e.src = d.id)
 SELECT id, max(level) AS level FROM deep GROUP BY id""")

@@ -99,6 +99,48 @@ def test_components_of_cycles(spark):
     assert G.strongly_connected(edges(spark, ("a", "b"))).count() == 0
 
 
+@pytest.mark.parametrize("local", [0, 1000])
+def test_components_and_levels_of_any_depth(spark, local):
+    """Both ways of a round against one process; rings and chains are longer than any number of rounds."""
+    import random
+
+    r = random.Random(local)
+    ring = [(f"r{k:03}", f"r{(k + 1) % 60:03}") for k in range(60)]
+    nested = [(f"c{k}a", f"c{k}b") for k in range(5)] + [(f"c{k}b", f"c{k}a") for k in range(5)] + [(f"c{j}a", f"c{k}b") for j in range(5) for k in range(j + 1, 5)]
+    loose = [(f"x{r.randrange(30)}", f"x{r.randrange(30)}") for _ in range(40)]
+    reach = {}
+    every = ring + nested + loose + [("r005", "c0a"), ("c4b", "tail"), ("g", "g")]
+    for a, b in every:
+        reach.setdefault(a, set()).add(b)
+    nodes = {x for pair in every for x in pair}
+    for k in nodes:
+        for i in nodes:
+            if k in reach.get(i, ()):
+                reach[i] |= reach.get(k, set())
+    want = sorted((a, min(b for b in nodes if b == a or (b in reach.get(a, ()) and a in reach.get(b, ())))) for a in nodes if any(b != a and b in reach.get(a, ()) and a in reach.get(b, ()) for b in nodes))
+    assert rows(G.strongly_connected(edges(spark, *every), local), "id", "component") == want
+    dag = [(f"n{a:03}", f"n{b:03}") for a, b in {tuple(sorted(r.sample(range(60), 2))) for _ in range(90)}] + [(f"n{k:03}", f"n{k + 1:03}") for k in range(60, 120)] + [(f"n{k:03}", f"n{k + d:03}") for k in range(120, 160, 3) for d in (1, 2)] + [(f"n{k + d:03}", f"n{k + 3:03}") for k in range(120, 160, 3) for d in (1, 2)]
+    level = {x: 0 for pair in dag for x in pair}
+    for _ in level:
+        for a, b in dag:
+            level[b] = max(level[b], level[a] + 1)
+    assert rows(G.topological_levels(edges(spark, *dag), ids(spark, "alone"), local), "id", "level") == sorted({**level, "alone": 0}.items())
+    for cycle in ([("a", "b"), ("b", "a")], [("s", "a"), ("a", "b"), ("b", "a")], [("a", "a")], dag[:20] + [("z", "y"), ("y", "z"), ("n000", "y")]):
+        with pytest.raises(ValueError):
+            G.topological_levels(edges(spark, *cycle), None, local)
+    assert G.topological_levels(edges(spark, ("a", "b")).limit(0)).count() == 0
+
+
+def test_hubs_and_estimates(spark):
+    e = edges(spark, *(("hub", f"n{k}") for k in range(300)), *((f"n{k}", f"m{k}") for k in range(300)), ("hub", "n1"))
+    blocks = [r for r in G.neighbors(e, block_size=100).collect() if r["id"] == "hub"]
+    assert len(blocks) == 3 and sorted(x for r in blocks for x in r["neighbors"]) == sorted(f"n{k}" for k in range(300))
+    about = {r["id"]: r["reach"] for r in G.reach_estimate(e, 2).collect()}
+    assert about["hub"] == pytest.approx(600, rel=0.1) and about["n7"] == 1 and about["m7"] == 0
+    walked = G.graph_query(edges(spark, ("a", "b"), ("b", "c")).unionByName(edges(spark, ("a", "x")).withColumn("confidence", F.lit(0.1))), ids(spark, "a", "b", "c", "x"), ids(spark, "a"), 0, 2, 0.5, filter_traversal=True)
+    assert rows(walked["levels"], "id") == [("a",), ("b",), ("c",)]
+
+
 def test_paths_and_levels(spark):
     e = edges(spark, ("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"))
     assert [";".join(r["path"]) for r in G.paths(e, ids(spark, "a")).collect()] == ["a;b;d", "a;c;d"]
