@@ -268,7 +268,9 @@ def linked(sets: list[np.ndarray], similarity: float) -> tuple[list[tuple[int, i
 def similar(distinct: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """Pairs a < b that connect what pairs of at least the similarity connect; distinct has fp, an id least and keys of each set."""
     own = distinct.select("fp", "least", F.explode("keys").alias("key"))
-    members = cut(own.join(own.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
+    # near copies share most of their keys: of keys with the same members, told by count and two hashes of the set, one is enough
+    sizes = own.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y")).where("n > 1")
+    members = cut(own.join(sizes.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"), "key"))
     wanted = cut(members.select("fp", "least").distinct())
     ids = wanted.select("least").distinct()
     ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
