@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .policy import is_source_file, is_test_file
 
-#: Cells of a longest-common-subsequence table at most; beyond, all lines count as removed and added.
-MOST_CELLS = 4_000_000
+#: Cells of a longest-common-subsequence table at most; beyond, all lines count as removed and added, and a diff looks ahead instead.
+MOST_CELLS, LOOK_AHEAD = 4_000_000, 24
 
 
 def split_lines(text: str | None) -> list[str]:
@@ -47,6 +47,23 @@ def matched_lines(old: list[str], new: list[str], most_cells: int = MOST_CELLS)
     return pairs + [(len(old) - tail + k, len(new) - tail + k) for k in range(tail)]
 
 
+def realigned_lines(old: list[str], new: list[str], ahead: int = LOOK_AHEAD) -> list[tuple[int, int]]:
+    """Index pairs of equal lines for texts too long for a table: where lines differ, the nearest old line within reach that equals
+    the new one is gone on with, else the nearest new line that equals the old one, else both lines are passed."""
+    pairs, i, j = [], 0, 0
+    while i < len(old) and j < len(new):
+        if old[i] == new[j]:
+            pairs.append((i, j))
+            i, j = i + 1, j + 1
+        elif (k := next((k for k in range(i + 1, min(i + ahead, len(old))) if old[k] == new[j]), None)) is not None:
+            i = k
+        elif (k := next((k for k in range(j + 1, min(j + ahead, len(new))) if new[k] == old[i]), None)) is not None:
+            j = k
+        else:
+            i, j = i + 1, j + 1
+    return pairs
+
+
 def added_removed(old: str | None, new: str | None) -> tuple[list[tuple[int, str]], int]:
     """DF2: (line number from 1, line) of added lines, and the number of removed ones."""
     a, b = split_lines(old), split_lines(new)
@@ -58,7 +75,8 @@ def added_removed(old: str | None, new: str | None) -> tuple[list[tuple[int, str
 def unified(old: str | None, new: str | None) -> str:
     """DF1: all lines with a space, minus or plus before them; removed ones stand before added ones."""
     a, b, out, i, j = split_lines(old), split_lines(new), [], 0, 0
-    for x, y in [*matched_lines(a, b), (len(a), len(b))]:
+    pairs = matched_lines(a, b) if len(a) * len(b) <= MOST_CELLS else realigned_lines(a, b)
+    for x, y in [*pairs, (len(a), len(b))]:
         out += [f"-{line}" for line in a[i:x]] + [f"+{line}" for line in b[j:y]]
         if x < len(a):
             out.append(f" {a[x]}")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.paths import clamp, extension, leaf, parent, tags
 from ..schemas import CONTAINER_KINDS
 from .graph import strongest_edges
+from .lineage import cut
 from .ranges import smallest_container
 
 COLUMNS = ("src", "dst", "kind", "tier", "confidence", "source", "evidence")
@@ -66,9 +67,8 @@ def call_sites(symbols: DataFrame, sources: DataFrame, keywords: Sequence[str] =
 def call_candidates(sites: DataFrame, symbols: DataFrame) -> DataFrame:
     """J7, CS1, CS2, CS6: each site's best candidates by the called name's leaf, all those at the greatest score, with confidence and evidence."""
     targets = symbols.select(F.col("id").alias("target"), F.col("filepath").alias("target_path"), F.col("name"))
-    per_name = targets.groupBy("name").agg(F.count("*").alias("candidates"))
     sites = sites.withColumn("leaf", leaf(F.col("called"))).where("leaf <> ''")
-    pairs = sites.join(targets, F.col("leaf") == F.col("name")).join(per_name, "name")
+    pairs = sites.join(targets, F.col("leaf") == F.col("name"))
     same_file = F.col("target_path") == F.col("filepath")
     same_dir = parent(F.col("target_path")) == parent(F.col("filepath"))
     same_ext = extension(F.col("target_path")) == extension(F.col("filepath"))
@@ -87,7 +87,11 @@ def call_candidates(sites: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def call_edges(symbols: DataFrame, sources: DataFrame) -> DataFrame:
-    found = call_candidates(call_sites(symbols, sources), symbols).where("target <> caller")
+    return call_edges_of(call_sites(symbols, sources), symbols)
+
+
+def call_edges_of(sites: DataFrame, symbols: DataFrame) -> DataFrame:
+    found = call_candidates(sites, symbols).where("target <> caller")
     return strongest_edges(_edges(found, "caller", "target", "calls", "semantic", F.col("confidence"), "index:call_scan", F.col("evidence"))).select(*COLUMNS)
 
 
@@ -135,8 +139,12 @@ def import_candidates(imports: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def import_edges(symbols: DataFrame, sources: DataFrame) -> DataFrame:
     """Every definition of a file imports what the file imports."""
+    return import_edges_of(import_names(sources), symbols)
+
+
+def import_edges_of(imports: DataFrame, symbols: DataFrame) -> DataFrame:
     owners = symbols.where("role = 'definition'").select(F.col("id").alias("owner"), "filepath")
-    found = import_candidates(import_names(sources), symbols).join(owners, "filepath").where("owner <> target")
+    found = import_candidates(imports, symbols).join(owners, "filepath").where("owner <> target")
     return _edges(found, "owner", "target", "imports", "structural", F.col("confidence"), "index:import_scan", F.col("evidence"))
 
 
@@ -173,21 +181,47 @@ def impacted_ids(symbols: DataFrame, touched: DataFrame) -> DataFrame:
     return own.select("id").union(symbols.join(names, "name", "left_semi").select("id")).union(symbols.join(links, "link_name", "left_semi").select("id")).distinct()
 
 
-def refresh_edges(edges: DataFrame, symbols: DataFrame, sources: DataFrame, touched: DataFrame, removed: DataFrame | None = None, **dirs: Sequence[str]) -> DataFrame:
+def refresh_edges(edges: DataFrame, symbols: DataFrame, sources: DataFrame, touched: DataFrame, removed: DataFrame | None = None, sites: DataFrame | None = None, imports: DataFrame | None = None, wrapper_dirs: Sequence[str] = (), core_dirs: Sequence[str] = ()) -> DataFrame:
     """G10, SK1: edges after files changed. symbols and sources are those after the change; touched names the changed files, removed (filepath, id, name, link_name) the symbols that are gone.
 
-    What the names of touched files resolve to may change anywhere, so edges at impacted symbols, and at callers and importers of their names, are built anew; the others stay."""
+    What the names of touched files resolve to may change anywhere, so edges at impacted symbols, and at callers and importers of
+    their names, are built anew, from these symbols, their files and the symbols of the names they use; the others stay. With the
+    tables of call_sites() and import_names() from before, only touched files' text is read."""
+    changed = touched.select("filepath").distinct()
     known = symbols.select("filepath", "id", "name", "link_name")
     gone = removed.select("filepath", "id", "name", "link_name") if removed is not None else known.limit(0)
-    impacted = impacted_ids(known.union(gone), touched)
+    impacted = cut(impacted_ids(known.union(gone), touched))
     near = edges.join(impacted.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id"))
     names = known.union(gone).join(impacted, "id", "left_semi").select("name").distinct()
-    callers = call_sites(symbols, sources).withColumn("name", leaf(F.col("called"))).join(names, "name", "left_semi").select(F.col("caller").alias("id"))
-    importers = import_names(sources).withColumn("name", leaf(F.col("imported"), "[.:/]")).join(names, "name", "left_semi").select("filepath").distinct()
-    again = impacted.union(near).union(callers).union(symbols.join(importers, "filepath", "left_semi").select("id")).distinct()
-    stale = lambda column: again.withColumnRenamed("id", column)
-    kept = edges.join(stale("src"), "src", "left_anti").join(impacted.withColumnRenamed("id", "dst"), "dst", "left_anti").select(*COLUMNS)
-    fresh = build_edges(symbols, sources, **dirs)
+    here = sources.join(changed, "filepath", "left_semi")
+    sites = call_sites(symbols, sources) if sites is None else sites.join(changed, "filepath", "left_anti").unionByName(call_sites(symbols.join(changed, "filepath", "left_semi"), here))
+    imports = import_names(sources) if imports is None else imports.join(changed, "filepath", "left_anti").unionByName(import_names(here))
+    callers = sites.withColumn("name", leaf(F.col("called"))).join(names, "name", "left_semi").select(F.col("caller").alias("id"))
+    importers = imports.withColumn("name", leaf(F.col("imported"), "[.:/]")).join(names, "name", "left_semi").select("filepath").distinct()
+    again = cut(impacted.union(near).union(callers).union(symbols.join(importers, "filepath", "left_semi").select("id")).distinct())
+    at = lambda df, column, ids=again: df.join(ids.withColumnRenamed("id", column), column, "left_semi").select(*df.columns)
+    kept = edges.join(again.withColumnRenamed("id", "src"), "src", "left_anti").join(impacted.withColumnRenamed("id", "dst"), "dst", "left_anti").select(*COLUMNS)
+    files = cut(at(symbols, "id").select("filepath").distinct())
+    inside = symbols.join(files, "filepath", "left_semi").select(*symbols.columns)
+    # candidates are told from all symbols of a name, and links from all definitions
+    own_sites, own_imports = at(sites, "caller"), imports.join(files, "filepath", "left_semi")
+    used = own_sites.select(leaf(F.col("called")).alias("name")).union(own_imports.select(leaf(F.col("imported"), "[.:/]").alias("name"))).distinct()
+    named = symbols.join(used, "name", "left_semi").select(*symbols.columns)
+    imported = import_candidates(own_imports, named).join(inside.where("role = 'definition'").select(F.col("id").alias("owner"), "filepath"), "filepath").where("owner <> target")
+    fresh = [
+        link_edges(at(symbols.where("role = 'stub'"), "id").unionByName(symbols.where("role = 'definition'"))),
+        containment_edges(inside),
+        call_edges_of(own_sites, named),
+        _edges(imported, "owner", "target", "imports", "structural", F.col("confidence"), "index:import_scan", F.col("evidence")),
+        realization_edges(symbols),  # few symbols are named so
+    ]
+    if wrapper_dirs and core_dirs:
+        shared = at(symbols, "id").select("name").distinct()
+        fresh.append(bridge_edges(symbols.join(shared, "name", "left_semi").select(*symbols.columns), wrapper_dirs, core_dirs))
+    built = fresh[0]
+    for more in fresh[1:]:
+        built = built.union(more)
     # an edge is new if it begins at what is built anew, or ends at an impacted symbol
-    new = fresh.join(stale("src"), "src", "left_semi").select(*COLUMNS).union(fresh.join(impacted.withColumnRenamed("id", "dst"), "dst", "left_semi").join(stale("src"), "src", "left_anti").select(*COLUMNS))
+    built = strongest_edges(built).select(*COLUMNS)
+    new = at(built, "src").union(at(built, "dst", impacted).join(again.withColumnRenamed("id", "src"), "src", "left_anti").select(*COLUMNS))
     return kept.union(new)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+from .lineage import cut
 
 
 def newest(log: DataFrame, limit: int) -> DataFrame:
@@ -12,35 +16,68 @@ def newest(log: DataFrame, limit: int) -> DataFrame:
     return log.orderBy(F.desc("seq")).limit(limit)
 
 
+#: Rank error of the sketches, as a share of a group's values, and groups that may be broadcast.
+RANK_ERROR, BROADCAST_GROUPS = 1e-4, 100_000
+
+
 def latency_stats(samples: DataFrame, group: str, value: str, digits: int = 4) -> DataFrame:
     """AG10: n, min, avg, p50, p95, max and total; a percentile is the element at round((n - 1) * q) of the sorted values.
 
-    Values are counted before they are ranked, so a group's windows run over its distinct values."""
-    counts = samples.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("group"), F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy("group")
-    upto = F.sum("c").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    placed = counts.withColumns({"upto": upto, "n": F.sum("c").over(w)})
-    at = lambda q: F.min(F.when(F.col("upto") > F.floor((F.col("n") - 1) * F.lit(q) + 0.5), F.col("v")))
-    total = F.sum(F.col("v") * F.col("c"))
-    return placed.groupBy("group").agg(
-        F.sum("c").alias("n"), F.round(F.min("v"), digits).alias("min"), F.round(total / F.sum("c"), digits).alias("avg"), F.round(at(0.5), digits).alias("p50"), F.round(at(0.95), digits).alias("p95"), F.round(F.max("v"), digits).alias("max"), F.round(total, digits).alias("total")
-    )
+    A mergeable sketch brackets each percentile; what lies below a bracket is only counted, and only the few values within it are
+    sorted, so no task sorts a group."""
+    rows = samples.where(F.col(value).isNotNull()).select(F.col(group).alias("group"), F.col(value).alias("v"))
+    quantiles, margin = (0.5, 0.95), 5 * RANK_ERROR
+    places = [min(1.0, max(0.0, q + m)) for q in quantiles for m in (-margin, margin)]
+    sketch = rows.groupBy("group").agg(F.count("*").alias("n"), F.sum("v").alias("total"), F.min("v").alias("min"), F.max("v").alias("max"), F.percentile_approx("v", places, int(1 / RANK_ERROR)).alias("p"))
+    sketch = cut(sketch.select("*", *(F.floor((F.col("n") - 1) * F.lit(q) + 0.5).alias(f"r{k}") for k, q in enumerate(quantiles))))
+    known = F.broadcast(sketch) if sketch.count() <= BROADCAST_GROUPS else sketch
+    rows = rows.join(known.select(F.col("group").alias("own"), "p", "r0", "r1"), F.col("group").eqNullSafe(F.col("own"))).drop("own")
+    low, high = lambda k: F.col("p")[2 * k], lambda k: F.col("p")[2 * k + 1]
+    # values below a bracket count as one, those within it by value
+    brackets = F.array(*(F.when(F.col("v") <= high(k), F.struct(F.lit(k).alias("k"), F.when(F.col("v") >= low(k), F.col("v")).alias("at"), F.col(f"r{k}").alias("rank"))) for k in range(len(quantiles))))
+    counts = rows.select("group", F.explode(F.array_compact(brackets)).alias("x")).groupBy("group", "x.k", "x.at", "x.rank").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("group", "k").orderBy(F.asc_nulls_first("at")).rowsBetween(Window.unboundedPreceding, 0))
+    found = counts.withColumn("upto", upto).where(F.col("at").isNotNull() & (F.col("upto") > F.col("rank"))).groupBy("group").agg(*(F.min(F.when(F.col("k") == k, F.col("at"))).alias(f"q{k}") for k in range(len(quantiles))))
+    own = sketch.alias("s").join(found.alias("f"), F.col("s.group").eqNullSafe(F.col("f.group")))
+    return own.select(F.col("s.group").alias("group"), "n", F.round("min", digits).alias("min"), F.round(F.col("total") / F.col("n"), digits).alias("avg"), F.round("q0", digits).alias("p50"), F.round("q1", digits).alias("p95"), F.round("max", digits).alias("max"), F.round("total", digits).alias("total"))
+
+
+def entry_text(*columns: str) -> Column:
+    return F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
 
 
 def entry_hash(*columns: str) -> Column:
-    return F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256)
+    """A row's hash: of its columns and of prev_hash, so that no entry can be changed without all after it."""
+    return F.sha2(entry_text(*columns, "prev_hash"), 256)
+
+
+def chain(log: DataFrame, columns: Sequence[str], by: str) -> DataFrame:
+    """A log with entry_hash of each row, which covers prev_hash, that of the one before by seq in its ``by`` group.
+
+    A group is hashed in order, row by row with one hash in memory; groups go in parallel, so give one that bounds a chain."""
+    schema = T.StructType([*log.schema.fields, T.StructField("entry_hash", T.StringType()), T.StructField("prev_hash", T.StringType())])
+    place = log.columns.index(by)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, last = None, None
+        for batch in batches:
+            own, before = [], []
+            for name, text in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+                if (name,) != group:
+                    group, last = (name,), None
+                before.append(last)
+                last = hashlib.sha256(f"{text}|{last or ''}".encode()).hexdigest()
+                own.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(own, pa.string()), pa.array(before, pa.string())], names=[*batch.schema.names[:-1], "entry_hash", "prev_hash"])
 
-def chain(log: DataFrame, columns: Sequence[str], by: str | None = None) -> DataFrame:
-    """A log with entry_hash of each row and prev_hash, that of the one before by seq (in its ``by`` group). A row's own hash does not cover prev_hash, so chains are made and checked in parallel. Without groups the whole log is one chain, in one task: give a group that bounds it."""
-    w = Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))
-    return log.withColumn("entry_hash", entry_hash(*columns)).withColumn("prev_hash", F.lag("entry_hash").over(w.orderBy("seq")))
+    ordered = log.withColumn("entry text", entry_text(*columns)).repartition(by).sortWithinPartitions(by, "seq")
+    return ordered.mapInArrow(run, schema)
 
 
 def verify_chain(log: DataFrame, columns: Sequence[str], by: str) -> DataFrame:
-    """(by, entries, valid, first_bad): whether each row's hash is that of its columns and its prev_hash that of the row before."""
+    """(by, entries, valid, first_bad): whether each row's hash is that of its columns and prev_hash, and its prev_hash that of the row before. A row needs no other row's recomputed hash, so rows are checked in parallel."""
     before = F.lag("entry_hash").over(Window.partitionBy(by).orderBy("seq"))
-    bad = (F.col("entry_hash") != entry_hash(*columns)) | ~F.col("prev_hash").eqNullSafe(F.col("before"))
+    bad = ~F.col("entry_hash").eqNullSafe(entry_hash(*columns)) | ~F.col("prev_hash").eqNullSafe(F.col("before"))
     return log.withColumn("before", before).groupBy(by).agg(F.count("*").alias("entries"), F.min(F.when(bad, F.col("seq"))).alias("first_bad")).withColumn("valid", F.col("first_bad").isNull())
 
 

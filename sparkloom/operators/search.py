@@ -92,13 +92,13 @@ def search_contexts(local: DataFrame, linked: dict[str, DataFrame], query: str,
 
 def find_occurrences(sources: DataFrame, query: str, max_size: int | None = 512 * 1024) -> DataFrame:
     """(file, point_id, at): each place of a literal text in files (file, text) up to a size, if any, counted in characters; places do not overlap."""
-    parts = F.split("text", F.lit(_quoted(query)), -1)
-    sizes = F.transform(F.slice(parts, 1, F.size(parts) - 1), F.length)
-    # each place is the one before, the query's length and what stands between
-    starts = F.aggregate(sizes, F.array().cast("array<int>"), lambda acc, x: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)) + len(query), F.lit(0)) + x))
     hits = sources.where(F.contains("text", F.lit(query)))
     hits = hits if max_size is None else hits.where(F.octet_length("text") <= max_size)
-    return hits.select("file", F.posexplode(starts).alias("point_id", "at")).select("file", F.col("point_id").cast("long").alias("point_id"), F.col("at").cast("long").alias("at"))
+    parts = F.split("text", F.lit(_quoted(query)), -1)
+    each = hits.select("file", F.monotonically_increasing_id().alias("row"), F.posexplode(F.transform(F.slice(parts, 1, F.size(parts) - 1), F.length)).alias("point_id", "size"))
+    # a place is what stands before it: the parts so far, and the query as often
+    before = F.sum("size").over(Window.partitionBy("file", "row").orderBy("point_id").rowsBetween(Window.unboundedPreceding, 0))
+    return each.select("file", F.col("point_id").cast("long").alias("point_id"), (before + F.col("point_id") * len(query)).cast("long").alias("at"))
 
 
 def _quoted(text: str) -> str:

@@ -109,16 +109,22 @@ def pairwise_deltas(snapshots: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def state_hash(rows: DataFrame, *columns: str, parts: int = 256) -> DataFrame:
-    """AG15, AG16: one SHA-256 over rows, whatever their order: the rows' digests are sorted and hashed in buckets by their first
-    byte, then the buckets' digests. No task gathers all rows, and equal tables hash alike however they are partitioned."""
+#: Hex digits of a digest that name the bucket it is hashed in, from the leaves of the tree to its root.
+BUCKET_DIGITS = (6, 4, 2, 0)
+
+
+def state_hash(rows: DataFrame, *columns: str) -> DataFrame:
+    """AG15, AG16: one SHA-256 over rows, whatever their order, as a tree: the rows' digests are sorted and hashed in buckets by their
+    first six digits, the buckets' digests in buckets by four, then two, then all. No task gathers more than a 16-millionth of the
+    rows, or 256 digests, and equal tables hash alike however they are partitioned."""
     digest = F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns)), 256)
-    bucket = F.conv(F.substring("digest", 1, 2), 16, 10).cast("int") % parts
     # equal rows count: their number goes with the digest
-    counted = rows.select(digest.alias("digest")).groupBy("digest").agg(F.count("*").alias("n")).select(bucket.alias("bucket"), F.concat("digest", F.lit(":"), F.col("n").cast("string")).alias("line"))
-    hashed = counted.groupBy("bucket").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("line")), "\n"), 256).alias("digest"))
-    lines = F.transform(F.sort_array(F.collect_list(F.struct("bucket", "digest"))), lambda x: F.concat(x["bucket"].cast("string"), F.lit(":"), x["digest"]))
-    return hashed.agg(F.sha2(F.array_join(lines, "\n"), 256).alias("state_hash"))
+    level = rows.select(digest.alias("own")).groupBy("own").agg(F.count("*").cast("string").alias("said"))
+    for n, digits in enumerate(BUCKET_DIGITS):
+        name = F.substring("own", 1, digits).alias("own") if digits else F.lit("").alias("own")
+        lines = level.select(name, (F.concat("own", F.lit(":"), "said")).alias("line"))
+        level = lines.groupBy("own").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("line")), "\n"), 256).alias("said"))
+    return level.agg(F.coalesce(F.first("said"), F.sha2(F.lit(""), 256)).alias("state_hash"))
 
 
 def commit_conflicts(base: DataFrame, current: DataFrame, proposed: DataFrame) -> DataFrame:

@@ -182,14 +182,19 @@ def _(t: Tables) -> DataFrame:
     return N.pairwise_deltas({"a": before, "b": after, "c": after.where("tier <> 'heuristic'")})
 
 
-@query("ag15_state_hash", """WITH d AS (SELECT sha256(CAST(o_orderkey AS VARCHAR) || chr(31) || o_orderstatus) AS digest FROM orders), lines AS (SELECT ('0x' || substring(digest, 1, 2))::INT AS bucket, digest || ':' || count(*) AS line FROM d GROUP BY digest),
-b AS (SELECT bucket, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM lines GROUP BY bucket) SELECT sha256(string_agg(bucket || ':' || digest, chr(10) ORDER BY bucket)) AS state_hash FROM b""")
+_TREE = """lines AS (SELECT digest, digest || ':' || count(*) AS line FROM d GROUP BY digest),
+b6 AS (SELECT substring(digest, 1, 6) AS own, sha256(string_agg(line, chr(10) ORDER BY line)) AS said FROM lines GROUP BY 1),
+b4 AS (SELECT substring(own, 1, 4) AS up, sha256(string_agg(own || ':' || said, chr(10) ORDER BY own)) AS said FROM b6 GROUP BY 1),
+b2 AS (SELECT substring(up, 1, 2) AS up, sha256(string_agg(up || ':' || said, chr(10) ORDER BY up)) AS said FROM b4 GROUP BY 1)
+SELECT sha256(string_agg(up || ':' || said, chr(10) ORDER BY up)) AS state_hash FROM b2"""
+
+
+@query("ag15_state_hash", f"WITH d AS (SELECT sha256(CAST(o_orderkey AS VARCHAR) || chr(31) || o_orderstatus) AS digest FROM orders), {_TREE}")
 def _(t: Tables) -> DataFrame:
     return N.state_hash(t.orders, "o_orderkey", "o_orderstatus")
 
 
-@query("ag16_snapshot_id", """WITH d AS (SELECT sha256(source || chr(31) || doc_id || chr(31) || text) AS digest FROM documents), lines AS (SELECT ('0x' || substring(digest, 1, 2))::INT AS bucket, digest || ':' || count(*) AS line FROM d GROUP BY digest),
-b AS (SELECT bucket, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM lines GROUP BY bucket) SELECT sha256(string_agg(bucket || ':' || digest, chr(10) ORDER BY bucket)) AS state_hash FROM b""")
+@query("ag16_snapshot_id", f"WITH d AS (SELECT sha256(source || chr(31) || doc_id || chr(31) || text) AS digest FROM documents), {_TREE}")
 def _(t: Tables) -> DataFrame:
     return N.state_hash(t.documents, "source", "doc_id", "text")
 

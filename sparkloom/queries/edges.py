@@ -39,9 +39,10 @@ def _(t: Tables) -> DataFrame:
     return E.link_edges(_symbols(t)).where("kind = 'universal_link'").select("src", "dst", "confidence")
 
 
-@query("j3_name_fallback", f"{_LINKS} SELECT src, dst, 0.85::DOUBLE AS confidence FROM by_name")
+@query("j3_name_fallback", f"{_LINKS.replace(chr(39) + 's' + chr(39) + ' || (s_suppkey % 20) AS name', chr(39) + 's' + chr(39) + ' || (s_suppkey % 12) AS name')} SELECT src, dst, 0.85::DOUBLE AS confidence FROM by_name")
 def _(t: Tables) -> DataFrame:
-    return E.link_edges(_symbols(t)).where("kind = 'universal_name'").select("src", "dst", "confidence")
+    shared = t.supplier.select(F.concat(_path("s_suppkey"), F.lit("::s"), (F.col("s_suppkey") % 20).cast("string"), F.lit("#"), F.col("s_suppkey").cast("string")).alias("id"), F.concat(F.lit("s"), (F.col("s_suppkey") % 12).cast("string")).alias("name"))
+    return E.link_edges(_symbols(t).drop("name").join(shared, "id")).where("kind = 'universal_name'").select("src", "dst", "confidence")
 
 
 _CONTAIN = f"""WITH {A.LINE_SPANS}, marks AS (SELECT file, id || '/w' AS id, start + 1 AS start, start + (("end" - start) // 2) AS "end" FROM spans WHERE kind = 'function' AND "end" - start >= 4),
@@ -143,10 +144,10 @@ def _(t: Tables) -> DataFrame:
     return R.stab(points, A.line_spans(t).where("kind = 'function'"))
 
 
-@query("j12_point_lookup", f"{_STAB} SELECT h.file, h.point_id, h.id FROM held h WHERE h.nth = 1 AND h.file = '7' AND h.point_id = 5")
+@query("j12_point_lookup", f"{_STAB} SELECT h.file, h.point_id, h.id FROM held h WHERE h.nth = 1 AND h.point_id = 5")
 def _(t: Tables) -> DataFrame:
-    points = t.documents.where("doc_id = 7").select(F.col("doc_id").cast("string").alias("file"), F.lit(5).cast("long").alias("point_id"), F.floor(F.col("n_chars") * 5 / 10).alias("at"))
-    return R.stab(points, A.line_spans(t).where("kind = 'function' and file = '7'")).where("id is not null").select("file", "point_id", "id")
+    points = t.documents.select(F.col("doc_id").cast("string").alias("file"), F.lit(5).cast("long").alias("point_id"), F.floor(F.col("n_chars") * 5 / 10).alias("at"))
+    return R.stab(points, A.line_spans(t).where("kind = 'function'")).where("id is not null").select("file", "point_id", "id")
 
 
 @query("w1_occurrence_ids", f"WITH {_SYM} SELECT filepath || '::' || name || CASE WHEN n = 0 THEN '' ELSE '::#' || n END AS id FROM (SELECT filepath, name, row_number() OVER (PARTITION BY filepath, name ORDER BY id) - 1 AS n FROM symbols)")

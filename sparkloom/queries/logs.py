@@ -23,8 +23,9 @@ def _(t: Tables) -> DataFrame:
 
 
 _CHAIN_COLUMNS = ("seq", "ts", "actor_id", "operation", "input")
-_CHAIN = f"""WITH {A.HISTORY}, hashed AS (SELECT *, sha256(seq || '|' || ts || '|' || actor_id || '|' || operation || '|' || coalesce(input, '')) AS entry_hash FROM history),
-chained AS (SELECT *, lag(entry_hash) OVER (PARTITION BY actor_id ORDER BY seq) AS prev_hash FROM hashed)"""
+_CHAIN = f"""WITH RECURSIVE {A.HISTORY}, bodies AS (SELECT *, seq || '|' || ts || '|' || actor_id || '|' || operation || '|' || coalesce(input, '') AS body, row_number() OVER (PARTITION BY actor_id ORDER BY seq) AS nth FROM history),
+chained AS (SELECT seq, ts, actor_id, operation, input, nth, sha256(body || '|') AS entry_hash, NULL::VARCHAR AS prev_hash FROM bodies WHERE nth = 1
+ UNION ALL SELECT b.seq, b.ts, b.actor_id, b.operation, b.input, b.nth, sha256(b.body || '|' || c.entry_hash), c.entry_hash FROM chained c JOIN bodies b ON b.actor_id = c.actor_id AND b.nth = c.nth + 1)"""
 
 
 @query("w6_hash_chain", f"{_CHAIN} SELECT seq, entry_hash, prev_hash FROM chained")
@@ -32,11 +33,12 @@ def _(t: Tables) -> DataFrame:
     return L.chain(A.history(t), _CHAIN_COLUMNS, "actor_id").select("seq", "entry_hash", "prev_hash")
 
 
-@query("w6_verify_chain", f"""{_CHAIN}, tampered AS (SELECT *, CASE WHEN seq % 1000 = 7 THEN 'forged' ELSE operation END AS op FROM chained), checked AS (SELECT actor_id, seq, entry_hash <> sha256(seq || '|' || ts || '|' || actor_id || '|' || op || '|' || coalesce(input, '')) AS bad FROM tampered)
+@query("w6_verify_chain", f"""{_CHAIN}, tampered AS (SELECT *, CASE WHEN seq % 1000 = 7 THEN 'forged' ELSE operation END AS op, CASE WHEN seq % 1000 = 13 THEN sha256('cut') ELSE prev_hash END AS prev FROM chained),
+checked AS (SELECT actor_id, seq, entry_hash <> sha256(seq || '|' || ts || '|' || actor_id || '|' || op || '|' || coalesce(input, '') || '|' || coalesce(prev, '')) OR prev IS DISTINCT FROM lag(entry_hash) OVER (PARTITION BY actor_id ORDER BY seq) AS bad FROM tampered)
 SELECT actor_id, count(*) AS entries, min(CASE WHEN bad THEN seq END) AS first_bad, count(*) FILTER (bad) = 0 AS valid FROM checked GROUP BY actor_id""")
 def _(t: Tables) -> DataFrame:
     chained = L.chain(A.history(t), _CHAIN_COLUMNS, "actor_id")
-    forged = chained.withColumn("operation", F.when(F.col("seq") % 1000 == 7, "forged").otherwise(F.col("operation")))
+    forged = chained.withColumns({"operation": F.when(F.col("seq") % 1000 == 7, "forged").otherwise(F.col("operation")), "prev_hash": F.when(F.col("seq") % 1000 == 13, F.sha2(F.lit("cut"), 256)).otherwise(F.col("prev_hash"))})
     return L.verify_chain(forged, _CHAIN_COLUMNS, "actor_id")
 
 

@@ -98,33 +98,46 @@ def _(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", P.scope_of(F.concat(F.lit("@"), "source", F.lit("::"), F.col("doc_id").cast("string"))).alias("scope"))
 
 
-_LINES = "old_v AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), new_v AS (SELECT doc_id, list_concat(['// TODO: ' || doc_id], list_slice(l, 2, len(l))) AS l FROM old_v)"
+#: Lines with their numbers, so that no two of a document are equal; some go, some change, some get a new one after them.
+_EDITS = """old_lines AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS n, unnest(string_split(text, chr(10))) AS line FROM documents),
+edits AS (SELECT doc_id, n, n || ' ' || line AS line, CASE (doc_id * 31 + n * 7) % 11 WHEN 0 THEN 'goes' WHEN 1 THEN 'changes' WHEN 2 THEN 'more' ELSE 'stays' END AS act, CASE doc_id % 3 WHEN 0 THEN 'TODO ' WHEN 1 THEN 'x.unwrap() ' ELSE 'new ' END || n AS fresh FROM old_lines),
+gaps AS (SELECT *, act IN ('stays', 'more') AS kept, count(*) FILTER (act IN ('stays', 'more')) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM edits),
+marked AS (SELECT doc_id, gap, 2 AS what, n, ' ' || line AS shown FROM gaps WHERE kept UNION ALL SELECT doc_id, gap, 0, n, '-' || line FROM gaps WHERE NOT kept UNION ALL SELECT doc_id, gap, 1, n, '+' || fresh FROM gaps WHERE act = 'changes' UNION ALL SELECT doc_id, gap + 1, 1, n, '+' || fresh FROM gaps WHERE act = 'more'),
+new_lines AS (SELECT doc_id, what, shown, row_number() OVER (PARTITION BY doc_id ORDER BY gap, what, n) AS place FROM marked WHERE what > 0),
+changed AS (SELECT doc_id, 'src/d' || doc_id || '.rs' AS path, string_agg(shown, chr(10) ORDER BY gap, what, n) AS diff, count(*) FILTER (what = 1) AS added, count(*) FILTER (what = 0) AS removed FROM marked GROUP BY doc_id HAVING count(*) FILTER (what < 2) > 0)"""
 
 
 def _versions(t: Tables) -> tuple[DataFrame, DataFrame]:
-    rows = t.documents.select("doc_id", F.split("text", "\n", -1).alias("l"))
-    path = F.concat(F.lit("src/d"), F.col("doc_id").cast("string"), F.lit(".rs")).alias("path")
-    first = F.array(F.concat(F.lit("// TODO: "), F.col("doc_id").cast("string")))
-    after = F.concat(first, F.slice("l", 2, F.greatest(F.size("l"), F.lit(1))))
-    return rows.select(path, F.array_join("l", "\n").alias("content")), rows.select(path, F.array_join(after, "\n").alias("content"))
+    lines = F.split("text", "\n", -1)
+    numbered = F.transform(lines, lambda x, k: F.struct((k + 1).cast("long").alias("n"), F.concat((k + 1).cast("string"), F.lit(" "), x).alias("line")))
+    path, doc = F.concat(F.lit("src/d"), F.col("doc_id").cast("string"), F.lit(".rs")).alias("path"), F.col("doc_id")
 
+    def edited(x: F.Column) -> F.Column:
+        act, fresh = (doc * 31 + x["n"] * 7) % 11, F.concat(F.when(doc % 3 == 0, "TODO ").when(doc % 3 == 1, "x.unwrap() ").otherwise("new "), x["n"].cast("string"))
+        return F.when(act == 0, F.array().cast("array<string>")).when(act == 1, F.array(fresh)).when(act == 2, F.array(x["line"], fresh)).otherwise(F.array(x["line"]))
 
-@query("j17_df2_raw_changes", f"WITH {_LINES} SELECT 'src/d' || doc_id || '.rs' AS path, 'modified' AS change, 1::BIGINT AS added, 1::BIGINT AS removed FROM old_v")
+    rows = t.documents.where("text is not null").select(path, "doc_id", numbered.alias("l"))
+    return rows.select("path", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("content")), rows.select("path", F.array_join(F.flatten(F.transform("l", edited)), "\n").alias("content"))
+
+
+@query("j17_df2_raw_changes", f"WITH {_EDITS} SELECT path, 'modified' AS change, added, removed FROM changed")
 def _(t: Tables) -> DataFrame:
     return D.raw_changes(*_versions(t)).select("path", "change", F.size("added_lines").cast("long").alias("added"), "removed")
 
 
-@query("df1_unified_diff", f"WITH {_LINES} SELECT 'src/d' || o.doc_id || '.rs' AS path, array_to_string(list_concat(['-' || o.l[1], '+' || n.l[1]], list_transform(list_slice(o.l, 2, len(o.l)), lambda x: ' ' || x)), chr(10)) AS diff FROM old_v o JOIN new_v n ON o.doc_id = n.doc_id")
+@query("df1_unified_diff", f"WITH {_EDITS} SELECT path, diff FROM changed")
 def _(t: Tables) -> DataFrame:
     return D.raw_changes(*_versions(t)).select("path", "diff")
 
 
-@query("df3_review_findings", f"WITH {_LINES} SELECT 'low' AS severity, 'todo_marker' AS code, 'src/d' || doc_id || '.rs' AS file, 1::BIGINT AS line FROM old_v UNION ALL SELECT 'medium', 'missing_tests', NULL, NULL")
+@query("df3_review_findings", f"""WITH {_EDITS}, fresh AS (SELECT doc_id, 'src/d' || doc_id || '.rs' AS file, shown, place AS line FROM new_lines WHERE what = 1)
+SELECT 'low' AS severity, 'todo_marker' AS code, file, line FROM fresh WHERE regexp_matches(shown, 'TODO|FIXME|XXX') UNION ALL SELECT 'medium', 'risky_api', file, line FROM fresh WHERE contains(shown, 'unwrap(')
+UNION ALL SELECT 'medium', 'large_change', path, NULL FROM changed WHERE added + removed > 300 UNION ALL SELECT 'medium', 'missing_tests', NULL, NULL""")
 def _(t: Tables) -> DataFrame:
     return D.review_findings(D.raw_changes(*_versions(t)))
 
 
-@query("t5_largest_changes", f"WITH {_LINES} SELECT 'src/d' || doc_id || '.rs' AS path, 2::BIGINT AS changed_lines FROM old_v ORDER BY path LIMIT 20")
+@query("t5_largest_changes", f"WITH {_EDITS} SELECT path, added + removed AS changed_lines FROM changed ORDER BY changed_lines DESC, path LIMIT 20")
 def _(t: Tables) -> DataFrame:
     return D.largest_changes(D.raw_changes(*_versions(t)), 20).select("path", F.col("changed_lines").cast("long").alias("changed_lines"))
 

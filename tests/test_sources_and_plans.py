@@ -77,6 +77,11 @@ def test_diffs(old, new):
 def test_diff_beyond_the_table():
     a, b = [str(k) for k in range(30)], [str(k) for k in range(29, -1, -1)]
     assert len(D.matched_lines(a, b, most_cells=10)) == 0
+    old, new = [f"l{k}" for k in range(3000)], [f"l{k}" for k in range(3000) if k % 100 != 50] + ["end"]
+    new[500:500] = [f"more{k}" for k in range(10)]
+    text = D.unified("\n".join(old), "\n".join(new)).split("\n")
+    assert [x[1:] for x in text if x[0] != "+"] == old and [x[1:] for x in text if x[0] != "-"] == new and sum(x[0] != " " for x in text) == 30 + 11
+    assert D.realigned_lines(["a"] + ["x"] * 30 + ["b"], ["b", "c"]) == [] and D.realigned_lines(["a", "b"], ["b"]) == [(1, 0)]
 
 
 def test_diagnostics_and_pages(spark):
