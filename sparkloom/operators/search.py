@@ -163,6 +163,15 @@ def trace_seeds(found: DataFrame, symbols: DataFrame, per_token: int = 4, total:
     return first.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("token", "symbol"))).where(F.col("nth") <= total).select("id", "symbol")
 
 
+def trace_graph(found: DataFrame, symbols: DataFrame, edges: DataFrame, per_token: int = 4, total: int = 6) -> dict[str, DataFrame]:
+    """TX8: seeds (id, symbol) of each trace, the edges (id and the edges' columns) one step from its seeds either way, each once, and the summary of its candidates. An edges' column id gives way to the trace's."""
+    seeds = trace_seeds(found, symbols, per_token, total)
+    rows = edges.drop("id")
+    leaving = rows.join(seeds.withColumnRenamed("symbol", "src"), "src")
+    entering = rows.join(seeds.withColumnRenamed("symbol", "dst"), "dst").join(seeds.withColumnRenamed("symbol", "src"), ["id", "src"], "left_anti")
+    return {"seeds": seeds, "edges": leaving.unionByName(entering).select("id", *rows.columns), "summary": trace_summary(found)}
+
+
 #: Classes of side effects by words of the source.
 SIDE_EFFECTS = {"filesystem": ("fs::", "open(", "write(", "remove_"), "network": ("http", "socket", "request", "tcp"), "process": ("command", "spawn", "subprocess", "exec("), "state": ("lock(", "global ", "static mut", "insert("), "output": ("println", "print(", "console.log")}
 

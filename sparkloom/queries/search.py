@@ -121,14 +121,29 @@ def _(t: Tables) -> DataFrame:
     return S.trace_summary(S.trace_tokens(_traces(t)))
 
 
-@query("tx8_trace_seeds", rf"""WITH {_TRACE_TOKENS}, syms AS (SELECT 'sym' || s_suppkey AS symbol, 'W' || (s_suppkey % 13) AS name FROM supplier UNION ALL SELECT 'symsvc' || s_suppkey, 'svc' || (s_suppkey % 6) FROM supplier),
+_TRACE_SEEDS = rf"""{_TRACE_TOKENS}, syms AS (SELECT 'sym' || s_suppkey AS symbol, 'W' || (s_suppkey % 13) AS name FROM supplier UNION ALL SELECT 'symsvc' || s_suppkey, 'svc' || (s_suppkey % 6) FROM supplier),
 pairs AS (SELECT id, token, symbol, row_number() OVER (PARTITION BY id, token ORDER BY symbol) AS nth FROM tokens JOIN syms ON lower(regexp_extract(token, '([^:./\\]*)$', 1)) = lower(name)),
-firsts AS (SELECT id, symbol, min(token) AS token FROM pairs WHERE nth <= 4 GROUP BY id, symbol)
-SELECT id, symbol FROM (SELECT id, symbol, row_number() OVER (PARTITION BY id ORDER BY token, symbol) AS nth FROM firsts) WHERE nth <= 6""")
-def _(t: Tables) -> DataFrame:
+firsts AS (SELECT id, symbol, min(token) AS token FROM pairs WHERE nth <= 4 GROUP BY id, symbol),
+seeds AS (SELECT id, symbol FROM (SELECT id, symbol, row_number() OVER (PARTITION BY id ORDER BY token, symbol) AS nth FROM firsts) WHERE nth <= 6)"""
+
+
+def _trace_symbols(t: Tables) -> DataFrame:
     k = F.col("s_suppkey").cast("string")
-    syms = t.supplier.select(F.concat(F.lit("sym"), k).alias("id"), F.concat(F.lit("W"), (F.col("s_suppkey") % 13).cast("string")).alias("name")).union(t.supplier.select(F.concat(F.lit("symsvc"), k), F.concat(F.lit("svc"), (F.col("s_suppkey") % 6).cast("string"))))
-    return S.trace_seeds(S.trace_tokens(_traces(t)), syms)
+    return t.supplier.select(F.concat(F.lit("sym"), k).alias("id"), F.concat(F.lit("W"), (F.col("s_suppkey") % 13).cast("string")).alias("name")).union(t.supplier.select(F.concat(F.lit("symsvc"), k), F.concat(F.lit("svc"), (F.col("s_suppkey") % 6).cast("string"))))
+
+
+@query("tx8_trace_seeds", f"WITH {_TRACE_SEEDS} SELECT id, symbol FROM seeds")
+def _(t: Tables) -> DataFrame:
+    return S.trace_seeds(S.trace_tokens(_traces(t)), _trace_symbols(t))
+
+
+@query("tx8_trace_graph", f"""WITH {_TRACE_SEEDS}, links AS (SELECT 'sym' || s_suppkey AS src, 'symsvc' || (s_suppkey + s_suppkey % 3) AS dst, 'calls' AS kind FROM supplier UNION ALL SELECT 'symsvc' || s_suppkey, 'sym' || (s_suppkey + s_nationkey % 5), 'references' FROM supplier)
+SELECT q.id, l.src, l.dst, l.kind FROM (SELECT DISTINCT id FROM seeds) q JOIN links l ON EXISTS (SELECT 1 FROM seeds s WHERE s.id = q.id AND s.symbol IN (l.src, l.dst))""")
+def _(t: Tables) -> DataFrame:
+    k, sym, svc = F.col("s_suppkey"), F.lit("sym"), F.lit("symsvc")
+    calls = t.supplier.select(F.concat(sym, k.cast("string")).alias("src"), F.concat(svc, (k + k % 3).cast("string")).alias("dst"), F.lit("calls").alias("kind"))
+    links = calls.union(t.supplier.select(F.concat(svc, k.cast("string")), F.concat(sym, (k + F.col("s_nationkey") % 5).cast("string")), F.lit("references")))
+    return S.trace_graph(S.trace_tokens(_traces(t)), _trace_symbols(t), links)["edges"]
 
 
 @query("tx5_ag11_coverage", "SELECT doc_id AS id, (SELECT count(DISTINCT source) FROM documents) AS indexed_files, round((SELECT count(DISTINCT source) FROM documents) / 25.0, 4)::DOUBLE AS coverage, 'partial' AS coverage_state FROM documents")

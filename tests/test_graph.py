@@ -217,3 +217,24 @@ def test_find_enclosing_reads_whole_texts(spark):
     assert sorted((r["file"], r["id"], r["at"]) for r in found.collect()) == [("1", "1:1", 600 * 1024 + 1), ("2", "2:0", 0)]
     files = docs.selectExpr("cast(doc_id as string) as file", "text")
     assert [r["file"] for r in S.find_occurrences(files, "All rights").collect()] == ["2"]
+
+
+def test_tiered(spark):
+    s = spark.createDataFrame([("1", "load_a", "a.rs", "function"), ("2", "load_b", "b.rs", "function"), ("3", "other", "a.rs", "function")], "id string, name string, filepath string, kind string")
+    files = spark.createDataFrame([("a.rs", "fn load() {}"), ("b.rs", "fn f() {}")], "file string, text string")
+    spans = spark.createDataFrame([("a.rs", "1", 0, 12)], "file string, id string, start long, end long")
+    runs = spark.range(8).withColumnRenamed("id", "ts_unix")
+    found = S.tiered(s, files, spans, runs, "load")
+    assert rows(found["seeds"], "filepath") == [("a.rs",)] and rows(found["symbols"], "id") == [("1",)] and rows(found["runs"], "ts_unix") == [(k,) for k in range(3, 8)]
+    nowhere = S.tiered(s, files.limit(0), spans, runs, "load")
+    assert rows(nowhere["seeds"], "filepath") == [] and rows(nowhere["symbols"], "id") == [("1",), ("2",)]
+
+
+def test_trace_graph(spark):
+    traces = spark.createDataFrame([("1", "at crate::run"), ("2", "in nothing_here"), ("3", "run then stop")], "id string, text string")
+    s = spark.createDataFrame([("a", "run"), ("b", "stop"), ("c", "far"), ("d", "off")], "id string, name string")
+    graph = S.trace_graph(S.trace_tokens(traces), s, edges(spark, ("a", "b"), ("c", "a"), ("a", "a"), ("c", "d"), ("c", "a")))
+    assert rows(graph["seeds"], "id", "symbol") == [("1", "a"), ("3", "a"), ("3", "b")]
+    near = [("a", "a"), ("a", "b"), ("c", "a"), ("c", "a")]
+    assert rows(graph["edges"], "id", "src", "dst") == [(i, *e) for i in ("1", "3") for e in near]
+    assert graph["edges"].columns[1:] == edges(spark, ("a", "b")).columns and graph["summary"].count() == 3

@@ -22,6 +22,15 @@ def test_scan(spark, tmp_path):
     assert C.delta(found, found.where("filepath = 'src/a.rs'")).count() == 1
 
 
+def test_excluded_dirs(spark, tmp_path):
+    for name in ("package.json", "dist/a.js", "src/a.js", "src/dist.js", "src/dist/b.js", "target/c.js", "lib/go.mod", "vendor/d.js"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    files = C.scan(spark, str(tmp_path), ())
+    assert {r["dir"] for r in C.excluded_dirs(files).collect()} == {"node_modules", "dist", "build"}
+    assert {r["filepath"] for r in files.collect()} == {"package.json", "src/a.js", "src/dist.js", "target/c.js", "lib/go.mod", "vendor/d.js"}
+
+
 def test_manifests():
     assert M.parse("pyproject.toml", '[project]\ndependencies = ["a>=1", "b[x]"]\n[tool.poetry.dependencies]\npython = "3"\nc = "^2"\n') == [("a", ">=1", "runtime"), ("b", None, "runtime"), ("c", "^2", "runtime")]
     assert M.parse("package.json", '{"dependencies": {"a": "1"}, "devDependencies": {"b": "2"}}') == [("a", "1", "runtime"), ("b", "2", "dev")]
@@ -152,6 +161,17 @@ def test_plans(spark):
     assert P.resolve({"x": "$a.b[1]", "y": "is $a.b[0]!"}, {"a": {"b": [1, 2]}}) == {"x": 2, "y": "is 1!"} and P.substitute("${a}-${b}", {"a": 1}) == "1-${b}"
 
 
+def test_table_function(spark):
+    class Words:
+        def eval(self, text: str):
+            for k, word in enumerate((text or "").split()):
+                yield k, word
+
+    P.register_table_function(spark, "words_of", Words, "k int, word string")
+    found = spark.sql("SELECT x.id, w.k, w.word FROM VALUES (1, 'a b'), (2, NULL), (3, 'c') AS x(id, text), LATERAL words_of(x.text) AS w")
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 0, "a"), (1, 1, "b"), (3, 0, "c")]
+
+
 def test_scripts(spark):
     t, calls = tools(spark)
     script = Q.parse('#@explain finds things\nuse profile careful\narg limit: int = 2\narg name\nlet q = "x$name"\nsequence s {\n  search query=$q limit=$limit // go\n}\nlet first = $last.symbols[0].id\n')
