@@ -8,12 +8,12 @@ from collections.abc import Callable, Iterable, Iterator
 from uuid import uuid4
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.lineage import cut, remove, shared_dir
 from ..shipping import ship
 
-__all__ = ["cut", "id_text", "load", "map_arrow", "map_rows", "release", "remove", "rows_to_batches", "scratch", "shared_dir", "slices", "sweep", "utf8"]
+__all__ = ["columns", "cut", "id_text", "load", "map_arrow", "map_rows", "release", "remove", "row_and", "rows_to_batches", "scratch", "shared_dir", "slices", "sweep", "utf8"]
 
 #: Rows that one Arrow batch handed back to Spark holds at most, and rows of a batch that are Python objects at once.
 OUT_ROWS, IN_ROWS = 20_000, 500
@@ -75,7 +75,7 @@ def release() -> None:
         pass
 
 
-def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """mapInArrow that gives memory back to the system after each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,5 +103,15 @@ def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
+def columns(names: Iterable[str]) -> list[F.Column]:
+    """Top-level columns, whatever their names: a dot in one is no field's."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in names]
+
+
+def row_and(df: DataFrame, more: str) -> T.StructType:
+    """Schema of the table's struct ``row``, whatever its fields' names, and of more columns."""
+    return T.StructType([df.schema["row"], *T.StructType.fromDDL(more)])
+
+
 def id_text(column: str) -> F.Column:
     return F.col(column).cast("string")

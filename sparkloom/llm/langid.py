@@ -17,7 +17,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import id_text, load, map_arrow, slices
+from .common import columns, id_text, load, map_arrow, row_and, slices
 
 #: Bytes of a language's dictionary, and rows and characters of the labelled sample that one language gives at most.
 DICTIONARY_BYTES = 1 << 16
@@ -100,8 +100,8 @@ def _margin(sizes: list[int]) -> float:
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Struct ``row`` of the kept columns, lang_pred, score and accepted, for column text."""
     classifier = Classifier(dictionaries)
-    left = docs.select(F.struct(*keep).alias("row"), "text")
-    schema = f"row {left.schema['row'].dataType.simpleString()}, lang_pred string, score double, accepted boolean"
+    left = docs.select(F.struct(*columns(keep)).alias("row"), "text")
+    schema = row_and(left, "lang_pred string, score double, accepted boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):

@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import cut, load, map_arrow, scratch
+from .common import columns, cut, load, map_arrow, row_and, scratch
 
 DOMAINS = ("clean", "low", "toxic")
 #: Target weights of the domains in the mix.
@@ -150,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> C
 def posteriors(docs: DataFrame, classifier: Classifier, keep: tuple[str, ...]) -> DataFrame:
     """Struct ``row`` of the kept columns, tokens, and a column p0, p1, ... for each domain."""
     whole = "text" in keep  # then it goes once
-    left = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), *([] if whole else ["text"]))
+    left = docs.select(F.struct(*columns(keep)).alias("row"), *([] if whole else ["text"]))
     names = [f"p{k}" for k in range(len(DOMAINS))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +163,7 @@ def posteriors(docs: DataFrame, classifier: Classifier, keep: tuple[str, ...]) -
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array([n for n, _ in found], pa.int64()), *(pa.array(p[:, j].astype(np.float64)) for j in range(p.shape[1]))], names=["row", "tokens", *names])
         _stems.clear()  # workers are used again by other operators
 
-    return map_arrow(left, run, f"row {left.schema['row'].dataType.simpleString()}, tokens long, " + ", ".join(f"{n} double" for n in names))
+    return map_arrow(left, run, row_and(left, "tokens long, " + ", ".join(f"{n} double" for n in names)))
 
 
 def targets(totals: np.ndarray, weights: dict[str, float], anchor: str, lower_only: bool = False) -> np.ndarray:

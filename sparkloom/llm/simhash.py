@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import cut, load, map_arrow, utf8
+from .common import columns, cut, load, map_arrow, row_and, utf8
 
 WORDS = 3
 SEED = 42
@@ -100,7 +100,7 @@ def fingerprints(texts: list[str | None]) -> np.ndarray:
 
 def with_fingerprint(docs: DataFrame, keep: Iterable[str] = ("doc_id",)) -> DataFrame:
     """Struct ``row`` of the kept columns, and fp: the fingerprint as a signed long."""
-    left = docs.select(F.struct(*keep).alias("row"), "text")
+    left = docs.select(F.struct(*columns(keep)).alias("row"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,7 +108,7 @@ def with_fingerprint(docs: DataFrame, keep: Iterable[str] = ("doc_id",)) -> Data
                 own = batch.slice(k, ROWS)
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array(fingerprints(own.column(1).to_pylist()).view(np.int64))], names=["row", "fp"])
 
-    return map_arrow(left, run, f"row {left.schema['row'].dataType.simpleString()}, fp long")
+    return map_arrow(left, run, row_and(left, "fp long"))
 
 
 # ---------------------------------------------------------------- Golay code
@@ -215,7 +215,7 @@ def band_keys(sets: list[np.ndarray]) -> list[list[int]]:
 
 def with_set(docs: DataFrame, width: int, keep: Iterable[str] = ("doc_id",)) -> DataFrame:
     """Struct ``row`` of the kept columns, fp: the digest of the text's set of shingles, and keys of its bands."""
-    left = docs.select(F.struct(*keep).alias("row"), "text")
+    left = docs.select(F.struct(*columns(keep)).alias("row"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,7 +224,7 @@ def with_set(docs: DataFrame, width: int, keep: Iterable[str] = ("doc_id",)) ->
                 sets = [shingle_set(x, width) for x in own.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array(map(set_digest, sets), pa.int64()), pa.array(band_keys(sets), pa.list_(pa.int64()))], names=["row", "fp", "keys"])
 
-    return map_arrow(left, run, f"row {left.schema['row'].dataType.simpleString()}, fp long, keys array<bigint>")
+    return map_arrow(left, run, row_and(left, "fp long, keys array<bigint>"))
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -404,7 +404,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, similarity: float |
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
     kept = cut(found.join(labels, "fp").where(first).groupBy("doc_id").agg(F.count("*").alias("times")))
     if kept.where("doc_id is null or times > 1").limit(1).count() == 0:
-        return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+        return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*columns(docs.columns))
     # an id doesn't tell a document: the rows themselves are told by their fingerprints
     rows = marked(docs, docs.columns).join(labels, "fp").where(F.col("row.doc_id").eqNullSafe(F.col("component_id")))
     return rows.dropDuplicates(["root"]).select("row.*")

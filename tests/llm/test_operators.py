@@ -24,13 +24,13 @@ def text(seed: int, lang: str = "en", n: int = 60) -> str:
 
 
 #: Extra columns whose names the operators use inside.
-CLASHING = ("row", "fp", "kept", "host", "lines", "rate", "tokens", "score", "clean", "drawn", "key", "lang_pred", "sequence_id", "component_id", "domain", "labelled", "p0", "known", "digest", "salt", "own_host", "stays", "accepted", "least", "root", "keys", "length", "piece")
+CLASHING = ("row", "fp", "kept", "host", "lines", "rate", "tokens", "score", "clean", "drawn", "key", "lang_pred", "sequence_id", "component_id", "domain", "labelled", "p0", "known", "digest", "salt", "own_host", "stays", "accepted", "least", "root", "keys", "length", "piece", "a.b", "text.c")
 
 
 def documents(spark, rows):
     """(doc_id, text, lang, source) with n_chars and columns of clashing names."""
     full = [(i, t, lang, source, None if t is None else len(t), *(f"{c}!" for c in CLASHING)) for i, t, lang, source in rows]
-    return spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING))
+    return spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING))
 
 
 @pytest.fixture(scope="module")
