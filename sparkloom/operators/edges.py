@@ -4,12 +4,14 @@ Symbols have columns id, filepath, name, kind, role, link_name, start_byte, end_
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.paths import clamp, extension, leaf, parent, tags
 from ..schemas import CONTAINER_KINDS
+from ..sources.bodies import in_spans
 from .graph import strongest_edges
 from .lineage import cut
 from .ranges import smallest_container
@@ -57,22 +59,58 @@ def containment_edges(symbols: DataFrame) -> DataFrame:
 
 def call_sites(symbols: DataFrame, sources: DataFrame, keywords: Sequence[str] = KEYWORDS) -> DataFrame:
     """(caller id, its filepath, called): distinct names before an opening bracket in a symbol's span of the text."""
-    # spans count bytes; they are cut from the bytes and decoded after
-    body = F.decode(F.substring(F.encode("content", "UTF-8"), (F.col("start_byte") + 1).cast("int"), (F.col("end_byte") - F.col("start_byte")).cast("int")), "UTF-8")
-    spans = symbols.where("end_byte > start_byte").select(F.col("id").alias("caller"), "filepath", "start_byte", "end_byte").join(sources.select("filepath", "content"), "filepath").where("end_byte <= octet_length(content)")
-    names = F.array_distinct(F.regexp_extract_all(body, F.lit(r"([A-Za-z0-9_:.]+)[ \t\r\n\f]*\("), 1))
-    return spans.select("caller", "filepath", F.explode(names).alias("called")).where(~F.col("called").isin(*keywords))
+    spans = symbols.where("end_byte > start_byte").select(F.col("id").alias("caller"), "filepath", "start_byte", "end_byte")
+    found = in_spans(spans, sources, ("start_byte", "end_byte"), _called_names)
+    return found.select("row.caller", "row.filepath", F.explode("found").alias("called")).where(~F.col("called").isin(*keywords))
+
+
+_CALL = re.compile(rb"([A-Za-z0-9_:.]+)[ \t\r\n\f]*\(")
+
+
+def _called_names(data: bytes | None, spans: list[tuple]) -> list[list[str]]:
+    """Distinct names in each span that lies within the text."""
+    size = -1 if data is None else len(data)
+    return [[x.decode() for x in dict.fromkeys(_CALL.findall(data, start, end))] if end <= size else [] for start, end in spans]
+
+
+#: How near a candidate is, the nearest first.
+SAME_FILE, SAME_KIND_NEAR, SAME_DIR, SAME_EXTENSION, ANYWHERE = range(5)
+
+
+def _places(path: Column) -> Column:
+    """(level, place): what a file must share at each level of nearness."""
+    places = {SAME_FILE: path, SAME_KIND_NEAR: F.concat_ws("\n", parent(path), extension(path)), SAME_DIR: parent(path), SAME_EXTENSION: extension(path), ANYWHERE: F.lit("")}
+    return F.explode(F.array(*(F.struct(F.lit(level).alias("level"), place.alias("place")) for level, place in places.items())))
+
+
+def near_candidates(sites: DataFrame, targets: DataFrame) -> DataFrame:
+    """Sites (caller, called, filepath, leaf, qualified) with those targets (target, target_path, name) of the leaf that may score best.
+
+    A site's best level is told from the places where a name stands, so a name that stands everywhere isn't paired with all its calls.
+    A target in the same file beats all others. Nearness alone ranks the others unless the call is qualified, as a match adds points:
+    then what shares directory and extension is beaten at most by what shares the directory, and without such a one all are candidates."""
+    placed = targets.select("target", "target_path", "name", _places(F.col("target_path")).alias("at")).select("target", "target_path", "name", "at.level", "at.place")
+    site = ["caller", "called", "filepath", "leaf", "qualified"]
+    asked = sites.select(*site, _places(F.col("filepath")).alias("at")).select(*site, "at.level", "at.place")
+    known = placed.select(F.col("name").alias("leaf"), "level", "place").distinct()
+    nearest = asked.join(known, ["leaf", "level", "place"], "left_semi").groupBy(*site).agg(F.min("level").alias("nearest"))
+    level = F.when(~F.col("qualified") | (F.col("nearest") == SAME_FILE), F.col("nearest")).when(F.col("nearest") == SAME_KIND_NEAR, SAME_DIR).otherwise(ANYWHERE)
+    path = F.col("filepath")
+    place = F.when(F.col("level") == SAME_FILE, path).when(F.col("level") == SAME_KIND_NEAR, F.concat_ws("\n", parent(path), extension(path))).when(F.col("level") == SAME_DIR, parent(path)).when(F.col("level") == SAME_EXTENSION, extension(path)).otherwise("")
+    wanted = nearest.withColumn("level", level).withColumn("place", place).drop("nearest")
+    return wanted.join(placed.withColumnRenamed("name", "leaf"), ["leaf", "level", "place"]).drop("level", "place")
 
 
 def call_candidates(sites: DataFrame, symbols: DataFrame) -> DataFrame:
     """J7, CS1, CS2, CS6: each site's best candidates by the called name's leaf, all those at the greatest score, with confidence and evidence."""
     targets = symbols.select(F.col("id").alias("target"), F.col("filepath").alias("target_path"), F.col("name"))
-    sites = sites.withColumn("leaf", leaf(F.col("called"))).where("leaf <> ''")
-    pairs = sites.join(targets, F.col("leaf") == F.col("name"))
+    qualified = F.contains("called", F.lit("::")) | F.contains("called", F.lit("."))
+    sites = sites.withColumn("leaf", leaf(F.col("called"))).where("leaf <> ''").withColumn("qualified", qualified)
+    pairs = near_candidates(sites, targets)
     same_file = F.col("target_path") == F.col("filepath")
     same_dir = parent(F.col("target_path")) == parent(F.col("filepath"))
     same_ext = extension(F.col("target_path")) == extension(F.col("filepath"))
-    qualified = F.contains("called", F.lit("::")) | F.contains("called", F.lit("."))
+    qualified = F.col("qualified")
     match = qualified & (F.contains("target", F.col("called")) | F.contains("target_path", F.col("called")))
     points = lambda c, n: F.when(c, F.lit(n)).otherwise(F.lit(0))
     score = points(same_file, 100) + points(same_dir, 20) + points(same_ext, 10) + points(match, 15)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.paths import diagram_label, safe_diagram_id
+from ..sources.bodies import in_spans
 
 #: Characters of a flame graph's longest bar.
 BAR = 40
@@ -14,11 +15,24 @@ MOST_EDGES = 10_000
 
 def read_symbols(symbols: DataFrame, sources: DataFrame) -> DataFrame:
     """RD1: symbols (id, filepath, start_byte, end_byte, verbosity) with body: nothing, the first line or all of it for verbosity 0, 1 and 2; error tells what is missing."""
-    body = F.decode(F.substring(F.encode("content", "UTF-8"), (F.col("start_byte") + 1).cast("int"), (F.col("end_byte") - F.col("start_byte")).cast("int")), "UTF-8")
-    joined = symbols.join(sources.select("filepath", "content"), "filepath", "left")
-    error = F.when(F.col("content").isNull(), "file not found").when(F.col("end_byte") > F.octet_length("content"), "span beyond the file")
-    text = F.when(F.col("verbosity") == 1, F.substring_index(body, "\n", 1)).when(F.col("verbosity") >= 2, body)
-    return joined.withColumns({"error": error, "body": F.when(error.isNull(), text)}).drop("content")
+    found = in_spans(symbols.drop("body", "error"), sources, ("start_byte", "end_byte", "verbosity"), _read, "left")
+    return found.select("row.*", F.col("found")[0].alias("body"), F.col("found")[1].alias("error"))
+
+
+def _read(data: bytes | None, spans: list[tuple]) -> list[list[str | None]]:
+    """[body, error] of each (start, end, verbosity)."""
+
+    def one(start: int | None, end: int | None, verbosity: int | None) -> list[str | None]:
+        if data is None:
+            return [None, "file not found"]
+        if end is not None and end > len(data):
+            return [None, "span beyond the file"]
+        if None in (start, end, verbosity) or verbosity < 1:
+            return [None, None]
+        body = data[start : max(start, end)].decode("utf-8", "replace")
+        return [body.split("\n", 1)[0] if verbosity == 1 else body, None]
+
+    return [one(*span) for span in spans]
 
 
 def resolve_overloads(symbols: DataFrame, requests: DataFrame) -> DataFrame:
@@ -29,18 +43,25 @@ def resolve_overloads(symbols: DataFrame, requests: DataFrame) -> DataFrame:
     return joined.groupBy("filepath", "name", "line").agg(best.alias("id"))
 
 
+def _first_lines(lines: DataFrame, mark: str) -> DataFrame:
+    """The first MOST_EDGES distinct lines in order, and where there are more, one that says how many are left out."""
+    own = lines.distinct()
+    left_out = own.agg((F.count("*") - MOST_EDGES).alias("n")).where("n > 0").select(F.concat(F.lit(mark), F.col("n").cast("string"), F.lit(" more")).alias("line"))
+    return own.orderBy("line").limit(MOST_EDGES).union(left_out)
+
+
 def mermaid(edges: DataFrame, faults: DataFrame | None = None) -> DataFrame:
     """RD2: column diagram: one text of the edges in order; nodes with a fault (id) are styled."""
     line = F.concat(F.lit("  "), safe_diagram_id(F.col("src")), F.lit(" --> "), safe_diagram_id(F.col("dst")))
-    lines = edges.select(line.alias("line")).distinct().orderBy("line").limit(MOST_EDGES)
+    lines = _first_lines(edges.select(line.alias("line")), "  %% ")
     if faults is not None:
-        lines = lines.union(faults.select(F.concat(F.lit("  style "), safe_diagram_id(F.col("id")), F.lit(" fill:#f66")).alias("line")).distinct().orderBy("line").limit(MOST_EDGES))
+        lines = lines.union(_first_lines(faults.select(F.concat(F.lit("  style "), safe_diagram_id(F.col("id")), F.lit(" fill:#f66")).alias("line")), "  %% styles: "))
     body = F.array_join(F.sort_array(F.collect_list("line")), "\n")
     return lines.agg(F.concat(F.lit("graph TD\n"), body).alias("diagram"))
 
 
 def ascii_edges(edges: DataFrame) -> DataFrame:
-    lines = edges.select(F.concat(diagram_label(F.col("src")), F.lit(" -> "), diagram_label(F.col("dst"))).alias("line")).distinct().orderBy("line").limit(MOST_EDGES)
+    lines = _first_lines(edges.select(F.concat(diagram_label(F.col("src")), F.lit(" -> "), diagram_label(F.col("dst"))).alias("line")), "~ ")
     return lines.agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("diagram"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.paths import leaf
 from .ranges import stab
@@ -31,6 +31,47 @@ def postings(symbols: DataFrame) -> DataFrame:
     return symbols.select("id", each).select("id", "x.field", F.posexplode("x.terms").alias("position", "term"))
 
 
+def index_rows(symbols: DataFrame) -> DataFrame:
+    """The postings with ``dl``, the tokens of their symbol: what search_postings() reads."""
+    fields = F.array(*(F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("terms")) for f in ("name", "filepath")))
+    each = symbols.select("id", fields.alias("fields")).withColumn("dl", F.aggregate("fields", F.lit(0), lambda n, x: n + F.size(x["terms"])))
+    return each.select("id", "dl", F.explode("fields").alias("x")).select("id", "dl", "x.field", F.posexplode("x.terms").alias("position", "term"))
+
+
+def index_facts(symbols: DataFrame) -> DataFrame:
+    """One row: n symbols and their average length."""
+    return symbols.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col("name"))) + F.size(tokens(F.col("filepath")))).alias("avgdl"))
+
+
+def write_index(symbols: DataFrame, path: str) -> None:
+    """The postings as Parquet in order of term, so that a search reads the row groups of its terms; a frequent term spans several files."""
+    rows = index_rows(symbols)
+    rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    index_facts(symbols).write.mode("overwrite").parquet(f"{path}/facts")
+
+
+def search_index(spark: SparkSession, path: str, query: str, limit: int = 50) -> DataFrame:
+    return search_postings(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/facts"), query, limit)
+
+
+def search_postings(postings: DataFrame, facts: DataFrame, query: str, limit: int = 50, digits: int = 4) -> DataFrame:
+    """TX1, T1: (id, score) as search_ranked() ranks them, from the postings of the query's terms alone. Nothing where no symbol matches, or the query has no token."""
+    wanted = query_tokens(query)
+    if not wanted:
+        return postings.select("id", F.lit(0.0).alias("score")).limit(0)
+    *whole, prefix = wanted
+    is_last = F.col("term").startswith(prefix)
+    # a row stands at each place of the query that its term may have; a phrase begins where all places are taken
+    places = F.array_compact(F.array(*(F.when(F.col("term") == word, F.lit(k)) for k, word in enumerate(whole)), F.when(is_last, F.lit(len(whole)))))
+    own = postings.where(F.col("term").isin(*whole) | is_last if whole else is_last).select("id", "field", "dl", "position", F.explode(places).alias("at"))
+    phrases = own.groupBy("id", "field", "dl", (F.col("position") - F.col("at")).alias("start")).agg(F.count("*").alias("found")).where(F.col("found") == len(wanted))
+    hits = phrases.groupBy("id", "dl").agg(F.count("*").alias("tf"))
+    known = hits.agg(F.count("*").alias("df")).crossJoin(F.broadcast(facts))  # a row each
+    n, df, tf = F.col("n"), F.col("df"), F.col("tf")
+    score = F.log(1.0 + (n - df + 0.5) / (df + 0.5)) * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return hits.crossJoin(F.broadcast(known)).select("id", F.round(score, digits).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+
+
 def document_frequencies(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count_distinct("id").alias("df"))
 
@@ -194,6 +235,16 @@ def _any(text: Column, words: Sequence[str]) -> Column:
     return out
 
 
+def symbol_search(symbols: DataFrame, query: str, total_files: int, kind: str | None = None, peers: DataFrame | None = None, limit: int = 100) -> DataFrame:
+    """TX5: what search() finds, or what peers (the same columns) answered if that is nothing, with coverage, the index's quality and
+    the provenance of each row: ``local`` or ``external``."""
+    found = search(symbols, query, kind, limit)
+    local = found.withColumn("provenance", F.lit("local"))
+    if peers is not None and found.isEmpty():
+        local = peers.select(*(F.col(c) if c in peers.columns else F.lit(None).alias(c) for c in found.columns)).withColumn("provenance", F.lit("external"))
+    return with_coverage(local, symbols, total_files)
+
+
 def with_coverage(found: DataFrame, symbols: DataFrame, total_files: int) -> DataFrame:
     """TX5, AG11: results with the share of files that have symbols and the state that tells."""
     indexed = symbols.agg(F.count_distinct("filepath").alias("indexed_files"))

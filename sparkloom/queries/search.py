@@ -27,6 +27,12 @@ def _(t: Tables) -> DataFrame:
     return S.search_ranked(A.documents_as_symbols(t), "the of").select("id", "filepath", "kind", "score")
 
 
+@query("tx1_postings_topk", f"WITH {_DOCS}, {_bm25(['the', 'of'])} SELECT id, score FROM scored ORDER BY score DESC, id LIMIT 50")
+def _(t: Tables) -> DataFrame:
+    symbols = A.documents_as_symbols(t)
+    return S.search_postings(S.index_rows(symbols), S.index_facts(symbols), "the of")
+
+
 @query("t1_single_term_topk", f"WITH {_DOCS}, {_bm25(['licens'])} SELECT id, filepath, kind, score FROM scored ORDER BY score DESC, id LIMIT 10")
 def _(t: Tables) -> DataFrame:
     return S.search_ranked(A.documents_as_symbols(t), "LICENS", 10).select("id", "filepath", "kind", "score")
@@ -146,6 +152,11 @@ def _(t: Tables) -> DataFrame:
     return S.trace_graph(S.trace_tokens(_traces(t)), _trace_symbols(t), links)["edges"]
 
 
+@query("tx5_symbol_search", f"WITH {_DOCS}, {_bm25(['the', 'of'])}, top AS (SELECT * FROM scored ORDER BY score DESC, id LIMIT 100) SELECT id, score, 'local' AS provenance, round((SELECT count(DISTINCT source) FROM documents) / 25.0, 4)::DOUBLE AS coverage, 'partial' AS coverage_state FROM top WHERE kind = 'en'")
+def _(t: Tables) -> DataFrame:
+    return S.symbol_search(A.documents_as_symbols(t), "the of", 25, "en").select("id", "score", "provenance", "coverage", "coverage_state")
+
+
 @query("tx5_ag11_coverage", "SELECT doc_id AS id, (SELECT count(DISTINCT source) FROM documents) AS indexed_files, round((SELECT count(DISTINCT source) FROM documents) / 25.0, 4)::DOUBLE AS coverage, 'partial' AS coverage_state FROM documents")
 def _(t: Tables) -> DataFrame:
     found = t.documents.select(F.col("doc_id").alias("id"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.paths import extension
 from ..operators.ranges import next_offsets
+from .bodies import in_spans
 
 #: Extensions by language; more rows may be joined in.
 LANGUAGES = {"rust": ("rs",), "python": ("py",), "javascript": ("js", "jsx", "mjs"), "typescript": ("ts", "tsx"), "go": ("go",), "c": ("c", "h"), "cpp": ("cpp", "cc", "cxx", "hpp"), "java": ("java",)}
@@ -120,13 +121,23 @@ def text_graph(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     name = F.regexp_extract("line", r"^\s*(?:pub async fn |pub\(crate\) async fn |async fn |pub\(crate\) fn |pub fn |fn |def |function )([A-Za-z0-9_]+)", 1)
     defs = lines_of(sources).select(F.col("filepath").alias("file"), name.alias("name"), "offset", "size").where("name <> ''")
     spans = next_offsets(defs, "size")
-    body = F.decode(F.substring(F.encode("content", "UTF-8"), (F.col("offset") + 1).cast("int"), (F.col("body_end") - F.col("offset")).cast("int")), "UTF-8")
-    # every suffix of an identifier before a bracket counts, as the scan looks for the name anywhere
-    called = F.array_distinct(F.regexp_extract_all(body, F.lit(r"([A-Za-z0-9_]+)\("), 1))
-    bodies = spans.join(sources.select(F.col("filepath").alias("file"), "content"), "file").select("file", F.col("name").alias("caller"), F.explode(called).alias("word"))
-    suffixes = F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda k: F.substring("word", k, F.length("word"))))
-    targets = defs.select("file", F.col("name").alias("target")).distinct()
-    calls = bodies.select("file", "caller", suffixes.alias("target")).distinct().join(targets, ["file", "target"]).where("caller <> target")
+    found = in_spans(spans.withColumnRenamed("file", "filepath"), sources, ("name", "offset", "body_end"), _local_calls)
+    calls = found.select(F.col("row.filepath").alias("file"), F.col("row.name").alias("caller"), F.explode("found").alias("target"))
     ident = lambda c: F.concat("file", F.lit("::"), c)
     edges = calls.select(ident("caller").alias("src"), ident("target").alias("dst"), F.lit("calls").alias("kind"), F.lit("heuristic").alias("tier"), F.lit(0.55).alias("confidence"), F.lit("text_scan").alias("source"), F.array(F.lit("text_scan")).alias("evidence")).distinct()
     return defs.select(ident("name").alias("id")).distinct(), edges
+
+
+_WORD_CALL = re.compile(rb"([A-Za-z0-9_]+)\(")
+
+
+def _local_calls(data: bytes | None, spans: list[tuple]) -> list[list[str]]:
+    """Names of the file's own definitions that stand before a bracket in each (name, start, end), also as the end of a longer word, as the scan looks for a name anywhere."""
+    names = {name for name, *_ in spans}
+    longest = max(map(len, names))
+
+    def one(name: str, start: int, end: int) -> list[str]:
+        words = {x.decode() for x in _WORD_CALL.findall(data or b"", start, end)}
+        return sorted({w[k:] for w in words for k in range(max(0, len(w) - longest), len(w))} & names - {name})
+
+    return [one(*span) for span in spans]

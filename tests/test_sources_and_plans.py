@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.operators import diffs as D, logs as L, policy as Y, render as R
 from sparkloom.plans import dag as P, script as Q
@@ -102,8 +103,6 @@ def test_diagnostics_and_pages(spark):
 def test_chain(spark):
     log = L.chain(spark.createDataFrame([("a", 1, "x"), ("a", 2, "y")], "by string, seq int, operation string"), ["seq", "operation"], "by")
     assert L.verify_chain(log, ["seq", "operation"], "by").first()["valid"]
-    from pyspark.sql import functions as F
-
     forged = log.withColumn("operation", F.when(F.col("seq") == 2, "z").otherwise(F.col("operation")))
     assert L.verify_chain(forged, ["seq", "operation"], "by").first()["first_bad"] == 2
 
@@ -189,3 +188,17 @@ def test_scripts(spark):
     with pytest.raises(KeyError):
         Q.run(Q.parse("atomic step {\n nothing\n}"), t, {}, undone.append)
     assert undone == ["step"] and Q.targets(Q.parse("edit uri=a::b\nread path=c")) == ["a::b", "c"]
+
+
+def test_search_through_an_index(spark, tmp_path):
+    from sparkloom.operators import search as S
+
+    names = ["a a a", "a a b", "ab a", "parse file", "file parse", "Parse_files now", "", None, "parse"]
+    symbols = spark.createDataFrame([(f"i{k}", n, f"src/parse/f{k}.rs", "function") for k, n in enumerate(names)], "id string, name string, filepath string, kind string")
+    S.write_index(symbols, f"file://{tmp_path}/index")
+    for query in ("a a", "a", "parse fil", "parse", "src parse f", "rs", "a a a a"):
+        want = [(r["id"], r["score"]) for r in S.search_ranked(symbols, query).collect()]
+        assert [tuple(r) for r in S.search_index(spark, f"file://{tmp_path}/index", query).collect()] == want, query
+    assert S.search_index(spark, f"file://{tmp_path}/index", " - ").count() == 0
+    none = S.symbol_search(symbols, "zz", 9, peers=symbols.limit(1).withColumn("score", F.lit(1.0))).collect()
+    assert [(r["provenance"], r["coverage_state"]) for r in none] == [("external", "full")]
