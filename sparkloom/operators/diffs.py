@@ -110,8 +110,8 @@ def largest_changes(changes: DataFrame, limit: int) -> DataFrame:
 LARGE_CHANGE = 300
 
 
-def review_findings(changes: DataFrame) -> DataFrame:
-    """DF3, T6: (severity, code, file, line): risky calls and markers in added lines, large changes, and source changes without any test's, the gravest first."""
+def review_findings(changes: DataFrame, syntax: DataFrame | None = None) -> DataFrame:
+    """DF3, T6: (severity, code, file, line): risky calls and markers in added lines, large changes, changed files with errors of syntax (file), and source changes without any test's, the gravest first."""
     lines = changes.select("path", F.explode("added_lines").alias("x")).select("path", "x.line_no", "x.line")
     risky = lines.where(F.col("line").rlike(r"unwrap\(|expect\(|panic!")).select(F.lit("medium").alias("severity"), F.lit("risky_api").alias("code"), F.col("path").alias("file"), F.col("line_no").alias("line"))
     marked = lines.where(F.col("line").rlike("TODO|FIXME|XXX")).select(F.lit("low"), F.lit("todo_marker"), "path", "line_no")
@@ -119,7 +119,11 @@ def review_findings(changes: DataFrame) -> DataFrame:
     large = changes.where(F.col("changed_lines") > LARGE_CHANGE).select(F.lit("medium"), F.lit("large_change"), "path", none)
     touched = changes.agg(F.bool_or(is_source_file(F.col("path"))).alias("source"), F.bool_or(is_test_file(F.col("path"))).alias("test"))
     untested = touched.where("source and not test").select(F.lit("medium"), F.lit("missing_tests"), F.lit(None).cast("string"), none)
-    return risky.union(marked).union(large).union(untested).orderBy(severity_rank(), "code", "file", "line")
+    found = risky.union(marked).union(large).union(untested)
+    if syntax is not None:
+        broken = changes.join(syntax.select(F.col("file").alias("path")), "path", "left_semi")
+        found = found.union(broken.select(F.lit("high"), F.lit("syntax_error"), "path", none))
+    return found.orderBy(severity_rank(), "code", "file", "line")
 
 
 def severity_rank(column: str = "severity") -> F.Column:

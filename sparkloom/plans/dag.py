@@ -56,11 +56,28 @@ class Tools:
         return self._tools[name](**args)
 
 
-def register_table_function(spark: SparkSession, name: str, function: type, returns: str) -> None:
-    """Makes a Python table function callable from SQL."""
+def limited(function: type, seconds: float | None, most_bytes: int | None) -> type:
+    """A table function that raises once a call takes longer, or gives more bytes as text, than allowed; told from row to row."""
+
+    class Limited(function):
+        def eval(self, *args: Any):
+            began, size = time.monotonic(), 0
+            for row in super().eval(*args) or ():
+                size += sum(len(str(x).encode("utf-8", "replace")) for x in (row if isinstance(row, (tuple, list)) else (row,)))
+                if most_bytes is not None and size > most_bytes:
+                    raise RuntimeError(f"over {most_bytes} bytes of output")
+                if seconds is not None and time.monotonic() - began > seconds:
+                    raise RuntimeError(f"over {seconds} seconds")
+                yield row
+
+    return Limited
+
+
+def register_table_function(spark: SparkSession, name: str, function: type, returns: str, seconds: float | None = None, most_bytes: int | None = None) -> None:
+    """Makes a Python table function callable from SQL, within limits on a call's time and output."""
     from pyspark.sql.functions import udtf
 
-    spark.udtf.register(name, udtf(function, returnType=returns))
+    spark.udtf.register(name, udtf(limited(function, seconds, most_bytes), returnType=returns))
 
 
 # ---------------------------------------------------------------- variables

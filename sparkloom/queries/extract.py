@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import edges as E, search as S
+from ..operators import diffs as D, edges as E, search as S
 from ..sources import extract as X, manifests as M
 from ..streaming import logs as L, run as R
 from .base import Registry, Tables
@@ -22,8 +22,8 @@ def _sources(t: Tables) -> DataFrame:
 _K = "ks AS (SELECT c_custkey AS k, 'src/c' || c_custkey || '.rs' AS filepath, 'use crate::m::c' || (c_custkey % 50) || ';' || chr(10) AS head, 'fn c' || c_custkey || '() {' || chr(10) || '    c' || (c_custkey * 7 % 100) || '();' || chr(10) || '}' || chr(10) || chr(10) AS one, 'pub fn d' || c_custkey || '(x: u8) -> u8 {' || chr(10) || '    c' || c_custkey || '();' || chr(10) || '}' || chr(10) AS two FROM customer)"
 
 
-@query("sc11_symbols", f"""WITH {_K} SELECT filepath || '::c' || k AS id, 'function' AS kind, length(head)::BIGINT AS start_byte, length(head || one)::BIGINT AS end_byte, 2::BIGINT AS start_line, 5::BIGINT AS end_line, sha256(one) AS semantic_hash FROM ks
-UNION ALL SELECT filepath || '::d' || k, 'function', length(head || one), length(head || one || two), 6, 8, sha256(two) FROM ks""")
+@query("sc11_symbols", f"""WITH {_K} SELECT filepath || '::c' || k AS id, 'function' AS kind, length(head)::BIGINT AS start_byte, (length(head || one) - 2)::BIGINT AS end_byte, 2::BIGINT AS start_line, 4::BIGINT AS end_line, sha256(one[:-3]) AS semantic_hash FROM ks
+UNION ALL SELECT filepath || '::d' || k, 'function', length(head || one), length(head || one || two) - 1, 6, 8, sha256(two[:-2]) FROM ks""")
 def _(t: Tables) -> DataFrame:
     return X.symbols(_sources(t)).select("id", "kind", "start_byte", "end_byte", "start_line", "end_line", "semantic_hash")
 
@@ -38,6 +38,16 @@ def _(t: Tables) -> DataFrame:
     return X.text_graph(_sources(t))[1].select("src", "dst")
 
 
+@query("df3_syntax_errors", f"WITH {_K} SELECT 'high' AS severity, 'syntax_error' AS code, filepath AS file, NULL::BIGINT AS line FROM ks WHERE k % 4 = 1 UNION ALL SELECT 'medium', 'missing_tests', NULL, NULL")
+def _(t: Tables) -> DataFrame:
+    # of the changed files one half loses its last line, with the bracket that closes, the other half gets a comment with one
+    before, k = _sources(t), F.regexp_extract("filepath", "([0-9]+)", 1).cast("long")
+    cut, noted = F.expr("left(content, length(content) - 2)"), F.concat("content", F.lit("// }\n"))
+    after = before.withColumn("content", F.when(k % 4 == 1, cut).when(k % 4 == 3, noted).otherwise(F.col("content")))
+    named = [x.select(F.col("filepath").alias("path"), "content") for x in (before, after)]
+    return D.review_findings(D.raw_changes(*named), X.syntax_errors(after))
+
+
 @query("tx10_imports", f"WITH {_K} SELECT filepath, 'crate::m::c' || (k % 50) AS imported FROM ks")
 def _(t: Tables) -> DataFrame:
     return E.import_names(_sources(t))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import adapters as A
 from ..operators import logs as L
+from ..streaming import logs as S
 from .base import Registry, Tables
 
 query = Registry()
@@ -117,6 +118,12 @@ def _(t: Tables) -> DataFrame:
     return L.stalls(A.history(t), "actor_id", 86_400).select("seq", "actor_id", "gap")
 
 
+@query("st6_fault_regressions", "WITH c AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) FILTER (event_type = 'error') AS faults FROM events GROUP BY ALL) SELECT user_id, strftime(day, '%Y-%m-%d') AS day, faults, before FROM (SELECT *, lag(faults, 1, 0) OVER (PARTITION BY user_id ORDER BY day) AS before FROM c) WHERE faults > before")
+def _(t: Tables) -> DataFrame:
+    counts = t.events.groupBy("user_id", F.to_date("ts").alias("ts")).agg(F.count_if(F.col("event_type") == "error").alias("faults"))
+    return S.fault_regressions(counts, "user_id").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "faults", "before")
+
+
 @query("st7_stale_claims", "WITH b AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'claimed' ELSE 'done' END AS status, 'w' || (conv_id % 3) AS worker, turn * 100 AS heartbeat, 0 AS requeue_count FROM conversations) SELECT conv_id, turn, CASE WHEN stale THEN 'pending' ELSE status END AS status, CASE WHEN NOT stale THEN worker END AS worker, heartbeat, CAST(requeue_count + CASE WHEN stale THEN 1 ELSE 0 END AS INTEGER) AS requeue_count FROM (SELECT *, status = 'claimed' AND 500 - heartbeat > 300 AS stale FROM b)")
 def _(t: Tables) -> DataFrame:
     board = t.conversations.select("conv_id", "turn", F.when(F.col("role") == "user", "claimed").otherwise("done").alias("status"), F.concat(F.lit("w"), (F.col("conv_id") % 3).cast("string")).alias("worker"), (F.col("turn") * 100).alias("heartbeat"), F.lit(0).alias("requeue_count"))

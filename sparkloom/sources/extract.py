@@ -1,10 +1,15 @@
-"""Symbols and calls from source text, by lines and patterns."""
+"""Symbols and calls from source text, by patterns, brackets and Python's own grammar."""
 
 from __future__ import annotations
 
+import ast
 import hashlib
 import re
-from collections.abc import Iterator
+import warnings
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -13,20 +18,71 @@ from ..functions.paths import extension
 from ..operators.ranges import next_offsets
 from .bodies import in_spans
 
-#: Extensions by language; more rows may be joined in.
-LANGUAGES = {"rust": ("rs",), "python": ("py",), "javascript": ("js", "jsx", "mjs"), "typescript": ("ts", "tsx"), "go": ("go",), "c": ("c", "h"), "cpp": ("cpp", "cc", "cxx", "hpp"), "java": ("java",)}
-
-#: Declarations by language: (kind, pattern whose first group is the name).
-PATTERNS: dict[str, tuple[tuple[str, str], ...]] = {
-    "rust": (("function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const\s+)?(?:async\s+)?(?:unsafe\s+)?fn\s+(\w+)"), ("struct", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum)\s+(\w+)"), ("interface", r"^\s*(?:pub(?:\([^)]*\))?\s+)?trait\s+(\w+)"), ("module", r"^\s*(?:pub(?:\([^)]*\))?\s+)?mod\s+(\w+)")),
-    "python": (("function", r"^\s*(?:async\s+)?def\s+(\w+)"), ("class", r"^\s*class\s+(\w+)")),
-    "javascript": (("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)"), ("class", r"^\s*(?:export\s+)?(?:default\s+)?class\s+(\w+)"), ("function", r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>")),
-    "go": (("function", r"^func\s+(?:\([^)]*\)\s*)?(\w+)"), ("struct", r"^type\s+(\w+)\s+struct\b"), ("interface", r"^type\s+(\w+)\s+interface\b")),
-    "java": (("class", r"^\s*(?:(?:public|private|protected|abstract|final|static)\s+)*(?:class|enum)\s+(\w+)"), ("interface", r"^\s*(?:(?:public|private|protected)\s+)*interface\s+(\w+)"), ("method", r"^\s*(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)+[\w<>\[\], ]+\s+(\w+)\s*\(")),
-    "c": (("function", r"^(?!\s|return|else|typedef|#)[\w*\s]+?\b(\w+)\s*\([^;]*$"), ("struct", r"^\s*(?:typedef\s+)?struct\s+(\w+)\s*\{")),
-}
-PATTERNS["typescript"] = (*PATTERNS["javascript"], ("interface", r"^\s*(?:export\s+)?interface\s+(\w+)"))
-PATTERNS["cpp"] = (*PATTERNS["c"], ("class", r"^\s*(?:template\s*<[^>]*>\s*)?class\s+(\w+)"), ("module", r"^\s*namespace\s+(\w+)"))
+#: Comments and texts of languages like C: what declarations aren't looked for in.
+_COMMENTS, _TEXT = r"//[^\n]*|/\*.*?(?:\*/|\Z)", r'"(?:\\.|[^"\\\n])*"'
+_LETTER = r"'(?:\\(?:u\{[0-9A-Fa-f]+\}|u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}|[0-7]{1,3}|.)|[^'\\\n])'"
+_C_LIKE = f"{_COMMENTS}|{_TEXT}|{_LETTER}"
+_JS_LIKE = rf"{_COMMENTS}|{_TEXT}|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|(?<=[=(,:;!&|?])[ ]*/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/"
+_ANYWHERE, _LINE_START = r"(?:^|(?<=[{};]))[^\S\n]*", "^"
+
+
+@dataclass(frozen=True)
+class Language:
+    """A language's extensions and declarations: kind, a pattern with groups ``name`` and, where a declaration begins behind the match's
+    beginning, ``at``, and what a head without a body is: a definition, a stub or nothing (skip). ``blank`` matches comments and texts."""
+
+    name: str
+    extensions: tuple[str, ...]
+    declarations: tuple[tuple[str, str, str], ...]
+    blank: str = _C_LIKE
+    anchor: str = _ANYWHERE
+
+
+_PUB = r"(?:pub(?:\([^)]*\))?\s+)?"
+_EXPORT = r"(?:export\s+)?(?:default\s+)?(?P<at>)"
+_JS = (
+    ("function", _EXPORT + r"(?:async\s+)?function\s*\*?\s*(?P<name>\w+)", "skip"),
+    ("class", _EXPORT + r"(?:abstract\s+)?class\s+(?P<name>\w+)", "skip"),
+    ("function", r"(?:export\s+)?(?P<at>)(?:const|let|var)\s+(?P<name>\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>", "skip"),
+)
+_C = (
+    ("function", r"(?!return\b|else\b|typedef\b|case\b|goto\b)[A-Za-z_][\w* \t:<>,&]*?[\s*&](?P<name>\w+)\s*(?=\()", "stub"),
+    ("struct", r"(?:typedef\s+)?(?P<at>)struct\s+(?P<name>\w+)\s*(?=\{)", "skip"),
+)
+BUILT_IN = (
+    Language("rust", ("rs",), (
+        ("function", _PUB + r"(?:const\s+)?(?:async\s+)?(?:unsafe\s+)?(?:extern\s+\S+\s+)?fn\s+(?P<name>\w+)", "skip"), ("struct", _PUB + r"(?:struct|enum)\s+(?P<name>\w+)", "definition"),
+        ("interface", _PUB + r"(?:unsafe\s+)?trait\s+(?P<name>\w+)", "skip"), ("module", _PUB + r"mod\s+(?P<name>\w+)", "definition"),
+    ), rf'{_COMMENTS}|\bb?r(?P<h>#*)".*?"(?P=h)|"(?:\\.|[^"\\])*"|{_LETTER}'),
+    Language("python", ("py",), (("function", r"(?:async\s+)?def\s+(?P<name>\w+)", "skip"), ("class", r"class\s+(?P<name>\w+)", "skip"))),
+    Language("javascript", ("js", "jsx", "mjs"), _JS, _JS_LIKE),
+    Language("typescript", ("ts", "tsx"), (("function", r"(?:export\s+)?(?P<at>)declare\s+function\s+(?P<name>\w+)", "stub"), *_JS, ("interface", _EXPORT + r"interface\s+(?P<name>\w+)", "skip"), ("interface", _EXPORT + r"type\s+(?P<name>\w+)\s*=", "definition")), _JS_LIKE),
+    Language("go", ("go",), (
+        ("function", r"func\s+(?:\([^)]*\)\s*)?(?P<name>\w+)", "skip"), ("struct", r"type\s+(?P<at>)(?P<name>\w+)\s+struct\b", "skip"), ("interface", r"type\s+(?P<at>)(?P<name>\w+)\s+interface\b", "skip"),
+    ), f"{_C_LIKE}|`[^`]*`", _LINE_START),
+    Language("c", ("c", "h"), _C, anchor=_LINE_START),
+    Language("cpp", ("cpp", "cc", "cxx", "hpp"), (*_C, ("class", r"[^\S\n]*(?:template\s*<[^>]*>\s*)?(?P<at>)class\s+(?P<name>\w+)", "skip"), ("module", r"[^\S\n]*(?P<at>)namespace\s+(?P<name>\w+)", "skip")), anchor=_LINE_START),
+    Language("java", ("java",), (
+        ("class", r"(?:(?:public|private|protected|abstract|final|static)\s+)*(?:class|enum)\s+(?P<name>\w+)", "skip"), ("interface", r"(?:(?:public|private|protected)\s+)*interface\s+(?P<name>\w+)", "skip"),
+        ("function", r"(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)+[\w<>\[\], ]+\s+(?P<name>\w+)\s*(?=\()", "definition"),
+    ), rf'""".*?"""|{_C_LIKE}'),
+)
+#: Extensions by language.
+LANGUAGES = {x.name: x.extensions for x in BUILT_IN}
+#: Languages that a table of packages may add.
+MOST_LANGUAGES = 1000
+
+
+def language_packages(rows: DataFrame) -> tuple[Language, ...]:
+    """Languages from a table (name, extensions, kind, pattern, bodiless), a row for each declaration; MOST_LANGUAGES rows at most."""
+    found: dict[str, tuple] = {}
+    own = rows.select("name", "extensions", "kind", "pattern", "bodiless").orderBy("name", "kind", "pattern").limit(MOST_LANGUAGES + 1).collect()
+    if len(own) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} declarations")
+    for r in own:
+        extensions, declarations = found.get(r["name"], ((), ()))
+        found[r["name"]] = (extensions + tuple(r["extensions"]), (*declarations, (r["kind"], r["pattern"], r["bodiless"] or "skip")))
+    return tuple(Language(name, tuple(dict.fromkeys(x)), y) for name, (x, y) in found.items())
 
 
 def language_of(path: Column) -> Column:
@@ -50,52 +106,181 @@ def symbol_ids(symbols: DataFrame, order: str = "start_byte") -> DataFrame:
     return symbols.withColumn("nth", nth).withColumn("id", F.concat("filepath", F.lit("::"), "name", F.when(F.col("nth") > 0, F.concat(F.lit("::#"), F.col("nth").cast("string"))).otherwise(""))).drop("nth")
 
 
-_COMPILED = {language: [(kind, re.compile(pattern)) for kind, pattern in patterns] for language, patterns in PATTERNS.items()}
-_LANGUAGE = {e: name for name, extensions in LANGUAGES.items() for e in extensions}
-_SYMBOLS = pa.schema([("filepath", pa.string()), ("name", pa.string()), ("kind", pa.string()), *((n, pa.int64()) for n in ("start_byte", "end_byte", "start_line", "end_line")), ("semantic_hash", pa.string())])
+@lru_cache(maxsize=64)
+def _patterns(language: Language) -> tuple[tuple[str, str, re.Pattern], ...]:
+    return tuple((kind, bodiless, re.compile(language.anchor + pattern, re.M)) for kind, pattern, bodiless in language.declarations)
 
 
-def extract_symbols(filepath: str, content: str) -> list[tuple]:
-    """(filepath, name, kind, start_byte, end_byte, start_line, end_line, hash) of a file's declarations. One ends before the next line that is indented no deeper and isn't a closing bracket."""
-    patterns = _COMPILED.get(_LANGUAGE.get(filepath.rpartition(".")[2], ""), ())
-    data, lines, offset = content.encode(), [], 0
-    for number, line in enumerate(content.split("\n"), 1) if patterns else ():
-        text = line.strip()
-        lines.append((number, offset, line, len(line) - len(line.lstrip()) if text and text[0] not in ")]}" else None, bool(text)))
-        offset += len(line.encode()) + 1
-    last = max((number for number, *_, full in lines if full), default=0)
-    out: list[tuple] = []
-    open_ones: list[tuple] = []  # (indent, name, kind, start, line) of declarations that haven't ended
-
-    def close(indent: int, at: int, line: int) -> None:
-        while open_ones and open_ones[-1][0] >= indent:
-            _, name, kind, start, first = open_ones.pop()
-            out.append((filepath, name, kind, start, at, first, line, hashlib.sha256(data[start:at]).hexdigest()))
-
-    for number, at, line, indent, _ in lines:
-        if indent is None:
-            continue
-        close(indent, at, number - 1)
-        for kind, pattern in patterns:
-            if m := pattern.match(line):
-                open_ones.append((indent, m[1], kind, at + indent, number))
+@lru_cache(maxsize=64)
+def _blanks(blank: str) -> re.Pattern:
+    return re.compile(blank, re.S)
+
+
+_NO_NEWLINE, _MARKS, _BODY = re.compile(r"[^\n]"), re.compile(r"[(){}\[\];]"), re.compile(r"\s*\{")
+_CLOSES = {")": "(", "]": "[", "}": "{"}
+
+
+def _masked(content: str, language: Language) -> str:
+    """The text with spaces for comments and texts."""
+    return _blanks(language.blank).sub(lambda m: _NO_NEWLINE.sub(" ", m[0]), content)
+
+
+class Brackets:
+    """Which brackets of a masked text belong together; those that belong to none are ``wrong``."""
+
+    def __init__(self, masked: str):
+        self.masked, self.places, self.close, open_ones = masked, [m.start() for m in _MARKS.finditer(masked)], {}, []
+        self.wrong = 0
+        for at in self.places:
+            mark = masked[at]
+            if mark in "([{":
+                open_ones.append(at)
+            elif mark != ";":
+                if open_ones and masked[open_ones[-1]] == _CLOSES[mark]:
+                    self.close[open_ones.pop()] = at
+                else:
+                    self.wrong += 1
+        self.wrong += len(open_ones)
+
+    def end(self, at: int) -> tuple[int, bool]:
+        """Where a declaration ends whose head goes on at a place, and whether it has a body; (-1, False) if its surroundings end before."""
+        k = bisect_left(self.places, at)
+        while k < len(self.places):
+            here = self.places[k]
+            mark = self.masked[here]
+            if mark == "{":
+                return self.close.get(here, len(self.masked) - 1) + 1, True
+            if mark == ";":
+                return here + 1, False
+            if mark not in "([" or here not in self.close:
                 break
-    close(-1, len(data), last)
+            k = bisect_left(self.places, self.close[here]) + 1
+        return -1, False
+
+
+def _declared(content: str, language: Language) -> list[tuple[str, str, str, int, int]]:
+    """(name, kind, role, start, end) in characters."""
+    masked = _masked(content, language)
+    brackets, out = Brackets(masked), {}
+    for kind, bodiless, pattern in _patterns(language):
+        for m in pattern.finditer(masked):
+            first = m.start("at") if "at" in pattern.groupindex else m.start()
+            start = first + len(masked[first : m.end()]) - len(masked[first : m.end()].lstrip())
+            if masked.startswith("=>", m.end() - 2) and not _BODY.match(masked, m.end()):
+                stop = masked.find("\n", m.end())  # an arrow to an expression takes its line
+                end, full = m.end() + len(masked[m.end() : stop if stop >= 0 else len(masked)].rstrip()), True
+            else:
+                end, full = brackets.end(m.end())
+            if full or (bodiless != "skip" and end >= 0):
+                out.setdefault(start, (m["name"], kind, "stub" if not full and bodiless == "stub" else "definition", start, end))
+    return list(out.values())
+
+
+def _python(content: str) -> list[tuple[str, str, int, int]] | None:
+    """(name, kind, start, end) in bytes by Python's own grammar; None where it doesn't parse."""
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            tree = ast.parse(content)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return None
+    starts = [0, *(m.end() for m in re.finditer(rb"\r\n|\r|\n", content.encode("utf-8", "surrogatepass")))]
+    kinds = {ast.FunctionDef: "function", ast.AsyncFunctionDef: "function", ast.ClassDef: "class"}
+    return [(x.name, kinds[type(x)], starts[x.lineno - 1] + x.col_offset, starts[x.end_lineno - 1] + x.end_col_offset) for x in ast.walk(tree) if type(x) in kinds]
+
+
+def _by_indent(content: str, language: Language) -> list[tuple[str, str, int, int]]:
+    """(name, kind, start, end) in characters: a declaration ends with the last line that isn't empty before one that is indented no deeper."""
+    out: list[tuple] = []
+    open_ones: list[tuple] = []  # (indent, name, kind, start) of declarations that haven't ended
+    offset = full = 0
+    for line in content.split("\n"):
+        text = line.strip()
+        if text:
+            indent = len(line) - len(line.lstrip())
+            while open_ones and open_ones[-1][0] >= indent:
+                out.append((*open_ones.pop()[1:], full))
+            for kind, _, pattern in _patterns(language):
+                if m := pattern.match(line):
+                    open_ones.append((indent, m["name"], kind, offset + indent))
+                    break
+            full = offset + len(line.rstrip())
+        offset += len(line) + 1
+    return out + [(*x[1:], full) for x in open_ones]
+
+
+def _in_bytes(content: str, places: Iterable[int]) -> dict[int, int]:
+    """Byte offsets of places in characters, in one pass."""
+    if content.isascii():
+        return {x: x for x in places}
+    out, before, size = {}, 0, 0
+    for x in sorted(set(places)):
+        size += len(content[before:x].encode("utf-8", "surrogatepass"))
+        out[x], before = size, x
+    return out
+
+
+def _language(filepath: str, languages: Sequence[Language]) -> Language | None:
+    """The last of the languages that has the file's extension, so packages come after the built-in ones."""
+    extension_ = filepath.rpartition(".")[2]
+    return next((x for x in reversed(languages) if extension_ in x.extensions), None)
+
+
+def extract_symbols(filepath: str, content: str, languages: Sequence[Language] = BUILT_IN) -> list[tuple]:
+    """(filepath, name, kind, start_byte, end_byte, start_line, end_line, hash, role) of a file's declarations, from their first word to the
+    end of their body. Python's are read by its grammar, and by indentation where a file doesn't parse; other languages' by patterns and
+    matching brackets outside of comments and texts."""
+    language = _language(filepath, languages)
+    if language is None:
+        return []
+    data = content.encode("utf-8", "surrogatepass")
+    if language.name == "python" and (parsed := _python(content)) is not None:
+        found = [(name, kind, "definition", start, end) for name, kind, start, end in parsed]
+    else:
+        found = [(n, k, "definition", s, e) for n, k, s, e in _by_indent(content, language)] if language.name == "python" else _declared(content, language)
+        at = _in_bytes(content, (x for row in found for x in row[3:]))
+        found = [(*row[:3], at[row[3]], at[row[4]]) for row in found]
+    lines = [m.start() for m in re.finditer(b"\n", data)]
+    out = [(filepath, name, kind, start, end, bisect_left(lines, start) + 1, bisect_left(lines, end) + 1, hashlib.sha256(data[start:end]).hexdigest(), role) for name, kind, role, start, end in found]
     return sorted(out, key=lambda x: (x[3], x[1]))
 
 
-def symbols(sources: DataFrame, max_size: int | None = 512 * 1024) -> DataFrame:
-    """SC10, SC11: symbols of the files (filepath, content), which are skipped beyond max_size bytes."""
+_SYMBOLS = pa.schema([("filepath", pa.string()), ("name", pa.string()), ("kind", pa.string()), *((n, pa.int64()) for n in ("start_byte", "end_byte", "start_line", "end_line")), ("semantic_hash", pa.string()), ("role", pa.string())])
+
+
+def symbols(sources: DataFrame, max_size: int | None = 512 * 1024, packages: Sequence[Language] = ()) -> DataFrame:
+    """SC10, SC11, U3: symbols of the files (filepath, content), which are skipped beyond max_size bytes, in the built-in languages and those of packages."""
     files = sources.where("content is not null") if max_size is None else sources.where(F.octet_length("content") <= max_size)
+    languages = (*BUILT_IN, *packages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [row for path, content in zip(*(c.to_pylist() for c in batch.columns)) for row in extract_symbols(path, content)]
+            rows = [row for path, content in zip(*(c.to_pylist() for c in batch.columns)) for row in extract_symbols(path, content, languages)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SYMBOLS)], schema=_SYMBOLS)
 
-    found = files.select("filepath", "content").mapInArrow(run, "filepath string, name string, kind string, start_byte long, end_byte long, start_line long, end_line long, semantic_hash string")
-    return symbol_ids(found).withColumns({"role": F.lit("definition"), "link_name": F.lit(None).cast("string"), "fault_id": F.lit(None).cast("string")})
+    found = files.select("filepath", "content").mapInArrow(run, "filepath string, name string, kind string, start_byte long, end_byte long, start_line long, end_line long, semantic_hash string, role string")
+    return symbol_ids(found).withColumns({"link_name": F.lit(None).cast("string"), "fault_id": F.lit(None).cast("string")})
+
+
+def count_syntax_errors(filepath: str, content: str | None, languages: Sequence[Language] = BUILT_IN) -> int:
+    """Python files that don't parse count 1; in other languages brackets that don't match count, outside of comments and texts."""
+    language = _language(filepath, languages)
+    if language is None or not content:
+        return 0
+    return int(_python(content) is None) if language.name == "python" else Brackets(_masked(content, language)).wrong
+
+
+def syntax_errors(sources: DataFrame, packages: Sequence[Language] = ()) -> DataFrame:
+    """(file, errors) of the files (filepath, content) that have any."""
+    languages = (*BUILT_IN, *packages)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [count_syntax_errors(path, text, languages) for path, text in zip(*(c.to_pylist() for c in batch.columns))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["file", "errors"])
+
+    return sources.select("filepath", "content").mapInArrow(run, "file string, errors long").where("errors > 0")
 
 
 #: Words before an opening bracket that are no calls, fixed values.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.types import StructType
@@ -38,6 +38,12 @@ def sessions(events: DataFrame, by: str, gap: str = "20 minutes", delay: str = "
     return events.withWatermark("ts", delay).groupBy(F.session_window("ts", gap), by).agg(F.count("*").alias("n")).select(by, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
+def fault_regressions(counts: DataFrame, by: str) -> DataFrame:
+    """ST6: rows of counts (by, ts, faults) that have more faults than the one before; the first one counts against none."""
+    before = F.lag("faults", 1, 0).over(Window.partitionBy(by).orderBy("ts"))
+    return counts.withColumn("before", before).where("faults > before")
+
+
 def running_budgets(events: DataFrame, by: str) -> DataFrame:
     """ST10: tokens (a quarter of the payload's length), hazardous calls and calls of each connection so far."""
     return events.groupBy(by).agg(F.sum(F.floor(F.coalesce(F.length("input"), F.lit(0)) / 4)).alias("tokens"), F.count_if("hazard").alias("hazardous"), F.count("*").alias("calls"))

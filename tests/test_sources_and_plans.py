@@ -42,13 +42,46 @@ def test_manifests():
 def test_extraction():
     python = "import os\n\nclass A:\n    def f(self):\n        return g()\n\ndef g():\n    pass\n"
     found = {x[1]: x for x in X.extract_symbols("a.py", python)}
-    assert {k: (v[2], v[5], v[6]) for k, v in found.items()} == {"A": ("class", 3, 6), "f": ("function", 4, 6), "g": ("function", 7, 8)}
-    assert python.encode()[found["g"][3] : found["g"][4]].decode() == "def g():\n    pass\n"
+    assert {k: (v[2], v[5], v[6]) for k, v in found.items()} == {"A": ("class", 3, 5), "f": ("function", 4, 5), "g": ("function", 7, 8)}
+    assert python.encode()[found["g"][3] : found["g"][4]].decode() == "def g():\n    pass"
+    assert {x[1]: (x[5], x[6]) for x in X.extract_symbols("a.py", python + "x = (\n")} == {"A": (3, 5), "f": (4, 5), "g": (7, 8)}  # doesn't parse
     js = {x[1]: x[2] for x in X.extract_symbols("a.js", "export function p() {\n}\nconst q = (x) => x\nclass R {}\n")}
     assert js == {"p": "function", "q": "function", "R": "class"}
     assert X.extract_symbols("a.txt", "fn x() {}") == []
 
 
+def spans(path, text):
+    return {x[1]: (x[2], x[8], text.encode()[x[3] : x[4]].decode()) for x in X.extract_symbols(path, text)}
+
+
+def test_extraction_by_brackets():
+    rust = 'struct U;\n// fn no() {}\nfn a<\'x>(p: [u8; 2],\n  q: &\'x str) -> u8 { let s = "} é fn no2() {"; let c = \'}\'; 1 }\npub(crate) async fn b() {} fn c() { /* } */ }\nlet r = r#"fn d() { "#;\ntrait T { fn sig(&self); fn full(&self) {} }\n'
+    found = spans("x.rs", rust)
+    assert set(found) == {"U", "a", "b", "c", "T", "full"} and found["U"] == ("struct", "definition", "struct U;")
+    assert found["a"][2].startswith("fn a<'x>") and found["a"][2].endswith("1 }") and found["b"][2] == "pub(crate) async fn b() {}" and found["c"][2] == "fn c() { /* } */ }"
+    assert found["T"][0] == "interface" and found["T"][2].endswith("{} }")
+    c = spans("x.c", "int f(int a, char *b);\nstatic int *g(void)\n{\n  return f(1, \"{\");\n}\ntypedef struct S { int x; } S;\n")
+    assert c == {"f": ("function", "stub", "int f(int a, char *b);"), "g": ("function", "definition", 'static int *g(void)\n{\n  return f(1, "{");\n}'), "S": ("struct", "definition", "struct S { int x; }")}
+    ts = spans("x.ts", "export default function f(a: string) { return `}` }\nexport const q = async (x) => {\n  x }\nconst z = y => y + 1\nexport interface I { a: number }\ndeclare function d(): void;\n")
+    assert {k: v[:2] for k, v in ts.items()} == {"f": ("function", "definition"), "q": ("function", "definition"), "z": ("function", "definition"), "I": ("interface", "definition"), "d": ("function", "stub")}
+    assert ts["f"][2].startswith("function f") and ts["q"][2].endswith("x }") and ts["z"][2] == "const z = y => y + 1"
+    java = spans("X.java", "public class X {\n  private static int m(int a) { return 1; }\n  public abstract void n();\n}\n")
+    assert java["m"] == ("function", "definition", "private static int m(int a) { return 1; }") and java["n"][2] == "public abstract void n();" and java["X"][2].endswith("}")
+    go = spans("x.go", "func (r *R) m() int {\n\treturn 1\n}\ntype P struct {\n\tq struct { a int }\n}\n")
+    assert go["m"][2].endswith("}") and go["P"][2].startswith("P struct") and set(go) == {"m", "P"}
+    for path in ("x.rs", "x.c", "x.ts", "x.py", "x.go", "x.java", "x.cpp"):
+        for text in ("", "{", "}", "fn a(", "int f(", "def f(:\n  x", "class", "\ud800 fn a() {", "'" * 50, "func f() { \"", "\x00"):
+            assert all(0 <= x[3] <= x[4] for x in X.extract_symbols(path, text)) and X.count_syntax_errors(path, text) >= 0
+    assert [X.count_syntax_errors("a.rs", x) for x in ("fn a() {}", "fn a() {", "fn a(]) {}", '// }\n"{"')] == [0, 1, 1, 0] and X.count_syntax_errors("a.py", "def f(:") == 1 and X.count_syntax_errors("a.md", "(") == 0
+
+
+def test_language_packages(spark):
+    rows = spark.createDataFrame([("kotlin", ["kt"], "function", r"fun\s+(?P<name>\w+)", "skip"), ("kotlin", ["kts"], "class", r"class\s+(?P<name>\w+)", "definition")], "name string, extensions array<string>, kind string, pattern string, bodiless string")
+    files = spark.createDataFrame([("a.kt", "class A {\n  fun f() { }\n}\n"), ("b.rs", "fn g() {}"), ("c.xx", "fun h() {}")], "filepath string, content string")
+    found = X.symbols(files, packages=X.language_packages(rows)).collect()
+    assert sorted((r["id"], r["kind"], r["role"]) for r in found) == [("a.kt::A", "class", "definition"), ("a.kt::f", "function", "definition"), ("b.rs::g", "function", "definition")]
+
+
 def test_text_graph(spark):
     s = spark.createDataFrame([("a.rs", "fn one() {\n    two();\n}\npub fn two() {}\ndef three():\n    none()\n")], "filepath string, content string")
     nodes, edges = X.text_graph(s)
@@ -170,6 +203,22 @@ def test_table_function(spark):
     found = spark.sql("SELECT x.id, w.k, w.word FROM VALUES (1, 'a b'), (2, NULL), (3, 'c') AS x(id, text), LATERAL words_of(x.text) AS w")
     assert sorted(tuple(r) for r in found.collect()) == [(1, 0, "a"), (1, 1, "b"), (3, 0, "c")]
 
+    class Slow:
+        def eval(self, n: int):
+            import time
+
+            for k in range(n):
+                time.sleep(0.01)
+                yield k, "x" * 10
+
+    P.register_table_function(spark, "few_words", Words, "k int, word string", most_bytes=100)
+    assert spark.sql("SELECT * FROM few_words('a b')").count() == 2
+    with pytest.raises(Exception, match="over 100 bytes"):
+        spark.sql("SELECT * FROM few_words(repeat('word ', 99))").collect()
+    P.register_table_function(spark, "slow_words", Slow, "k int, word string", seconds=0.05)
+    with pytest.raises(Exception, match="over 0.05 seconds"):
+        spark.sql("SELECT * FROM slow_words(1000)").collect()
+
 
 def test_scripts(spark):
     t, calls = tools(spark)
