@@ -12,10 +12,11 @@ from .base import Registry, Tables
 query = Registry()
 
 
-def _sources(t: Tables) -> DataFrame:
-    """A file for each customer: an import, a function that calls another customer's, and one that calls the file's first."""
+def _sources(t: Tables, edited: bool = False) -> DataFrame:
+    """A file for each customer: an import, a function that calls another customer's, and one that calls the file's first. A ninth is edited to call yet others."""
     k = F.col("c_custkey")
-    content = F.format_string("use crate::m::c%d;\nfn c%d() {\n    c%d();\n}\n\npub fn d%d(x: u8) -> u8 {\n    c%d();\n}\n", k % 50, k, k * 7 % 100, k, k)
+    called = F.when(F.lit(edited) & (k % 9 == 4), k * 3 % 100).otherwise(k * 7 % 100)
+    content = F.format_string("use crate::m::c%d;\nfn c%d() {\n    c%d();\n}\n\npub fn d%d(x: u8) -> u8 {\n    c%d();\n}\n", k % 50, k, called, k, k)
     return t.customer.select(F.format_string("src/c%d.rs", k).alias("filepath"), content.alias("content"))
 
 
@@ -59,6 +60,33 @@ def _(t: Tables) -> DataFrame:
     return E.call_edges(X.symbols(sources), sources).where("src <> dst").select("src", "dst", "confidence")
 
 
+def _all_edges(called: str) -> str:
+    """SQL of all edges of the files: calls of other files' functions and of the file's own, and what each function's file imports."""
+    return f"""WITH {_K}, t AS (SELECT k, filepath, {called} AS called, k % 50 AS used FROM ks),
+e AS (SELECT filepath || '::c' || k AS src, 'src/c' || called || '.rs::c' || called AS dst, 'calls' AS kind, 0.77::DOUBLE AS confidence FROM t WHERE called <> k AND called IN (SELECT k FROM ks)
+UNION ALL SELECT filepath || '::d' || k, filepath || '::c' || k, 'calls', 0.92 FROM t
+UNION ALL SELECT filepath || '::' || x || k, 'src/c' || used || '.rs::c' || used, 'imports', 0.94 FROM t, (VALUES ('c'), ('d')) AS v(x) WHERE used IN (SELECT k FROM ks) AND (x = 'd' OR used <> k))
+SELECT * FROM e"""
+
+
+_EDITED = "CASE WHEN k % 9 = 4 THEN k * 3 % 100 ELSE k * 7 % 100 END"
+
+
+@query("g9_build_edges", _all_edges("k * 7 % 100"))
+def _(t: Tables) -> DataFrame:
+    sources = _sources(t)
+    return E.build_edges(X.symbols(sources), sources).select("src", "dst", "kind", "confidence")
+
+
+@query("g10_refresh", _all_edges(_EDITED))
+def _(t: Tables) -> DataFrame:
+    before, after = _sources(t), _sources(t, edited=True)
+    touched = after.join(before, ["filepath", "content"], "left_anti").select("filepath")
+    stored = E.build_edges(X.symbols(before), before)
+    sites, imports = E.call_sites(X.symbols(before), before), E.import_names(before)
+    return E.refresh_edges(stored, X.symbols(after), after, touched, X.symbols(before).join(touched, "filepath", "left_semi"), sites, imports).select("src", "dst", "kind", "confidence")
+
+
 @query("tx9_contracts", f"WITH {_K} SELECT filepath || '::d' || k AS id, 'x: u8' AS inputs, 'u8' AS output, '' AS effects, false AS may_fail FROM ks UNION ALL SELECT filepath || '::c' || k, '', '', '', false FROM ks")
 def _(t: Tables) -> DataFrame:
     sources = _sources(t)
