@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import columns, cut, load, map_arrow, row_and, utf8
+from .common import columns, cut, load, map_arrow, release, row_and, slices, utf8
 
 WORDS = 3
 SEED = 42
@@ -47,8 +47,8 @@ BLOCK_ROWS, COLUMNS, BROADCAST_IDS = 256, 8192, 200_000
 PIVOTS = 8
 #: Shingle hashes that a Python worker counts at once.
 AT_ONCE = 1 << 17
-#: Documents of a batch handed back to Spark.
-ROWS = 500
+#: Documents of a batch handed back to Spark, and those of a batch of whole sets.
+ROWS, SET_ROWS = 500, 100
 
 # ---------------------------------------------------------------- fingerprints
 
@@ -228,7 +228,19 @@ def with_set(docs: DataFrame, width: int, keep: Iterable[str] = ("doc_id",)) ->
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """How many members each two sets share, counted for COLUMNS members at once."""
+    """How many members each two sorted sets share, counted for about AT_ONCE members at once: those of a range of hashes."""
+    total = sum(map(len, sets))
+    ranges = max(1, -(-total // AT_ONCE))
+    edges = np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
+    cuts = [[0, *np.searchsorted(x, edges), len(x)] for x in sets]
+    out = np.zeros((len(sets), len(sets)), np.int64)
+    for k in range(ranges):
+        out += _shared([x[c[k] : c[k + 1]] for x, c in zip(sets, cuts)])
+    return out
+
+
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """The same for few members, of which COLUMNS are compared at once."""
     owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     number = np.cumsum(times > 1) - 1
@@ -237,7 +249,7 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     by = np.argsort(column, kind="stable")
     owner, column = owner[by], column[by]
     out = np.zeros((len(sets), len(sets)), np.int64)
-    for low in range(0, int(number[-1]) + 1, COLUMNS):
+    for low in range(0, int(number[-1]) + 1 if len(number) else 0, COLUMNS):
         first, last = np.searchsorted(column, (low, low + COLUMNS))
         held = np.zeros((len(sets), COLUMNS), np.float32)
         held[owner[first:last], column[first:last] - low] = 1
@@ -276,8 +288,8 @@ def similar(distinct: DataFrame, docs: DataFrame, width: int, similarity: float)
     ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(x, width) for x in batch.column(0).to_pylist()]
+        for part in (part for batch in batches for part in slices(batch, SET_ROWS)):
+            sets = [shingle_set(x, width) for x in part.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(map(set_digest, sets), pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["fp", "shingles"])
 
     def compare(group: pa.Table) -> pa.Table:
@@ -287,6 +299,8 @@ def similar(distinct: DataFrame, docs: DataFrame, width: int, similarity: float)
         found, roots = linked([x.values.to_numpy().view(np.uint64) for x in group.column("shingles").combine_chunks()], similarity)
         key = group.column("key")[0].as_py()
         out = [(key, *sorted((fps[x], fps[y])), None) for x, y in found]
+        if len(group.column("shingles").combine_chunks().values) > AT_ONCE:
+            release()  # workers live on
         if group.column("blocks")[0].as_py() > 1:  # pivots come first, so they are the roots of what they are connected to
             out += [(key, fp, None, pivots[r] if pivots[r] < PIVOTS else -1) for fp, r, p in zip(fps, roots, pivots) if p == PIVOTS]
         return pa.table([pa.array(c, pa.int64()) for c in zip(*out)], names=["key", "a", "b", "at"]) if out else pa.table({n: pa.array([], pa.int64()) for n in ("key", "a", "b", "at")})
