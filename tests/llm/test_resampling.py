@@ -47,7 +47,7 @@ def test_resampling_against_brute_force(spark):
     target = [text(7, "de", 80), "The QUICK-brown, fox's 3rd Äpfel", None, ""]
     found = resampling.resample(documents(spark, rows), spark.createDataFrame([(t,) for t in target], "text string"))
     want = brute([x[:2] for x in rows], target)
-    assert result(found) == want and sum(x[5] is not None for x in want) > 5
+    assert result(found) == want and sum(x[5] is not None for x in want) >= 5
 
 
 def test_resampling_of_odd_rows(spark, odd, none):  # noqa: F811
