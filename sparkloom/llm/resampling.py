@@ -126,30 +126,23 @@ class Reader:
             return found
 
         for n, text in enumerate(texts):
-            carried, size, parts = np.zeros(0, np.int64), 0, words(text)
+            carried, size, parts = [], 0, words(text)
             part = next(parts, [])
-            while True:
-                after = next(parts, None)
-                own = np.fromiter(map(self.known.__getitem__, part), np.int64, len(part))
-                size += len(own)
-                own = np.concatenate([carried, own])
+            while part is not None:
+                after, size, part = next(parts, None), size + len(part), carried + part
                 # the last words of a piece start suffixes in the next one, where what follows is known
-                begins = len(own) if after is None else max(0, len(own) - LONGEST + 1)
-                if len(own):
-                    ids.append(np.concatenate([own, np.zeros(LONGEST - 1, np.int64)]))
+                begins = len(part) if after is None else max(0, len(part) - LONGEST + 1)
+                if part:
+                    ids.append(np.fromiter(map(self.known.__getitem__, part), np.int64, len(part)))
+                    ids.append(np.zeros(LONGEST - 1, np.int64))
                     starts.append(np.arange(held, held + begins))
                     owners.append(np.full(begins, n))
-                    held += len(ids[-1])
+                    held += len(part) + LONGEST - 1
                 if held >= SORTED_WORDS:
                     yield flush()
                     if len(self.known) > KEPT_WORDS:
                         self.known.forget()
-                        carried_words = part[-(LONGEST - 1) :]
-                        own = np.fromiter(map(self.known.__getitem__, carried_words), np.int64, len(carried_words)) if after is not None else own
-                carried = own[max(0, len(own) - LONGEST + 1) :]
-                if after is None:
-                    break
-                part = after
+                carried, part = part[max(0, len(part) - LONGEST + 1) :], after
             self.sizes.append(size)
         if held:
             yield flush()
