@@ -15,14 +15,20 @@ no link is lost. A group that holds many large groups which are not related stil
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, map_arrow, release, slices
+from .common import cut, map_arrow, slices, utf8
 
+#: Bytes of a text whose words are hashed at once.
+HASHED_BYTES = 1 << 20
+#: Rows of groups that are taken at once.
+GROUP_ROWS = 1024
 #: Members and bytes of a block, and members of a crowded group that stand in each of its blocks.
 BLOCK_ROWS, BLOCK_BYTES, PIVOTS = 256, 1 << 24, 8
 #: Share of registers' evidence below which a pair is no candidate for a similarity of 0.8: over five standard errors less.
@@ -31,11 +37,79 @@ LEAST_ESTIMATE = 0.6
 COLUMNS, AT_ONCE, BROADCAST_IDS = 8192, 1 << 17, 200_000
 #: A key is hot if more than this share of a SAMPLED-th of the nodes' keys, and HOT_ROWS of them, are that key: so there are at most 10,000 hot keys.
 HOT_SHARE, HOT_ROWS, SAMPLED = 1e-4, 32, 64
+#: Pairs whose similarity is estimated at once.
+ESTIMATED = 4096
 #: Nodes that a task of components keeps at once.
 FOREST_NODES = 1 << 20
 SEED = 42
 
 
+_STEP, _MIX_A, _MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """SplitMix64's finaliser."""
+    x = (x ^ (x >> np.uint64(30))) * _MIX_A
+    x = (x ^ (x >> np.uint64(27))) * _MIX_B
+    return x ^ (x >> np.uint64(31))
+
+
+#: A word's hash is the sum of its bytes' numbers times the powers of a base from its first byte on, modulo 2^64: differences of running sums give those of all words at once.
+_NUMBERS = np.random.default_rng(SEED).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x5851F42D4C957F2D
+_WHITE_BYTES = re.compile(rb"[\x20\x09-\x0d]")
+_WHITE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+
+
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, for as many bytes as are hashed at once."""
+    return tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(HASHED_BYTES, x, np.uint64))]) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """The 64-bit hash of each run of other than ASCII white space."""
+    import xxhash
+
+    out, at = [], 0
+    while at < len(data):
+        own = np.frombuffer(data, np.uint8, min(len(data) - at, HASHED_BYTES), at)
+        word = ~_WHITE[own]
+        if len(own) == HASHED_BYTES:  # up to the last white space
+            white = np.flatnonzero(~word)
+            if not len(white):
+                whole = _WHITE_BYTES.split(data[at:], 1)[0]  # a word that is longer than that
+                out.append(np.array([xxhash.xxh64_intdigest(whole, SEED)], np.uint64))
+                at += len(whole)
+                continue
+            own = own[: white[-1] + 1]
+            word = word[: len(own)]
+        at += len(own)
+        edges = np.flatnonzero(np.diff(word, prepend=False, append=False)).reshape(-1, 2)
+        powers, inverses = _powers()
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(_NUMBERS[own] * powers[: len(own)])])
+        out.append(mixed((sums[edges[:, 1]] - sums[edges[:, 0]]) * inverses[edges[:, 0]]))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The sorted 64-bit hashes of a text's distinct shingles of so many words, A-Z lower-cased; a shorter text is one shingle, a wordless one has none."""
+    hashes = word_hashes(utf8(text).lower())  # bytes: only A-Z
+    if not len(hashes):
+        return hashes
+    width = min(width, len(hashes))
+    total = hashes[: len(hashes) - width + 1].copy()
+    for k in range(1, width):  # a shingle's words are told apart by their places
+        total = mixed(total + _STEP) + hashes[k : len(hashes) - width + 1 + k]
+    return distinct(mixed(total + np.uint64(width)))
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The sorted values without repetition."""
+    values = np.sort(values)
+    return values[np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))] if len(values) else values
+
+
 def set_digest(own: np.ndarray) -> int:
     """Names a set of shingles, as a signed long."""
     import xxhash
@@ -46,18 +120,20 @@ def set_digest(own: np.ndarray) -> int:
 # ---------------------------------------------------------------- groups
 
 
-def by_group(rows: DataFrame, keys: list[str], function: Callable[[pa.Table], list[tuple]], schema: pa.Schema, ddl: str) -> DataFrame:
-    """Applies the function to each group's rows; a task streams through its groups, so that a group of few rows costs little."""
+def by_group(rows: DataFrame, keys: list[str], order: list[str], function: Callable[[pa.Table, np.ndarray], list[tuple]], schema: pa.Schema, ddl: str) -> DataFrame:
+    """Applies the function to groups' rows and where groups begin in them. A task streams through its groups and takes some at once, so that a group of few rows costs little."""
     width = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        at, out = None, []
+        starts: list[int] = []
+        at, rows_held, bytes_held = None, 0, 0
 
-        def result() -> pa.RecordBatch:
-            found = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-            out.clear()
-            return found
+        def result() -> Iterator[pa.RecordBatch]:
+            out = function(pa.Table.from_batches(held), np.array(starts, np.int64))
+            held.clear(), starts.clear()
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
         for batch in batches:
             columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(width)]
@@ -69,19 +145,23 @@ def by_group(rows: DataFrame, keys: list[str], function: Callable[[pa.Table], li
                 if first == last:
                     continue
                 key = tuple(c[first] for c in columns)
-                if key != at and held:
-                    out.extend(function(pa.Table.from_batches(held)))
-                    held = []
-                    if len(out) >= 20_000:
-                        yield result()
+                if key != at:
+                    if rows_held >= GROUP_ROWS or bytes_held >= BLOCK_BYTES:
+                        yield from result()
+                        rows_held = bytes_held = 0
+                    starts.append(rows_held)
                 at = key
-                held.append(batch.slice(first, last - first))
+                held.append(part := batch.slice(first, last - first))
+                rows_held, bytes_held = rows_held + len(part), bytes_held + part.nbytes
         if held:
-            out.extend(function(pa.Table.from_batches(held)))
-        if out:
-            yield result()
+            yield from result()
+
+    return map_arrow(rows.repartition(_partitions(rows), *keys).sortWithinPartitions(*keys, *order), run, ddl)
 
-    return map_arrow(rows.repartition(*keys).sortWithinPartitions(*keys), run, ddl)
+
+def _partitions(df: DataFrame) -> int:
+    """As many as the session says: what groups cost is not told by their bytes, by which they would be put together."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def band_keys(sketches: np.ndarray, rows: int) -> np.ndarray:
@@ -146,9 +226,9 @@ def key_groups(distinct: DataFrame, rows: int) -> DataFrame:
     hot = cut(tried.where(F.col("n") > max(HOT_ROWS, HOT_SHARE * (tried.agg(F.sum("n")).first()[0] or 0))).select("key"))
     own = keys_of(distinct)
     if not hot.limit(1).count():
-        return map_arrow(own.repartition("key").sortWithinPartitions("key"), shared, "group long, fp long").distinct()
+        return map_arrow(own.repartition(_partitions(distinct), "key").sortWithinPartitions("key"), shared, "group long, fp long").distinct()
     marked = own.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "key", "left")
-    others = map_arrow(marked.where("hot is null").select("key", "fp").repartition("key").sortWithinPartitions("key"), shared, "group long, fp long").distinct()
+    others = map_arrow(marked.where("hot is null").select("key", "fp").repartition(_partitions(distinct), "key").sortWithinPartitions("key"), shared, "group long, fp long").distinct()
     return others.union(marked.where("hot").select(F.col("key").alias("group"), "fp"))
 
 
@@ -188,32 +268,30 @@ def spanning(n: int, pairs: np.ndarray) -> tuple[list[tuple[int, int]], list[int
     return found, [root(x) for x in range(n)]
 
 
-def connect(members: DataFrame, load: Callable[[DataFrame], DataFrame], relate: Callable[[pa.Table], tuple[list[int], np.ndarray]]) -> DataFrame:
+def connect(members: DataFrame, load: Callable[[DataFrame], DataFrame], relate: Callable[[pa.Table, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """Pairs (a, b) that connect what related pairs of each group connect.
 
-    members: group, fp and bytes, kept. load adds to a table with fp what relate reads. relate gives, for a table of a block, the rows
-    that count and the related pairs of them, by place in that list."""
+    members: group, fp and bytes, kept. load adds to a table with fp what relate reads. relate gives, for a table and where its blocks
+    begin, the rows that count, in order, and the related pairs of them within blocks, by place in that list."""
     blocks = lambda rows, size: F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("long")
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     one, none = F.lit(1).cast("long"), F.lit(PIVOTS).cast("long")
 
-    def compare(table: pa.Table) -> list[tuple]:
-        """Links of a block, and of a crowded group's members the first pivot that each is connected to here (-1: none), with b null."""
-        if table.num_rows < 2 and table.column("blocks")[0].as_py() == 1:
-            return []
-        table = table.sort_by([("pivot", "ascending"), ("fp", "ascending")])
-        rows, pairs = relate(table)
-        fps, pivots = table.column("fp").to_numpy()[rows].tolist(), table.column("pivot").to_numpy()[rows].tolist()
+    def compare(table: pa.Table, starts: np.ndarray) -> list[tuple]:
+        """Links of blocks, and of crowded groups' members the first pivot that each is connected to here (-1: none), with b null."""
+        rows, pairs = relate(table, starts)
+        columns = [table.column(c).to_numpy()[rows].tolist() for c in ("group", "fp", "pivot", "blocks")]
+        groups, fps, pivots, many = columns
         found, roots = spanning(len(rows), pairs)
-        group = table.column("group")[0].as_py()
-        out = [(group, *sorted((fps[x], fps[y])), None) for x, y in found]
-        if table.column("blocks")[0].as_py() > 1:  # pivots come first, so they are the roots of what they are connected to
-            out += [(group, fp, None, pivots[r] if pivots[r] < PIVOTS else -1) for fp, r, p in zip(fps, roots, pivots) if p == PIVOTS]
+        out = [(groups[x], *sorted((fps[x], fps[y])), None) for x, y in found]
+        for group, fp, p, n, r in zip(groups, fps, pivots, many, roots):
+            if n > 1 and p == PIVOTS:  # pivots come first, so they are the roots of what they are connected to
+                out.append((group, fp, None, pivots[r] if pivots[r] < PIVOTS else -1))
         return out
 
     def compared(dealt: DataFrame, *keys: str) -> DataFrame:
         loaded = load(dealt)
-        return by_group(loaded.select(*keys, *(c for c in loaded.columns if c not in keys)), list(keys), compare, LINKS, "group long, a long, b long, at long")
+        return by_group(loaded.select(*keys, *(c for c in loaded.columns if c not in keys)), list(keys), ["pivot", "fp"], compare, LINKS, "group long, a long, b long, at long")
 
     crowded = cut(members.groupBy("group").agg(F.count("*").alias("n"), F.sum("bytes").alias("size")).select("group", blocks(F.col("n"), F.col("size")).alias("blocks")).where("blocks > 1"))
     if not crowded.limit(1).count():
@@ -289,18 +367,40 @@ def similar_pairs(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return np.argwhere(np.triu(100 * both >= percent * (sizes[:, None] + sizes - both), 1))
 
 
-def likely_pairs(sketches: np.ndarray, sizes: np.ndarray, percent: int, estimate: Callable) -> np.ndarray:
-    """Places x < y of the sketches whose registers make a similarity of so many hundredths likely; sizes are the sets'."""
-    out = []
-    for x in range(len(sketches) - 1):
-        rest = x + 1 + np.flatnonzero(100 * np.minimum(sizes[x], sizes[x + 1 :]) >= percent * np.maximum(sizes[x], sizes[x + 1 :]))
-        equal = (sketches[rest] == sketches[x]).sum(axis=1)
-        rest = rest[near := equal >= sketches.shape[1] * LEAST_ESTIMATE]  # no estimate is above this share
-        if len(rest):
-            over, under = (sketches[x] > sketches[rest]).sum(axis=1), (sketches[x] < sketches[rest]).sum(axis=1)
-            fits = estimate(over, under, equal[near], np.full(len(rest), sizes[x]), sizes[rest]) >= LEAST_ESTIMATE
-            out.append(np.stack([np.full(int(fits.sum()), x), rest[fits]], axis=1))
-    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+def places(starts: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """Pairs x < y of the rows of each group, some at a time; groups begin at starts."""
+    held, n = [], 0
+    for first, last in zip(starts.tolist(), [*starts[1:].tolist(), size]):
+        own = _triangle(last - first) + first
+        held.append(own)
+        n += len(own)
+        if n >= ESTIMATED:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if n:
+        yield np.concatenate(held)
+
+
+@lru_cache(maxsize=2 * BLOCK_ROWS)
+def _triangle(n: int) -> np.ndarray:
+    return np.stack(np.triu_indices(n, 1), axis=1)
+
+
+def likely_pairs(sketches: np.ndarray, sizes: np.ndarray, percent: int, estimate: Callable, starts: np.ndarray | None = None) -> np.ndarray:
+    """Places x < y of the sketches of a group whose registers make a similarity of so many hundredths likely; sizes are the sets'."""
+    out = [np.zeros((0, 2), np.int64)]
+    for pairs in places(np.zeros(1, np.int64) if starts is None else starts, len(sketches)):
+        for own in np.array_split(pairs, -(-len(pairs) // ESTIMATED)):
+            n = sizes[own]
+            own = own[100 * n.min(axis=1) >= percent * n.max(axis=1)]
+            a, b = sketches[own[:, 0]], sketches[own[:, 1]]
+            equal = (a == b).sum(axis=1)
+            likely = equal >= sketches.shape[1] * LEAST_ESTIMATE  # no estimate is above this share
+            if likely.any():
+                own, equal, over = own[likely], equal[likely], (a[likely] > b[likely]).sum(axis=1)
+                found = estimate(over, sketches.shape[1] - equal - over, equal, sizes[own[:, 0]], sizes[own[:, 1]])
+                out.append(own[found >= LEAST_ESTIMATE])
+    return np.concatenate(out)
 
 
 def shares_equal(over: np.ndarray, under: np.ndarray, equal: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
@@ -315,19 +415,18 @@ def similar(distinct: DataFrame, docs: DataFrame, shingles: Callable[[str | None
     docs has doc_id and text, shingles gives a text's sorted set."""
     nodes, docs = distinct.select("fp", "n", "sketch"), docs.select("doc_id", "text")
 
-    def by_sketch(table: pa.Table) -> tuple[list[int], np.ndarray]:
-        return list(range(table.num_rows)), likely_pairs(matrix(table.column("sketch")), table.column("n").to_numpy(), percent, estimate)
-
-    def by_text(table: pa.Table) -> tuple[list[int], np.ndarray]:
-        sets, rows_kept, seen = [], [], set()
-        for k, (fp, text) in enumerate(zip(table.column("fp").to_pylist(), table.column("text").to_pylist())):
-            if fp not in seen and set_digest(own := shingles(text)) == fp:  # a repeated id may have other texts
-                seen.add(fp), rows_kept.append(k), sets.append(own)
-        found = rows_kept, similar_pairs(sets, percent)
-        if sum(map(len, sets)) > AT_ONCE:
-            del sets
-            release()  # workers live on
-        return found
+    def by_sketch(table: pa.Table, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.arange(table.num_rows), likely_pairs(matrix(table.column("sketch")), table.column("n").to_numpy(), percent, estimate, starts)
+
+    def by_text(table: pa.Table, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        kept, pairs, fps, texts = [], [np.zeros((0, 2), np.int64)], table.column("fp").to_pylist(), table.column("text")
+        for first, last in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows]):
+            sets, seen, base = [], set(), len(kept)
+            for k in range(first, last):
+                if fps[k] not in seen and set_digest(own := shingles(texts[k].as_py())) == fps[k]:  # a repeated id may have other texts
+                    seen.add(fps[k]), kept.append(k), sets.append(own)
+            pairs.append(similar_pairs(sets, percent) + base)
+        return np.array(kept, np.int64), np.concatenate(pairs)
 
     members = cut(key_groups(nodes, rows))
     likely = connect(members.withColumn("bytes", F.lit(1).cast("long")), lambda dealt: dealt.join(nodes, "fp"), by_sketch)

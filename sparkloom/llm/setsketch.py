@@ -31,26 +31,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import near
 from .common import cut, load, map_arrow, slices, utf8
-from .simhash import shingle_hashes
 
 WORDS, PERCENT = 2, 80
 BANDS, ROWS = 26, 5
 REGISTERS = BANDS * ROWS
 BASE, RATE, MOST = 1.01, 20.0, 4095
+#: Values of the similarity that an estimate tries at once, twice.
+GRID = 25
 #: Elements whose arrivals are drawn at once, and arrivals of each.
 AT_ONCE, ARRIVALS = 1 << 17, 64
-_STEP, _MIX_A, _MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_set(text: str | None) -> np.ndarray:
-    return np.unique(np.array(shingle_hashes(text, WORDS), np.uint64))
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """SplitMix64's finaliser."""
-    x = (x ^ (x >> np.uint64(30))) * _MIX_A
-    x = (x ^ (x >> np.uint64(27))) * _MIX_B
-    return x ^ (x >> np.uint64(31))
+    return near.shingle_set(text, WORDS)
 
 
 def sketch(sets: list[np.ndarray], registers: int = REGISTERS) -> np.ndarray:
@@ -71,7 +65,7 @@ def _arrive(earliest: np.ndarray, elements: np.ndarray, owners: np.ndarray, regi
     while len(elements):
         many = max(1, min(ARRIVALS, AT_ONCE // len(elements))) if drawn else 1
         steps = np.arange(drawn + 1, drawn + 1 + many, dtype=np.uint64) * _STEP
-        hashes = _mixed(elements[:, None] + steps)
+        hashes = near.mixed(elements[:, None] + steps)
         waits = -np.log(((hashes >> np.uint64(32)).astype(np.float64) + 0.5) * 2.0**-32) / (RATE * registers)
         at = times[:, None] + np.cumsum(waits, axis=1)
         register = ((hashes & np.uint64(0xFFFFFFFF)) * np.uint64(registers) >> np.uint64(32)).astype(np.int64)
@@ -103,16 +97,16 @@ def similarity(over: np.ndarray, under: np.ndarray, equal: np.ndarray, size_a: n
         return -np.log1p(-np.maximum(x, 0) * (BASE - 1) / BASE) / log(BASE)
 
     def likelihood(j: np.ndarray) -> np.ndarray:
-        p, q = differs(u - v * j), differs(v - u * j)
-        least = 1e-300
+        p, q, least = differs(u - v * j), differs(v - u * j), 1e-300
         return over * np.log(np.maximum(p, least)) + under * np.log(np.maximum(q, least)) + equal * np.log(np.maximum(1 - p - q, least))
 
-    low, high = np.zeros(len(u)), np.minimum(u, v) / np.maximum(u, v)
-    for _ in range(40):  # likelihoods have one maximum
-        third = (high - low) / 3
-        left = likelihood(low + third) < likelihood(high - third)
-        low, high = np.where(left, low + third, low), np.where(left, high, high - third)
-    return (low + high) / 2
+    # the likelihood has one maximum: a row of values for each pair, and a closer row around the best
+    u, v, over, under, equal = (x[:, None] for x in (u, v, over, under, equal))
+    most = np.minimum(u, v) / np.maximum(u, v)
+    at = np.linspace(0, 1, GRID) * most
+    middle = np.take_along_axis(at, likelihood(at).argmax(axis=1)[:, None], axis=1)
+    at = np.clip(middle + np.linspace(-1, 1, GRID) * most / (GRID - 1), 0, most)
+    return np.take_along_axis(at, likelihood(at).argmax(axis=1)[:, None], axis=1)[:, 0]
 
 
 def with_sketch(docs: DataFrame) -> DataFrame:

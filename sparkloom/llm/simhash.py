@@ -10,15 +10,12 @@ nearest codeword, and probe keys from all codewords within distance 4, of which
 with radius 3, a word's nearest codeword lies within 4 of each word one error away. Index and probe keys are joined and each
 pair verified on the whole 64 bits. Only distinct fingerprints take part, so copies, however many, make no pairs.
 
-Components: local union-find in each partition of the links, then alternating large-star and small-star rounds.
+Components: local union-find in each partition of the links, then alternating large-star and small-star rounds (``near``).
 
 The pipeline's stage links by the sets of five-word shingles instead, at Jaccard similarity 0.8 or more: such texts differ in up
 to some 17 of the 64 bits, which no Golay keys reach. Texts with equal sets are one node, named by a digest of the set. Each
-distinct set has a MinHash key for each of BANDS bands of BAND_ROWS values; sets that share a key are compared exactly. A crowded
-key is dealt to blocks of at most about BLOCK_ROWS, in each of which its PIVOTS first members stand too: what is connected to the
-same pivot needs no comparison with each other across blocks, so only members that are not connected to the pivot of most meet
-all blocks. A group of near copies, however large, thus costs in proportion to its size. No link is lost. A pair at 0.8 shares a
-key with a chance of 0.99993, a closer one with a greater. Texts without words are equal.
+distinct set has BANDS times BAND_ROWS MinHash values of 16 bits; how candidates, blocks and whole sets are compared is told in
+``near``. A pair at 0.8 shares a band with a chance of 0.99993, a closer one with a greater. Texts without words are equal.
 
 Defined results: a null or wordless text has fingerprint zero, which links like any other. component_id is the least non-null
 doc_id of the rows reachable, null if there is none. Repeated rows keep a row each. An empty table gives no rows.
@@ -27,13 +24,16 @@ doc_id of the rows reachable, null if there is none. Repeated rows keep a row ea
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import columns, cut, load, map_arrow, release, row_and, slices, utf8
+from . import near
+from .common import columns, cut, load, map_arrow, row_and, utf8
+from .near import components, set_digest
 
 WORDS = 3
 SEED = 42
@@ -41,14 +41,10 @@ MAX_BITS = 2
 #: Words of a shingle and least Jaccard similarity of the pipeline's stage.
 STAGE_WORDS, STAGE_SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 24, 5
-#: Sets of a block of a crowded key, shingles compared at once, and ids that may be broadcast.
-BLOCK_ROWS, COLUMNS, BROADCAST_IDS = 256, 8192, 200_000
-#: Members of a crowded key that stand in each of its blocks.
-PIVOTS = 8
 #: Shingle hashes that a Python worker counts at once.
 AT_ONCE = 1 << 17
-#: Documents of a batch handed back to Spark, and those of a batch of whole sets.
-ROWS, SET_ROWS = 500, 100
+#: Documents of a batch handed back to Spark.
+ROWS = 500
 
 # ---------------------------------------------------------------- fingerprints
 
@@ -187,207 +183,41 @@ def links(distinct: DataFrame) -> DataFrame:
 _MIXERS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_set(text: str | None, width: int) -> np.ndarray:
-    return np.unique(np.array(shingle_hashes(text, width), np.uint64))
-
-
-def set_digest(own: np.ndarray) -> int:
-    """Names a set of shingles, as a signed long."""
-    import xxhash
-
-    return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64))
-
-
-def band_keys(sets: list[np.ndarray]) -> list[list[int]]:
-    """A key for each band of each set, none of an empty one."""
-    import xxhash
-
+def sketches(sets: list[np.ndarray]) -> list[bytes | None]:
+    """16 bits of each set's least value under each of the mixers, none of an empty set."""
     full = [k for k, own in enumerate(sets) if len(own)]
-    out: list[list[int]] = [[] for _ in sets]
+    out: list[bytes | None] = [None] * len(sets)
     if full:
         hashes = np.concatenate([sets[k] for k in full])
         starts = np.cumsum([0, *(len(sets[k]) for k in full[:-1])])
         least = np.stack([np.minimum.reduceat(hashes * a + b, starts) for a, b in _MIXERS.T], axis=1)
-        for k, own in zip(full, least.reshape(len(full), BANDS, BAND_ROWS)):
-            out[k] = np.array([xxhash.xxh64_intdigest(band.tobytes(), n) for n, band in enumerate(own)], np.uint64).view(np.int64).tolist()
+        for k, own in zip(full, (least >> np.uint64(24)).astype(np.uint16)):  # the highest bits tell the set's size, the lowest are mixed least
+            out[k] = own.tobytes()
     return out
 
 
 def with_set(docs: DataFrame, width: int, keep: Iterable[str] = ("doc_id",)) -> DataFrame:
-    """Struct ``row`` of the kept columns, fp: the digest of the text's set of shingles, and keys of its bands."""
+    """Struct ``row`` of the kept columns, fp: the digest of the text's set of shingles, n: its size, the text's bytes and the set's sketch."""
     left = docs.select(F.struct(*columns(keep)).alias("row"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, len(batch), ROWS):
                 own = batch.slice(k, ROWS)
-                sets = [shingle_set(x, width) for x in own.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(map(set_digest, sets), pa.int64()), pa.array(band_keys(sets), pa.list_(pa.int64()))], names=["row", "fp", "keys"])
-
-    return map_arrow(left, run, row_and(left, "fp long, keys array<bigint>"))
+                texts = own.column(1).to_pylist()
+                sets = [near.shingle_set(x, width) for x in texts]
+                numbers = (list(map(set_digest, sets)), list(map(len, sets)), [len(utf8(x)) for x in texts])
+                yield pa.RecordBatch.from_arrays([own.column(0), *(pa.array(x, pa.int64()) for x in numbers), pa.array(sketches(sets), pa.binary())], names=["row", "fp", "n", "bytes", "sketch"])
 
-
-def intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """How many members each two sorted sets share, counted for about AT_ONCE members at once: those of a range of hashes."""
-    total = sum(map(len, sets))
-    ranges = max(1, -(-total // AT_ONCE))
-    edges = np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
-    cuts = [[0, *np.searchsorted(x, edges), len(x)] for x in sets]
-    out = np.zeros((len(sets), len(sets)), np.int64)
-    for k in range(ranges):
-        out += _shared([x[c[k] : c[k + 1]] for x, c in zip(sets, cuts)])
-    return out
-
-
-def _shared(sets: list[np.ndarray]) -> np.ndarray:
-    """The same for few members, of which COLUMNS are compared at once."""
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    number = np.cumsum(times > 1) - 1
-    shared = times[at] > 1
-    owner, column = owner[shared], number[at[shared]]
-    by = np.argsort(column, kind="stable")
-    owner, column = owner[by], column[by]
-    out = np.zeros((len(sets), len(sets)), np.int64)
-    for low in range(0, int(number[-1]) + 1 if len(number) else 0, COLUMNS):
-        first, last = np.searchsorted(column, (low, low + COLUMNS))
-        held = np.zeros((len(sets), COLUMNS), np.float32)
-        held[owner[first:last], column[first:last] - low] = 1
-        out += np.rint(held @ held.T).astype(np.int64)
-    return out
-
-
-def linked(sets: list[np.ndarray], similarity: float) -> tuple[list[tuple[int, int]], list[int]]:
-    """A spanning forest of the pairs of at least the similarity, and each set's root in it."""
-    sizes, both = np.array([len(x) for x in sets]), intersections(sets)
-    near = np.argwhere(np.triu(both >= similarity * (sizes[:, None] + sizes - both) - 1e-9, 1)).tolist()
-    parent, found = list(range(len(sets))), []
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for x, y in near:
-        a, b = root(x), root(y)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            found.append((x, y))
-    return found, [root(x) for x in range(len(sets))]
-
-
-def similar(distinct: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Pairs a < b that connect what pairs of at least the similarity connect; distinct has fp, an id least and keys of each set."""
-    own = distinct.select("fp", "least", F.explode("keys").alias("key"))
-    # near copies share most of their keys: of keys with the same members, told by count and two hashes of the set, one is enough
-    sizes = own.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y")).where("n > 1")
-    members = cut(own.join(sizes.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"), "key"))
-    wanted = cut(members.select("fp", "least").distinct())
-    ids = wanted.select("least").distinct()
-    ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (part for batch in batches for part in slices(batch, SET_ROWS)):
-            sets = [shingle_set(x, width) for x in part.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(map(set_digest, sets), pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["fp", "shingles"])
-
-    def compare(group: pa.Table) -> pa.Table:
-        """Links of a block, and of a crowded key's members the first pivot that each is connected to here (-1: none), with b null."""
-        group = group.sort_by([("pivot", "ascending"), ("fp", "ascending")])
-        fps, pivots = group.column("fp").to_pylist(), group.column("pivot").to_pylist()
-        found, roots = linked([x.values.to_numpy().view(np.uint64) for x in group.column("shingles").combine_chunks()], similarity)
-        key = group.column("key")[0].as_py()
-        out = [(key, *sorted((fps[x], fps[y])), None) for x, y in found]
-        if len(group.column("shingles").combine_chunks().values) > AT_ONCE:
-            release()  # workers live on
-        if group.column("blocks")[0].as_py() > 1:  # pivots come first, so they are the roots of what they are connected to
-            out += [(key, fp, None, pivots[r] if pivots[r] < PIVOTS else -1) for fp, r, p in zip(fps, roots, pivots) if p == PIVOTS]
-        return pa.table([pa.array(c, pa.int64()) for c in zip(*out)], names=["key", "a", "b", "at"]) if out else pa.table({n: pa.array([], pa.int64()) for n in ("key", "a", "b", "at")})
-
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("least")), "left_semi").select("text")
-    sets = map_arrow(texts, sets_of, "fp long, shingles array<bigint>").dropDuplicates(["fp"])
-    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-    blocks = F.ceil(F.col("n") / BLOCK_ROWS)
-    # a crowded key's first members are its pivots and stand in each of its blocks
-    nth = F.row_number().over(Window.partitionBy("key").orderBy("fp"))
-    pivots = members.where(F.col("n") > BLOCK_ROWS).withColumn("nth", nth).where(F.col("nth") <= PIVOTS).select("key", "fp", (F.col("nth") - 1).cast("long").alias("pivot"), blocks.alias("blocks"))
-    plain = members.join(pivots.select("key", "fp"), ["key", "fp"], "left_anti").select("key", "fp", F.lit(PIVOTS).cast("long").alias("pivot"), blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
-    dealt = plain.union(pivots.withColumn("block", F.explode(upto(F.col("blocks")))))
-    first = cut(dealt.join(sets, "fp").groupBy("key", "block").applyInArrow(compare, "key long, a long, b long, at long"))
-    links_found = first.where("b is not null").select("a", "b").distinct()
-    # what isn't connected to the pivot that most of the key are connected to meets all of the key
-    placed = first.where("b is null").select("key", F.col("a").alias("fp"), "at")
-    most = placed.where("at >= 0").groupBy("key", "at").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("at", F.struct("c", "at")).alias("main"))
-    rest = placed.join(most, "key", "left").where(~F.col("at").eqNullSafe(F.col("main"))).select("key", "fp")
-    rest = cut(rest.union(pivots.join(most, "key", "left").where(~F.col("pivot").eqNullSafe(F.col("main"))).select("key", "fp")))
-    counts = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("rests"))
-    if not rest.limit(1).count():
-        return links_found
-    one = F.lit(PIVOTS).cast("long").alias("pivot"), F.lit(1).cast("long").alias("blocks")
-    loose = rest.join(counts, "key").join(members.select("key", "fp", "n"), ["key", "fp"]).withColumn("rest", F.pmod(F.xxhash64("fp"), F.col("rests"))).withColumn("block", F.explode(upto(blocks))).select("key", "fp", "rest", "block")
-    every = members.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("fp"), blocks)).withColumn("rest", F.explode(upto(F.col("rests")))).select("key", "fp", "rest", "block")
-    both = loose.union(every).distinct().select("*", *one).join(sets, "fp")
-    again = both.groupBy("key", "rest", "block").applyInArrow(compare, "key long, a long, b long, at long")
-    return links_found.union(again.select("a", "b")).distinct()
+    return map_arrow(left, run, row_and(left, "fp long, n long, bytes long, sketch binary"))
 
 
 # ---------------------------------------------------------------- components
 
 
-def _forest(pairs: DataFrame) -> DataFrame:
-    """(u, v) with v < u: each partition's links replaced by the stars of its own components."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while (up := parent.setdefault(x, x)) != x:
-                parent[x] = parent[up]
-                x = parent[x]
-            return x
-
-        for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                a, b = root(a), root(b)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-        found = [(x, root(x)) for x in parent]
-        found = [x for x in found if x[0] != x[1]]
-        for k in range(0, len(found), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found[k : k + 50_000]], pa.int64()) for j in (0, 1)], names=["u", "v"])
-
-    return pairs.mapInArrow(run, "u long, v long")
-
-
-def _large_star(e: DataFrame) -> DataFrame:
-    both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-
-
-def _small_star(e: DataFrame) -> DataFrame:
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
-    others = e.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return others.union(least.select("u", F.col("m").alias("v"))).distinct()
-
-
-def components(pairs: DataFrame, at_most: int = 60) -> DataFrame:
-    """(u, v): v is the least node that u reaches, for each u that reaches a lesser one; pairs has columns a and b."""
-    e, before = cut(_forest(pairs)), None
-    for _ in range(at_most):
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
-            return e
-        before = state
-        e = cut(_small_star(_large_star(e)))
-    raise RuntimeError("components did not settle")
-
-
-def label(found: DataFrame, doc_id: Column, pairs: Callable[[DataFrame], DataFrame] = links) -> DataFrame:
-    """fp, its component's least fingerprint root and least id component_id, for a table with column fp; found is read twice, so keep it first."""
-    keys = [F.first("keys").alias("keys")] if "keys" in found.columns else []
-    distinct = cut(found.groupBy("fp").agg(F.min(doc_id).alias("least"), *keys))
+def label(found: DataFrame, doc_id: Column, pairs: Callable[[DataFrame], DataFrame] = links, carry: Iterable[str] = ()) -> DataFrame:
+    """fp, its component's least fingerprint root and least id component_id, for a table with column fp and what pairs reads; found is read twice, so keep it first."""
+    distinct = cut(found.groupBy("fp").agg(F.min(doc_id).alias("least"), *(F.first(c).alias(c) for c in carry)))
     roots = components(pairs(distinct)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -412,9 +242,11 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, similarity: float |
     if similarity is None:
         marked, pairs, more = with_fingerprint, links, []
     else:
-        marked, pairs, more = (lambda d, *keep: with_set(d, width, *keep)), (lambda distinct: similar(distinct, docs, width, similarity)), ["keys"]
+        sets = partial(near.shingle_set, width=width)
+        marked, more = (lambda d, *keep: with_set(d, width, *keep)), ["n", "bytes", "sketch"]
+        pairs = lambda distinct: near.similar(distinct.where("n > 0"), docs, sets, BAND_ROWS, round(100 * similarity))
     found = cut(marked(docs).select("row.doc_id", "fp", *more))
-    labels = label(found, F.col("doc_id"), pairs)
+    labels = label(found, F.col("doc_id"), pairs, more)
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
     kept = cut(found.join(labels, "fp").where(first).groupBy("doc_id").agg(F.count("*").alias("times")))
     if kept.where("doc_id is null or times > 1").limit(1).count() == 0:

@@ -109,7 +109,7 @@ def test_sketches_follow_their_definition():
         t, k = 0.0, 0
         while t < setsketch.BASE:
             k += 1
-            h = int(setsketch._mixed(np.array([(x + k * int(setsketch._STEP)) % 2**64], np.uint64))[0])
+            h = int(near.mixed(np.array([(x + k * int(setsketch._STEP)) % 2**64], np.uint64))[0])
             t += -np.log(((h >> 32) + 0.5) / 2**32) / (setsketch.RATE * m)
             at = (h & 0xFFFFFFFF) * m >> 32
             earliest[at] = min(earliest[at], t)
@@ -142,3 +142,14 @@ def test_every_pair_at_the_limit_is_a_candidate():
         missed += not (keys[0] == keys[1]).any()
         wrong += not len(near.likely_pairs(np.stack([x, y]), np.array([n, n]), 80, setsketch.similarity))
     assert missed <= 1 and wrong == 0
+
+
+@pytest.mark.parametrize("size", [4, 16, 1 << 20])
+def test_word_hashes_whatever_is_hashed_at_once(monkeypatch, size):
+    texts = ["", " ", "a", "one two  one\ttwo", "x" * 40 + " x " + "x" * 40, "abcd abcd", "  abcde\n\nabcd  ", "Größe \x0b größe"]
+    monkeypatch.setattr(near, "HASHED_BYTES", size)
+    near._powers.cache_clear()
+    for t in texts:
+        words, hashes = t.encode().split(), near.word_hashes(t.encode()).tolist()
+        assert len(words) == len(hashes) and len(set(words)) == len(set(hashes)) and len({*zip(words, hashes)}) == len(set(words))
+    near._powers.cache_clear()
