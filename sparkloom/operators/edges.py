@@ -83,29 +83,61 @@ def _places(path: Column) -> Column:
     return F.explode(F.array(*(F.struct(F.lit(level).alias("level"), place.alias("place")) for level, place in places.items())))
 
 
+#: Lengths of what stands before a name, by which a qualified call is looked up in ids and paths.
+BEFORE_LENGTHS = (1, 2, 4, 8)
+
+
+def qualified_matches(sites: DataFrame, targets: DataFrame) -> DataFrame:
+    """Pairs of sites and targets of the leaf whose id or path contains the whole called text.
+
+    Where it does, the target's name stands there with the text before the leaf in front of it. So targets are filed by their name and
+    the last characters before each place where it stands in their id or path, and a call looks its own up: it meets what ends alike, not all of the name."""
+    text, name = F.col("text"), F.col("name")
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text) - F.length(name) + 1, F.lit(1))), lambda k: F.substring(text, k, F.length(name)) == name)
+    before = lambda k, n: F.substring(text, F.greatest(k - n, F.lit(1)), F.least(k - 1, F.lit(n)))
+    filed = targets.withColumn("text", F.explode(F.array("target", "target_path"))).where("name <> ''").withColumn("place", F.explode(places))
+    keys = F.explode(F.array(*(before(F.col("place"), n) for n in BEFORE_LENGTHS))).alias("key")
+    filed = filed.select("target", "target_path", "name", keys).where("key <> ''").distinct()
+    prefix = F.substring("called", F.lit(1), F.length("called") - F.length("leaf"))
+    size = F.lit(BEFORE_LENGTHS[0])
+    for n in BEFORE_LENGTHS[1:]:
+        size = F.when(F.length(prefix) >= n, F.lit(n)).otherwise(size)
+    asked = sites.where("qualified").withColumn("asked", F.right(prefix, size))
+    found = asked.join(filed, (F.col("leaf") == F.col("name")) & (F.col("asked") == F.col("key")))
+    return found.where(F.contains("target", F.col("called")) | F.contains("target_path", F.col("called"))).drop("asked", "key").distinct()
+
+
 def near_candidates(sites: DataFrame, targets: DataFrame) -> DataFrame:
     """Sites (caller, called, filepath, leaf, qualified) with those targets (target, target_path, name) of the leaf that may score best.
 
     A site's best level is told from the places where a name stands, so a name that stands everywhere isn't paired with all its calls.
     A target in the same file beats all others. Nearness alone ranks the others unless the call is qualified, as a match adds points:
-    then what shares directory and extension is beaten at most by what shares the directory, and without such a one all are candidates."""
+    then what shares directory and extension is beaten at most by what shares the directory; what shares the directory only, also by
+    matches elsewhere; and what is farther by any match. So beyond its directory a qualified call meets its matches, and what is merely near
+    only where there are none: then all of that level tie and are results."""
     placed = targets.select("target", "target_path", "name", _places(F.col("target_path")).alias("at")).select("target", "target_path", "name", "at.level", "at.place")
     site = ["caller", "called", "filepath", "leaf", "qualified"]
     asked = sites.select(*site, _places(F.col("filepath")).alias("at")).select(*site, "at.level", "at.place")
     known = placed.select(F.col("name").alias("leaf"), "level", "place").distinct()
     nearest = asked.join(known, ["leaf", "level", "place"], "left_semi").groupBy(*site).agg(F.min("level").alias("nearest"))
-    level = F.when(~F.col("qualified") | (F.col("nearest") == SAME_FILE), F.col("nearest")).when(F.col("nearest") == SAME_KIND_NEAR, SAME_DIR).otherwise(ANYWHERE)
+    matches = qualified_matches(nearest.where(F.col("nearest") >= SAME_DIR), targets)
+    matched = matches.select(*site).distinct().withColumn("matched", F.lit(True))
+    told = nearest.join(matched, site, "left")
+    told = told.where(F.col("matched").isNull() | (F.col("nearest") <= SAME_DIR))
+    level = F.when(F.col("qualified") & (F.col("nearest") == SAME_KIND_NEAR), SAME_DIR).otherwise(F.col("nearest"))
     path = F.col("filepath")
     place = F.when(F.col("level") == SAME_FILE, path).when(F.col("level") == SAME_KIND_NEAR, F.concat_ws("\n", parent(path), extension(path))).when(F.col("level") == SAME_DIR, parent(path)).when(F.col("level") == SAME_EXTENSION, extension(path)).otherwise("")
-    wanted = nearest.withColumn("level", level).withColumn("place", place).drop("nearest")
-    return wanted.join(placed.withColumnRenamed("name", "leaf"), ["leaf", "level", "place"]).drop("level", "place")
+    wanted = told.withColumn("level", level).withColumn("place", place).drop("nearest", "matched")
+    near = wanted.join(placed.withColumnRenamed("name", "leaf"), ["leaf", "level", "place"]).select(*site, "target", "target_path")
+    return near.union(matches.select(*site, "target", "target_path")).distinct()
 
 
 def call_candidates(sites: DataFrame, symbols: DataFrame) -> DataFrame:
     """J7, CS1, CS2, CS6: each site's best candidates by the called name's leaf, all those at the greatest score, with confidence and evidence."""
     targets = symbols.select(F.col("id").alias("target"), F.col("filepath").alias("target_path"), F.col("name"))
     qualified = F.contains("called", F.lit("::")) | F.contains("called", F.lit("."))
-    sites = sites.withColumn("leaf", leaf(F.col("called"))).where("leaf <> ''").withColumn("qualified", qualified)
+    # read several times, so the texts are scanned once
+    sites = cut(sites.withColumn("leaf", leaf(F.col("called"))).where("leaf <> ''").withColumn("qualified", qualified))
     pairs = near_candidates(sites, targets)
     same_file = F.col("target_path") == F.col("filepath")
     same_dir = parent(F.col("target_path")) == parent(F.col("filepath"))

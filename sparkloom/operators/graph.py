@@ -156,10 +156,64 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return out.fillna(0, ["callee_count", "caller_count", "down_reach", "up_reach"])
 
 
+#: Longs of a row of reach_all: 64 nodes each.
+REACH_LONGS = 8
+
+
+def numbered(rows: DataFrame, *order: Column, name: str = "number") -> DataFrame:
+    """Column ``number``: the place from 0 in an order over the whole table. Each task sorts a range of rows; only the numbers of rows of the ranges are gathered."""
+    placed = cut(rows.orderBy(*order)).withColumn("place", F.monotonically_increasing_id())
+    sizes = placed.groupBy(F.shiftright("place", 33).alias("part")).agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each task of the sort
+    inside = F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    joined = placed.withColumn("part", F.shiftright("place", 33)).join(F.broadcast(before.select("part", "before")), "part")
+    return joined.withColumn(name, F.col("before") + inside).drop("part", "place", "before")
+
+
+def reach_all(edges: DataFrame, depth: int, longs: int = REACH_LONGS) -> DataFrame:
+    """AG3 for all nodes at once, exactly: columns as of reach().
+
+    A node holds what it reaches as bits: nodes are numbered in order of their ids, of which neighbours are often alike, and a row has the
+    bits of ``longs`` times 64 of them, if any is set. A round hands the bits that are new to whatever leads to the node and unites them
+    by bitwise or, within the tasks first; bits that are known go no further. A row is 8 bytes for each long and some 40 more, so what is
+    held is bounded by nodes times blocks that they reach into, at most nodes squared by some 5 bits; the pairs of reach() take some 40 bytes each.
+    Rounds are cut by checkpoints, and nothing is gathered on the driver."""
+    if depth < 0:
+        raise ValueError("depth must be 0 or more")
+    steps = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    ids = steps.select(F.col("src").alias("id")).union(steps.select("dst")).union(edges.where("src = dst").select("src")).distinct()
+    n = cut(numbered(ids, F.col("id")))
+    by_number = steps.join(n.select(F.col("id").alias("src"), F.col("number").alias("a")), "src").join(n.select(F.col("id").alias("dst"), F.col("number").alias("b")), "dst").select("a", "b")
+    by_number, size = cut(by_number), 64 * longs
+    bits = [f"b{k}" for k in range(longs)]
+    out = n
+    for count, reached, own, other in (("callee_count", "down_reach", "a", "b"), ("caller_count", "up_reach", "b", "a")):
+        links = by_number.select(F.col(own).alias("number"), F.col(other).alias("to"))
+        place = F.col("number") % size
+        first = [F.when(F.floor(place / 64) == k, F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))).otherwise(F.lit(0).cast("long")).alias(f"b{k}") for k in range(longs)]
+        seen = new = n.select("number", F.floor(F.col("number") / size).cast("long").alias("block"), *first)
+        for level in range(depth):
+            offered = links.join(new.withColumnRenamed("number", "to"), "to").groupBy("number", "block").agg(*(F.bit_or(b).alias(b) for b in bits))
+            if level + 1 == depth:
+                seen = seen.union(offered)
+                break
+            known = seen.select("number", "block", *(F.col(b).alias(f"k{b}") for b in bits))
+            fresh = offered.join(known, ["number", "block"], "left").select("number", "block", *(F.col(b).bitwiseAND(F.bitwise_not(F.coalesce(f"k{b}", F.lit(0).cast("long")))).alias(b) for b in bits))
+            new = cut(fresh.where(" or ".join(f"{b} <> 0" for b in bits)))
+            if new.isEmpty():
+                break
+            seen = cut(seen.union(new).groupBy("number", "block").agg(*(F.bit_or(b).alias(b) for b in bits)))
+        united = seen.groupBy("number", "block").agg(*(F.bit_or(b).alias(b) for b in bits))
+        total = sum((F.bit_count(b) for b in bits[1:]), F.bit_count(bits[0]))
+        counts = united.groupBy("number").agg((F.sum(total) - 1).cast("long").alias(reached))  # less the node itself
+        out = out.join(links.groupBy("number").agg(F.count("*").alias(count)), "number", "left").join(counts, "number", "left")
+    return out.select("id", "callee_count", "caller_count", "down_reach", "up_reach").fillna(0)
+
+
 def reach_estimate(edges: DataFrame, depth: int, down: bool = True, lg_k: int = 12) -> DataFrame:
     """(id, reach): for all nodes at once, about how many others each reaches within depth, by HyperLogLog sketches.
 
-    reach() keeps a row for each start and what it reaches, so it is for starts that are few; here a node keeps a sketch of 2^lg_k
+    reach() keeps a row for each start and what it reaches, so it is for starts that are few, and reach_all() bits for all pairs; here a node keeps a sketch of 2^lg_k
     registers whatever it reaches (about 1.6 % off at 12), and a round unites the sketches of what a node leads to."""
     own, other = ("src", "dst") if down else ("dst", "src")
     steps = edges.select(F.col(own).alias("at"), F.col(other).alias("to")).where("at <> to").distinct()
@@ -310,62 +364,95 @@ def _components_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([ids[r] for r in roots])], names=["id", "root"])
 
 
-def cycle_report(edges: DataFrame, at_most: int = 10) -> DataFrame:
+def cycle_report(edges: DataFrame, at_most: int = 10, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """The first components on cycles with their sorted members."""
-    return strongly_connected(edges).groupBy("component").agg(F.sort_array(F.collect_set("id")).alias("members")).orderBy("component").limit(at_most)
+    return strongly_connected(edges, local_edges).groupBy("component").agg(F.sort_array(F.collect_set("id")).alias("members")).orderBy("component").limit(at_most)
 
 
 def paths(edges: DataFrame, roots: DataFrame, depth: int = 64, at_most: int = 50_000) -> DataFrame:
-    """Paths from roots (column id) to nodes where a walk ends, as arrays; a walk also ends before a node it has passed, and at depth."""
-    steps = edges.select("src", "dst").where("src <> dst").distinct()
-    walking = roots.select(F.array("id").alias("path"), F.col("id").alias("src")).distinct()
-    done = None
-    for level in range(depth):
-        onward = walking.join(steps, "src", "left")
-        onward = onward.withColumn("ok", F.col("dst").isNotNull() & ~F.array_contains("path", F.coalesce("dst", F.lit(""))))
-        states = cut(onward.groupBy("path").agg(F.max("ok").alias("goes"), F.collect_set(F.when(F.col("ok"), F.col("dst"))).alias("next")))
-        ends = states.where("not goes").select("path")
-        done = ends if done is None else done.union(ends)
-        walking = states.where("goes").select("path", F.explode("next").alias("src")).select(F.concat("path", F.array("src")).alias("path"), "src")
-        if level + 1 < depth:
-            walking = cut(walking)
-            if walking.isEmpty():
-                break
-    done = done.union(walking.select("path")) if done is not None else walking.select("path")
-    return done.orderBy(F.array_join("path", ";")).limit(at_most)
+    """The first paths, in order of their ids joined by ``;``, from roots (column id) to nodes where a walk ends, as arrays; a walk also ends
+    before a node it has passed, and at depth. An id must not hold ``;``.
+
+    Every walk that goes on ends somewhere, so each of the first ``at_most`` walks of a length stands for a path at least, and none that
+    comes after them is needed: a step extends at most some at_most walks, however many paths there are."""
+    steps = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    # a walk's text as a path, and before what follows it: which of both counts is known once it has been tried to go on
+    walking = roots.select(F.array("id").alias("path"), F.col("id").alias("src"), F.col("id").cast("string").alias("text")).distinct()
+    done = walking.select("path", "text").limit(0)
+    for _ in range(depth):
+        walking = cut(walking)
+        onward = walking.join(steps, "src").where(~F.array_contains("path", F.col("dst"))).select("text", "path", "dst")
+        ended = walking.join(onward.select("text").distinct(), "text", "left_anti").select("path", "text")
+        done = cut(done.union(ended))
+        walking = cut(onward.select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("src"), F.concat("text", F.lit(";"), F.col("dst").cast("string")).alias("text")))
+        n = walking.count()
+        if not n:
+            break
+        if n + done.count() > at_most:
+            upper = done.select("text").union(walking.select(F.concat("text", F.lit(";"))))
+            last = upper.orderBy("text").limit(at_most).agg(F.max("text")).first()[0]
+            done, walking = done.where(F.col("text") <= last), walking.where(F.col("text") <= last)
+    return done.union(walking.select("path", "text")).orderBy("text").limit(at_most).select("path")
+
+
+def count_paths(edges: DataFrame, roots: DataFrame, depth: int = 64) -> DataFrame:
+    """(id, paths): how many paths each root of an acyclic graph has, without making any. The number of a node's paths of at most some steps is the sum over what it leads to; beyond 38 digits it is null."""
+    steps = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    one = F.lit(1).cast("decimal(38,0)")
+    counts = cut(steps.select(F.col("src").alias("id")).union(steps.select("dst")).union(roots.select("id")).distinct().withColumn("paths", one))
+    for _ in range(depth):
+        summed = steps.join(counts.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.try_sum("paths").cast("decimal(38,0)").alias("more"), F.count("*").alias("n"))
+        after = counts.join(summed, "id", "left").select("id", F.when(F.col("n").isNull(), one).otherwise(F.col("more")).alias("paths"), (F.col("n").isNotNull() & ~F.col("more").eqNullSafe(F.col("paths"))).alias("moved"))
+        counts = cut(after)
+        if not counts.where("moved").limit(1).count():
+            break
+        counts = counts.drop("moved")
+    return counts.join(roots.select("id").distinct(), "id", "left_semi").select("id", "paths")
 
 
 def topological_levels(edges: DataFrame, nodes: DataFrame | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(id, level): a node's level is one more than the greatest of what it depends on. A cycle raises ValueError. An edge goes from what is needed to what needs it.
 
-    Longest paths by contraction: edges carry lengths, and a root (null) leads to all nodes that need nothing. A phase takes all
-    nodes that one edge leads to, points each past its own kind by doubling to where its chain begins, and puts what left them there,
-    of equal edges the longest. So chains of any length, trees and what they fold into go in one phase. Once at most local_edges
-    edges are left one task takes them. Then the phases are read backwards."""
-    rounds, kind = Rounds(edges.sparkSession), edges.schema["src"].dataType
-    e = edges.select("src", "dst").distinct().withColumn("length", F.lit(1).cast("long"))
+    A graph of at most local_edges edges goes to one task; else the levels are those of longest_paths()."""
+    kind = edges.schema["src"].dataType
+    e = edges.select("src", "dst").distinct()
     ids = e.select(F.col("src").alias("id")).union(e.select("dst"))
     ids = (ids if nodes is None else ids.union(nodes.select("id"))).distinct()
-    first = ids.join(e.select(F.col("dst").alias("id")), "id", "left_anti").select(F.lit(None).cast(kind).alias("src"), F.col("id").alias("dst"), F.lit(1).cast("long").alias("length"))
-    e, phases = rounds.put("edges", e.union(first)), []
-    while (n := e.count()) > local_edges:
-        into = rounds.put("into", e.groupBy("dst").agg(F.count("*").alias("n"), F.max("src").alias("src"), F.max("length").alias("length")))
-        points = into.where("n = 1").select(F.col("dst").alias("id"), F.col("src").alias("to"), "length")
-        if points.isEmpty():
+    if e.limit(local_edges + 1).count() <= local_edges:
+        first = ids.join(e.select(F.col("dst").alias("id")), "id", "left_anti").select(F.lit(None).cast(kind).alias("src"), F.col("id").alias("dst"), F.lit(1).cast("long").alias("length"))
+        every = e.withColumn("length", F.lit(1).cast("long")).union(first)
+        levels = cut(every.coalesce(1).mapInArrow(_levels_of, f"id {kind.simpleString()}, level long"))
+        if levels.where("level is null").limit(1).count():
             raise ValueError("the graph has a cycle")
-        points = rounds.put(f"phase{len(phases)}", _to_starts(points, rounds))
-        phases.append(points)
-        moved = e.join(into.where("n > 1").select("dst"), "dst", "left_semi").join(points.select(F.col("id").alias("src"), "to", F.col("length").alias("more")), "src", "left")
-        src = F.when(F.col("more").isNotNull(), F.col("to")).otherwise(F.col("src"))
-        e = rounds.put("edges", moved.select(src.alias("src"), "dst", (F.col("length") + F.coalesce("more", F.lit(0))).alias("length")).groupBy("src", "dst").agg(F.max("length").alias("length")))
-    levels = rounds.put("levels", e.coalesce(1).mapInArrow(_levels_of, f"id {kind.simpleString()}, level long") if n else ids.limit(0).withColumn("level", F.lit(0).cast("long")))
-    if levels.where("level is null").limit(1).count():
-        raise ValueError("the graph has a cycle")
-    for points in reversed(phases):
-        known = points.where("to is null").select("id", F.col("length").alias("level"))
-        beyond = points.join(levels.select(F.col("id").alias("to"), "level"), "to").select("id", F.col("level") + F.col("length"))
-        levels = rounds.put("levels", levels.union(known).union(beyond))
-    return rounds.last(levels.select("id", (F.col("level") - 1).cast("int").alias("level")))
+        return levels.select("id", (F.col("level") - 1).cast("int").alias("level"))
+    rounds = Rounds(edges.sparkSession)
+    found, _ = longest_paths(rounds.put("edges", e), ids, rounds)
+    return rounds.last(found.select("id", F.col("level").cast("int").alias("level")))
+
+
+def longest_paths(e: DataFrame, ids: DataFrame, rounds: Rounds) -> tuple[DataFrame, int]:
+    """(id, level) of the ids, by improving choices, and the number of times that all nodes chose. A cycle raises ValueError.
+
+    Each node that needs others chooses one of them. Along the choices, which form a forest, levels are lengths that doubling of pointers
+    gives, in as many joins as the depth has bits. A node that another choice would put higher takes that one, and the lengths are taken
+    anew, until no choice is better: levels then are one more than the greatest of what a node needs. A choice carries all of what
+    hangs on it along, so chains, trees, ladders and layers settle in two or three rounds, however deep; a round more is due only
+    where better choices follow on each other in one path. Choices on a cycle never reach a start, which the doubling notices."""
+    choice = rounds.put("choice", e.groupBy(F.col("dst").alias("id")).agg(F.max("src").alias("to")))
+    starts = rounds.put("starts", ids.join(choice.select("id"), "id", "left_anti"))
+    taken = 0
+    while True:
+        taken += 1
+        if choice.isEmpty():
+            return starts.withColumn("level", F.lit(0).cast("long")), taken
+        lengths = _to_starts(choice.withColumn("length", F.lit(1).cast("long")), rounds)
+        levels = rounds.put("levels", lengths.select("id", F.col("length").alias("level")).union(starts.withColumn("level", F.lit(0).cast("long"))))
+        best = e.join(levels.select(F.col("id").alias("src"), "level"), "src").groupBy(F.col("dst").alias("id")).agg(F.max(F.struct("level", "src")).alias("best"))
+        better = F.col("best.level") >= F.col("level")
+        choice = rounds.put("choice", choice.join(best, "id").join(levels, "id").select("id", F.when(better, F.col("best.src")).otherwise(F.col("to")).alias("to"), better.alias("moved")))
+        if not choice.where("moved").limit(1).count():
+            return levels, taken
+        choice = choice.drop("moved")
 
 
 def _to_starts(points: DataFrame, rounds: Rounds) -> DataFrame:

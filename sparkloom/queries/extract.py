@@ -29,6 +29,49 @@ def _(t: Tables) -> DataFrame:
     return X.symbols(_sources(t)).select("id", "kind", "start_byte", "end_byte", "start_line", "end_line", "semantic_hash")
 
 
+#: A file in each language for each document: @N is its number, @T the letters of its whole text, in a comment. With each file go the declarations that it has: name, kind, role and text.
+_LANGUAGES = {
+    "rs": ("/* @T */\npub struct S@N { a: u8 }\nimpl S@N {\n    pub async fn m@N(&self) -> u8 { let s = \"} fn no() {\"; 1 }\n}\ntrait T@N { fn sig(&self); fn full@N(&self) {} }\n", (
+        ("S@N", "struct", "definition", "pub struct S@N { a: u8 }"), ("m@N", "function", "definition", "pub async fn m@N(&self) -> u8 { let s = \"} fn no() {\"; 1 }"),
+        ("T@N", "interface", "definition", "trait T@N { fn sig(&self); fn full@N(&self) {} }"), ("full@N", "function", "definition", "fn full@N(&self) {}"))),
+    "py": ("# @T\nclass A@N:\n    async def m@N(self):\n        return 1\n", (("A@N", "class", "definition", "class A@N:\n    async def m@N(self):\n        return 1"), ("m@N", "function", "definition", "async def m@N(self):\n        return 1"))),
+    "js": ("/* @T */\nexport class A@N { m() {} }\nfunction f@N(a) { return `${g(`}`)}{ @T`; }\n", (("A@N", "class", "definition", "class A@N { m() {} }"), ("f@N", "function", "definition", "function f@N(a) { return `${g(`}`)}{ @T`; }"))),
+    "ts": ("/* @T */\nexport class A@N<T extends { id: number }> {\n  private x = { a: 1 };\n  async m@N(o: { a: number }): Promise<void> { if (o) { return; } }\n  sig@N(): void;\n}\nconst api = { start@N() {} };\ninterface I@N { a: string }\n", (
+        ("A@N", "class", "definition", "class A@N<T extends { id: number }> {\n  private x = { a: 1 };\n  async m@N(o: { a: number }): Promise<void> { if (o) { return; } }\n  sig@N(): void;\n}"),
+        ("m@N", "function", "definition", "async m@N(o: { a: number }): Promise<void> { if (o) { return; } }"), ("start@N", "function", "definition", "start@N() {}"), ("I@N", "interface", "definition", "interface I@N { a: string }"))),
+    "go": ("// @T\nfunc (r *R) m@N() int {\n\treturn 1\n}\ntype P@N struct {\n\ta int\n}\n", (("m@N", "function", "definition", "func (r *R) m@N() int {\n\treturn 1\n}"), ("P@N", "struct", "definition", "P@N struct {\n\ta int\n}"))),
+    "c": ("/* @T */\n#define OPEN {\nint f@N(int a);\nstatic char *g@N(void) { if (1) { f@N(2); } return \"}\"; }\n", (("f@N", "function", "stub", "int f@N(int a);"), ("g@N", "function", "definition", "static char *g@N(void) { if (1) { f@N(2); } return \"}\"; }"))),
+    "cpp": ("// @T\nnamespace n@N {\ntemplate <class T> T twice@N(T a) { return a + a; }\nclass B@N : public A<int> { int x; };\n}\n", (
+        ("n@N", "module", "definition", "namespace n@N {\ntemplate <class T> T twice@N(T a) { return a + a; }\nclass B@N : public A<int> { int x; };\n}"), ("twice@N", "function", "definition", "T twice@N(T a) { return a + a; }"), ("B@N", "class", "definition", "class B@N : public A<int> { int x; }"))),
+    "java": ("/* @T */\npublic class A@N {\n  A@N() { this(1); }\n  int bare@N(int a) { return a; }\n  Runnable r = new Runnable() { public void run@N() {} };\n  abstract void none@N();\n}\n", (
+        ("A@N", "class", "definition", "public class A@N {\n  A@N() { this(1); }\n  int bare@N(int a) { return a; }\n  Runnable r = new Runnable() { public void run@N() {} };\n  abstract void none@N();\n}"),
+        ("bare@N", "function", "definition", "int bare@N(int a) { return a; }"), ("run@N", "function", "definition", "public void run@N() {}"), ("none@N", "function", "definition", "abstract void none@N();"))),
+}
+
+
+def _filled(sql: str) -> str:
+    return f"replace(replace({sql}, '@N', CAST(doc_id AS VARCHAR)), '@T', letters)"
+
+
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_SCOPES = ", ".join(f"({_text(extension)}, {_text(content)}, {_text(name)}, {_text(kind)}, {_text(role)}, {_text(own)})" for extension, (content, found) in _LANGUAGES.items() for name, kind, role, own in found)
+
+
+@query("sc11_scopes", f"""WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^A-Za-z ]', '', 'g') AS letters FROM documents),
+rows AS (SELECT 'd' || doc_id || '.' || extension AS path, {_filled('name')} AS name, kind, role, {_filled('content')} AS content, {_filled('own')} AS own FROM d, (VALUES {_SCOPES}) AS f(extension, content, name, kind, role, own))
+SELECT path || '::' || name AS id, kind, role, CAST(strpos(content, own) - 1 AS BIGINT) AS start_byte, CAST(strpos(content, own) - 1 + length(own) AS BIGINT) AS end_byte, sha256(own) AS semantic_hash FROM rows""")
+def _(t: Tables) -> DataFrame:
+    files = F.explode(F.array(*(F.struct(F.lit(x).alias("extension"), F.lit(content).alias("content")) for x, (content, _) in _LANGUAGES.items()))).alias("file")
+    letters = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]", "")
+    number = F.col("doc_id").cast("string")
+    content = F.replace(F.replace(F.col("file.content"), F.lit("@N"), number), F.lit("@T"), letters)
+    sources = t.documents.select("doc_id", "text", files).select(F.concat(F.lit("d"), number, F.lit("."), "file.extension").alias("filepath"), content.alias("content"))
+    return X.symbols(sources, None).select("id", "kind", "role", "start_byte", "end_byte", "semantic_hash")
+
+
 @query("sc12_audit_names", f"WITH {_K} SELECT filepath, 'def' AS what, 'c' || k AS name FROM ks UNION ALL SELECT filepath, 'def', 'd' || k FROM ks UNION SELECT filepath, 'call', 'c' || k FROM ks UNION SELECT filepath, 'call', 'c' || (k * 7 % 100) FROM ks UNION SELECT filepath, 'call', 'd' || k FROM ks")
 def _(t: Tables) -> DataFrame:
     return X.audit_names(_sources(t))

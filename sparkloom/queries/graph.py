@@ -196,6 +196,57 @@ def _(t: Tables) -> DataFrame:
     return G.paths(A.transitions(t), _start(t, "click")).select(F.array_join("path", ";").alias("path"), F.size("path").alias("n"))
 
 
+@query("g7_rings_in_rounds", f"WITH {_RINGS} SELECT id, component FROM members WHERE many")
+def _(t: Tables) -> DataFrame:
+    """The rounds over the whole graph, which smaller graphs leave to one task."""
+    return G.strongly_connected(_rings(t), local_edges=100)
+
+
+@query("g8_rings_in_rounds", f"WITH {_RINGS} SELECT component, array_to_string(list_sort(list(id)), ',') AS members FROM members WHERE many GROUP BY component ORDER BY component LIMIT 10")
+def _(t: Tables) -> DataFrame:
+    return G.cycle_report(_rings(t), local_edges=100).select("component", F.array_join("members", ",").alias("members"))
+
+
+#: All orders in layers of four, each of which leads to all of the next layer.
+def _layers(t: Tables, width: int = 4) -> DataFrame:
+    n = t.orders.count()
+    onward = F.explode(F.sequence((F.floor(F.col("id") / width) + 1) * width, (F.floor(F.col("id") / width) + 2) * width - 1)).alias("to")
+    name = lambda c: F.concat(F.lit("v"), F.lpad(F.col(c).cast("string"), 9, "0"))
+    return t.spark.range(n).select("id", onward).where(F.col("to") < n).select(name("id").alias("src"), name("to").alias("dst"))
+
+
+_FIRST_LAYER = ("v000000000", "v000000001", "v000000002", "v000000003")
+
+
+@query("g20_first_paths", """WITH at AS (SELECT unnest(range(20000)) AS i), steps AS (SELECT unnest(range(17)) AS layer)
+SELECT string_agg('v' || lpad(CAST(layer * 4 + (i // CAST(power(4, 16 - layer) AS BIGINT)) % 4 AS VARCHAR), 9, '0'), ';' ORDER BY layer) AS path FROM at, steps GROUP BY i""")
+def _(t: Tables) -> DataFrame:
+    """The first 20,000 of over ten thousand million paths of 16 steps."""
+    return G.paths(_layers(t), _start(t, *_FIRST_LAYER), 16, 20_000).select(F.array_join("path", ";").alias("path"))
+
+
+@query("g20_path_counts", "SELECT 'v00000000' || k AS id, CAST(power(4, 16) AS BIGINT) AS paths FROM (SELECT unnest(range(4)) AS k)")
+def _(t: Tables) -> DataFrame:
+    return G.count_paths(_layers(t), _start(t, *_FIRST_LAYER), 16).select("id", F.col("paths").cast("long").alias("paths"))
+
+
+_ALL_REACH = f"""WITH RECURSIVE {A.FK_EDGES}, steps AS (SELECT DISTINCT src, dst FROM fk_edges), ids AS (SELECT src AS id FROM steps UNION SELECT dst FROM steps),
+walk AS (SELECT id AS root, id, 0 AS level FROM ids UNION SELECT w.root, s.dst, w.level + 1 FROM walk w JOIN steps s ON s.src = w.id WHERE w.level < 3),
+pairs AS (SELECT DISTINCT root, id FROM walk WHERE root <> id), down AS (SELECT root AS id, count(*) AS n FROM pairs GROUP BY root), up AS (SELECT id, count(*) AS n FROM pairs GROUP BY id),
+callees AS (SELECT src AS id, count(*) AS n FROM steps GROUP BY src), callers AS (SELECT dst AS id, count(*) AS n FROM steps GROUP BY dst),
+counts AS (SELECT ids.id, coalesce(a.n, 0) AS callee_count, coalesce(b.n, 0) AS caller_count, coalesce(down.n, 0) AS down_reach, coalesce(up.n, 0) AS up_reach FROM ids LEFT JOIN callees a USING (id) LEFT JOIN callers b USING (id) LEFT JOIN down USING (id) LEFT JOIN up USING (id))"""
+
+
+@query("ag3_reach_all", f"{_ALL_REACH} SELECT * FROM counts")
+def _(t: Tables) -> DataFrame:
+    return G.reach_all(A.fk_edges(t), 3)
+
+
+@query("g15_crawl_all", f"{_ALL_REACH} SELECT *, CAST(caller_count + callee_count + up_reach + down_reach + CASE WHEN id LIKE 'c1%' THEN 25 ELSE 0 END AS BIGINT) AS score FROM counts ORDER BY score DESC, id LIMIT 50")
+def _(t: Tables) -> DataFrame:
+    return G.crawl_rank(G.reach_all(A.fk_edges(t), 3), "audit", 50, ("^c1",))
+
+
 @query("g21_focus_prune", f"WITH RECURSIVE {A.FK_EDGES}, {A.FK_NODES}, up AS (SELECT 'n3' AS id, 0 AS level UNION SELECT e.src, w.level + 1 FROM up w JOIN fk_edges e ON e.dst = w.id WHERE w.level < 2), down AS (SELECT 'n3' AS id, 0 AS level UNION SELECT e.dst, w.level + 1 FROM down w JOIN fk_edges e ON e.src = w.id WHERE w.level < 2) SELECT id, name FROM fk_nodes WHERE id IN (SELECT id FROM up) OR id IN (SELECT id FROM down)")
 def _(t: Tables) -> DataFrame:
     return G.prune_to_focus(A.fk_nodes(t), A.fk_edges(t), _start(t, "n3"), 2).select("id", "name")
@@ -226,3 +277,14 @@ deep AS (SELECT id, 0 AS level FROM all_ids UNION SELECT e.dst, d.level + 1 FROM
 SELECT id, max(level) AS level FROM deep GROUP BY id""")
 def _(t: Tables) -> DataFrame:
     return G.topological_levels(A.fk_edges(t))
+
+
+@query("g23_ladder", "SELECT 'v' || lpad(CAST(total - k AS VARCHAR), 9, '0') AS id, CAST(k // 2 AS INTEGER) AS level FROM (SELECT row_number() OVER () - 1 AS k, count(*) OVER () AS total FROM orders)")
+def _(t: Tables) -> DataFrame:
+    """All orders in layers of two that lead to all of the next layer, and to the fifth after it; in rounds over the whole graph, whatever its size."""
+    n = t.orders.count()
+    layer = F.floor(F.col("id") / 2) * 2
+    onward = F.explode(F.array(*(layer + k for k in (2, 3, 10, 11)))).alias("to")
+    name = lambda c: F.concat(F.lit("v"), F.lpad((n - F.col(c)).cast("string"), 9, "0"))
+    steps = t.spark.range(n).select("id", onward).where(F.col("to") < n)
+    return G.topological_levels(steps.select(name("id").alias("src"), name("to").alias("dst")), local_edges=100)

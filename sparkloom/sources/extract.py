@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.paths import extension
 from ..operators.ranges import next_offsets
+from . import scopes
 from .bodies import in_spans
 
 #: Comments and texts of languages like C: what declarations aren't looked for in.
@@ -237,7 +238,10 @@ def extract_symbols(filepath: str, content: str, languages: Sequence[Language] =
     if language.name == "python" and (parsed := _python(content)) is not None:
         found = [(name, kind, "definition", start, end) for name, kind, start, end in parsed]
     else:
-        found = [(n, k, "definition", s, e) for n, k, s, e in _by_indent(content, language)] if language.name == "python" else _declared(content, language)
+        if language.name == "python":
+            found = [(n, k, "definition", s, e) for n, k, s, e in _by_indent(content, language)]
+        else:
+            found = scopes.declarations(content, language.name) if language in BUILT_IN and language.name in scopes.SCANS else _declared(content, language)
         at = _in_bytes(content, (x for row in found for x in row[3:]))
         found = [(*row[:3], at[row[3]], at[row[4]]) for row in found]
     lines = [m.start() for m in re.finditer(b"\n", data)]
@@ -268,7 +272,9 @@ def count_syntax_errors(filepath: str, content: str | None, languages: Sequence[
     language = _language(filepath, languages)
     if language is None or not content:
         return 0
-    return int(_python(content) is None) if language.name == "python" else Brackets(_masked(content, language)).wrong
+    if language.name == "python":
+        return int(_python(content) is None)
+    return scopes.wrong_brackets(content, language.name) if language in BUILT_IN and language.name in scopes.SCANS else Brackets(_masked(content, language)).wrong
 
 
 def syntax_errors(sources: DataFrame, packages: Sequence[Language] = ()) -> DataFrame:

@@ -75,6 +75,76 @@ def test_extraction_by_brackets():
     assert [X.count_syntax_errors("a.rs", x) for x in ("fn a() {}", "fn a() {", "fn a(]) {}", '// }\n"{"')] == [0, 1, 1, 0] and X.count_syntax_errors("a.py", "def f(:") == 1 and X.count_syntax_errors("a.md", "(") == 0
 
 
+def test_declarations_by_scope():
+    """Counted by hand: what stands in classes, objects, templates, constants and namespaces."""
+    ts = spans("a.ts", """import { x } from 'y';
+@Injectable({ a: 1 })
+export class Store<T extends { id: string }> extends Base<T> {
+  private readonly map = new Map<string, T>();
+  state: { a: number } = { a: 1 }
+  constructor(private db: Db) { super(); }
+  @Input() static async load<K>(id: string, o: { deep: boolean }): Promise<{ ok: boolean }> {
+    if (id) { return fetchIt(`${id ? `}` : { a: 1 }.a}{`); }
+    function inner() { return /[/}]{/.test(id); }
+  }
+  get size(): number { return this.map.size; }
+  get(id: string) { return this.map.get(id) }
+  *walk() { yield 1; }
+  declared(a: string): void;
+  handler = (e) => { e.stop(); };
+  abstract none(): void
+  last() {}
+}
+const api = { start() { go(); }, async stop(now = true) {}, plain: function named() {}, 'quoted'() {} };
+type Id = { a: string } | { b: number };
+namespace Inner { export function deep() {} }
+const f = function notDeclared() {};
+let Klass = class { inClass() {} };
+switch (x) { case 1: function cased() {} }
+""")
+    assert {k: v[0] for k, v in ts.items()} == {"Store": "class", "constructor": "function", "load": "function", "inner": "function", "size": "function", "get": "function", "walk": "function", "last": "function", "start": "function", "stop": "function", "Id": "interface", "deep": "function", "inClass": "function", "cased": "function"}
+    assert ts["load"][2].startswith("static async load<K>") and ts["load"][2].endswith("test(id); }\n  }") and ts["size"][2] == "get size(): number { return this.map.size; }" and ts["stop"][2] == "async stop(now = true) {}"
+    assert ts["Store"][2].startswith("class Store") and ts["Store"][2].endswith("last() {}\n}") and ts["Id"][2] == "type Id = { a: string } | { b: number };"
+    js = spans("a.js", "class A { m() {} }\nfunction f() {\n  return `${g({a: `}`})}`;\n}\nvar r = a / b; function h() { x = 1 / 2 }\n")
+    assert {k: v[0] for k, v in js.items()} == {"A": "class", "f": "function", "h": "function"}  # of scripts' classes the members are no symbols
+    java = spans("A.java", """package p;
+@Deprecated
+public class A<T> extends B<T> implements C {
+  static { init(); }
+  private Map<String, List<T>> map = new HashMap<>();
+  A() { this(1); }
+  int bare(int a) { return a; }
+  @Override public <R> R generic(Map<R, ? super T> m) throws IOException, X { Runnable r = new Runnable() { public void run() { if (a) {} } }; return null; }
+  abstract void none();
+  String text = "void no() {";
+  Object o = call(1);
+  int[] rows()[] { return null; }
+  enum Kind { ONE(1) { int own() { return 1; } }, TWO; private final int n = 1; Kind next() { return TWO; } }
+  interface Part { void go(); default int size() { return 0; } }
+  class Nested { java.util.List<String> far() { while (x()) { y(); } return null; } }
+}
+""")
+    assert {k: v[0] for k, v in java.items()} == {"A": "class", "bare": "function", "generic": "function", "run": "function", "none": "function", "rows": "function", "Kind": "class", "own": "function", "next": "function", "Part": "interface", "go": "function", "size": "function", "Nested": "class", "far": "function"}
+    assert java["bare"][2] == "int bare(int a) { return a; }" and java["generic"][2].startswith("@Override public <R> R generic") and java["go"][2] == "void go();" and java["A"][2].startswith("public class A<T>")
+    cpp = spans("a.cpp", """#define X(a) { a
+namespace one { namespace two {
+template <class T, typename U> T twice(T a) { return a + a; }
+static inline int add(int a, int b) noexcept { return a + b; }
+class Box : public Base<int> { int x; void inside() { add(1, 2); } };
+}}
+void Box::outside() {}
+extern "C" { int from_c(void); }
+enum class Color { RED };
+int value = compute(3);
+struct P { int x; };
+const char *text() { return R"x(} int no() { )x"; }
+int main() { if (add(1, 2)) { struct Local { int y; } l; } }
+""")
+    assert {k: v[:2] for k, v in cpp.items()} == {"one": ("module", "definition"), "two": ("module", "definition"), "twice": ("function", "definition"), "add": ("function", "definition"), "Box": ("class", "definition"), "from_c": ("function", "stub"), "P": ("struct", "definition"), "text": ("function", "definition"), "main": ("function", "definition"), "Local": ("struct", "definition")}
+    assert [X.count_syntax_errors("a.ts", x) for x in ("`${a ? `}` : 1}`", "`${a", "f(/[(]/)", "`}{`")] == [0, 1, 0, 0]
+
+
+
 def test_language_packages(spark):
     rows = spark.createDataFrame([("kotlin", ["kt"], "function", r"fun\s+(?P<name>\w+)", "skip"), ("kotlin", ["kts"], "class", r"class\s+(?P<name>\w+)", "definition")], "name string, extensions array<string>, kind string, pattern string, bodiless string")
     files = spark.createDataFrame([("a.kt", "class A {\n  fun f() { }\n}\n"), ("b.rs", "fn g() {}"), ("c.xx", "fun h() {}")], "filepath string, content string")
