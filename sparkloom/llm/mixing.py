@@ -2,18 +2,21 @@
 
 A classifier fitted on a bounded sample of a labelled table gives each document its posteriors over domains. Each document
 then gets a rate of zero or more, such that the domains' expected tokens - the sum over documents of rate, tokens and
-posterior - match the target weights. The rates minimise the weighted squared distance of the domains' totals from their
-targets, by projected gradient steps from rate 1 on all documents: only the totals, one number for each domain, come to the
-driver in a step; what goes back is one number for each domain too. The metric of totals is the inverse of their Gram matrix,
-under which a step of length one never overshoots. A document's rate is a function of its posteriors and of the steps, so no
-step writes or shuffles a row. Steps end when the totals meet their targets or no longer move, or hardly get closer (targets that
-no rates of zero or more reach are missed); a warning then says by how much they miss.
+posterior - match the target weights. The rates minimise the squared distance of the domains' totals from their targets, in one
+fixed metric, the inverse Gram matrix of the documents' posteriors, and, as little as NEAR of that, the squared distance of the
+rates from 1, tokens being weights: so the rates are unique, and they are 1, less a linear form of the posteriors, cut at the bounds.
+Its few coefficients are found by projected gradient steps on the dual problem, which has as many unknowns as there are domains,
+scaled by the Gram matrix of the documents that no bound holds (Newton's metric). A round of the distributed sums tries several
+step lengths at once, and the one of the greatest dual value is taken; only some numbers for each domain come to the driver and go
+back. No step writes or shuffles a row. Projected gradient steps on the rates themselves reach the same optimum, but took up to
+200 rounds and more where targets can't be reached. Where the best totals miss their targets, because no rates of zero or more
+reach them, a warning says by how much.
 
 Domains, from labels (quality, toxic): ``toxic`` if toxic is 1, else ``low`` if quality is 0, else ``clean``. The total is set
 by the ``anchor`` domain, whose tokens are to stay as many as they are. Where rates are bounded (the pipeline's stage keeps a
-document with its rate as probability and repeats none, so rates may not exceed 1) the targets keep their proportions but
-follow the anchor's tokens that are left, and hold for domains that have too many tokens: nothing is dropped to make up for a
-domain that has too few.
+document with its rate as probability and repeats none, so rates may not exceed 1) no domain shall have more tokens than the
+weights' proportion to the anchor's that are left, and of the anchor's KEPT_ANCHOR shall be left: what is over, and what the
+anchor lacks, is what is squared. Nothing is dropped to make up for a domain that has too few.
 
 Defined results: tokens are words between white space. A null or empty text has no tokens, the prior's posteriors and a rate
 like any other. Labels without a domain or document are ignored, repeated ones count repeatedly. Domains without labels have
@@ -47,8 +50,12 @@ STEMS, STEM_LETTERS, SHAPES = 8192, 4, 8
 FULL_SHARE = 1 / 50
 KEPT_WORDS = 150_000
 FIT_ROUNDS, RIDGE = 200, 1e-4
-#: Steps at most, the share of all tokens that totals may miss, and the steps in a row that may bring them less than 1 % closer.
-STEPS, TOLERANCE, PATIENCE = 60, 1e-7, 3
+#: Weight of the rates' distance from 1; rounds at most; the share of all tokens below which the dual's gradient counts as zero, and within which totals meet their targets.
+NEAR, STEPS, STILL, MET = 1e-5, 100, 1e-9, 1e-4
+#: Step lengths that are tried at once.
+LENGTHS = (1.0, 0.5, 0.2, 0.05, 1e-2, 1e-3, 1e-5)
+#: Share of the anchor's tokens that bounded rates shall leave, and how much more its lack weighs than what others are over.
+KEPT_ANCHOR, ANCHOR_WEIGHT = 0.9, 16.0
 #: How many times over a domain may have to be repeated, on average, to meet its target.
 MOST_REPEATS = 10
 
@@ -177,81 +184,119 @@ def targets(totals: np.ndarray, weights: dict[str, float], anchor: str, lower_on
 
 @dataclass
 class Rates:
-    """What the steps came to: each step's coefficients by domain, the totals and targets after the last, and whether they meet or no longer move."""
+    """The coefficients by domain, the domains' totals and targets, the weighted squared distance, the rounds taken, and whether the optimum is reached and totals meet their targets."""
 
-    steps: list[list[float]]
+    push: np.ndarray
     totals: np.ndarray
     targets: np.ndarray
+    objective: float
+    rounds: int
+    optimal: bool
     settled: bool
     at_most: float | None = None
 
     def of(self, p: list[Column]) -> Column:
-        """The rate of a document with these posteriors: 1, then each step's coefficients off it, cut at its bounds."""
-        if not self.steps:
-            return F.lit(1.0)
-        least = lambda c: c if self.at_most is None else F.least(F.lit(self.at_most), c)
-        off = lambda step: sum((p[k] * step[k] for k in range(1, len(p))), p[0] * step[0])
-        return F.aggregate(F.array(*(F.array(*map(F.lit, x)) for x in self.steps)), F.lit(1.0), lambda rate, step: F.greatest(F.lit(0.0), least(rate - off(step))))
+        """The rate of a document with these posteriors."""
+        return _rate(_form(self.push, p), self.at_most)
+
+
+def _form(push: np.ndarray, p: list[Column]) -> Column:
+    return sum((p[k] * float(push[k]) for k in range(1, len(p))), p[0] * float(push[0]))
+
+
+def _rate(form: Column, at_most: float | None) -> Column:
+    rate = F.greatest(F.lit(0.0), 1 - form)
+    return rate if at_most is None else F.least(F.lit(at_most), rate)
 
 
 def solve(members: DataFrame, weights: dict[str, float] | None = None, anchor: str = ANCHOR, steps: int = STEPS, at_most: float | None = None) -> Rates:
-    """Projected gradient; members has tokens and the posteriors, and is read once a step, so keep it first.
-
-    A step is tried in the metric of the documents whose rate is above zero, which nearly always gets there at once; where it
-    doesn't bring the totals closer, it is done over in the metric of all documents, which can't overshoot."""
-    width = range(len(DOMAINS))
-    p = [F.col(f"p{k}") for k in width]
-
-    def state(rate: Column) -> tuple[np.ndarray, np.ndarray]:
-        """The domains' totals, and the Gram matrix of the documents with a rate above zero."""
-        tokens = F.col("tokens").cast("double")
-        rated = members.select(tokens.alias("tokens"), *p, rate.alias("rate"))
-        live = F.when(F.col("rate") > 0, F.col("tokens")).otherwise(0.0)
-        row = rated.agg(*(F.sum(F.col("tokens") * p[k] * F.col("rate")).alias(f"s{k}") for k in width), *(F.sum(live * p[i] * p[j]).alias(f"g{i}{j}") for i in width for j in width)).first()
-        return np.array([row[f"s{k}"] or 0.0 for k in width]), np.array([[row[f"g{i}{j}"] or 0.0 for j in width] for i in width])
-
-    def inverse(gram: np.ndarray) -> np.ndarray:
-        return np.linalg.pinv(gram + 1e-9 * np.trace(gram) * np.eye(len(gram)), hermitian=True)
-
-    own = weights or WEIGHTS
-    totals, gram = state(F.lit(1.0))
-    fixed = targets(totals, own, anchor)
-    free = fixed == totals  # domains without a say; the anchor holds its total
-    free[DOMAINS.index(anchor)] = False
-    found = Rates([], totals, fixed if at_most is None else targets(totals, own, anchor, True), True, at_most)
-    if not totals.sum():
+    """The least-squares rates; members has tokens and the posteriors, and is read once a round, so keep it first.
+
+    What is measured are linear forms of the posteriors, one a row of ``forms``: without a bound on rates the domains that have a say, whose totals
+    are to equal the targets; with one, each domain less the weights' proportion of the anchor and what the anchor lacks, whose totals are to be 0 or less."""
+    width, own, k0 = range(len(DOMAINS)), weights or WEIGHTS, DOMAINS.index(anchor)
+    p, tokens = [F.col(f"p{k}") for k in width], F.col("tokens").cast("double")
+    row = members.agg(*(F.sum(tokens * p[k]).alias(f"s{k}") for k in width), *(F.sum(tokens * p[i] * p[j]).alias(f"g{i}{j}") for i in width for j in width)).first()
+    totals = np.array([row[f"s{k}"] or 0.0 for k in width])
+    gram = np.array([[row[f"g{i}{j}"] or 0.0 for j in width] for i in width])
+    scale, fixed = totals.sum(), targets(totals, own, anchor, at_most is not None)
+    found = Rates(np.zeros(len(DOMAINS)), totals, fixed, 0.0, 0, True, True, at_most)
+    upper_only = at_most is not None
+    if upper_only:
+        held = list(width) if own[anchor] and totals[k0] else []
+    else:
+        held = [k for k in width if k == k0 or fixed[k] != totals[k]]
+    if not scale or not held:
         return found
-    live, slow, scale = gram, 0, fixed.sum()
-    found.settled = bool(np.abs(found.totals - found.targets).max() <= TOLERANCE * scale)
-
-    def missed(x: Rates) -> np.ndarray:
-        return x.totals - x.targets
-
-    def off(x: Rates) -> float:
-        return float(np.linalg.norm(missed(x) / np.sqrt(np.maximum(np.diag(gram), 1e-300)) * (np.diag(gram) > 0)))
-
-    def tried(metric: np.ndarray) -> tuple[Rates, np.ndarray]:
-        held = np.flatnonzero(~free if at_most is None else (missed(found) > 0) | (np.arange(len(free)) == DOMAINS.index(anchor)))
-        step = np.zeros(len(free))
-        step[held] = inverse(metric[np.ix_(held, held)]) @ missed(found)[held]
-        after = Rates([*found.steps, step.tolist()], found.totals, found.targets, False, at_most)
-        after.totals, gram_after = state(after.of(p))
-        after.targets = np.where(free, after.totals, fixed) if at_most is None else targets(after.totals, own, anchor, True)
-        return after, gram_after
-
-    for _ in range(0 if found.settled else steps):
-        after, gram_after = tried(live)
-        if off(after) >= off(found):
-            after, gram_after = tried(gram)
-        still = np.abs(after.totals - found.totals).max()
-        slow = slow + 1 if off(after) > 0.99 * off(found) else 0
-        if off(after) < off(found):
-            found, live = after, gram_after
-        if min(still, np.abs(missed(found)).max()) <= TOLERANCE * scale or slow >= PATIENCE:
+    forms, wanted = np.eye(len(DOMAINS))[held], fixed[held]
+    if upper_only:
+        forms[:, k0], wanted = [-own[d] / own[anchor] for d in DOMAINS], np.zeros(len(held))
+        wanted[k0] = -KEPT_ANCHOR * totals[k0]
+    inner = forms @ gram @ forms.T
+    if upper_only:  # what is over is told form by form
+        spread = np.diag(np.maximum(np.diag(inner), 1e-12 * scale) / np.where(np.arange(len(inner)) == k0, ANCHOR_WEIGHT, 1.0))
+    else:
+        spread = inner + 1e-12 * np.trace(inner) * np.eye(len(inner))
+    metric = np.linalg.inv(spread)
+
+    narrow, count = members.select(tokens.alias("tokens"), *p), len(DOMAINS)
+
+    def values(duals: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """For each the dual value, the domains' totals, and the Gram matrix of the documents that no bound holds: sums over all documents, made in each task and then over tasks."""
+        pushes = np.array([forms.T @ y for y in duals])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros((len(pushes), 1 + count + count * count))
+            for batch in batches:
+                t, *q = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+                q = np.stack(q, axis=1)
+                for n, push in enumerate(pushes):
+                    form = q @ push
+                    left = 1 - form / NEAR
+                    rate = np.clip(left, 0, at_most)
+                    live = np.where((left > 0) & (True if at_most is None else left <= at_most), t, 0.0)
+                    out[n, 0] += (t * (NEAR / 2 * (rate - 1) ** 2 + rate * form)).sum()
+                    out[n, 1 : 1 + count] += (t * rate) @ q
+                    out[n, 1 + count :] += ((q * live[:, None]).T @ q).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size)), pa.array(out.ravel())], names=["k", "x"])
+
+        got = np.zeros(len(pushes) * (1 + count + count * count))
+        for r in narrow.mapInArrow(run, "k long, x double").groupBy("k").agg(F.sum("x").alias("x")).collect():  # as many rows as there are sums
+            got[r["k"]] = r["x"]
+        rows = got.reshape(len(pushes), -1)
+        return [(float(x[0] - y @ spread @ y / 2 - wanted @ y), x[1 : 1 + count], x[1 + count :].reshape(count, count)) for x, y in zip(rows, duals)]
+
+    dual, at, live = np.zeros(len(held)), totals, gram
+    value = -np.inf
+    found.optimal = False
+    while True:
+        slope = forms @ at - wanted - spread @ dual
+        free = (dual > 0) | (slope > 0) if upper_only else np.ones(len(held), bool)
+        if np.abs(np.where(free, slope, 0)).max() <= STILL * scale:
+            found.optimal = True
+            break
+        if found.rounds >= steps:
+            break
+        bend = (forms @ live @ forms.T / NEAR + spread)[np.ix_(free, free)]
+        way = np.zeros(len(held))
+        way[free] = np.linalg.solve(bend + 1e-14 * np.trace(bend) * np.eye(len(bend)), slope[free])
+        tried = [dual + x * way for x in LENGTHS]
+        tried = [np.maximum(y, 0) for y in tried] if upper_only else tried
+        results = values(tried)
+        found.rounds += 1
+        best = max(range(len(tried)), key=lambda n: results[n][0])
+        if results[best][0] <= value:  # nothing within a double's reach is better
+            found.optimal = True
             break
-    found.settled = bool(np.abs(missed(found)).max() <= 10 * TOLERANCE * scale)
+        dual, (value, at, live) = tried[best], results[best]
+    missed = forms @ at - wanted
+    missed = np.maximum(missed, 0) if upper_only else missed
+    found.push, found.totals, found.objective = forms.T @ dual / NEAR, at, float(missed @ metric @ missed / 2)
+    found.targets = targets(at, own, anchor, True) if upper_only else np.where([k in held for k in width], fixed, at)
+    found.settled = bool(np.abs(missed).max() <= MET * scale)
     if not found.settled:
-        warnings.warn(f"rates leave the totals at {found.totals.tolist()} for targets {found.targets.tolist()}", stacklevel=2)
+        reason = "no rates reach them" if found.optimal else f"{steps} rounds didn't reach the optimum"
+        warnings.warn(f"rates leave the totals at {found.totals.tolist()} for targets {found.targets.tolist()}: {reason}", stacklevel=2)
     return found
 
 

@@ -381,11 +381,15 @@ def places(starts: np.ndarray, size: int) -> Iterator[np.ndarray]:
         yield np.concatenate(held)
 
 
-@lru_cache(maxsize=2 * BLOCK_ROWS)
-def _triangle(n: int) -> np.ndarray:
+@lru_cache(maxsize=32)
+def _small_triangle(n: int) -> np.ndarray:
     return np.stack(np.triu_indices(n, 1), axis=1)
 
 
+def _triangle(n: int) -> np.ndarray:
+    return _small_triangle(n) if n < 32 else np.stack(np.triu_indices(n, 1), axis=1)
+
+
 def likely_pairs(sketches: np.ndarray, sizes: np.ndarray, percent: int, estimate: Callable, starts: np.ndarray | None = None) -> np.ndarray:
     """Places x < y of the sketches of a group whose registers make a similarity of so many hundredths likely; sizes are the sets'."""
     out = [np.zeros((0, 2), np.int64)]

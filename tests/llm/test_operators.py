@@ -5,6 +5,7 @@ import collections
 import hashlib
 import os
 import random
+import warnings
 import zlib
 
 import numpy as np
@@ -708,11 +709,55 @@ def test_rates_match_targets(spark):
     rates, t, q = np.array([x["rate"] for x in found]), np.array([x["tokens"] for x in found]), np.array([[x["p0"], x["p1"], x["p2"]] for x in found])
     totals, before = (rates * t) @ q, t @ q
     assert (rates >= 0).all() and totals / totals.sum() == pytest.approx([0.7, 0.2, 0.1], abs=1e-4) and totals[0] == pytest.approx(before[0], rel=1e-4)
-    # brute force: the same projected gradient in one process
-    own, metric = np.ones(400), np.linalg.pinv((q * t[:, None]).T @ q)
-    for _ in range(3000):
-        own = np.maximum(0, own - q @ metric @ ((own * t) @ q - totals))
-    assert (own * t) @ q == pytest.approx(totals, rel=1e-3)
+
+
+def least_objective(p, tokens, forms, wanted, metric, at_most=np.inf, upper_only=False, sweeps=4000):
+    """The least weighted squared distance of the forms' totals from what is wanted over rates between the bounds, by descent along one rate at a time."""
+    columns = forms @ (p * tokens[:, None]).T
+    rates = np.ones(len(p))
+    curvature = np.einsum("ik,ij,jk->k", columns, metric, columns)
+    off = columns @ rates - wanted
+    for _ in range(sweeps):
+        for k in np.flatnonzero(curvature > 0):
+            push = metric @ (np.maximum(off, 0) if upper_only else off)
+            new = min(at_most, max(0.0, rates[k] - columns[:, k] @ push / curvature[k]))
+            off += columns[:, k] * (new - rates[k])
+            rates[k] = new
+    left = np.maximum(off, 0) if upper_only else off
+    return left @ metric @ left / 2
+
+
+@pytest.mark.parametrize("alpha, weights, reachable", [((3, 2, 1), None, False), ((1, 4, 0.5), None, False), ((0.3, 0.3, 0.3), {"clean": 0.7, "low": 0.2, "toxic": 0.1}, True), ((8, 1, 6), {"clean": 0.1, "low": 0.8, "toxic": 0.1}, True), ((0.2, 0.2, 0.2), None, True)])
+def test_rates_reach_the_least_squares(spark, alpha, weights, reachable):
+    """Against another algorithm, with targets that rates can and can't reach."""
+    r = np.random.default_rng(7)
+    p, tokens = r.dirichlet(alpha, 60), r.integers(1, 200, 60).astype(float)
+    members = spark.createDataFrame([(int(t), *map(float, x)) for t, x in zip(tokens, p)], "tokens long, p0 double, p1 double, p2 double").coalesce(1).cache()
+    if reachable:
+        found = mixing.solve(members, weights)
+    else:
+        with pytest.warns(UserWarning, match="no rates reach them"):
+            found = mixing.solve(members, weights)
+    assert found.optimal and found.settled is reachable and found.rounds < 40
+    own, totals = weights or mixing.WEIGHTS, tokens @ p
+    wanted = np.array([own[d] / own["clean"] * totals[0] for d in mixing.DOMAINS])
+    held = [k for k in range(3) if k == 0 or totals[k] * mixing.MOST_REPEATS >= wanted[k]]
+    gram = (p * tokens[:, None]).T @ p
+    least = least_objective(p, tokens, np.eye(3)[held], wanted[held], np.linalg.inv(gram[np.ix_(held, held)]))
+    rates = np.array([x["rate"] for x in local(members.withColumn("rate", found.of([F.col(f"p{k}") for k in range(3)])))])
+    assert (rates >= 0).all() and (rates * tokens) @ p == pytest.approx(found.totals)
+    assert found.objective <= 1.001 * least + 1e-6 * totals.sum()
+    # bounded rates: what is over the proportions, and what the anchor lacks, against the same other algorithm
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        bounded = mixing.solve(members, weights, at_most=1.0)
+    kept = np.array([x["rate"] for x in local(members.withColumn("rate", bounded.of([F.col(f"p{k}") for k in range(3)])))])
+    forms = np.array([[-1, 0, 0], [-own["low"] / own["clean"], 1, 0], [-own["toxic"] / own["clean"], 0, 1]])
+    inner = forms @ gram @ forms.T
+    metric = np.diag([mixing.ANCHOR_WEIGHT, 1, 1] / np.diag(inner))
+    least = least_objective(p, tokens, forms, np.array([-mixing.KEPT_ANCHOR * totals[0], 0, 0]), metric, 1.0, True)
+    assert bounded.optimal and kept.min() >= 0 and kept.max() <= 1 and (kept * tokens) @ p == pytest.approx(bounded.totals)
+    assert bounded.objective <= 1.001 * least + 1e-6 * totals.sum()
 
 
 def test_mixing(spark, odd, none):

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparkloom.llm import langid, linededup, mixing, packing, simhash
+from sparkloom.llm import langid, linededup, mixing, near, packing, simhash
 
 from .test_operators import brute_fingerprint, brute_lines, none, odd  # noqa: F401
 
@@ -52,9 +52,8 @@ def test_each_stage_against_brute_force(spark):
     found = [mixing.features(r["text"]) for r in own]
     p, tokens = model.posteriors(np.stack([x for _, x in found])).astype(float), np.array([n for n, _ in found])
     members = spark.createDataFrame([(int(n), *map(float, x)) for n, x in zip(tokens, p)], "tokens long, p0 double, p1 double, p2 double")
-    fitted, rates = mixing.solve(members, at_most=1.0), np.ones(len(p))
-    for step in fitted.steps:
-        rates = np.clip(rates - p @ np.array(step), 0, 1)
+    fitted = mixing.solve(members, at_most=1.0)
+    rates = np.clip(1 - p @ fitted.push, 0, 1)
     assert fitted.settled and (rates * tokens) @ p == pytest.approx(fitted.totals, rel=1e-6) and fitted.totals == pytest.approx(fitted.targets, rel=1e-3)
     sure = [(r["doc_id"], r["at"] < rate) for r, rate in zip(own, rates) if abs(r["at"] - rate) > 1e-6]
     kept = {r["doc_id"] for r in mixed.collect()}
@@ -152,8 +151,8 @@ def test_near_dedup_links_at_similarity(spark, monkeypatch):
     both = docs.select("doc_id", "text").union(more)
     want = five_word_components(rows + copies + odd)
     assert len(five_word_components(rows)) < two_bits
-    for block in (simhash.BLOCK_ROWS, 8):
-        monkeypatch.setattr(simhash, "BLOCK_ROWS", block)
+    for block in (near.BLOCK_ROWS, 8):
+        monkeypatch.setattr(near, "BLOCK_ROWS", block)
         assert sorted(x["doc_id"] for x in corpus_pipeline.dedup_stage(spark, both, SF).collect()) == want
     # many keys' members fall into several groups: clusters that share half of their words, none of them near another
     clusters = []
@@ -162,9 +161,9 @@ def test_near_dedup_links_at_similarity(spark, monkeypatch):
             words = base[:150] + [f"c{c}-{n}" for n in range(75)]
             words[r.randrange(200)] = f"y{r.random()}"
             clusters.append((30_000_000 + 100 * c + k, " ".join(words)))
-    monkeypatch.setattr(simhash, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(near, "BLOCK_ROWS", 8)
     for pivots in (2, 8):
-        monkeypatch.setattr(simhash, "PIVOTS", pivots)
+        monkeypatch.setattr(near, "PIVOTS", pivots)
         tables = spark.createDataFrame(clusters + copies, "doc_id long, text string")
         assert sorted(x["doc_id"] for x in corpus_pipeline.dedup_stage(spark, tables, SF).collect()) == five_word_components(clusters + copies)
     nameless = more.withColumn("doc_id", F.lit(None).cast("long"))
