@@ -436,7 +436,7 @@ def longest_paths(e: DataFrame, ids: DataFrame, rounds: Rounds) -> tuple[DataFra
     Each node that needs others chooses one of them. Along the choices, which form a forest, levels are lengths that doubling of pointers
     gives, in as many joins as the depth has bits. A node that another choice would put higher takes that one, and the lengths are taken
     anew, until no choice is better: levels then are one more than the greatest of what a node needs. A choice carries all of what
-    hangs on it along, so chains, trees, ladders and layers settle in two or three rounds, however deep; a round more is due only
+    hangs on it along, so chains and trees settle at once, and ladders and layers in some rounds, not one a level; a round more is due
     where better choices follow on each other in one path. Choices on a cycle never reach a start, which the doubling notices."""
     choice = rounds.put("choice", e.groupBy(F.col("dst").alias("id")).agg(F.max("src").alias("to")))
     starts = rounds.put("starts", ids.join(choice.select("id"), "id", "left_anti"))

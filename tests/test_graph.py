@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,3 +241,87 @@ def test_trace_graph(spark):
     near = [("a", "a"), ("a", "b"), ("c", "a"), ("c", "a")]
     assert rows(graph["edges"], "id", "src", "dst") == [(i, *e) for i in ("1", "3") for e in near]
     assert graph["edges"].columns[1:] == edges(spark, ("a", "b")).columns and graph["summary"].count() == 3
+
+
+def test_reach_of_all_nodes_equals_reach_of_each(spark):
+    r = random.Random(8)
+    pairs = {(f"n{r.randrange(90):02d}", f"n{r.randrange(90):02d}") for _ in range(260)} | {("self", "self")}
+    edges = spark.createDataFrame(sorted(pairs), "src string, dst string")
+    to = {}
+    for a, b in pairs:
+        if a != b:
+            to.setdefault(a, set()).add(b)
+    back = {}
+    for a, own in to.items():
+        for b in own:
+            back.setdefault(b, set()).add(a)
+
+    def within(steps, start, depth):
+        seen = front = {start}
+        for _ in range(depth):
+            front = {y for x in front for y in steps.get(x, ())} - seen
+            seen = seen | front
+        return len(seen) - 1
+
+    want = sorted((x, len(to.get(x, ())), len(back.get(x, ())), within(to, x, 3), within(back, x, 3)) for x in {n for p in pairs for n in p})
+    got = G.reach_all(edges, 3, longs=1).select("id", "callee_count", "caller_count", "down_reach", "up_reach").collect()
+    assert sorted(map(tuple, got)) == want
+
+
+def test_levels_settle_in_few_rounds(spark):
+    """A ladder of 40 layers whose first choices are wrong takes some rounds, not one a layer; a cycle is told."""
+    from sparkloom.operators.lineage import Rounds
+
+    steps = [(2 * layer + k, 2 * (layer + far) + m) for layer in range(40) for far in (1, 5) for k in (0, 1) for m in (0, 1) if layer + far < 40]
+    edges = spark.createDataFrame([(f"v{999 - a:03d}", f"v{999 - b:03d}") for a, b in steps], "src string, dst string")
+    ids = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    rounds = Rounds(spark)
+    levels, taken = G.longest_paths(edges, ids, rounds)
+    assert {r["id"]: r["level"] for r in levels.collect()} == {f"v{999 - k:03d}": k // 2 for k in range(80)} and taken <= 8
+    with pytest.raises(ValueError, match="cycle"):
+        G.topological_levels(edges.union(spark.createDataFrame([("v920", "v999")], "src string, dst string")), local_edges=1)
+
+
+def test_first_paths_of_cyclic_graphs(spark):
+    r = random.Random(3)
+    steps = {(r.choice("abcdefg") * r.randrange(1, 3), r.choice("abcdefg") * r.randrange(1, 3)) for _ in range(40)}
+    edges = spark.createDataFrame(sorted(steps), "src string, dst string")
+    to = {a: sorted({b for x, b in steps if x == a and b != a}) for a, _ in steps}
+
+    def walk(path, depth):
+        onward = [b for b in to.get(path[-1], ()) if b not in path] if depth else []
+        return [x for b in onward for x in walk([*path, b], depth - 1)] if onward else [";".join(path)]
+
+    want = sorted({x for root in ("a", "b") for x in walk([root], 5)})
+    assert len(want) > 60
+    roots = spark.createDataFrame([("a",), ("b",)], "id string")
+    for at_most in (7, 50, 10_000):
+        assert [";".join(x["path"]) for x in G.paths(edges, roots, 5, at_most).collect()] == want[:at_most]
+
+
+def test_qualified_calls_meet_what_ends_alike(spark):
+    r = random.Random(5)
+    parts = ["a", "bar", "x.get", "get", "io", "Foo"]
+    symbols = [(f"{d}/{p}.{e}::{n}", f"{d}/{p}.{e}", n) for d in ("src", "lib/Foo") for p in parts for e in ("rs", "py") for n in ("get", "new")] + [(f"plain{k}::get", f"plain{k}", "get") for k in range(40)]
+    sites = [(f"c{k}", f"{r.choice(['src', 'lib', 'no'])}/q.{r.choice(['rs', 'go'])}", r.choice(["x.get", "Foo::new", "o::get", "io.rs::get", "get", "a.py::new", "::get", "n7::get", "zz.get"])) for k in range(120)]
+    found = E.call_candidates(spark.createDataFrame(sites, "caller string, filepath string, called string"), spark.createDataFrame(symbols, "id string, filepath string, name string"))
+    got = {(x["caller"], x["target"], x["score"]) for x in found.collect()}
+
+    def parent(p):
+        return p.rpartition("/")[0]
+
+    def extension(p):
+        last = p.rpartition("/")[2]
+        return last.rpartition(".")[2] if "." in last[1:] else ""
+
+    want = set()
+    for caller, path, called in sites:
+        leaf = re.split("[.:]", called)[-1]
+        scored = [(100 * (p == path) + 20 * (parent(p) == parent(path)) + 10 * (extension(p) == extension(path)) + 15 * (("::" in called or "." in called) and (called in i or called in p)), i) for i, p, n in symbols if n == leaf]
+        best = max(s for s, _ in scored)
+        want |= {(caller, i, s) for s, i in scored if s == best}
+    assert got == want
+    # a call that nothing of the name matches meets none of the name's symbols to tell so
+    many = spark.range(5000).select(F.format_string("d%d/f.rs::get", "id").alias("target"), F.format_string("d%d/f.rs", "id").alias("target_path"), F.lit("get").alias("name"))
+    asked = spark.createDataFrame([("c", "x.get", "no/q.go", "get", True)], "caller string, called string, filepath string, leaf string, qualified boolean")
+    assert E.qualified_matches(asked, many).count() == 0
