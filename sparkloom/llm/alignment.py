@@ -35,8 +35,8 @@ from .common import cut, load, map_arrow, map_rows, scratch, slices, utf8
 RUN, SWEPT, COUNTED = 2048, 1 << 19, 1 << 21
 #: Pairs of ids whose counts may be broadcast, some 17 bytes each; and the salts of a pair beyond that.
 MOST_PAIRS, SALTS = 2_000_000, 16
-#: Segments of a text that keep their ids in a Python worker.
-CACHED = 200_000
+#: Pre-tokens and segments of texts that keep their ids in a Python worker, for each side.
+CACHED = 100_000
 
 # ---------------------------------------------------------------- tokenizers
 
@@ -49,7 +49,7 @@ class ByteLevel(packing.Encoder):
     """Side A: ids of a byte-level BPE, whose added tokens' strings are plain text."""
 
     def __init__(self, path: str):
-        super().__init__(path)
+        super().__init__(path, CACHED)
         self.tokenizer.encode_special_tokens = True
         self.special = []
         back = {ord(letter): byte for byte, letter in packing._byte_letters().items()}
@@ -58,9 +58,12 @@ class ByteLevel(packing.Encoder):
         for token, i in vocabulary.items():
             self.spelled[i] = bytes(back[ord(c)] for c in token) if all(ord(c) in back for c in token) else utf8(token)
 
+        # where every byte has a token and nothing is normalised, tokens always spell their text
+        self.complete = self.tokenizer.normalizer is None and all(letter in vocabulary for letter in packing._byte_letters().values())
+
     def __call__(self, text: str) -> bytes:
         found = super().__call__(text)
-        if b"".join(map(self.spelled.__getitem__, memoryview(found).cast("I"))) != utf8(text):
+        if not self.complete and b"".join(map(self.spelled.__getitem__, memoryview(found).cast("I"))) != utf8(text):
             raise Differs
         return found
 
@@ -142,9 +145,9 @@ def events(docs: DataFrame, a: str, b: str) -> DataFrame:
                     found = [np.frombuffer(s(" " + text), np.uint32) for s in both]
                 except Differs:
                     pass
-            yield place, -1 - (int(lengths[0][found[0]].sum()) if found else 0), 0, doc_id, None
+            yield place, -1 - (len(utf8(text)) + 1 if found else 0), 0, doc_id, None
             for side, ids in enumerate(found):
-                ends = np.cumsum(lengths[side][ids])
+                ends = np.cumsum(lengths[side][ids]) if len(ids) > RUN else None  # a text's first run begins at 0
                 for k in range(0, len(ids), RUN):
                     yield place, int(ends[k - 1]) if k else 0, side, None, squeeze(ids[k : k + RUN].astype("<u4").tobytes())
         for s in both:
