@@ -17,7 +17,8 @@ of cells that some query of a round has opened are multiplied.
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part. Vectors of several lengths are
 searched length by length, as a cosine needs equal lengths. Rows without id take no part. Equal scores are ordered by
-vec_id; of repeated rows of an id each is a candidate of its own to other ids, none to its own. Fewer candidates than k: all.
+vec_id; of repeated rows of an id each is a candidate of its own to other ids, none to its own. A query id with several vectors has
+a list for each of them, told apart by query_key, a digest of the vector. Fewer candidates than k: all.
 An empty table gives no rows. Other columns are ignored.
 """
 
@@ -266,13 +267,13 @@ def measure(placed: DataFrame, queries: np.ndarray, books: Codebooks, sizes: dic
 
 
 def search(vectors: DataFrame, is_query: F.Column, k: int = K, aim: float = AIM) -> DataFrame:
-    """query_id, rank, vec_id, score of the k nearest of the rows for which is_query, a condition on vec_id, holds."""
+    """query_id, rank, vec_id, score and query_key of the k nearest of the rows for which is_query, a condition on vec_id, holds."""
     rows = valid(vectors)
     out = None
     for size in sorted(r["d"] for r in rows.select(F.size("vector").alias("d")).distinct().collect()):
         found = _search(rows.where(F.size("vector") == size), is_query, k, aim)
         out = found if out is None else out.union(found)
-    return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double") if out is None else out
+    return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double, query_key string") if out is None else out
 
 
 def _search(rows: DataFrame, is_query: F.Column, k: int, aim: float) -> DataFrame:
@@ -345,8 +346,9 @@ def _search(rows: DataFrame, is_query: F.Column, k: int, aim: float) -> DataFram
     # many queries may share a vector
     lists = lists.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     own = asked.withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(SALTS))).join(lists, ["key", "salt"])
-    own = own.select("query_id", F.slice(F.filter(F.array_sort("found"), lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("found"))
-    return own.select("query_id", F.posexplode("found").alias("rank", "x")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
+    own = own.select("query_id", "key", F.slice(F.filter(F.array_sort("found"), lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("found"))
+    each = own.select("query_id", "key", F.posexplode("found").alias("rank", "x"))
+    return each.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "x.vec_id", "x.score", F.lower(F.hex("key")).alias("query_key"))
 
 
 def op2_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:

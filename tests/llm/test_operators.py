@@ -244,7 +244,7 @@ def test_neighbours_of_repeated_queries(spark):
         df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
         found = [x for x in local(multiindex.search(df, F.col("vec_id") == 0, aim=1.0)) if x["query_id"] == 0]
         lists = len({tuple(v) for v in own})
-        assert len(found) == 5 * lists and collections.Counter(x["rank"] for x in found) == dict.fromkeys(range(1, 6), lists)
+        assert len(found) == 5 * lists and len({(x["query_key"], x["rank"]) for x in found}) == 5 * lists and collections.Counter(x["rank"] for x in found) == dict.fromkeys(range(1, 6), lists)
         assert collections.Counter(x["vec_id"] for x in found) == {i: n * lists for i, n in collections.Counter(want).items()}
 
 
