@@ -196,12 +196,6 @@ def _(t: Tables) -> DataFrame:
     return G.paths(A.transitions(t), _start(t, "click")).select(F.array_join("path", ";").alias("path"), F.size("path").alias("n"))
 
 
-@query("g7_rings_in_rounds", f"WITH {_RINGS} SELECT id, component FROM members WHERE many")
-def _(t: Tables) -> DataFrame:
-    """The rounds over the whole graph, which smaller graphs leave to one task; here what is left of at most 1,000 edges."""
-    return G.strongly_connected(_rings(t), local_edges=1000)
-
-
 #: All orders in layers of four, each of which leads to all of the next layer.
 def _layers(t: Tables, width: int = 4) -> DataFrame:
     n = t.orders.count()
