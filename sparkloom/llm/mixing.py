@@ -55,7 +55,7 @@ NEAR, STEPS, STILL, MET = 1e-5, 100, 1e-9, 1e-4
 #: Step lengths that are tried at once.
 LENGTHS = (1.0, 0.5, 0.2, 0.05, 1e-2, 1e-3, 1e-5)
 #: Share of the anchor's tokens that bounded rates shall leave, and how much more its lack weighs than what others are over.
-KEPT_ANCHOR, ANCHOR_WEIGHT = 0.9, 16.0
+KEPT_ANCHOR, ANCHOR_WEIGHT = 0.5, 16.0
 #: How many times over a domain may have to be repeated, on average, to meet its target.
 MOST_REPEATS = 10
 
