@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.paths import leaf
+from .lineage import cut
 from .ranges import stab
 
 #: Okapi BM25's published defaults.
@@ -195,22 +196,46 @@ def trace_summary(found: DataFrame) -> DataFrame:
     return counts.withColumn("primary_kind", kind)
 
 
-def trace_seeds(found: DataFrame, symbols: DataFrame, per_token: int = 4, total: int = 6) -> DataFrame:
-    """TX8: (id, symbol): up to four symbols named like each token of a trace, six in all, in order of token and symbol."""
-    named = symbols.select(F.lower("name").alias("key"), F.col("id").alias("symbol"))
-    pairs = found.withColumn("key", F.lower(leaf(F.col("token"), r"[:./\\]"))).join(named, "key")
-    few = pairs.withColumn("nth", F.row_number().over(Window.partitionBy("id", "token").orderBy("symbol"))).where(F.col("nth") <= per_token)
+#: First symbols of names that may be broadcast.
+BROADCAST_NAMED = 100_000
+
+
+def first_named(symbols: DataFrame, per_token: int) -> DataFrame:
+    """(key, symbol): the first symbols of each lower-cased name. What a token meets depends on its name alone, so symbols are cut before they are joined, not for each token of each trace."""
+    named = symbols.select(F.lower("name").alias("key"), F.col("id").alias("symbol")).where("key is not null")
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("symbol"))
+    return named.withColumn("nth", nth).where(F.col("nth") <= per_token).drop("nth")
+
+
+def _counted(few: DataFrame) -> DataFrame:
+    """Rows that are computed once, and broadcast if they are counted to be few."""
+    few = cut(few)
+    return F.broadcast(few) if few.limit(BROADCAST_NAMED + 1).count() <= BROADCAST_NAMED else few
+
+
+def _seeds(found: DataFrame, named: DataFrame, total: int) -> DataFrame:
+    few = found.withColumn("key", F.lower(leaf(F.col("token"), r"[:./\\]"))).join(named, "key")
     first = few.groupBy("id", "symbol").agg(F.min("token").alias("token"))
     return first.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("token", "symbol"))).where(F.col("nth") <= total).select("id", "symbol")
 
 
+def trace_seeds(found: DataFrame, symbols: DataFrame, per_token: int = 4, total: int = 6) -> DataFrame:
+    """TX8: (id, symbol): up to four symbols named like each token of a trace, six in all, in order of token and symbol."""
+    return _seeds(found, _counted(first_named(symbols, per_token)), total)
+
+
 def trace_graph(found: DataFrame, symbols: DataFrame, edges: DataFrame, per_token: int = 4, total: int = 6) -> dict[str, DataFrame]:
     """TX8: seeds (id, symbol) of each trace, the edges (id and the edges' columns) one step from its seeds either way, each once, and the summary of its candidates. An edges' column id gives way to the trace's."""
-    seeds = trace_seeds(found, symbols, per_token, total)
-    rows = edges.drop("id")
-    leaving = rows.join(seeds.withColumnRenamed("symbol", "src"), "src")
-    entering = rows.join(seeds.withColumnRenamed("symbol", "dst"), "dst").join(seeds.withColumnRenamed("symbol", "src"), ["id", "src"], "left_anti")
-    return {"seeds": seeds, "edges": leaving.unionByName(entering).select("id", *rows.columns), "summary": trace_summary(found)}
+    named = _counted(first_named(symbols, per_token))
+    seeds = cut(_seeds(found, named, total))
+    # a trace's seeds, at most total, go with each of them; only edges at symbols that may be seeds take part
+    own = seeds.withColumn("own", F.collect_list("symbol").over(Window.partitionBy("id")))
+    rows, may = edges.drop("id"), named.select("symbol").distinct()
+    at = lambda end: _counted(rows.join(may.withColumnRenamed("symbol", end), end, "left_semi").select(*rows.columns))
+    leaving = own.withColumnRenamed("symbol", "src").join(at("src"), "src").select("id", *rows.columns)
+    known = F.coalesce(F.array_contains("own", F.col("src")), F.lit(False))
+    entering = own.withColumnRenamed("symbol", "dst").join(at("dst"), "dst").where(~known).select("id", *rows.columns)
+    return {"seeds": seeds, "edges": leaving.unionByName(entering), "summary": trace_summary(found)}
 
 
 #: Classes of side effects by words of the source.
