@@ -20,14 +20,20 @@ def _bfs_sql(starts: str, depth: int, own: str, other: str, name: str = "levels"
 {name} AS (SELECT id, min(level) AS level FROM walk GROUP BY id)"""
 
 
+def _listed(blocks: DataFrame) -> DataFrame:
+    """The whole list of each node in one row, as the SQL has it; a hub's blocks are put together."""
+    whole = F.array_sort(F.flatten(F.collect_list("neighbors")))
+    return blocks.groupBy("id").agg(F.array_join(whole, ",").alias("neighbors"))
+
+
 @query("g1_neighbors", f"WITH {A.FK_EDGES} SELECT src AS id, array_to_string(list_sort(list_distinct(list(dst))), ',') AS neighbors FROM fk_edges GROUP BY src")
 def _(t: Tables) -> DataFrame:
-    return G.neighbors(A.fk_edges(t)).select("id", F.array_join("neighbors", ",").alias("neighbors"))
+    return _listed(G.neighbors(A.fk_edges(t)))
 
 
 @query("g1_callers", f"WITH {A.FK_EDGES} SELECT dst AS id, array_to_string(list_sort(list_distinct(list(src))), ',') AS neighbors FROM fk_edges GROUP BY dst")
 def _(t: Tables) -> DataFrame:
-    return G.neighbors(A.fk_edges(t), down=False).select("id", F.array_join("neighbors", ",").alias("neighbors"))
+    return _listed(G.neighbors(A.fk_edges(t), down=False))
 
 
 @query("g2_bfs_up", f"WITH RECURSIVE {A.FK_EDGES}, {_bfs_sql(chr(39) + 'n3' + chr(39), 2, 'dst', 'src')} SELECT id, level FROM levels")
