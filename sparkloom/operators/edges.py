@@ -13,7 +13,7 @@ from ..functions.paths import clamp, extension, leaf, parent, tags
 from ..schemas import CONTAINER_KINDS
 from ..sources.bodies import in_spans
 from .graph import strongest_edges
-from .lineage import cut
+from .lineage import cut, shuffled, spread_join
 from .ranges import smallest_container
 
 COLUMNS = ("src", "dst", "kind", "tier", "confidence", "source", "evidence")
@@ -103,12 +103,12 @@ def qualified_matches(sites: DataFrame, targets: DataFrame) -> DataFrame:
     for n in BEFORE_LENGTHS[1:]:
         size = F.when(F.length(prefix) >= n, F.lit(n)).otherwise(size)
     asked = sites.where("qualified").withColumn("asked", F.right(prefix, size))
-    found = asked.join(filed, (F.col("leaf") == F.col("name")) & (F.col("asked") == F.col("key")))
+    found = asked.join(shuffled(filed), (F.col("leaf") == F.col("name")) & (F.col("asked") == F.col("key")))
     return found.where(F.contains("target", F.col("called")) | F.contains("target_path", F.col("called"))).drop("asked", "key").distinct()
 
 
 def near_candidates(sites: DataFrame, targets: DataFrame) -> DataFrame:
-    """Sites (caller, called, filepath, leaf, qualified) with those targets (target, target_path, name) of the leaf that may score best.
+    """Sites (called, filepath, leaf, qualified and others) with those targets (target, target_path, name) of the leaf that may score best.
 
     A site's best level is told from the places where a name stands, so a name that stands everywhere isn't paired with all its calls.
     A target in the same file beats all others. Nearness alone ranks the others unless the call is qualified, as a match adds points:
@@ -116,29 +116,33 @@ def near_candidates(sites: DataFrame, targets: DataFrame) -> DataFrame:
     matches elsewhere; and what is farther by any match. So beyond its directory a qualified call meets its matches, and what is merely near
     only where there are none: then all of that level tie and are results."""
     placed = targets.select("target", "target_path", "name", _places(F.col("target_path")).alias("at")).select("target", "target_path", "name", "at.level", "at.place")
-    site = ["caller", "called", "filepath", "leaf", "qualified"]
+    site = list(sites.columns)
     asked = sites.select(*site, _places(F.col("filepath")).alias("at")).select(*site, "at.level", "at.place")
     known = placed.select(F.col("name").alias("leaf"), "level", "place").distinct()
-    nearest = asked.join(known, ["leaf", "level", "place"], "left_semi").groupBy(*site).agg(F.min("level").alias("nearest"))
+    nearest = asked.join(shuffled(known), ["leaf", "level", "place"], "left_semi").groupBy(*site).agg(F.min("level").alias("nearest"))
     matches = qualified_matches(nearest.where(F.col("nearest") >= SAME_DIR), targets)
     matched = matches.select(*site).distinct().withColumn("matched", F.lit(True))
-    told = nearest.join(matched, site, "left")
+    told = nearest.join(shuffled(matched), site, "left")
     told = told.where(F.col("matched").isNull() | (F.col("nearest") <= SAME_DIR))
     level = F.when(F.col("qualified") & (F.col("nearest") == SAME_KIND_NEAR), SAME_DIR).otherwise(F.col("nearest"))
     path = F.col("filepath")
     place = F.when(F.col("level") == SAME_FILE, path).when(F.col("level") == SAME_KIND_NEAR, F.concat_ws("\n", parent(path), extension(path))).when(F.col("level") == SAME_DIR, parent(path)).when(F.col("level") == SAME_EXTENSION, extension(path)).otherwise("")
     wanted = told.withColumn("level", level).withColumn("place", place).drop("nearest", "matched")
-    near = wanted.join(placed.withColumnRenamed("name", "leaf"), ["leaf", "level", "place"]).select(*site, "target", "target_path")
+    near = wanted.join(shuffled(placed.withColumnRenamed("name", "leaf")), ["leaf", "level", "place"]).select(*site, "target", "target_path")
     return near.union(matches.select(*site, "target", "target_path")).distinct()
 
 
 def call_candidates(sites: DataFrame, symbols: DataFrame) -> DataFrame:
-    """J7, CS1, CS2, CS6: each site's best candidates by the called name's leaf, all those at the greatest score, with confidence and evidence."""
+    """J7, CS1, CS2, CS6: each site's best candidates by the called name's leaf, all those at the greatest score, with confidence and evidence.
+
+    What is best depends on the called text and the caller's file alone, so it is told once for each pair of these and then joined to the
+    callers that share them. A caller that stands in several files has the best of all of them."""
     targets = symbols.select(F.col("id").alias("target"), F.col("filepath").alias("target_path"), F.col("name"))
     qualified = F.contains("called", F.lit("::")) | F.contains("called", F.lit("."))
     # read several times, so the texts are scanned once
-    sites = cut(sites.withColumn("leaf", leaf(F.col("called"))).where("leaf <> ''").withColumn("qualified", qualified))
-    pairs = near_candidates(sites, targets)
+    sites = cut(sites.select("caller", "called", "filepath").where(leaf(F.col("called")) != "").distinct())
+    asked = cut(sites.select("called", "filepath", leaf(F.col("called")).alias("leaf"), qualified.alias("qualified")).distinct())
+    pairs = near_candidates(asked, targets)
     same_file = F.col("target_path") == F.col("filepath")
     same_dir = parent(F.col("target_path")) == parent(F.col("filepath"))
     same_ext = extension(F.col("target_path")) == extension(F.col("filepath"))
@@ -146,14 +150,23 @@ def call_candidates(sites: DataFrame, symbols: DataFrame) -> DataFrame:
     match = qualified & (F.contains("target", F.col("called")) | F.contains("target_path", F.col("called")))
     points = lambda c, n: F.when(c, F.lit(n)).otherwise(F.lit(0))
     score = points(same_file, 100) + points(same_dir, 20) + points(same_ext, 10) + points(match, 15)
+    alike = ["called", "filepath"]
+    ranked = pairs.withColumn("score", score).withColumn("rank", F.rank().over(Window.partitionBy(*alike).orderBy(F.desc("score")))).where("rank = 1")
+    best = cut(ranked.select("target", "score", *alike, same_file.alias("same_file"), same_dir.alias("same_dir"), same_ext.alias("same_ext"), "qualified", match.alias("match")))
+    # of a caller's files those with the best score count, with all their candidates
+    tops = best.groupBy(*alike).agg(F.max("score").alias("top"), F.count("*").alias("n"))
     by_site = Window.partitionBy("caller", "called")
-    best = pairs.withColumn("score", score).withColumn("rank", F.rank().over(by_site.orderBy(F.desc("score")))).where("rank = 1").withColumn("tied", F.count("*").over(by_site))
-    unique = F.col("tied") == 1
+    at_top = sites.join(shuffled(tops), alike).withColumn("most", F.max("top").over(by_site)).where("top = most")
+    asking = cut(at_top.select("caller", *alike, (F.sum("n").over(by_site) == 1).alias("unique")))
+    # callers of a kind have equal confidence and evidence, so both are told before the candidates go to each
+    best = best.join(shuffled(asking.select(*alike, "unique").distinct()), alike)
+    same_file, same_dir, same_ext, qualified, match, unique = (F.col(x) for x in ("same_file", "same_dir", "same_ext", "qualified", "match", "unique"))
     share = lambda c, x: F.when(c, F.lit(x)).otherwise(F.lit(0.0))
     confidence = F.lit(0.58) + share(same_file, 0.18) + share(same_dir, 0.07) + share(same_ext, 0.04) + share(qualified, 0.08) + share(match, 0.05) + F.when(unique, 0.08).otherwise(-0.10)
     always = F.lit(True)
     evidence = tags((always, "indexed"), (always, "call_scan"), (same_file, "same_file"), (same_dir, "same_parent"), (same_ext, "same_extension"), (qualified, "qualified_call"), (match, "qualified_match"), (unique, "unique_best"), (~unique, "ambiguous_best"))
-    return best.withColumns({"confidence": F.round(clamp(confidence, 0.35, 0.92), 4), "evidence": evidence}).select("caller", "called", "target", "score", "confidence", "evidence")
+    told = best.select(*alike, "unique", "target", "score", F.round(clamp(confidence, 0.35, 0.92), 4).alias("confidence"), evidence.alias("evidence"))
+    return spread_join(asking, told, [*alike, "unique"], "caller").select("caller", "called", "target", "score", "confidence", "evidence")
 
 
 def call_edges(symbols: DataFrame, sources: DataFrame) -> DataFrame:
@@ -192,7 +205,7 @@ def import_candidates(imports: DataFrame, symbols: DataFrame) -> DataFrame:
     """J8, CS3, W4: (filepath, target, confidence, evidence): all symbols of an imported leaf name; of several names for one target the lowest confidence stays."""
     targets = symbols.select(F.col("id").alias("target"), F.col("filepath").alias("target_path"), "name")
     per_name = targets.groupBy("name").agg(F.count("*").alias("candidates"))
-    pairs = imports.withColumn("leaf", leaf(F.col("imported"), "[.:/]")).join(targets, F.col("leaf") == F.col("name")).join(per_name, "name")
+    pairs = imports.withColumn("leaf", leaf(F.col("imported"), "[.:/]")).join(shuffled(targets), F.col("leaf") == F.col("name")).join(shuffled(per_name), "name")
     same_dir = parent(F.col("target_path")) == parent(F.col("filepath"))
     same_ext = extension(F.col("target_path")) == extension(F.col("filepath"))
     qualified = F.contains("imported", F.lit("::")) | F.contains("imported", F.lit(".")) | F.contains("imported", F.lit("/"))
@@ -214,7 +227,7 @@ def import_edges(symbols: DataFrame, sources: DataFrame) -> DataFrame:
 
 def import_edges_of(imports: DataFrame, symbols: DataFrame) -> DataFrame:
     owners = symbols.where("role = 'definition'").select(F.col("id").alias("owner"), "filepath")
-    found = import_candidates(imports, symbols).join(owners, "filepath").where("owner <> target")
+    found = import_candidates(imports, symbols).join(shuffled(owners), "filepath").where("owner <> target")
     return _edges(found, "owner", "target", "imports", "structural", F.col("confidence"), "index:import_scan", F.col("evidence"))
 
 

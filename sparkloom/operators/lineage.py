@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,6 +28,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that is never broadcast. Sizes are estimated from the files that rows are computed from; where texts are made or scanned they are far too low."""
+    return df.hint("merge")
+
+
+#: Rows of a join's result that one part of a key gives.
+PART_ROWS = 5_000_000
+MOST_TASKS = 10_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], by: str, part_rows: int = PART_ROWS) -> DataFrame:
+    """Inner join of keys that may have many rows on both sides. A key that gives over part_rows is dealt into parts: the left side's rows by
+    a hash of column ``by``, the right side's go to each part. So no task has all of a key's result, and there are as many tasks as parts."""
+    sizes = left.groupBy(*on).agg(F.count("*").alias("n")).join(right.groupBy(*on).agg(F.count("*").alias("m")), list(on))
+    large = cut(sizes.select(*on, F.ceil(F.col("n") * F.col("m") / part_rows).cast("int").alias("parts")).where("parts > 1"))
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")) + int(large.agg(F.sum("parts")).first()[0] or 0)
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = left.join(large, list(on), "left").withColumn("part", F.pmod(F.hash(by), parts)).drop("parts")
+    copied = right.join(large, list(on), "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    keys = [*on, "part"]
+    return dealt.repartition(min(tasks, MOST_TASKS), *keys).join(shuffled(copied), keys).drop("part")
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Removes a folder on whatever file system it is."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.operators import edges as E, graph as G, search as S
+from sparkloom.operators.lineage import spread_join
 from sparkloom.queries import graph as QG
 
 
@@ -23,3 +24,24 @@ def test_a_hub_has_one_row_in_the_query(spark):
     blocks = G.neighbors(rows, down=False, block_size=100)
     assert blocks.count() > 1
     assert [tuple(r) for r in QG._listed(blocks).collect()] == [("hub", ",".join(f"n{k:03}" for k in range(300)))]
+
+
+def test_callers_that_share_file_and_text_share_candidates(spark, monkeypatch):
+    asked = []
+    whole = E.near_candidates
+    monkeypatch.setattr(E, "near_candidates", lambda sites, targets: asked.append(sites.count()) or whole(sites, targets))
+    sites = spark.createDataFrame([(f"c{k}", "a/x.py", "run") for k in range(50)] + [("c0", "b/z.rs", "run"), ("c1", "a/x.py", "none")], "caller string, filepath string, called string")
+    symbols = spark.createDataFrame([("a/x.py::run", "a/x.py", "run"), ("a/y.py::run", "a/y.py", "run"), ("b/q.rs::run", "b/q.rs", "run"), ("b/r.rs::run", "b/r.rs", "run")], "id string, filepath string, name string")
+    rows = E.call_candidates(sites, symbols).collect()
+    assert asked == [3]  # not a row for each caller
+    # c0 also stands in another file, where candidates score less
+    assert sorted((r["caller"], r["target"], r["score"], r["confidence"]) for r in rows) == sorted((f"c{k}", "a/x.py::run", 130, 0.92) for k in range(50))
+
+
+def test_a_large_key_is_dealt_into_parts(spark):
+    left = spark.range(1000).select((F.col("id") % 2).alias("k"), F.col("id").alias("a"))
+    right = spark.createDataFrame([(1, b) for b in range(100)], "k long, b long")
+    found = spread_join(left, right, ["k"], "a", part_rows=1000)
+    assert found.count() == found.distinct().count() == 50_000
+    sizes = [r["n"] for r in found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) > 20 and max(sizes) < 10_000
