@@ -245,7 +245,9 @@ def realization_edges(symbols: DataFrame) -> DataFrame:
     impls = symbols.where(F.contains("name", F.lit(" for "))).select(F.col("id").alias("impl"), F.trim(F.split("name", " for ", 2)[0]).alias("x"), F.trim(F.split("name", " for ", 2)[1]).alias("y"))
     interfaces = symbols.where("kind = 'interface'").select(F.col("id").alias("target"), "name")
     types = symbols.where("kind in ('struct', 'class')").select(F.col("id").alias("target"), "name")
-    found = impls.join(interfaces, F.col("x") == F.col("name")).select("impl", "target").union(impls.join(types, F.col("y") == F.col("name")).select(F.col("target").alias("impl"), F.col("impl").alias("target")))
+    realized = spread_join(impls.select("impl", F.col("x").alias("name")), interfaces, ["name"], "impl").select("impl", "target")
+    owned = spread_join(impls.select("impl", F.col("y").alias("name")), types, ["name"], "impl").select(F.col("target").alias("impl"), F.col("impl").alias("target"))
+    found = realized.union(owned)
     return _edges(found.where("impl <> target"), "impl", "target", "realizes", "structural", F.lit(0.95), "index:realization", F.array(F.lit("indexed"), F.lit("trait_realization")))
 
 
