@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..operators.lineage import shuffled
+
 #: From a file's bytes (None if there is no such file) and its spans' values to a list of texts for each span.
 Take = Callable[[bytes | None, list[tuple]], list[list[str | None]]]
 
@@ -15,7 +17,7 @@ def in_spans(spans: DataFrame, sources: DataFrame, using: Sequence[str], take: T
     """Struct ``row`` of the spans' columns, and ``found``: what take gives of the columns named. Spans (filepath, ...) are gathered by file,
     so a file's text (filepath, content) is joined and encoded once, however many spans it has, and goes no further."""
     rows = spans.groupBy("filepath").agg(F.collect_list(F.struct("*")).alias("rows"))
-    joined = rows.join(sources.select("filepath", "content"), "filepath", how).select("rows", "content")
+    joined = rows.join(shuffled(sources.select("filepath", "content")), "filepath", how).select("rows", "content")
     texts = pa.list_(pa.list_(pa.string()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -45,3 +45,11 @@ def test_a_large_key_is_dealt_into_parts(spark):
     assert found.count() == found.distinct().count() == 50_000
     sizes = [r["n"] for r in found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     assert len(sizes) > 20 and max(sizes) < 10_000
+
+
+def test_texts_of_spans_are_not_broadcast(spark):
+    sources = spark.range(3).select(F.concat(F.lit("f"), "id").alias("filepath"), F.lit("run()").alias("content"))
+    spans = sources.select("filepath", F.col("filepath").alias("id"), F.lit(0).cast("long").alias("start_byte"), F.lit(5).cast("long").alias("end_byte"))
+    sites = E.call_sites(spans, sources)
+    assert "Broadcast" not in sites._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, sites.collect())) == [(f"f{k}", f"f{k}", "run") for k in range(3)]
