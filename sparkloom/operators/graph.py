@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -269,24 +270,81 @@ def components_min_label(pairs: DataFrame, at_most: int = 60) -> DataFrame:
 TRIMS = 2
 #: Edges that one task may take whole: the rest of a graph that is counted to be that small needs no more rounds.
 LOCAL_EDGES = 200_000
+#: Edges of a part, about; one that holds over PART_ROOM times as many is left as it is. Parts are reduced again while at most MOST_LEFT of the edges are left.
+PART_EDGES, PART_ROOM, MOST_LEFT = 100_000, 4, 0.7
+#: Pairs of a node's neighbours at most for which it is looked at whether it can be left out.
+MOST_PAIRS = 64
 
 
-def strongly_connected(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def strongly_connected(edges: DataFrame, local_edges: int = LOCAL_EDGES, part_edges: int = PART_EDGES) -> DataFrame:
     """(id, component) of nodes on cycles of two nodes or more; component is the least id of the strongly connected component.
 
-    A round gives every node the least label that reaches it and the least that it reaches; labels are ids in an order that hashing
+    Ranges of ids are parts, a task each. A part's edges give way to fewer ones by which the nodes at its border reach each other as before,
+    and that again, as long as edges fall off. Components of what is left are found, and each part then finds those of its
+    nodes, from its edges and from which nodes of its border are in one component.
+
+    What is left goes to one task if it has at most local_edges edges. Else a round gives every node the least label that reaches it and
+    the least that it reaches; labels are ids in an order that hashing
     draws anew for each round. Where both are one label, the nodes are its component. An edge goes on to the next round only if its
     ends agree in both labels and aren't settled, so what no cycle joins falls apart as in a random quicksort: the rounds grow
-    with the logarithm of the nodes, as do the steps of a round, whose labels also take over their own labels' labels. What is
-    left goes to one task as soon as it has at most local_edges edges."""
-    rounds, number = Rounds(edges.sparkSession), 0
-    kind = edges.schema["src"].dataType
-    found = edges.select(F.col("src").alias("id"), F.col("src").alias("root")).limit(0)
-    e = edges.select("src", "dst").where("src <> dst").distinct()
+    with the logarithm of the nodes, as do the steps of a round, whose labels also take over their own labels' labels."""
+    rounds = Rounds(edges.sparkSession)
+    kind = edges.schema["src"].dataType.simpleString()
+    e = rounds.put("edges", edges.select("src", "dst", F.lit(1).cast("long").alias("length")).where("src <> dst").distinct())
+    e, parted = _parted(e, local_edges, part_edges, _border_of_cycles, rounds)
+    components = _components(e.select("src", "dst"), local_edges, rounds)
+    for k, (placed, nodes) in reversed(list(enumerate(parted))):
+        members = components.join(nodes, "id").select("id", "component", "part")
+        least = members.where("part is not null").groupBy("part", "component").agg(F.min("id").alias("least"))
+        star = members.join(least, ["part", "component"]).select("part", "id", "least", "component")
+        joined = star.select("part", F.col("id").alias("src"), F.col("least").alias("dst"), "component").union(star.select("part", "least", "id", "component"))
+        own = placed.where("part is not null").select("part", "src", "dst", F.lit(None).cast(kind).alias("component"))
+        found = own.union(joined).groupBy("part").applyInArrow(_components_in_part, f"id {kind}, root {kind}")
+        found = rounds.put(f"found in parts {k}", found.union(members.where("part is null").select("id", "component")))
+        components = _named(found)
+    return rounds.last(components)
+
+
+def _named(found: DataFrame) -> DataFrame:
+    """(id, component) of (id, root): components of two nodes or more by their least ids."""
+    components = found.groupBy("root").agg(F.min("id").alias("component"), F.count("*").alias("n")).where("n > 1").select("root", "component")
+    return found.join(components, "root").select("id", "component")
+
+
+def _parted(e: DataFrame, local_edges: int, part_edges: int, border: Callable[[pa.Table], pa.Table], rounds: Rounds) -> tuple[DataFrame, list[tuple[DataFrame, DataFrame]]]:
+    """The edges (src, dst, length; src may be null) that are left once parts of ranges of ids have been reduced to their borders until it doesn't help or at most
+    local_edges are left; and for each time the edges with their part and the nodes (id, part). Part is null for edges between parts and in ones that hold too many edges."""
+    parted, kind, n = [], e.schema["dst"].dataType.simpleString(), e.count()
+    while n > local_edges:
+        k, parts = len(parted), max(2, -(-n // part_edges))
+        ends = e.select(F.col("dst").alias("id")).union(e.select("src").where("src is not null"))
+        nodes = rounds.put(f"nodes {k}", ends.repartitionByRange(parts, "id").select("id", F.spark_partition_id().alias("part")).distinct())
+        both = e.join(nodes.select(F.col("id").alias("dst"), F.col("part").alias("to")), "dst").join(nodes.select(F.col("id").alias("src"), F.col("part").alias("from_part")), "src", "left")
+        placed = rounds.put(f"placed {k}", both.select("src", "dst", "length", F.when(F.coalesce("from_part", "to") == F.col("to"), F.col("to")).alias("part")))
+        crowded = [r["part"] for r in placed.where("part is not null").groupBy("part").count().where(F.col("count") > PART_ROOM * part_edges).collect()]
+        if crowded:
+            placed, nodes = (x.withColumn("part", F.when(~F.col("part").isin(crowded), F.col("part"))) for x in (placed, nodes))
+        across = placed.where("part is null")
+        kept = across.select(F.col("dst").alias("id")).union(across.select("src")).distinct().join(nodes.where("part is not null"), "id")
+        inner = placed.where("part is not null").select("part", "src", "dst", "length").union(kept.select("part", "id", F.lit(None).cast(kind), F.lit(None).cast("long")))
+        fewer = inner.groupBy("part").applyInArrow(border, f"src {kind}, dst {kind}, length long")
+        e = rounds.put("edges", across.select("src", "dst", "length").union(fewer))
+        parted.append((placed, nodes))
+        before, n = n, e.count()
+        if n > MOST_LEFT * before:
+            break
+    return e, parted
+
+
+def _components(e: DataFrame, local_edges: int, rounds: Rounds) -> DataFrame:
+    """(id, component), in one task or by rounds of labels."""
+    kind, number = e.schema["src"].dataType, 0
+    found = e.select(F.col("src").alias("id"), F.col("src").alias("root")).limit(0)
+    e = e.where("src <> dst").distinct()
     while True:
         for _ in range(TRIMS):
             e = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        e = rounds.put("edges", e)
+        e = rounds.put("trimmed", e)
         n = e.count()
         if n <= local_edges:
             if n:
@@ -299,8 +357,7 @@ def strongly_connected(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> Data
         ends = lambda column, n: both.where("a <> b").select(F.col("id").alias(column), F.col("a").alias(f"a{n}"), F.col("b").alias(f"b{n}"))
         e = rounds.put("inner", e.join(ends("src", 1), "src").join(ends("dst", 2), "dst").where("a1 = a2 and b1 = b2").select("src", "dst"))
         number += 1
-    components = found.groupBy("root").agg(F.min("id").alias("component"), F.count("*").alias("n")).where("n > 1").select("root", "component")
-    return rounds.last(found.join(components, "root").select("id", "component"))
+    return rounds.put("components", _named(found))
 
 
 def _least_reaching(e: DataFrame, number: int, rounds: Rounds, name: str) -> DataFrame:
@@ -319,23 +376,21 @@ def _least_reaching(e: DataFrame, number: int, rounds: Rounds, name: str) -> Dat
         labels = labels.drop("moved")
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> tuple[list, list[list[int]]]:
+def _numbered(columns: Iterable[tuple[list, list]]) -> tuple[list, list[list[int]]]:
     """Ids of a small graph's nodes, and the numbers of what each leads to."""
     numbers: dict = {}
-    ends = [[numbers.setdefault(x, len(numbers)) for x in column.to_pylist()] for batch in batches for column in (batch.column(0), batch.column(1))]
+    pairs = [(numbers.setdefault(a, len(numbers)), numbers.setdefault(b, len(numbers))) for src, dst in columns for a, b in zip(src, dst)]
     to: list[list[int]] = [[] for _ in numbers]
-    for src, dst in zip(ends[::2], ends[1::2]):
-        for a, b in zip(src, dst):
-            to[a].append(b)
+    for a, b in pairs:
+        to[a].append(b)
     return list(numbers), to
 
 
-def _components_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, root) of a small graph's nodes by one depth-first search; the root names the strongly connected component."""
-    ids, to = _numbered(batches)
-    place, low, held, stack, roots = [-1] * len(ids), [0] * len(ids), [False] * len(ids), [], [0] * len(ids)
+def _roots(to: list[list[int]]) -> list[int]:
+    """The number of a node for each node that names its strongly connected component, by one depth-first search."""
+    place, low, held, stack, roots = [-1] * len(to), [0] * len(to), [False] * len(to), [], [0] * len(to)
     clock = 0
-    for start in range(len(ids)):
+    for start in range(len(to)):
         walk = [(start, iter(to[start]))] if place[start] < 0 else []
         while walk:
             node, onward = walk[-1]
@@ -360,8 +415,83 @@ def _components_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                         held[member], roots[member] = False, node
                         if member == node:
                             break
+    return roots
+
+
+def _components_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, root) of a small graph's nodes."""
+    ids, to = _numbered((b.column(0).to_pylist(), b.column(1).to_pylist()) for b in batches)
     if ids:
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([ids[r] for r in roots])], names=["id", "root"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([ids[r] for r in _roots(to)])], names=["id", "root"])
+
+
+def _components_in_part(table: pa.Table) -> pa.Table:
+    """(id, root) of a part (part, src, dst, component); a root is the component that is known of a node, if of any."""
+    src, dst, known = (table.column(k).to_pylist() for k in (1, 2, 3))
+    ids, to = _numbered([(src, dst)])
+    of = dict(zip(ids, _roots(to)))
+    names = {of[a]: c for a, c in zip(src, known) if c is not None}
+    kind = table.schema.field(1).type
+    return pa.table({"id": pa.array(ids, kind), "root": pa.array([names.get(r, ids[r]) for r in of.values()], kind)})
+
+
+def _leave_out(onward: dict, kept: set) -> None:
+    """Nodes that aren't kept are taken out of a graph {node: {next: length}} where that adds no edges: what leads to one leads on to what follows it, by the greatest length."""
+    back: dict = {}
+    for a, to in onward.items():
+        for b in to:
+            back.setdefault(b, set()).add(a)
+    ready = deque(sorted({*onward, *back} - kept))  # in order of ids, along which graphs are often narrow
+    while ready:
+        node = ready.popleft()
+        into, out = back.get(node, ()), onward.get(node, {})
+        if node in out or len(into) * len(out) > MOST_PAIRS or sum(b not in onward[a] for a in into for b in out) > len(into) + len(out):
+            continue
+        for a in into:
+            length = onward[a].pop(node)
+            for b, more in out.items():
+                onward[a][b] = max(onward[a].get(b, 0), length + more)
+                back[b].add(a)
+        for b in out:
+            back[b].discard(node)
+        ready.extend(x for x in (*into, *out) if x not in kept)
+        onward.pop(node, None)
+        back.pop(node, None)
+
+
+def _part_of(table: pa.Table) -> tuple[dict, dict]:
+    """The graph {node: {next: length}} of a part (part, src, dst, length), and the nodes to keep, which have no dst."""
+    onward, kept = {}, {}
+    for a, b, length in zip(*(table.column(k).to_pylist() for k in (1, 2, 3))):
+        if b is None:
+            kept[a] = None
+        else:
+            to = onward.setdefault(a, {})
+            to[b] = max(to.get(b, 0), length)
+    return onward, kept
+
+
+def _edge_table(edges: list[tuple], kind: pa.DataType) -> pa.Table:
+    return pa.table({name: pa.array([x[k] for x in edges], t) for k, (name, t) in enumerate((("src", kind), ("dst", kind), ("length", pa.int64())))})
+
+
+def _border_of_cycles(table: pa.Table) -> pa.Table:
+    """Edges by which the kept nodes of a part reach each other as before: those of a component in a ring, and between components what can't be left out."""
+    onward, kept = _part_of(table)
+    ids, to = _numbered([([a for a, far in onward.items() for _ in far], [b for far in onward.values() for b in far])])
+    members: dict = {}
+    of = {x: ids[r] for x, r in zip(ids, _roots(to))}
+    for x in kept:
+        members.setdefault(of.get(x, x), []).append(x)
+    edges = [(a, b, 1) for ring in members.values() if len(ring) > 1 for a, b in zip(ring, [*ring[1:], ring[0]])]
+    name = {x: members[r][0] if r in members else r for x, r in of.items()}
+    between: dict = {}
+    for a, far in onward.items():
+        for b in far:
+            if name[a] != name[b]:
+                between.setdefault(name[a], {})[name[b]] = 1
+    _leave_out(between, {ring[0] for ring in members.values()})
+    return _edge_table(edges + [(a, b, 1) for a, far in between.items() for b in far], table.schema.field(1).type)
 
 
 def cycle_report(edges: DataFrame, at_most: int = 10, local_edges: int = LOCAL_EDGES) -> DataFrame:

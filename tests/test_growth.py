@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.operators import edges as E, graph as G, search as S
-from sparkloom.operators.lineage import spread_join
+from sparkloom.operators.lineage import Rounds, spread_join
 from sparkloom.queries import graph as QG
 
 
@@ -53,3 +53,17 @@ def test_texts_of_spans_are_not_broadcast(spark):
     sites = E.call_sites(spans, sources)
     assert "Broadcast" not in sites._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, sites.collect())) == [(f"f{k}", f"f{k}", "run") for k in range(3)]
+
+
+def test_parts_are_reduced_to_their_borders(spark):
+    """Rings and chains through many parts of ids take a task a part and no rounds of labels; results are those of one task."""
+    ring = [(f"r{k:04}", f"r{(k + 1) % 600:04}") for k in range(600)]
+    sevens = [(f"s{7 * g + k:04}", f"s{7 * g + (k + 1) % 7:04}") for g in range(60) for k in range(7)] + [(f"s{7 * g:04}", f"s{7 * (g + d):04}") for g in range(57) for d in (1, 2, 3)]
+    tails = [("r0003", "s0000"), ("a", "r0001"), ("s0405", "z"), ("s0200", "s0100"), ("s0014", "s0014")]
+    edges = spark.createDataFrame(ring + sevens + tails, "src string, dst string")
+    one = sorted(map(tuple, G.strongly_connected(edges, 10_000).collect()))
+    rounds = Rounds(spark)
+    steps = edges.where("src <> dst").withColumn("length", F.lit(1).cast("long"))
+    left, parted = G._parted(steps, 20, 50, G._border_of_cycles, rounds)
+    assert len(parted) > 1 and left.count() < 60
+    assert sorted(map(tuple, G.strongly_connected(edges, 20, 50).collect())) == one and len(one) == 1020
