@@ -494,6 +494,13 @@ def _border_of_cycles(table: pa.Table) -> pa.Table:
     return _edge_table(edges + [(a, b, 1) for a, far in between.items() for b in far], table.schema.field(1).type)
 
 
+def _border_of_levels(table: pa.Table) -> pa.Table:
+    """Edges that give the kept nodes of a part the same longest paths; null stands for what is before all starts."""
+    onward, kept = _part_of(table)
+    _leave_out(onward, {None, *kept})
+    return _edge_table([(a, b, length) for a, far in onward.items() for b, length in far.items()], table.schema.field(1).type)
+
+
 def cycle_report(edges: DataFrame, at_most: int = 10, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """The first components on cycles with their sorted members."""
     return strongly_connected(edges, local_edges).groupBy("component").agg(F.sort_array(F.collect_set("id")).alias("members")).orderBy("component").limit(at_most)
@@ -540,46 +547,76 @@ def count_paths(edges: DataFrame, roots: DataFrame, depth: int = 64) -> DataFram
     return counts.join(roots.select("id").distinct(), "id", "left_semi").select("id", "paths")
 
 
-def topological_levels(edges: DataFrame, nodes: DataFrame | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def topological_levels(edges: DataFrame, nodes: DataFrame | None = None, local_edges: int = LOCAL_EDGES, part_edges: int = PART_EDGES) -> DataFrame:
     """(id, level): a node's level is one more than the greatest of what it depends on. A cycle raises ValueError. An edge goes from what is needed to what needs it.
 
-    A graph of at most local_edges edges goes to one task; else the levels are those of longest_paths()."""
-    kind = edges.schema["src"].dataType
+    A graph of at most local_edges edges goes to one task. Of a larger one, parts are reduced to their borders as in strongly_connected(), with the lengths
+    of the longest paths; levels of what is left come from one task or from longest_paths(), and each part then takes those of its own nodes from its border's."""
+    kind, one = edges.schema["src"].dataType, F.lit(1).cast("long")
     e = edges.select("src", "dst").distinct()
     ids = e.select(F.col("src").alias("id")).union(e.select("dst"))
     ids = (ids if nodes is None else ids.union(nodes.select("id"))).distinct()
+    first = ids.join(e.select(F.col("dst").alias("id")), "id", "left_anti").select(F.lit(None).cast(kind).alias("src"), F.col("id").alias("dst"), one.alias("length"))
+    every = e.withColumn("length", one).union(first)
     if e.limit(local_edges + 1).count() <= local_edges:
-        first = ids.join(e.select(F.col("dst").alias("id")), "id", "left_anti").select(F.lit(None).cast(kind).alias("src"), F.col("id").alias("dst"), F.lit(1).cast("long").alias("length"))
-        every = e.withColumn("length", F.lit(1).cast("long")).union(first)
-        levels = cut(every.coalesce(1).mapInArrow(_levels_of, f"id {kind.simpleString()}, level long"))
-        if levels.where("level is null").limit(1).count():
-            raise ValueError("the graph has a cycle")
-        return levels.select("id", (F.col("level") - 1).cast("int").alias("level"))
+        return _levels_in_one(every).select("id", F.col("level").cast("int").alias("level"))
     rounds = Rounds(edges.sparkSession)
-    found, _ = longest_paths(rounds.put("edges", e), ids, rounds)
-    return rounds.last(found.select("id", F.col("level").cast("int").alias("level")))
+    every = rounds.put("edges", every)
+    start = every.where("src is null").agg(F.min("dst")).first()[0]
+    if start is None or every.where("dst is null").limit(1).count():
+        raise ValueError("the graph has a cycle or a null id")
+    e, parted = _parted(every, local_edges, part_edges, _border_of_levels, rounds)
+    if e.limit(local_edges + 1).count() <= local_edges:
+        levels = _levels_in_one(e)
+    else:  # one start stands for all, at level 0
+        after = e.where("src is not null or length > 1").select(F.coalesce("src", F.lit(start)).alias("src"), "dst", (F.col("length") - F.when(F.col("src").isNull(), 1).otherwise(0)).alias("length"))
+        left = e.select(F.col("dst").alias("id")).union(after.select("src")).distinct()
+        levels, _ = longest_paths(after, left, rounds)
+    for k, (placed, nodes) in reversed(list(enumerate(parted))):
+        known = levels.join(nodes, "id").select("part", F.lit(None).cast(kind).alias("src"), "id", (F.col("level") + 1).alias("length"))
+        own = placed.where("part is not null").select("part", "src", "dst", "length").union(known.where("part is not null"))
+        found = own.groupBy("part").applyInArrow(_levels_in_part, f"id {kind.simpleString()}, level long")
+        levels = rounds.put(f"levels in parts {k}", found.union(known.where("part is null").select("id", F.col("length") - 1)))
+    return rounds.last(levels.select("id", F.col("level").cast("int").alias("level")))
+
+
+def _levels_in_one(every: DataFrame) -> DataFrame:
+    """(id, level) by one task from edges (src, dst, length), with one of length 1 from null to each start."""
+    levels = cut(every.coalesce(1).mapInArrow(_levels_of, f"id {every.schema['dst'].dataType.simpleString()}, level long"))
+    if levels.where("level is null").limit(1).count():
+        raise ValueError("the graph has a cycle")
+    return levels.select("id", (F.col("level") - 1).alias("level"))
+
+
+def _levels_in_part(table: pa.Table) -> pa.Table:
+    found = list(_levels_of(table.select([1, 2, 3]).to_batches()))
+    levels = [x - 1 for batch in found for x in batch.column(1).to_pylist()]
+    return pa.table({"id": pa.array([x for batch in found for x in batch.column(0).to_pylist()], table.schema.field(2).type), "level": pa.array(levels, pa.int64())})
 
 
 def longest_paths(e: DataFrame, ids: DataFrame, rounds: Rounds) -> tuple[DataFrame, int]:
-    """(id, level) of the ids, by improving choices, and the number of times that all nodes chose. A cycle raises ValueError.
+    """(id, level) of the ids, by improving choices, and the number of times that all nodes chose. A cycle raises ValueError. Edges (src, dst) may have a length.
 
     Each node that needs others chooses one of them. Along the choices, which form a forest, levels are lengths that doubling of pointers
     gives, in as many joins as the depth has bits. A node that another choice would put higher takes that one, and the lengths are taken
     anew, until no choice is better: levels then are one more than the greatest of what a node needs. A choice carries all of what
     hangs on it along, so chains and trees settle at once, and ladders and layers in some rounds, not one a level; a round more is due
     where better choices follow on each other in one path. Choices on a cycle never reach a start, which the doubling notices."""
-    choice = rounds.put("choice", e.groupBy(F.col("dst").alias("id")).agg(F.max("src").alias("to")))
+    if "length" not in e.columns:
+        e = e.withColumn("length", F.lit(1).cast("long"))
+    choice = rounds.put("choice", e.groupBy(F.col("dst").alias("id")).agg(F.max(F.struct("src", "length")).alias("x")).select("id", F.col("x.src").alias("to"), "x.length"))
     starts = rounds.put("starts", ids.join(choice.select("id"), "id", "left_anti"))
     taken = 0
     while True:
         taken += 1
         if choice.isEmpty():
             return starts.withColumn("level", F.lit(0).cast("long")), taken
-        lengths = _to_starts(choice.withColumn("length", F.lit(1).cast("long")), rounds)
+        lengths = _to_starts(choice, rounds)
         levels = rounds.put("levels", lengths.select("id", F.col("length").alias("level")).union(starts.withColumn("level", F.lit(0).cast("long"))))
-        best = e.join(levels.select(F.col("id").alias("src"), "level"), "src").groupBy(F.col("dst").alias("id")).agg(F.max(F.struct("level", "src")).alias("best"))
-        better = F.col("best.level") >= F.col("level")
-        choice = rounds.put("choice", choice.join(best, "id").join(levels, "id").select("id", F.when(better, F.col("best.src")).otherwise(F.col("to")).alias("to"), better.alias("moved")))
+        best = e.join(levels.select(F.col("id").alias("src"), "level"), "src").groupBy(F.col("dst").alias("id")).agg(F.max(F.struct((F.col("level") + F.col("length")).alias("level"), "src", "length")).alias("best"))
+        better = F.col("best.level") > F.col("level")
+        take = lambda own, new: F.when(better, F.col(f"best.{new}")).otherwise(F.col(own)).alias(own)
+        choice = rounds.put("choice", choice.join(best, "id").join(levels, "id").select("id", take("to", "src"), take("length", "length"), better.alias("moved")))
         if not choice.where("moved").limit(1).count():
             return levels, taken
         choice = choice.drop("moved")

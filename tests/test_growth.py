@@ -67,3 +67,8 @@ def test_parts_are_reduced_to_their_borders(spark):
     left, parted = G._parted(steps, 20, 50, G._border_of_cycles, rounds)
     assert len(parted) > 1 and left.count() < 60
     assert sorted(map(tuple, G.strongly_connected(edges, 20, 50).collect())) == one and len(one) == 1020
+    dag = [(f"n{k:04}", f"n{k + d:04}") for k in range(400) for d in (1, 2)] + [(f"m{999 - 2 * k - i:04}", f"m{997 - 2 * k - j:04}") for k in range(100) for i in (0, 1) for j in (0, 1)] + [("n0003", "m0990")]
+    order = spark.createDataFrame(dag, "src string, dst string")
+    levels = sorted(map(tuple, G.topological_levels(order, local_edges=10_000).collect()))
+    assert sorted(map(tuple, G.topological_levels(order, None, 20, 50).collect())) == levels
+    assert sorted(map(tuple, G.topological_levels(order, None, 1, 50).collect())) == levels  # what is left goes to longest_paths()
