@@ -506,13 +506,35 @@ def cycle_report(edges: DataFrame, at_most: int = 10, local_edges: int = LOCAL_E
     return strongly_connected(edges, local_edges).groupBy("component").agg(F.sort_array(F.collect_set("id")).alias("members")).orderBy("component").limit(at_most)
 
 
+#: Nodes of a walk's front that may be broadcast.
+BROADCAST_FRONT = 100_000
+
+
+def steps_within(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+    """The distinct edges (src, dst) that walks of at most depth steps from the roots (column id) take. A small front is broadcast, so the edges are only scanned; each node goes on once."""
+    rounds = Rounds(edges.sparkSession)
+    e = rounds.put("edges", edges.select("src", "dst").where("src <> dst"))
+    found, seen = e.limit(0), None
+    front = rounds.put("front", roots.select("id").distinct())
+    for level in range(depth):
+        n = front.count()
+        if not n:
+            break
+        near = F.broadcast(front) if n <= BROADCAST_FRONT else front
+        onward = rounds.put(f"onward {level}", e.join(near, F.col("src") == F.col("id"), "left_semi").distinct())
+        found = found.union(onward)
+        seen = rounds.put("seen", front if seen is None else seen.union(front))
+        front = rounds.put("front", onward.select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti"))
+    return rounds.last(found)
+
+
 def paths(edges: DataFrame, roots: DataFrame, depth: int = 64, at_most: int = 50_000) -> DataFrame:
     """The first paths, in order of their ids joined by ``;``, from roots (column id) to nodes where a walk ends, as arrays; a walk also ends
     before a node it has passed, and at depth. An id must not hold ``;``.
 
     Every walk that goes on ends somewhere, so each of the first ``at_most`` walks of a length stands for a path at least, and none that
     comes after them is needed: a step extends at most some at_most walks, however many paths there are."""
-    steps = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    steps = steps_within(edges, roots, depth)
     # a walk's text as a path, and before what follows it: which of both counts is known once it has been tried to go on
     walking = roots.select(F.array("id").alias("path"), F.col("id").alias("src"), F.col("id").cast("string").alias("text")).distinct()
     done = walking.select("path", "text").limit(0)
@@ -533,8 +555,8 @@ def paths(edges: DataFrame, roots: DataFrame, depth: int = 64, at_most: int = 50
 
 
 def count_paths(edges: DataFrame, roots: DataFrame, depth: int = 64) -> DataFrame:
-    """(id, paths): how many paths each root of an acyclic graph has, without making any. The number of a node's paths of at most some steps is the sum over what it leads to; beyond 38 digits it is null."""
-    steps = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    """(id, paths): how many paths each root of an acyclic graph has, without making any, over the edges that the roots' walks take. The number of a node's paths of at most some steps is the sum over what it leads to; beyond 38 digits it is null."""
+    steps = steps_within(edges, roots, depth)
     one = F.lit(1).cast("decimal(38,0)")
     counts = cut(steps.select(F.col("src").alias("id")).union(steps.select("dst")).union(roots.select("id")).distinct().withColumn("paths", one))
     for _ in range(depth):

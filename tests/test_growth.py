@@ -72,3 +72,13 @@ def test_parts_are_reduced_to_their_borders(spark):
     levels = sorted(map(tuple, G.topological_levels(order, local_edges=10_000).collect()))
     assert sorted(map(tuple, G.topological_levels(order, None, 20, 50).collect())) == levels
     assert sorted(map(tuple, G.topological_levels(order, None, 1, 50).collect())) == levels  # what is left goes to longest_paths()
+
+
+def test_walks_read_only_the_steps_of_their_roots(spark):
+    edges = spark.createDataFrame([(f"v{4 * k + i:04}", f"v{4 * k + 4 + j:04}") for k in range(60) for i in range(4) for j in range(4)] + [("v0005", "v0000"), ("v0001", "v0001")], "src string, dst string")
+    roots = spark.createDataFrame([("v0000",), ("none",)], "id string")
+    steps = G.steps_within(edges, roots, 3)
+    assert steps.count() == steps.distinct().count() == 4 + 16 + 17
+    chain = edges.where("dst <> 'v0000'")
+    assert sorted(map(tuple, G.count_paths(chain, roots, 3).collect())) == [("none", 1), ("v0000", 64)]
+    assert G.paths(chain, roots, 3).count() == 65
