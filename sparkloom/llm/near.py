@@ -1,7 +1,7 @@
 """What near-duplicate operators share: candidates from sketches, verification on whole sets, components.
 
-A node is a distinct set of hashed shingles, named by a digest ``fp``; copies of a text are one node. Its sketch is a row of
-registers of 16 bits, cut into bands of ROWS; nodes with a band in common form a group. Keys are dealt and sorted once: a task
+A node is a distinct set of hashed shingles, named by a digest ``fp``; copies of a text are one node. SimHash finds its candidates
+itself (``simhash``). SetSketch's are found here: a node's sketch is a row of registers of 16 bits, cut into bands of ROWS; nodes with a band in common form a group. Keys are dealt and sorted once: a task
 streams through them, forgets keys of one node, names the group of a key with few nodes by a hash of its members (so a group of
 near copies, which shares most of its keys, counts once) and hands members of a crowded key on as they come.
 
@@ -16,7 +16,7 @@ no link is lost. A group that holds many large groups which are not related stil
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -268,12 +268,13 @@ def spanning(n: int, pairs: np.ndarray) -> tuple[list[tuple[int, int]], list[int
     return found, [root(x) for x in range(n)]
 
 
-def connect(members: DataFrame, load: Callable[[DataFrame], DataFrame], relate: Callable[[pa.Table, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+def connect(members: DataFrame, load: Callable[[DataFrame], DataFrame], relate: Callable[[pa.Table, np.ndarray], tuple[np.ndarray, np.ndarray]], block_rows: int = 0, carry: Sequence[str] = ()) -> DataFrame:
     """Pairs (a, b) that connect what related pairs of each group connect.
 
-    members: group, fp and bytes, kept. load adds to a table with fp what relate reads. relate gives, for a table and where its blocks
-    begin, the rows that count, in order, and the related pairs of them within blocks, by place in that list."""
-    blocks = lambda rows, size: F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("long")
+    members: group, fp, bytes and what is carried with them; kept, or cheap to tell again. load adds to a table with fp what else relate reads.
+    relate gives, for a table and where its blocks begin, the rows that count, in order, and related pairs of them within blocks, by place in
+    that list, which connect what all such pairs connect."""
+    blocks = lambda rows, size: F.greatest(F.ceil(rows / (block_rows or BLOCK_ROWS)), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("long")
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     one, none = F.lit(1).cast("long"), F.lit(PIVOTS).cast("long")
 
@@ -295,13 +296,13 @@ def connect(members: DataFrame, load: Callable[[DataFrame], DataFrame], relate:
 
     crowded = cut(members.groupBy("group").agg(F.count("*").alias("n"), F.sum("bytes").alias("size")).select("group", blocks(F.col("n"), F.col("size")).alias("blocks")).where("blocks > 1"))
     if not crowded.limit(1).count():
-        return compared(members.select("group", F.lit(0).cast("long").alias("block"), "fp", none.alias("pivot"), one.alias("blocks")), "group", "block").select("a", "b").distinct()
+        return compared(members.select("group", F.lit(0).cast("long").alias("block"), "fp", none.alias("pivot"), one.alias("blocks"), *carry), "group", "block").select("a", "b").distinct()
     placed = members.join(crowded, "group", "left").withColumn("blocks", F.coalesce("blocks", one))
     own_block = F.pmod(F.xxhash64("fp"), F.col("blocks"))
     slot = F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(PIVOTS)).cast("long")
-    pivots = cut(placed.where("blocks > 1").groupBy("group", slot.alias("pivot")).agg(F.min("fp").alias("fp"), F.first("blocks").alias("blocks")))
-    plain = placed.join(pivots.select("group", "fp"), ["group", "fp"], "left_anti").select("group", own_block.alias("block"), "fp", none.alias("pivot"), "blocks")
-    dealt = plain.union(pivots.select("group", F.explode(upto(F.col("blocks"))).alias("block"), "fp", "pivot", "blocks"))
+    pivots = cut(placed.where("blocks > 1").groupBy("group", slot.alias("pivot")).agg(*(F.min_by(c, "fp").alias(c) for c in ("fp", "blocks", *carry))))
+    plain = placed.join(pivots.select("group", "fp"), ["group", "fp"], "left_anti").select("group", own_block.alias("block"), "fp", none.alias("pivot"), "blocks", *carry)
+    dealt = plain.union(pivots.select("group", F.explode(upto(F.col("blocks"))).alias("block"), "fp", "pivot", "blocks", *carry))
     first = cut(compared(dealt, "group", "block"))
     found = first.where("b is not null").select("a", "b").distinct()
     # what isn't connected to the pivot that most of the group are connected to meets all of the group
@@ -314,8 +315,8 @@ def connect(members: DataFrame, load: Callable[[DataFrame], DataFrame], relate:
     rests = loose.join(placed, ["group", "fp"]).groupBy("group").agg(blocks(F.count("*"), F.sum("bytes")).alias("rests"))
     in_rests = placed.join(rests, "group").join(loose.withColumn("is_loose", F.lit(True)), ["group", "fp"], "left").withColumn("block", own_block)
     a_rest = F.pmod(F.xxhash64("fp", F.lit(2)), F.col("rests"))
-    meets = in_rests.where("is_loose").select("group", a_rest.alias("rest"), F.explode(upto(F.col("blocks"))).alias("block"), "fp")
-    every = in_rests.select("group", F.explode(upto(F.col("rests"))).alias("rest"), "block", "fp")
+    meets = in_rests.where("is_loose").select("group", a_rest.alias("rest"), F.explode(upto(F.col("blocks"))).alias("block"), "fp", *carry)
+    every = in_rests.select("group", F.explode(upto(F.col("rests"))).alias("rest"), "block", "fp", *carry)
     again = compared(meets.union(every).distinct().select("*", none.alias("pivot"), one.alias("blocks")), "group", "rest", "block")
     return found.union(again.select("a", "b")).distinct()
 
@@ -412,16 +413,23 @@ def shares_equal(over: np.ndarray, under: np.ndarray, equal: np.ndarray, size_a:
     return equal / (over + under + equal)
 
 
-def similar(distinct: DataFrame, docs: DataFrame, shingles: Callable[[str | None], np.ndarray], rows: int, percent: int, estimate: Callable = shares_equal) -> DataFrame:
-    """Pairs a < b that connect what pairs of at least the similarity connect.
-
-    distinct has, for each node with shingles, fp, its set's size n, its text's bytes, its sketch and an id ``least`` of a document that has it.
-    docs has doc_id and text, shingles gives a text's sorted set."""
-    nodes, docs = distinct.select("fp", "n", "sketch"), docs.select("doc_id", "text")
+def likely_by_bands(nodes: DataFrame, rows: int, percent: int, estimate: Callable = shares_equal) -> DataFrame:
+    """Pairs that connect what pairs of nodes (fp, n, sketch) connect that share a band and whose registers make the similarity likely."""
 
     def by_sketch(table: pa.Table, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.arange(table.num_rows), likely_pairs(matrix(table.column("sketch")), table.column("n").to_numpy(), percent, estimate, starts)
 
+    members = cut(key_groups(nodes, rows))
+    return connect(members.withColumn("bytes", F.lit(1).cast("long")), lambda dealt: dealt.join(nodes, "fp"), by_sketch)
+
+
+def similar(distinct: DataFrame, docs: DataFrame, shingles: Callable[[str | None], np.ndarray], percent: int, likely: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs a < b that connect what pairs of at least the similarity connect.
+
+    distinct has, for each node with shingles, fp, its set's size n, its text's bytes, its sketch and an id ``least`` of a document that has it.
+    docs has doc_id and text, shingles gives a text's sorted set, likely the pairs of nodes (fp, n, sketch) to look at."""
+    docs = docs.select("doc_id", "text")
+
     def by_text(table: pa.Table, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         kept, pairs, fps, texts = [], [np.zeros((0, 2), np.int64)], table.column("fp").to_pylist(), table.column("text")
         for first, last in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows]):
@@ -432,9 +440,7 @@ def similar(distinct: DataFrame, docs: DataFrame, shingles: Callable[[str | None
             pairs.append(similar_pairs(sets, percent) + base)
         return np.array(kept, np.int64), np.concatenate(pairs)
 
-    members = cut(key_groups(nodes, rows))
-    likely = connect(members.withColumn("bytes", F.lit(1).cast("long")), lambda dealt: dealt.join(nodes, "fp"), by_sketch)
-    grouped = components(likely)
+    grouped = components(likely(distinct.select("fp", "n", "sketch")))
     both = grouped.select(F.col("u").alias("fp"), F.col("v").alias("group")).union(grouped.select("v", "v").distinct())
     wanted = cut(both.join(distinct.select("fp", "bytes", "least"), "fp"))
     ids, n = wanted.select("fp", "least"), wanted.count()

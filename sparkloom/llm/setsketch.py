@@ -127,7 +127,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each document."""
     found = cut(with_sketch(docs))
     distinct = cut(found.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.max("bytes").alias("bytes"), F.first("sketch").alias("sketch")))
-    pairs = near.similar(distinct, docs, shingle_set, ROWS, percent, similarity)
+    pairs = near.similar(distinct, docs, shingle_set, percent, lambda nodes: near.likely_by_bands(nodes, ROWS, percent, similarity))
     roots = near.components(pairs).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     rooted = distinct.select("fp", "least").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component"))

@@ -13,9 +13,14 @@ pair verified on the whole 64 bits. Only distinct fingerprints take part, so cop
 Components: local union-find in each partition of the links, then alternating large-star and small-star rounds (``near``).
 
 The pipeline's stage links by the sets of five-word shingles instead, at Jaccard similarity 0.8 or more: such texts differ in up
-to some 17 of the 64 bits, which no Golay keys reach. Texts with equal sets are one node, named by a digest of the set. Each
-distinct set has BANDS times BAND_ROWS MinHash values of 16 bits; how candidates, blocks and whole sets are compared is told in
-``near``. A pair at 0.8 shares a band with a chance of 0.99993, a closer one with a greater. Texts without words are equal.
+to some 17 of 64 bits, which no Golay keys reach. Texts with equal sets are one node, named by a digest of the set. So each distinct
+set has a SimHash of several words of 64 bits, each bit the majority of that bit in the shingles' hashes. In a table nodes are put
+into buckets by some of the bits, so many that a bucket has BUCKET_ROWS nodes at most on average, and there are as many tables as let
+a pair that differs in a share APART of its bits miss them all with a chance of MISSED; no bit serves two tables while they last. Within
+a bucket all nodes are compared by the CHECKED bits, which serve no table: pairs that differ in MOST_APART of them at most are
+candidates, whose whole sets are then compared; blocks and components are told in ``near``. At 0.8 a share of 0.152 of the bits differs
+on average, in sets of 12 and 15 shingles 0.161, and 0.188, the most, where one of four shingles is part of one of five: at two million
+nodes a pair of these misses the tables with a chance of 0.002. Texts without words are equal.
 
 Defined results: a null or wordless text has fingerprint zero, which links like any other. component_id is the least non-null
 doc_id of the rows reachable, null if there is none. Repeated rows keep a row each. An empty table gives no rows.
@@ -23,6 +28,7 @@ doc_id of the rows reachable, null if there is none. Repeated rows keep a row ea
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 from itertools import combinations, repeat
@@ -32,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import near
-from .common import columns, cut, load, map_arrow, row_and, utf8
+from .common import columns, cut, load, map_arrow, row_and, slices, utf8
 from .near import components, set_digest
 
 WORDS = 3
@@ -40,7 +46,14 @@ SEED = 42
 MAX_BITS = 2
 #: Words of a shingle and least Jaccard similarity of the pipeline's stage.
 STAGE_WORDS, STAGE_SIMILARITY = 5, 0.8
-BANDS, BAND_ROWS = 24, 5
+#: Words of 64 bits of the stage's fingerprints at most, and how many of them, from the first on, are compared within buckets.
+MOST_WORDS, CHECKED = 32, 3
+#: Nodes of a bucket on average, at most; share of bits that are taken to differ in pairs at the similarity; their chance to share no bucket.
+BUCKET_ROWS, APART, MISSED = 1024, 0.161, 1e-4
+#: Bits of the first two words, and of all checked words, in which candidates differ at most: 4.5 and 3.3 standard deviations more than any pair at 0.8 has on average.
+MOST_APART = (44, 54)
+#: Rows of a bucket that are compared with the others at once, and near.BLOCK_ROWS of a block.
+COMPARED, BUCKET_BLOCKS = 32, 8
 #: Shingle hashes that a Python worker counts at once.
 AT_ONCE = 1 << 17
 #: Documents of a batch handed back to Spark.
@@ -180,24 +193,85 @@ def links(distinct: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- similar sets of shingles
 
-_MIXERS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+_STEPS = np.random.default_rng(SEED).integers(0, 1 << 63, MOST_WORDS, np.uint64)
+#: A byte's bits as bytes, which are added up for 255 rows at once.
+_LANES, LANE_ROWS = np.unpackbits(np.arange(256, dtype=np.uint8), bitorder="little").view(np.uint64), 255
+
+
+def wide_fingerprint(own: np.ndarray, words: int = MOST_WORDS) -> np.ndarray:
+    """Bits of a set's SimHash, as bytes: those that are set in over half of what its shingles' hashes are mixed to."""
+    counts = np.zeros(64 * words, np.int64)
+    for at in range(0, len(own), LANE_ROWS):
+        mixed = near.mixed(own[at : at + LANE_ROWS, None] + _STEPS[:words])
+        counts += _LANES[mixed.astype("<u8", copy=False).view(np.uint8)].sum(axis=0).view(np.uint8)
+    return np.packbits(2 * counts > len(own), bitorder="little")
+
+
+def table_bits(nodes: int) -> tuple[np.ndarray, int]:
+    """The bits that are the key of each table, a row each, for so many nodes, and the words that fingerprints have then; no bits where one bucket does."""
+    width = max(0, math.ceil(math.log2(max(1, nodes) / BUCKET_ROWS)))
+    tables = math.ceil(math.log(MISSED) / math.log(1 - (1 - APART) ** width)) if width else 1
+    words = min(MOST_WORDS, CHECKED + -(-tables * width // 64))
+    source, out = np.random.default_rng(SEED), [np.zeros(0, np.int64)] * (not width)
+    while len(out) < tables:
+        order = source.permutation(np.arange(64 * CHECKED, 64 * words))
+        out += [order[k : k + width] for k in range(0, len(order) - width + 1, width)]
+    return np.array(out[:tables], np.int64).reshape(tables, width), words
+
+
+def close_pairs(prints: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Places x < y of a bucket's nodes that connect what pairs connect that differ in few of the checked bits and whose sets' sizes allow the similarity."""
+    out, label = [np.zeros((0, 2), np.int64)], np.arange(len(prints))
+    first, second = np.ascontiguousarray(prints[:, 0]), np.ascontiguousarray(prints[:, 1])
+    for at in range(0, len(prints), COMPARED):
+        apart = np.bitwise_count(first[at : at + COMPARED, None] ^ first[at:])
+        apart += np.bitwise_count(second[at : at + COMPARED, None] ^ second[at:])
+        x, y = np.divmod(np.flatnonzero(apart <= MOST_APART[0]), len(prints) - at)
+        x, y = x[y > x] + at, y[y > x] + at
+        few = 100 * np.minimum(sizes[x], sizes[y]) >= percent * np.maximum(sizes[x], sizes[y])
+        x, y = x[few], y[few]
+        near_ = np.bitwise_count(prints[x] ^ prints[y]).sum(axis=1, dtype=np.int64) <= MOST_APART[1]
+        x, y = x[near_], y[near_]
+        if len(x) > 16 * COMPARED:  # of many pairs those that connect something new
+            kept = []
+            starts = np.flatnonzero(np.diff(x, prepend=-1))
+            for low, high in zip(starts.tolist(), [*starts[1:].tolist(), len(x)]):
+                met, which = np.unique(label[y[low:high]], return_index=True)
+                new = met != label[x[low]]
+                if new.any():
+                    kept.append(low + which[new])
+                    own = np.append(met, label[x[low]])
+                    label[np.isin(label, own)] = own.min()
+            kept = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+            x, y = x[kept], y[kept]
+        out.append(np.stack([x, y], axis=1))
+    return np.concatenate(out)
 
 
-def sketches(sets: list[np.ndarray]) -> list[bytes | None]:
-    """16 bits of each set's least value under each of the mixers, none of an empty set."""
-    full = [k for k, own in enumerate(sets) if len(own)]
-    out: list[bytes | None] = [None] * len(sets)
-    if full:
-        hashes = np.concatenate([sets[k] for k in full])
-        starts = np.cumsum([0, *(len(sets[k]) for k in full[:-1])])
-        least = np.stack([np.minimum.reduceat(hashes * a + b, starts) for a, b in _MIXERS.T], axis=1)
-        for k, own in zip(full, (least >> np.uint64(24)).astype(np.uint16)):  # the highest bits tell the set's size, the lowest are mixed least
-            out[k] = own.tobytes()
-    return out
+def likely(nodes: DataFrame, percent: int, bits: np.ndarray) -> DataFrame:
+    """Pairs that connect what pairs of nodes (fp, n, sketch) connect that share a bucket of the tables' bits and differ in few bits."""
+    tables, powers = np.arange(len(bits), dtype=np.int64) << 32, np.int64(1) << np.arange(bits.shape[1], dtype=np.int64)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (part for batch in batches for part in slices(batch)):
+            own = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(part), -1)
+            groups = tables + np.unpackbits(own, axis=1, bitorder="little")[:, bits] @ powers
+            rows = pa.array(np.repeat(np.arange(len(part)), len(bits)))
+            checked = pa.array([x.tobytes() for x in own[:, : 8 * CHECKED]], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(groups.ravel()), part.column(0).take(rows), part.column(1).take(rows), checked.take(rows)], names=["group", "fp", "n", "bits"])
+
+    def relate(table: pa.Table, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        prints = np.frombuffer(b"".join(table.column("bits").to_pylist()), "<u8").reshape(-1, CHECKED)
+        sizes = table.column("n").to_numpy()
+        pairs = [close_pairs(prints[a:b], sizes[a:b], percent) + a for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(prints)])]
+        return np.arange(len(prints)), np.concatenate(pairs)
+
+    members = map_arrow(nodes.select("fp", "n", "sketch"), keyed, "group long, fp long, n long, bits binary").withColumn("bytes", F.lit(64).cast("long"))
+    return near.connect(members, lambda dealt: dealt, relate, BUCKET_BLOCKS * near.BLOCK_ROWS, ["n", "bits"])
 
 
-def with_set(docs: DataFrame, width: int, keep: Iterable[str] = ("doc_id",)) -> DataFrame:
-    """Struct ``row`` of the kept columns, fp: the digest of the text's set of shingles, n: its size, the text's bytes and the set's sketch."""
+def with_set(docs: DataFrame, width: int, words: int, keep: Iterable[str] = ("doc_id",)) -> DataFrame:
+    """Struct ``row`` of the kept columns, fp: the digest of the text's set of shingles, n: its size, the text's bytes and the sketch, the set's wide SimHash, null for an empty set."""
     left = docs.select(F.struct(*columns(keep)).alias("row"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +281,7 @@ def with_set(docs: DataFrame, width: int, keep: Iterable[str] = ("doc_id",)) ->
                 texts = own.column(1).to_pylist()
                 sets = [near.shingle_set(x, width) for x in texts]
                 numbers = (list(map(set_digest, sets)), list(map(len, sets)), [len(utf8(x)) for x in texts])
-                yield pa.RecordBatch.from_arrays([own.column(0), *(pa.array(x, pa.int64()) for x in numbers), pa.array(sketches(sets), pa.binary())], names=["row", "fp", "n", "bytes", "sketch"])
+                yield pa.RecordBatch.from_arrays([own.column(0), *(pa.array(x, pa.int64()) for x in numbers), pa.array([wide_fingerprint(x, words).tobytes() if len(x) else None for x in sets], pa.binary())], names=["row", "fp", "n", "bytes", "sketch"])
 
     return map_arrow(left, run, row_and(left, "fp long, n long, bytes long, sketch binary"))
 
@@ -243,8 +317,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, similarity: float |
         marked, pairs, more = with_fingerprint, links, []
     else:
         sets = partial(near.shingle_set, width=width)
-        marked, more = (lambda d, *keep: with_set(d, width, *keep)), ["n", "bytes", "sketch"]
-        pairs = lambda distinct: near.similar(distinct.where("n > 0"), docs, sets, BAND_ROWS, round(100 * similarity))
+        bits, words = table_bits(docs.count())
+        marked, more = (lambda d, *keep: with_set(d, width, words, *keep)), ["n", "bytes", "sketch"]
+        percent = round(100 * similarity)
+        pairs = lambda distinct: near.similar(distinct.where("n > 0"), docs, sets, percent, partial(likely, percent=percent, bits=bits))
     found = cut(marked(docs).select("row.doc_id", "fp", *more))
     labels = label(found, F.col("doc_id"), pairs, more)
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))

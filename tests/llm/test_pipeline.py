@@ -169,3 +169,40 @@ def test_near_dedup_links_at_similarity(spark, monkeypatch):
     nameless = more.withColumn("doc_id", F.lit(None).cast("long"))
     assert corpus_pipeline.dedup_stage(spark, nameless, SF).count() == len(five_word_components(copies + odd))
     assert dict(corpus_pipeline.STAGES)["SimHash near-dedup"] is corpus_pipeline.dedup_stage
+
+
+def test_near_dedup_candidates_come_from_simhash(spark, monkeypatch):
+    """The stage's links are those of brute force where its SimHash tables have many buckets; registers and bands of other sketches have no part."""
+    for name in ("key_groups", "band_keys", "likely_pairs"):
+        monkeypatch.setattr(near, name, None)
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", 16)
+    r = random.Random(8)
+    rows = []
+    for k in range(150):
+        words = [f"{k}-{n}" for n in range(r.randrange(30, 200))]
+        rows.append((k, " ".join(words)))
+        for c in range(r.randrange(4)):  # copies around the similarity of 0.8
+            own = list(words)
+            for _ in range(max(1, len(words) * r.randrange(1, 5) // 100)):
+                own[r.randrange(len(own))] = f"x{r.random()}"
+            rows.append((1000 + 10 * k + c, " ".join(own)))
+    bits, words = simhash.table_bits(len(rows))
+    assert bits.shape[1] >= 4 and len(np.unique(bits)) == bits.size and bits.min() >= 64 * simhash.CHECKED and bits.max() < 64 * words
+    want = five_word_components(rows)
+    assert 150 < len(want) < len(rows) - 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(x["doc_id"] for x in corpus_pipeline.dedup_stage(spark, docs, SF).collect()) == want
+
+
+def test_wide_fingerprints(spark):
+    r = np.random.default_rng(2)
+    for n in (1, 2, 254, 255, 256, 700):
+        own = r.integers(0, 1 << 63, n, np.uint64)
+        mixed = near.mixed(own[:, None] + simhash._STEPS[:4])
+        bits = np.unpackbits(mixed.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=int)
+        assert np.unpackbits(simhash.wide_fingerprint(own, 4), bitorder="little").tolist() == (2 * bits > n).astype(int).tolist()
+    # of many pairs those are given that connect what all connect
+    prints = np.repeat(r.integers(0, 1 << 63, (3, 3), np.uint64), 80, 0) ^ (np.uint64(1) << r.integers(0, 63, (240, 3)).astype(np.uint64))
+    pairs = simhash.close_pairs(prints, np.full(240, 9), 80)
+    assert near.spanning(240, pairs)[1] == [k - k % 80 for k in range(240)] and len(pairs) < 3000
+    assert len(simhash.close_pairs(prints[:2], np.array([7, 9]), 80)) == 0
