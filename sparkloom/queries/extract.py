@@ -67,8 +67,8 @@ def _(t: Tables) -> DataFrame:
     files = F.explode(F.array(*(F.struct(F.lit(x).alias("extension"), F.lit(content).alias("content")) for x, (content, _) in _LANGUAGES.items()))).alias("file")
     letters = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]", "")
     number = F.col("doc_id").cast("string")
-    content = F.replace(F.replace(F.col("file.content"), F.lit("@N"), number), F.lit("@T"), letters)
-    sources = t.documents.select("doc_id", "text", files).select(F.concat(F.lit("d"), number, F.lit("."), "file.extension").alias("filepath"), content.alias("content"))
+    content = F.replace(F.replace(F.col("file.content"), F.lit("@N"), number), F.lit("@T"), F.col("letters"))
+    sources = t.documents.select("doc_id", letters.alias("letters")).select("doc_id", "letters", files).select(F.concat(F.lit("d"), number, F.lit("."), "file.extension").alias("filepath"), content.alias("content"))
     return X.symbols(sources, None).select("id", "kind", "role", "start_byte", "end_byte", "semantic_hash")
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import edges as E, graph as G, search as S
 from sparkloom.operators.lineage import Rounds, spread_join
-from sparkloom.queries import graph as QG
+from sparkloom.queries import extract as QX, graph as QG
+from sparkloom.sources import extract as X
 
 
 def test_traces_meet_the_first_symbols_of_a_name_only(spark):
@@ -82,3 +83,18 @@ def test_walks_read_only_the_steps_of_their_roots(spark):
     chain = edges.where("dst <> 'v0000'")
     assert sorted(map(tuple, G.count_paths(chain, roots, 3).collect())) == [("none", 1), ("v0000", 64)]
     assert G.paths(chain, roots, 3).count() == 65
+
+
+def test_letters_are_told_once_and_comments_passed_once(spark, small_dir):
+    """sc11_scopes: a text's letters aren't told again for each language; a declaration is tried where one may begin, not at each place of what a comment leaves."""
+    plan = QX.query.queries["sc11_scopes"](spark, small_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1 and plan.index("Generate") < plan.index("regexp_replace")
+    rust = next(x for x in X.BUILT_IN if x.name == "rust")
+    assert X._masked("a /* b\n\n c */ d", rust) == "a     \n\n      d"
+    edge = "/***/ fn a() {}\n/*/ fn no() {} */ fn b() {} mod m; fn c() { fn d() {} }struct S;fn e() {}\n  pub fn f() {}\n/* open fn g() {}"
+    assert [r[1] for r in X.extract_symbols("a.rs", edge)] == ["a", "b", "m", "c", "d", "S", "e", "f"]
+    masked = X._masked(edge, rust)
+    places = [0, *(m.end() for m in X._BEFORE_ANCHOR.finditer(masked))]
+    for _, _, pattern in X._patterns(rust):
+        assert [m.span() for m in X._matches(pattern, masked, places)] == [m.span() for m in pattern.finditer(masked)]
+    assert [r[1] for r in X.extract_symbols("a.js", "function f() { return `a ${g(`}`)} \\` $ {`; }\nclass K {}")] == ["f", "K"]
