@@ -17,7 +17,9 @@ def _sources(t: Tables, edited: bool = False) -> DataFrame:
     k = F.col("c_custkey")
     called = F.when(F.lit(edited) & (k % 9 == 4), k * 3 % 100).otherwise(k * 7 % 100)
     content = F.format_string("use crate::m::c%d;\nfn c%d() {\n    c%d();\n}\n\npub fn d%d(x: u8) -> u8 {\n    c%d();\n}\n", k % 50, k, called, k, k)
-    return t.customer.select(F.format_string("src/c%d.rs", k).alias("filepath"), content.alias("content"))
+    # narrow keys are dealt to all tasks before texts are made of them: a small file would be one task's
+    keys = t.customer.select("c_custkey").repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
+    return keys.select(F.format_string("src/c%d.rs", k).alias("filepath"), content.alias("content"))
 
 
 _K = "ks AS (SELECT c_custkey AS k, 'src/c' || c_custkey || '.rs' AS filepath, 'use crate::m::c' || (c_custkey % 50) || ';' || chr(10) AS head, 'fn c' || c_custkey || '() {' || chr(10) || '    c' || (c_custkey * 7 % 100) || '();' || chr(10) || '}' || chr(10) || chr(10) AS one, 'pub fn d' || c_custkey || '(x: u8) -> u8 {' || chr(10) || '    c' || c_custkey || '();' || chr(10) || '}' || chr(10) AS two FROM customer)"

@@ -98,3 +98,8 @@ def test_letters_are_told_once_and_comments_passed_once(spark, small_dir):
     for _, _, pattern in X._patterns(rust):
         assert [m.span() for m in X._matches(pattern, masked, places)] == [m.span() for m in pattern.finditer(masked)]
     assert [r[1] for r in X.extract_symbols("a.js", "function f() { return `a ${g(`}`)} \\` $ {`; }\nclass K {}")] == ["f", "K"]
+
+
+def test_small_tables_of_sources_go_to_all_tasks(spark, small_dir):
+    sources = QX._sources(QX.Tables(spark, small_dir))
+    assert sources.rdd.getNumPartitions() == 4 and sources.select(F.spark_partition_id()).distinct().count() == 4
