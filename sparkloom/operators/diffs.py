@@ -84,20 +84,29 @@ def unified(old: str | None, new: str | None) -> str:
     return "\n".join(out)
 
 
+#: Files whose texts and diffs a task holds as Python objects at once.
+ROWS = 200
+
+
+def change_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Changes of batches (path, change, old, new), of some files at a time; what was freed goes back to the system after each batch."""
+    for whole in batches:
+        for k in range(0, len(whole), ROWS):
+            batch = whole.slice(k, ROWS)
+            old, new = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            found = [added_removed(x, y) for x, y in zip(old, new)]
+            lines = pa.array([[{"line_no": n, "line": line} for n, line in added] for added, _ in found], pa.list_(pa.struct([("line_no", pa.int64()), ("line", pa.string())])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lines, pa.array([r for _, r in found], pa.int64()), pa.array([unified(x, y) for x, y in zip(old, new)], pa.string())], names=["path", "change", "added_lines", "removed", "diff"])
+        pa.default_memory_pool().release_unused()
+
+
 def raw_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """J17, DF1, DF2: (path, change, added_lines, removed, changed_lines, diff) of files (path, content) that differ between two versions."""
     a, b = before.select("path", F.struct(F.col("content").alias("text")).alias("old")), after.select("path", F.struct(F.col("content").alias("text")).alias("new"))
     change = F.when(F.col("old").isNull(), "created").when(F.col("new").isNull(), "deleted").otherwise("modified")
     joined = a.join(b, "path", "full_outer").where(~F.col("old").eqNullSafe(F.col("new"))).select("path", change.alias("change"), F.col("old.text").alias("old"), F.col("new.text").alias("new"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            old, new = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            found = [added_removed(x, y) for x, y in zip(old, new)]
-            lines = pa.array([[{"line_no": n, "line": line} for n, line in added] for added, _ in found], pa.list_(pa.struct([("line_no", pa.int64()), ("line", pa.string())])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lines, pa.array([r for _, r in found], pa.int64()), pa.array([unified(x, y) for x, y in zip(old, new)])], names=["path", "change", "added_lines", "removed", "diff"])
-
-    out = joined.mapInArrow(run, "path string, change string, added_lines array<struct<line_no:bigint,line:string>>, removed long, diff string")
+    out = joined.mapInArrow(change_batches, "path string, change string, added_lines array<struct<line_no:bigint,line:string>>, removed long, diff string")
     return out.withColumn("changed_lines", F.size("added_lines") + F.col("removed"))
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from sparkloom.operators import edges as E, graph as G, search as S
+from sparkloom.operators import diffs as D, edges as E, graph as G, search as S
 from sparkloom.operators.lineage import Rounds, spread_join
 from sparkloom.queries import extract as QX, graph as QG
 from sparkloom.sources import extract as X
@@ -103,3 +104,12 @@ def test_letters_are_told_once_and_comments_passed_once(spark, small_dir):
 def test_small_tables_of_sources_go_to_all_tasks(spark, small_dir):
     sources = QX._sources(QX.Tables(spark, small_dir))
     assert sources.rdd.getNumPartitions() == 4 and sources.select(F.spark_partition_id()).distinct().count() == 4
+
+
+def test_changes_of_some_files_at_a_time():
+    n = 2 * D.ROWS + 1
+    batch = pa.RecordBatch.from_arrays([pa.array([f"p{k}" for k in range(n)]), pa.array(["modified"] * n), pa.array(["a\nb"] * n), pa.array(["a\nc"] * n)], names=["path", "change", "old", "new"])
+    out = list(D.change_batches(iter([batch])))
+    assert [len(x) for x in out] == [D.ROWS, D.ROWS, 1]
+    assert [x["path"] for part in out for x in part.to_pylist()] == [f"p{k}" for k in range(n)]
+    assert out[2].to_pylist()[0] == {"path": f"p{n - 1}", "change": "modified", "added_lines": [{"line_no": 2, "line": "c"}], "removed": 1, "diff": " a\n-b\n+c"}
