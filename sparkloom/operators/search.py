@@ -174,14 +174,25 @@ NOISE = ("thread", "panicked", "at", "main")
 
 def trace_tokens(texts: DataFrame, noise: Sequence[str] = NOISE) -> DataFrame:
     """TX7: (id, token): what a trace (id, text) names: tokens without position, their leaves, stems and paths without extension."""
-    raw = texts.select("id", F.explode(F.split("text", r"[^A-Za-z0-9_:./\\]+")).alias("raw")).select("id", F.regexp_replace("raw", r"^[:./\\]+|[:./\\]+$", "").alias("raw")).where("raw <> ''")
-    base = raw.select("id", F.regexp_replace("raw", r"(?::[0-9]*){1,2}$", "").alias("token"))
-    token = F.col("token")
-    is_path = token.rlike(r"[/\\]")
-    bare = F.when(is_path, F.regexp_extract(token, r"^(.+)\.[A-Za-z0-9]{0,4}$", 1))
-    stem = F.when(is_path, F.regexp_extract(token, r"([^/\\.]*)(?:\.[^/\\]*)?$", 1))
-    every = F.explode(F.array(token, bare, F.regexp_extract(token, r"([^:./\\]*)$", 1), stem)).alias("token")
-    return base.select("id", every).where(F.length("token") >= 3).where(~F.col("token").isin(*noise)).distinct()
+    # runs are extracted, as splitting by the class's complement takes six times as long; a token that is under three letters gives no longer ones
+    words = F.filter(F.transform(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9_:./\\]+"), F.lit(0)), lambda w: F.btrim(w, F.lit(":./\\"))), lambda w: F.length(w) >= 3)
+    base = F.transform(F.array_distinct(words), lambda w: F.when(F.contains(w, F.lit(":")), F.regexp_replace(w, r"(?::[0-9]*){1,2}$", "")).otherwise(w))
+    each = texts.select("id", F.explode(F.array_distinct(F.flatten(F.transform(base, _names)))).alias("token")).where(F.length("token") >= 3).where(~F.col("token").isin(*noise))
+    # a row's tokens are distinct already; only those of ids with several rows are compared
+    several = cut(texts.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("id").alias("again"), F.lit(True).alias("several")))
+    if several.isEmpty():
+        return each
+    marked = each.join(_counted(several), F.equal_null("id", "again"), "left")
+    return marked.where("several is null").select("id", "token").union(marked.where("several").select("id", "token").distinct())
+
+
+def _names(token: Column) -> Column:
+    """A token, its leaf, and for a path what stands before its extension and its stem; a plain word is all of them."""
+    last = F.substring_index(F.translate(token, "\\", "/"), "/", -1)
+    leaf_ = F.substring_index(F.translate(token, ":.\\", "///"), "/", -1)
+    bare = F.regexp_extract(token, r"^(.+)\.[A-Za-z0-9]{0,4}$", 1)
+    path = F.array(token, bare, leaf_, F.substring_index(last, ".", 1))
+    return F.when(token.rlike(r"[/\\]"), path).when(token.rlike("[:.]"), F.array(token, leaf_)).otherwise(F.array(token))
 
 
 def trace_summary(found: DataFrame) -> DataFrame:

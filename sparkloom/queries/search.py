@@ -113,7 +113,9 @@ tokens AS (SELECT DISTINCT id, token FROM named WHERE length(token) >= 3 AND tok
 def _traces(t: Tables) -> DataFrame:
     k = lambda n: (F.col("o_custkey") % n).cast("string")
     text = F.concat(F.lit("thread 'main' panicked at src/"), F.lower(F.replace("o_orderpriority", F.lit(" "), F.lit(""))), F.lit("/m"), k(7), F.lit(".rs:"), (F.col("o_orderkey") % 90).cast("string"), F.lit(":5: crate::w"), k(11), F.lit('::run_job, File "pkg/svc'), k(5), F.lit('.py", line 41, in handle'))
-    return t.orders.select(F.col("o_orderkey").cast("string").alias("id"), text.alias("text"))
+    # a small file of orders is one task's: they are dealt to all tasks before texts are made of them
+    dealt = t.orders.select(F.col("o_orderkey").cast("string").alias("id"), "o_orderkey", "o_custkey", "o_orderpriority").repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    return dealt.select("id", text.alias("text"))
 
 
 @query("tx7_trace_tokens", f"WITH {_TRACE_TOKENS} SELECT id, token FROM tokens")
