@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .lineage import cut
 from .policy import is_source_file, is_test_file
 
 #: Rows of a longest-common-subsequence table held at once, at each level of its parts; bytes of masks of lines that are kept; lines that a bounded diff looks ahead.
@@ -178,6 +179,8 @@ LARGE_CHANGE = 300
 
 def review_findings(changes: DataFrame, syntax: DataFrame | None = None) -> DataFrame:
     """DF3, T6: (severity, code, file, line): risky calls and markers in added lines, large changes, changed files with errors of syntax (file), and source changes without any test's, the gravest first."""
+    # read several times, so texts are compared once; whole diffs aren't needed
+    changes = cut(changes.select("path", "added_lines", "changed_lines"))
     lines = changes.select("path", F.explode("added_lines").alias("x")).select("path", "x.line_no", "x.line")
     risky = lines.where(F.col("line").rlike(r"unwrap\(|expect\(|panic!")).select(F.lit("medium").alias("severity"), F.lit("risky_api").alias("code"), F.col("path").alias("file"), F.col("line_no").alias("line"))
     marked = lines.where(F.col("line").rlike("TODO|FIXME|XXX")).select(F.lit("low"), F.lit("todo_marker"), "path", "line_no")
