@@ -251,9 +251,11 @@ def realization_edges(symbols: DataFrame) -> DataFrame:
     return _edges(found.where("impl <> target"), "impl", "target", "realizes", "structural", F.lit(0.95), "index:realization", F.array(F.lit("indexed"), F.lit("trait_realization")))
 
 
-def build_edges(symbols: DataFrame, sources: DataFrame, wrapper_dirs: Sequence[str] = (), core_dirs: Sequence[str] = ()) -> DataFrame:
-    """All edges of the symbols; of equal (src, dst, kind) the most confident."""
-    found = link_edges(symbols).union(containment_edges(symbols)).union(call_edges(symbols, sources)).union(import_edges(symbols, sources)).union(realization_edges(symbols))
+def build_edges(symbols: DataFrame, sources: DataFrame, wrapper_dirs: Sequence[str] = (), core_dirs: Sequence[str] = (), sites: DataFrame | None = None, imports: DataFrame | None = None) -> DataFrame:
+    """All edges of the symbols; of equal (src, dst, kind) the most confident. With tables of call_sites() and import_names() no text is read."""
+    calls = call_edges_of(call_sites(symbols, sources) if sites is None else sites, symbols)
+    used = import_edges_of(import_names(sources) if imports is None else imports, symbols)
+    found = link_edges(symbols).union(containment_edges(symbols)).union(calls).union(used).union(realization_edges(symbols))
     if wrapper_dirs and core_dirs:
         found = found.union(bridge_edges(symbols, wrapper_dirs, core_dirs))
     return strongest_edges(found).select(*COLUMNS)
@@ -271,16 +273,18 @@ def refresh_edges(edges: DataFrame, symbols: DataFrame, sources: DataFrame, touc
 
     What the names of touched files resolve to may change anywhere, so edges at impacted symbols, and at callers and importers of
     their names, are built anew, from these symbols, their files and the symbols of the names they use; the others stay. With the
-    tables of call_sites() and import_names() from before, only touched files' text is read."""
-    changed = touched.select("filepath").distinct()
+    tables of call_sites() and import_names() from before, only touched files' text is read. Symbols are read several times, so they
+    should come from a table or be cut."""
+    # what is read several times is computed once
+    changed, edges = cut(touched.select("filepath").distinct()), cut(edges.select(*COLUMNS))
     known = symbols.select("filepath", "id", "name", "link_name")
     gone = removed.select("filepath", "id", "name", "link_name") if removed is not None else known.limit(0)
     impacted = cut(impacted_ids(known.union(gone), touched))
     near = edges.join(impacted.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id"))
     names = known.union(gone).join(impacted, "id", "left_semi").select("name").distinct()
     here = sources.join(changed, "filepath", "left_semi")
-    sites = call_sites(symbols, sources) if sites is None else sites.join(changed, "filepath", "left_anti").unionByName(call_sites(symbols.join(changed, "filepath", "left_semi"), here))
-    imports = import_names(sources) if imports is None else imports.join(changed, "filepath", "left_anti").unionByName(import_names(here))
+    sites = cut(call_sites(symbols, sources) if sites is None else sites.join(changed, "filepath", "left_anti").unionByName(call_sites(symbols.join(changed, "filepath", "left_semi"), here)))
+    imports = cut(import_names(sources) if imports is None else imports.join(changed, "filepath", "left_anti").unionByName(import_names(here)))
     callers = sites.withColumn("name", leaf(F.col("called"))).join(names, "name", "left_semi").select(F.col("caller").alias("id"))
     importers = imports.withColumn("name", leaf(F.col("imported"), "[.:/]")).join(names, "name", "left_semi").select("filepath").distinct()
     again = cut(impacted.union(near).union(callers).union(symbols.join(importers, "filepath", "left_semi").select("id")).distinct())

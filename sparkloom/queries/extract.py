@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import diffs as D, edges as E, search as S
+from ..operators.lineage import cut
 from ..sources import extract as X, manifests as M
 from ..streaming import logs as L, run as R
 from .base import Registry, Tables
@@ -126,10 +127,14 @@ def _(t: Tables) -> DataFrame:
 @query("g10_refresh", _all_edges(_EDITED))
 def _(t: Tables) -> DataFrame:
     before, after = _sources(t), _sources(t, edited=True)
-    touched = after.join(before, ["filepath", "content"], "left_anti").select("filepath")
-    stored = E.build_edges(X.symbols(before), before)
-    sites, imports = E.call_sites(X.symbols(before), before), E.import_names(before)
-    return E.refresh_edges(stored, X.symbols(after), after, touched, X.symbols(before).join(touched, "filepath", "left_semi"), sites, imports).select("src", "dst", "kind", "confidence")
+    touched = cut(after.join(before, ["filepath", "content"], "left_anti").select("filepath"))
+    # texts are scanned once for each of these tables, however often they are read, and of those after only touched files'
+    symbols = lambda files: X.symbols(files).select("id", "filepath", "name", "kind", "role", "link_name", "start_byte", "end_byte")
+    old = cut(symbols(before))
+    new = cut(old.join(touched, "filepath", "left_anti").unionByName(symbols(after.join(touched, "filepath", "left_semi"))))
+    sites, imports = cut(E.call_sites(old, before)), cut(E.import_names(before))
+    stored = E.build_edges(old, before, sites=sites, imports=imports)
+    return E.refresh_edges(stored, new, after, touched, old.join(touched, "filepath", "left_semi"), sites, imports).select("src", "dst", "kind", "confidence")
 
 
 @query("tx9_contracts", f"WITH {_K} SELECT filepath || '::d' || k AS id, 'x: u8' AS inputs, 'u8' AS output, '' AS effects, false AS may_fail FROM ks UNION ALL SELECT filepath || '::c' || k, '', '', '', false FROM ks")
